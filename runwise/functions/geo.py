@@ -149,7 +149,8 @@ def flat_angle(long1, lat1, long2, lat2) -> Column:
 
 def planar(lat1, long1, lat2, long2) -> Column:
     """Euclidean distance in degrees (used as a relative link-to-position measure)."""
-    return F.sqrt(F.pow(lat1 - lat2, 2) + F.pow(long1 - long2, 2))
+    dlat, dlong = lat1 - lat2, long1 - long2
+    return F.sqrt(dlat * dlat + dlong * dlong)
 
 
 def pair_speeds(positions: Column, distances: Column) -> Column:
