@@ -11,6 +11,7 @@ frontier with the broadcast edge list and keeps the least distance per
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,19 +96,32 @@ def drop_adjacent(df: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 # --- J10 --------------------------------------------------------------------
-def with_exit_ends(df: DataFrame, net: NetworkIndex, exit_col: str = "predictedExit") -> DataFrame:
-    """near / far: ends of the predicted exit link nearer to / farther from slowV (tie: dst is near)."""
+def exit_ends(pairs: DataFrame, net: NetworkIndex, exit_col: str = "predictedExit") -> DataFrame:
+    """near / far / exit_length for distinct (slowV, exit) pairs (a set bounded by the network)."""
     e = net.link(F.col(exit_col))
     sv = net.node(F.col("slowV"))
-    d = df.withColumn("_e", e).withColumn("_sv", sv)
-    d = d.withColumn("_ds", vincenty(F.col("_sv")["lat"], F.col("_sv")["long"], F.col("_e")["src_lat"], F.col("_e")["src_long"])) \
-        .withColumn("_dd", vincenty(F.col("_sv")["lat"], F.col("_sv")["long"], F.col("_e")["dst_lat"], F.col("_e")["dst_long"]))
+    d = pairs.select("slowV", exit_col, e["src"].alias("_es"), e["dst"].alias("_ed"), e["length"].alias("exit_length"),
+                     e["src_lat"].alias("_a1"), e["src_long"].alias("_o1"), e["dst_lat"].alias("_a2"),
+                     e["dst_long"].alias("_o2"), sv["lat"].alias("_sa"), sv["long"].alias("_so"))
+    d = d.withColumn("_ds", vincenty(F.col("_sa"), F.col("_so"), F.col("_a1"), F.col("_o1"))) \
+        .withColumn("_dd", vincenty(F.col("_sa"), F.col("_so"), F.col("_a2"), F.col("_o2")))
     src_near = F.col("_ds") < F.col("_dd")
-    ok = F.col("_e").isNotNull() & F.col("_sv").isNotNull()
-    return d.withColumn("near", F.when(ok, F.when(src_near, F.col("_e")["src"]).otherwise(F.col("_e")["dst"]))) \
-        .withColumn("far", F.when(ok, F.when(src_near, F.col("_e")["dst"]).otherwise(F.col("_e")["src"]))) \
-        .withColumn("exit_length", F.col("_e")["length"]) \
-        .drop("_e", "_sv", "_ds", "_dd")
+    ok = F.col("_es").isNotNull() & F.col("_sa").isNotNull()
+    return d.select("slowV", exit_col,
+                    F.when(ok, F.when(src_near, F.col("_es")).otherwise(F.col("_ed"))).alias("near"),
+                    F.when(ok, F.when(src_near, F.col("_ed")).otherwise(F.col("_es"))).alias("far"),
+                    F.when(ok, F.col("exit_length")).alias("exit_length"))
+
+
+def with_exit_ends(df: DataFrame, net: NetworkIndex, exit_col: str = "predictedExit") -> DataFrame:
+    """near / far: ends of the predicted exit link nearer to / farther from slowV (tie: dst is near).
+
+    The geodesic runs once per distinct (slowV, exit) pair, not per landing; the
+    small result is joined back (AQE broadcasts it after measuring its size).
+    """
+    pairs = df.select("slowV", exit_col).where(F.col("slowV").isNotNull() & F.col(exit_col).isNotNull()).distinct()
+    # bounded table: checkpointed so later filters read it instead of re-running the geodesic
+    return df.join(cut_lineage(exit_ends(pairs, net, exit_col)), ["slowV", exit_col], "left")
 
 
 # --- G3 ---------------------------------------------------------------------
@@ -222,7 +236,9 @@ def flag_path(path: Column, slow: Column, slow_on_exit: Column) -> Column:
 def with_paths(df: DataFrame, nodes: DataFrame, edges: DataFrame, net: NetworkIndex,
                exit_col: str = "predictedExit", stop: str = "first_touch") -> DataFrame:
     """optPath (slowV -> goalV) and predPath (slowV -> near ++ exit ++ far -> goalV); rows without a path drop."""
-    d = with_exit_ends(df, net, exit_col)
+    # read once for the key set and three times for the joins back: keep it (lineage stays, so a
+    # lost executor recomputes its blocks)
+    d = with_exit_ends(df, net, exit_col).persist(StorageLevel.MEMORY_AND_DISK)
     opt_k = d.select(F.col("slowV").alias("start"), F.col("goalV").alias("goal"), F.col("avoidV").alias("avoid"))
     leg1_k = d.where(F.col("slowV") != F.col("near")).select(
         F.col("slowV").alias("start"), F.col("near").alias("goal"), F.col("avoidV").alias("avoid"))

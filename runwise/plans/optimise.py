@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from runwise.operators import costs as C
@@ -16,8 +17,8 @@ def optimise(predictions: DataFrame, nodes: DataFrame, edges: DataFrame, sizes:
     G1 -> G2 -> P12/J8 -> G5/G6 -> E9/E10 (+P13) -> J11/E12-E14.
     """
     net = net or NetworkIndex(nodes, edges)
-    d = P.with_vertices(predictions, net)
-    d = P.drop_adjacent(d, edges)
+    # several actions (size checks, key set, joins back) read this frame: keep it once
+    d = P.drop_adjacent(P.with_vertices(predictions, net), edges).persist(StorageLevel.MEMORY_AND_DISK)
     d = P.with_paths(d, nodes, edges, net, exit_col=exit_col, stop=stop)
     d = C.with_times(d)
     d = C.with_size_class(d, sizes)

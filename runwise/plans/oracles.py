@@ -83,7 +83,7 @@ def vincenty_ctes(name: str, src: str, keys: list[str], rounds: int = 10) -> str
     """CTE chain computing `dist` (metres) for rows of `src`(keys, lat1, lon1, lat2, lon2)."""
     f = d(WGS84_F)
     k = ", ".join(keys)
-    parts = [f"""{name}_0 AS (SELECT {k}, radians(lon2 - lon1) AS L,
+    parts = [f"""{name}_0 AS (SELECT {k}, radians(lon2 - lon1) AS vL,
         sin(atan((1 - {f}) * tan(radians(lat1)))) AS su1, cos(atan((1 - {f}) * tan(radians(lat1)))) AS cu1,
         sin(atan((1 - {f}) * tan(radians(lat2)))) AS su2, cos(atan((1 - {f}) * tan(radians(lat2)))) AS cu2,
         radians(lon2 - lon1) AS lam, {d(0)} AS prev, {d(0)} AS ss, {d(0)} AS cs, {d(0)} AS sg, {d(0)} AS csa,
@@ -104,17 +104,17 @@ def vincenty_ctes(name: str, src: str, keys: list[str], rounds: int = 10) -> str
             CASE WHEN done OR ss = 0 THEN c2m ELSE cs - 2 * su1 * su2 / csa END AS c2m) FROM {b}2)""")
         parts.append(f"""{b}4 AS (SELECT *, {f} / 16 * csa * (4 + {f} * (4 - 3 * csa)) AS cc FROM {b}3)""")
         parts.append(f"""{b}5 AS (SELECT *, CASE WHEN done OR ss = 0 THEN lam ELSE
-            L + (1 - cc) * {f} * sa * (sg + cc * ss * (c2m + cc * cs * (-1 + 2 * c2m * c2m))) END AS nl FROM {b}4)""")
+            vL + (1 - cc) * {f} * sa * (sg + cc * ss * (c2m + cc * cs * (-1 + 2 * c2m * c2m))) END AS nl FROM {b}4)""")
         parts.append(f"""{c} AS (SELECT * EXCLUDE (cc, nl) REPLACE (
             nl AS lam, CASE WHEN done OR ss = 0 THEN prev ELSE lam END AS prev,
             done OR ss = 0 OR abs(nl - lam) <= 1e-12 AS done) FROM {b}5)""")
         prev = c
     a2, b2 = WGS84_A * WGS84_A, WGS84_B * WGS84_B
     parts.append(f"""{name} AS (SELECT {k}, CASE WHEN ss = 0 OR (abs(lam - prev) > 1e-12 AND NOT isnan(abs(lam - prev)))
-        THEN {d(0)} ELSE {d(WGS84_B)} * A * (sg - B * ss * (c2m + B / 4 * (cs * (-1 + 2 * c2m * c2m)
-             - B / 6 * c2m * (-3 + 4 * ss * ss) * (-3 + 4 * c2m * c2m)))) END AS dist
-        FROM (SELECT *, 1 + usq / 16384 * (4096 + usq * (-768 + usq * (320 - 175 * usq))) AS A,
-                     usq / 1024 * (256 + usq * (-128 + usq * (74 - 47 * usq))) AS B
+        THEN {d(0)} ELSE {d(WGS84_B)} * vA * (sg - vB * ss * (c2m + vB / 4 * (cs * (-1 + 2 * c2m * c2m)
+             - vB / 6 * c2m * (-3 + 4 * ss * ss) * (-3 + 4 * c2m * c2m)))) END AS dist
+        FROM (SELECT *, 1 + usq / 16384 * (4096 + usq * (-768 + usq * (320 - 175 * usq))) AS vA,
+                     usq / 1024 * (256 + usq * (-128 + usq * (74 - 47 * usq))) AS vB
               FROM (SELECT *, csa * ({d(a2)} - {d(b2)}) / {d(b2)} AS usq FROM {prev})))""")
     return ",\n".join(parts)
 
