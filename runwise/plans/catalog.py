@@ -453,3 +453,111 @@ def run(spark: SparkSession, name: str, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf, _n=name: run(spark, _n, sf)) for name in QUERIES}
+
+
+# --- machine learning (rows-only checks: no SQL form) ----------------------------
+from runwise.constants import ALL_FEATURES, FOREST_DEPTHS, FOREST_TREES  # noqa: E402
+from runwise.operators import model as M  # noqa: E402
+
+
+def _prepared(spark, sf) -> DataFrame:
+    key = (id(spark), sf, "prepared")
+    if key not in _MEMO:
+        _, edges = network(spark, sf)
+        _MEMO[key] = cut_lineage(prepare_landings(fx.flights(spark, sf), edges, CODE))
+    return _MEMO[key]
+
+
+def _trained(spark, sf):
+    key = (id(spark), sf, "model")
+    if key not in _MEMO:
+        p = _prepared(spark, sf)
+        train, test = M.split(p)
+        _MEMO[key] = (M.fit_pipeline(p, train, list(ALL_FEATURES), FOREST_TREES[0], FOREST_DEPTHS[0]), train, test)
+    return _MEMO[key]
+
+
+def q_train_test_split(spark, sf):
+    train, test = M.split(_prepared(spark, sf))
+    return M.split_counts(train, test)
+
+
+def q_feature_kinds(spark, sf):
+    return spark.createDataFrame(M.feature_kinds(_prepared(spark, sf), list(ALL_FEATURES)), "feature string, kind string")
+
+
+def q_index_categories(spark, sf):
+    return M.index_categories(_prepared(spark, sf), list(ALL_FEATURES))
+
+
+def q_train_forest(spark, sf):
+    model, train, test = _trained(spark, sf)
+    rf = M.forest(model)
+    return spark.createDataFrame([(rf.getNumTrees, rf.getMaxDepth(), rf.numFeatures, rf.numClasses)],
+                                 "num_trees int, max_depth int, num_features int, num_classes int")
+
+
+def q_predict(spark, sf):
+    model, train, test = _trained(spark, sf)
+    return M.predict(model, test).select("flight_id", "exit", "predictedExit")
+
+
+def q_accuracy(spark, sf):
+    model, train, test = _trained(spark, sf)
+    return M.accuracy(model, test)
+
+
+def _nodes(spark, sf):
+    model, *_ = _trained(spark, sf)
+    from runwise.session import ensure_checkpoint_dir
+    return M.forest_nodes(spark, model, f"{ensure_checkpoint_dir(spark)}/forest-{abs(hash((id(spark), sf)))}"), model
+
+
+def q_forest_nodes(spark, sf):
+    nodes, _ = _nodes(spark, sf)
+    return nodes.select("treeID", "node", "depth", "side", "feature_index", "prediction")
+
+
+def q_forest_max_depth(spark, sf):
+    nodes, _ = _nodes(spark, sf)
+    return M.forest_depth(nodes)
+
+
+def q_node_condition(spark, sf):
+    nodes, model = _nodes(spark, sf)
+    return M.node_condition(spark, nodes, model)
+
+
+def q_feature_importances(spark, sf):
+    model, *_ = _trained(spark, sf)
+    return M.importances(spark, model)
+
+
+def q_feature_metadata(spark, sf):
+    model, *_ = _trained(spark, sf)
+    return M.feature_metadata(spark, model)
+
+
+def q_score_records(spark, sf):
+    model, *_ = _trained(spark, sf)
+    return M.score(model, _prepared(spark, sf)).select("flight_id", "exit", "predictedExit")
+
+
+def q_tune(spark, sf):
+    model, train, test = _trained(spark, sf)
+    return M.tune(train, list(ALL_FEATURES))
+
+
+def q_result_document(spark, sf):
+    from runwise.sources.sinks import result_document
+    o = optimised(spark, sf)
+    return result_document(o, S.top_sample(o))
+
+
+QUERIES.update({
+    "train_test_split": q_train_test_split, "feature_kinds": q_feature_kinds, "index_categories": q_index_categories,
+    "train_forest": q_train_forest, "predict": q_predict, "accuracy": q_accuracy, "forest_nodes": q_forest_nodes,
+    "forest_max_depth": q_forest_max_depth, "node_condition": q_node_condition,
+    "feature_importances": q_feature_importances, "sink_feature_json": q_feature_metadata,
+    "score_records": q_score_records, "tune": q_tune, "sink_result_json": q_result_document,
+})
