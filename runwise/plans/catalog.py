@@ -234,7 +234,7 @@ def q_flat_angle(spark, sf):
 def _vertices(spark, sf):
     nodes, edges = network(spark, sf)
     net = NetworkIndex(nodes, edges)
-    return P.with_vertices(fx.flights(spark, sf), net), nodes, edges, net
+    return cut_lineage(P.with_vertices(fx.flights(spark, sf), net)), nodes, edges, net
 
 
 def q_slow_vertex(spark, sf):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from runwise.operators import costs as C
 from runwise.operators import paths as P
 from runwise.operators.network import NetworkIndex
+from runwise.session import cut_lineage
 
 
 def optimise(predictions: DataFrame, nodes: DataFrame, edges: DataFrame, sizes: DataFrame, code: str = "KPHX",
@@ -17,8 +18,9 @@ def optimise(predictions: DataFrame, nodes: DataFrame, edges: DataFrame, sizes:
     G1 -> G2 -> P12/J8 -> G5/G6 -> E9/E10 (+P13) -> J11/E12-E14.
     """
     net = net or NetworkIndex(nodes, edges)
-    # several actions (size checks, key set, joins back) read this frame: keep it once
-    d = P.drop_adjacent(P.with_vertices(predictions, net), edges).persist(StorageLevel.MEMORY_AND_DISK)
+    # Vertex columns are written once (restart point; later filters and joins read them
+    # instead of re-running the per-landing array expressions and the geodesic UDF).
+    d = P.drop_adjacent(cut_lineage(P.with_vertices(predictions, net)), edges).persist(StorageLevel.MEMORY_AND_DISK)
     d = P.with_paths(d, nodes, edges, net, exit_col=exit_col, stop=stop)
     d = C.with_times(d)
     d = C.with_size_class(d, sizes)
