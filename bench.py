@@ -18,7 +18,7 @@ from runwise.operators.network import NetworkIndex  # noqa: E402
 from runwise.plans import catalog  # noqa: E402
 from runwise.plans.optimise import optimise  # noqa: E402
 from runwise.plans.prepare import prepare_landings  # noqa: E402
-from runwise.session import local_session  # noqa: E402
+from runwise.session import cut_lineage, local_session  # noqa: E402
 from runwise.sources import fixtures as fx  # noqa: E402
 
 
@@ -48,7 +48,7 @@ def main() -> None:
         .withColumnRenamed("surrogate_exit", "predictedExit")
     prepared = timed("prepare_checkpoint", lambda: prepared.checkpoint(eager=True))
     net = timed("network_index", lambda: NetworkIndex(nodes, edges))
-    timed("vertices", lambda: sink(P.drop_adjacent(P.with_vertices(prepared, net), edges)))
+    timed("vertices", lambda: sink(P.drop_adjacent(cut_lineage(P.with_vertices(prepared, net)), edges)))
     costed = timed("optimise", lambda: optimise(prepared, nodes, edges, fx.size_classes(spark, sf_dir), catalog.CODE,
                                                 net=net).checkpoint(eager=True))
     timed("describe", lambda: sink(S.describe(costed)))

@@ -561,3 +561,70 @@ QUERIES.update({
     "feature_importances": q_feature_importances, "sink_feature_json": q_feature_metadata,
     "score_records": q_score_records, "tune": q_tune, "sink_result_json": q_result_document,
 })
+
+
+# --- J14 path overlay, F3 / F4 and the run registry ---------------------------------
+def path_overlay(costed: DataFrame, nodes: DataFrame, edges: DataFrame, n: int = 50) -> DataFrame:
+    """Links on the optimal / predicted path of each sampled landing, with exit flag,
+    end coordinates and whether the link touches the slow vertex."""
+    sample = costed.select("flight_id", "slowV", "optPath", "predPath").orderBy("flight_id").limit(n)
+    on = sample.select("flight_id", "slowV", F.explode(F.array_union(
+        F.transform("optPath", lambda s: F.struct(s["link_id"].alias("link_id"), F.lit(1).alias("o"), F.lit(0).alias("p"))),
+        F.transform("predPath", lambda s: F.struct(s["link_id"].alias("link_id"), F.lit(0).alias("o"), F.lit(1).alias("p")))))
+        .alias("x")).select("flight_id", "slowV", "x.*")
+    flags = on.groupBy("flight_id", "slowV", "link_id").agg(F.max("o").alias("on_opt"), F.max("p").alias("on_pred"))
+    lc = F.broadcast(link_coords(nodes, edges))
+    j = flags.join(lc, "link_id", "left")
+    return j.select("flight_id", "link_id", F.col("on_opt").cast("bigint").alias("on_opt"),
+                    F.col("on_pred").cast("bigint").alias("on_pred"), F.col("is_exit").cast("bigint").alias("is_exit"),
+                    ((F.col("src") == F.col("slowV")) | (F.col("dst") == F.col("slowV"))).alias("touches_slow"),
+                    r7(F.col("src_lat")).alias("src_lat"), r7(F.col("src_long")).alias("src_long"),
+                    r7(F.col("dst_lat")).alias("dst_lat"), r7(F.col("dst_long")).alias("dst_long"))
+
+
+def q_path_overlay(spark, sf):
+    nodes, edges = network(spark, sf)
+    return path_overlay(optimised(spark, sf), nodes, edges)
+
+
+def _run_root(spark) -> str:
+    from runwise.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark)}/run-registry"
+
+
+def _analysis(spark, sf):
+    key = (id(spark), sf, "analysis")
+    if key not in _MEMO:
+        from runwise.plans.analysis import run_analysis
+        nodes, edges = network(spark, sf)
+        run_id = f"{CODE}-{abs(hash(sf)) % 10**8}"
+        _MEMO[key] = (run_analysis(spark, fx.flights(spark, sf), nodes, edges, fx.size_classes(spark, sf), CODE,
+                                   _run_root(spark), run_id), run_id)
+    return _MEMO[key]
+
+
+def q_run_analysis(spark, sf):
+    out, run_id = _analysis(spark, sf)
+    return out["run"].drop("run_duration_ms", "date")
+
+
+def q_inspect_run(spark, sf):
+    from runwise.plans.analysis import inspect_run
+    out, run_id = _analysis(spark, sf)
+    return inspect_run(spark, _run_root(spark), run_id)["nodes"]
+
+
+def q_complete_runs(spark, sf):
+    from runwise.sources.sinks import complete_runs
+    _analysis(spark, sf)
+    return complete_runs(spark, _run_root(spark)).select("run_id", "airport_code").distinct()
+
+
+def q_list_models(spark, sf):
+    from runwise.sources.sinks import list_models
+    _analysis(spark, sf)
+    return list_models(spark, _run_root(spark))
+
+
+QUERIES.update({"path_overlay": q_path_overlay, "run_analysis": q_run_analysis, "inspect_run": q_inspect_run,
+                "complete_runs": q_complete_runs, "list_models": q_list_models})

@@ -455,6 +455,15 @@ def oracle_sql() -> dict[str, str]:
               round({_fold("optPath[1:coalesce(list_position(list_transform(optPath, lambda s: s.is_exit = 1), true), 0)]")}, 3) AS rot_ft,
               round({_fold('optPath')} - {_fold("optPath[1:coalesce(list_position(list_transform(optPath, lambda s: s.is_exit = 1), true), 0)]")}, 3)
                 AS taxi_ft FROM costed""",
+        "path_overlay": opt + """, smp AS (SELECT flight_id, slowV, optPath, predPath FROM costed ORDER BY flight_id LIMIT 50),
+            onp AS (SELECT flight_id, slowV, unnest(list_transform(optPath, lambda s: s.link_id)) AS link_id, 1 AS o, 0 AS p FROM smp
+                    UNION ALL SELECT flight_id, slowV, unnest(list_transform(predPath, lambda s: s.link_id)), 0, 1 FROM smp),
+            fl2 AS (SELECT flight_id, slowV, link_id, max(o) AS on_opt, max(p) AS on_pred FROM onp GROUP BY ALL)
+            SELECT f.flight_id, f.link_id, CAST(f.on_opt AS BIGINT) AS on_opt, CAST(f.on_pred AS BIGINT) AS on_pred,
+                   CAST(e.is_exit AS BIGINT) AS is_exit, (e.src = f.slowV OR e.dst = f.slowV) AS touches_slow,
+                   round(e.src_lat, 7) AS src_lat, round(e.src_long, 7) AS src_long,
+                   round(e.dst_lat, 7) AS dst_lat, round(e.dst_long, 7) AS dst_long
+            FROM fl2 f LEFT JOIN ecoord e ON e.link_id = f.link_id""",
         "top_sample": opt + " SELECT flight_id, aircraftType, slowV, predictedExit, round(optROT, 6) AS optROT, "
                             "round(savings, 6) AS savings FROM costed ORDER BY flight_id LIMIT 50",
     }
