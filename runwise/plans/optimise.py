@@ -20,7 +20,9 @@ def optimise(predictions: DataFrame, nodes: DataFrame, edges: DataFrame, sizes:
     net = net or NetworkIndex(nodes, edges)
     # Vertex columns are written once (restart point; later filters and joins read them
     # instead of re-running the per-landing array expressions and the geodesic UDF).
-    d = P.drop_adjacent(cut_lineage(P.with_vertices(predictions, net)), edges).persist(StorageLevel.MEMORY_AND_DISK)
+    # The position / link arrays (the bulk of a landing row) are not needed past this point.
+    v = P.with_vertices(predictions, net).drop("positions", "link_ids", "slow_lat", "slow_long")
+    d = P.drop_adjacent(cut_lineage(v), edges).persist(StorageLevel.MEMORY_AND_DISK)
     d = P.with_paths(d, nodes, edges, net, exit_col=exit_col, stop=stop)
     d = C.with_times(d)
     d = C.with_size_class(d, sizes)

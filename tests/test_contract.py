@@ -39,3 +39,12 @@ def test_oracles_agree_on_cheap_queries(spark, sf):
         rel = con.sql(o[name])
         assert sorted(sdf.columns) == sorted(rel.columns), name
         assert _canon([tuple(r) for r in sdf.collect()], sdf.columns) == _canon(rel.fetchall(), rel.columns), name
+
+
+def test_run_analysis_and_registry(spark, sf):
+    from runwise.plans import catalog
+    run = catalog.q_run_analysis(spark, sf).first()
+    assert run.airport_code == "KPHX" and run.train_count + run.test_count == 81 and 0 <= run.accuracy <= 100
+    nodes = catalog.q_inspect_run(spark, sf)
+    assert nodes.where("condition LIKE 'Predict Exit %'").count() > 0
+    assert catalog.q_complete_runs(spark, sf).count() >= 1
