@@ -81,23 +81,27 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 class NetworkIndex:
-    """The network inlined as literal lookup maps (size-checked).
+    """Link and node lookups for per-landing expressions.
 
-    Per-landing link lookups then run as map probes inside each row's
-    expression, so the landing table is never shuffled to meet the network.
+    Up to ``max_links`` links (an airport's network) the lookups are literal maps
+    probed inside each row's expression, so the landing table is never shuffled to
+    meet the network.  Beyond the bound ``inline`` is False and callers use the
+    join-based path (``coords`` / ``nodes`` DataFrames).
     """
 
     def __init__(self, nodes: DataFrame, edges: DataFrame, max_links: int = MAX_SMALL_ROWS):
-        coords = link_coords(nodes, edges)
-        rows = coords.limit(max_links + 1).collect()
-        if len(rows) > max_links:
-            raise ValueError(f"network has more than {max_links} links; use the join-based operators")
+        self.nodes = nodes
+        self.coords = link_coords(nodes, edges)
+        self.exit_node_df = exit_edges(edges).select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        rows = self.coords.limit(max_links + 1).collect()
+        self.inline = len(rows) <= max_links
+        self.link_map = None
+        if not self.inline:
+            return
         # First row per link id wins (input order of the link table).
         seen: dict[str, tuple] = {}
         for r in rows:
             seen.setdefault(r["link_id"], r)
-        node_rows = nodes.limit(max_links + 1).collect()
-        self.n_links = len(seen)
         entries = []
         for lid, r in sorted(seen.items()):
             entries += [F.lit(lid), F.struct(
@@ -106,18 +110,12 @@ class NetworkIndex:
                 F.lit(float(r["src_lat"])).alias("src_lat"), F.lit(float(r["src_long"])).alias("src_long"),
                 F.lit(float(r["dst_lat"])).alias("dst_lat"), F.lit(float(r["dst_long"])).alias("dst_long"))]
         self.link_map = F.create_map(*entries) if entries else None
-        self.exit_ids = sorted(lid for lid, r in seen.items() if int(r["is_exit"]) == 1)
-        node_entries = []
-        for r in sorted(node_rows, key=lambda r: r["node_id"]):
-            node_entries += [F.lit(r["node_id"]), F.struct(F.lit(float(r["lat"])).alias("lat"),
-                                                           F.lit(float(r["long"])).alias("long"))]
-        self.node_map = F.create_map(*node_entries) if node_entries else None
-        self.exit_nodes = sorted({r["src"] for r in seen.values() if int(r["is_exit"]) == 1}
-                                 | {r["dst"] for r in seen.values() if int(r["is_exit"]) == 1})
 
     def link(self, link_id: Column) -> Column:
-        """Struct (src, dst, length, is_exit, coords) of a link id, NULL if unknown."""
+        """Struct (src, dst, length, is_exit, coords) of a link id, NULL if unknown (inline only)."""
         return F.try_element_at(self.link_map, link_id)
 
-    def node(self, node_id: Column) -> Column:
-        return F.try_element_at(self.node_map, node_id)
+    def link_info(self) -> DataFrame:
+        """(link_id, info struct) with one row per link id, for the join-based path."""
+        info = F.struct("src", "dst", "length", "is_exit", "src_lat", "src_long", "dst_lat", "dst_long")
+        return self.coords.groupBy("link_id").agg(F.min(info).alias("info"))

@@ -34,9 +34,18 @@ def with_slow_position(df: DataFrame) -> DataFrame:
         .withColumn("slow_long", F.col("_slowpos")["long"]).drop("_speeds", "_slowpos")
 
 
-def with_link_info(df: DataFrame, net: NetworkIndex) -> DataFrame:
-    """_links: the landing's link list resolved against the network (NULL items for unknown links)."""
-    return df.withColumn("_links", F.transform("link_ids", lambda l: net.link(l)))
+def with_link_info(df: DataFrame, net: NetworkIndex, key: str = "flight_id") -> DataFrame:
+    """_links: the landing's link list resolved against the network (NULL items for unknown links).
+
+    Inline networks are probed per row.  Larger ones go through an exploded join and
+    are regrouped per landing (a landing's own list, so each group is one row's array).
+    """
+    if net.inline:
+        return df.withColumn("_links", F.transform("link_ids", lambda l: net.link(l)))
+    ex = df.select(key, F.posexplode("link_ids").alias("_pos", "link_id"))
+    j = ex.join(net.link_info(), "link_id", "left")
+    per = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_pos", "info"))).alias("_l"))
+    return df.join(per, key, "left").withColumn("_links", F.transform("_l", lambda x: x["info"])).drop("_l")
 
 
 def link_distance(e: Column, lat: Column, long: Column) -> Column:
@@ -98,11 +107,13 @@ def drop_adjacent(df: DataFrame, edges: DataFrame) -> DataFrame:
 # --- J10 --------------------------------------------------------------------
 def exit_ends(pairs: DataFrame, net: NetworkIndex, exit_col: str = "predictedExit") -> DataFrame:
     """near / far / exit_length for distinct (slowV, exit) pairs (a set bounded by the network)."""
-    e = net.link(F.col(exit_col))
-    sv = net.node(F.col("slowV"))
-    d = pairs.select("slowV", exit_col, e["src"].alias("_es"), e["dst"].alias("_ed"), e["length"].alias("exit_length"),
-                     e["src_lat"].alias("_a1"), e["src_long"].alias("_o1"), e["dst_lat"].alias("_a2"),
-                     e["dst_long"].alias("_o2"), sv["lat"].alias("_sa"), sv["long"].alias("_so"))
+    info = net.link_info().select(F.col("link_id").alias(exit_col), "info")
+    xy = net.nodes.select(F.col("node_id").alias("slowV"), F.col("lat").alias("_sa"), F.col("long").alias("_so"))
+    d = pairs.join(info, exit_col, "left").join(xy, "slowV", "left")
+    e = F.col("info")
+    d = d.select("slowV", exit_col, e["src"].alias("_es"), e["dst"].alias("_ed"), e["length"].alias("exit_length"),
+                 e["src_lat"].alias("_a1"), e["src_long"].alias("_o1"), e["dst_lat"].alias("_a2"),
+                 e["dst_long"].alias("_o2"), "_sa", "_so")
     d = d.withColumn("_ds", vincenty(F.col("_sa"), F.col("_so"), F.col("_a1"), F.col("_o1"))) \
         .withColumn("_dd", vincenty(F.col("_sa"), F.col("_so"), F.col("_a2"), F.col("_o2")))
     src_near = F.col("_ds") < F.col("_dd")
@@ -256,8 +267,9 @@ def with_paths(df: DataFrame, nodes: DataFrame, edges: DataFrame, net: NetworkIn
     d = attach(d, "slowV", "goalV", "_opt")
     d = attach(d, "slowV", "near", "_leg1")
     d = attach(d, "far", "goalV", "_leg2")
-    slow_on_exit = F.array_contains(F.array(*[F.lit(v) for v in net.exit_nodes]), F.col("slowV")) \
-        if net.exit_nodes else F.lit(False)
+    d = d.join(small(net.exit_node_df.select(F.col("node").alias("slowV"), F.lit(True).alias("_slow_on_exit"))),
+               "slowV", "left")
+    slow_on_exit = F.coalesce(F.col("_slow_on_exit"), F.lit(False))
     leg1_ok = (F.col("slowV") == F.col("near")) | F.col("_leg1").isNotNull()
     exit_step = F.array(F.struct(F.col(exit_col).alias("link_id"), F.lit(1).alias("is_exit"),
                                  F.col("exit_length").alias("length")))
@@ -266,7 +278,7 @@ def with_paths(df: DataFrame, nodes: DataFrame, edges: DataFrame, net: NetworkIn
     pred = F.concat(leg1, exit_step, flag_path(F.col("_leg2"), F.col("slowV"), slow_on_exit))
     d = d.where(F.col("_opt").isNotNull() & leg1_ok & F.col("_leg2").isNotNull() & F.col("near").isNotNull())
     return d.withColumn("optPath", flag_path(F.col("_opt"), F.col("slowV"), slow_on_exit)) \
-        .withColumn("predPath", pred).drop("_opt", "_leg1", "_leg2")
+        .withColumn("predPath", pred).drop("_opt", "_leg1", "_leg2", "_slow_on_exit")
 
 
 PATH_T = "struct<link_id:string,is_exit:int,length:double>"

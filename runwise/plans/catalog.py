@@ -628,3 +628,163 @@ def q_list_models(spark, sf):
 
 QUERIES.update({"path_overlay": q_path_overlay, "run_analysis": q_run_analysis, "inspect_run": q_inspect_run,
                 "complete_runs": q_complete_runs, "list_models": q_list_models})
+
+
+# --- inventory items that are stages of the flows above, exposed under their own names ---
+def q_prune_columns(spark, sf):
+    d = L.prune(L.arrivals(fx.flights_raw(spark, sf, noise=True), CODE), ["flight_id"])
+    return d.select("flight_id", "callsign", "runway", "depAirport", "arrAirport", "aircraftType", "arrGate")
+
+
+def q_promote_header(spark, sf):
+    """Landing records written as header CSV and read back by name with the explicit schema."""
+    from runwise.sources import readers as R
+    from runwise.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark)}/csv-{abs(hash((id(spark), sf))) % 10**8}"
+    key = (id(spark), sf, "csv")
+    if key not in _MEMO:
+        fx.flights_raw(spark, sf).select(*R.FLIGHT_COLUMNS).write.mode("overwrite").option("header", True).csv(path)
+        _MEMO[key] = path
+    back = R.read_flights(spark, f"{_MEMO[key]}/*.csv")
+    return back.select("callsign", "runway", "depAirport", "arrAirport", "aircraftType", "arrGate")
+
+
+def q_edge_dst_join(spark, sf):
+    _, edges = network(spark, sf)
+    return edges.select("link_id", "node_to", "dst")
+
+
+def q_link_lookup(spark, sf):
+    nodes, edges = network(spark, sf)
+    d = P.with_link_info(fx.flights(spark, sf), NetworkIndex(nodes, edges))
+    d = d.select("flight_id", F.posexplode("_links").alias("idx", "e"))
+    return d.select("flight_id", "idx", F.col("e")["src"].alias("src"), F.col("e")["dst"].alias("dst"))
+
+
+def q_has_slow_vertex(spark, sf):
+    v, *_ = _vertices(spark, sf)
+    return v.where(F.col("slowV").isNotNull()).select("flight_id")
+
+
+def q_has_goal_vertex(spark, sf):
+    v, *_ = _vertices(spark, sf)
+    return v.where(F.col("goalV").isNotNull()).select("flight_id")
+
+
+def q_slow_ne_goal(spark, sf):
+    v, *_ = _vertices(spark, sf)
+    return v.where(F.col("goalV") != F.col("slowV")).select("flight_id")
+
+
+def q_parse_items(spark, sf):
+    t = q_scan_flights(spark, sf)
+    return t.select("flight_id", "n_positions", "n_links", "first_link", "last_link")
+
+
+def q_parse_epoch_ms(spark, sf):
+    return q_scan_flights(spark, sf).select("flight_id", "first_epoch", "last_epoch")
+
+
+def q_path_edges(spark, sf):
+    o = optimised(spark, sf)
+    d = o.select("flight_id", F.posexplode("optPath").alias("idx", "s"))
+    return d.select("flight_id", "idx", F.col("s")["link_id"].alias("link_id"), F.col("s")["length"].alias("length"))
+
+
+def q_concat_paths(spark, sf):
+    o = optimised(spark, sf)
+    return o.select("flight_id", _path_text(F.col("predPath")).alias("pred_links"))
+
+
+def _solved_opt(spark, sf):
+    v, nodes, edges, net = _vertices(spark, sf)
+    keys = P.drop_adjacent(v, edges).select(F.col("slowV").alias("start"), F.col("goalV").alias("goal"),
+                                            F.col("avoidV").alias("avoid"))
+    key = (id(spark), sf, "solved")
+    if key not in _MEMO:
+        _MEMO[key] = P.best_paths(keys, nodes, edges)
+    return _MEMO[key]
+
+
+def q_min_cost_vertex(spark, sf):
+    """L4: the goal's predecessor chosen by least distance + heuristic."""
+    s = _solved_opt(spark, sf)
+    return s.select("start", "goal", "avoid", F.get("path", F.size("path") - 1)["from_node"].alias("goal_pred"))
+
+
+def q_trace_path(spark, sf):
+    """Traced vertex sequence start -> goal; NULL when the goal is unreachable."""
+    s = _solved_opt(spark, sf)
+    nodes = F.concat(F.transform("path", lambda x: x["from_node"]), F.array("goal"))
+    return s.select("start", "goal", "avoid", F.when(F.col("path").isNotNull(), F.array_join(nodes, ",")).alias("vertices"))
+
+
+def q_best_params(spark, sf):
+    return q_tune(spark, sf).where("best").select("num_trees", "max_depth")
+
+
+def q_assemble(spark, sf):
+    model, train, test = _trained(spark, sf)
+    from pyspark.ml.functions import vector_to_array
+    head = PipelineModel(stages=model.stages[:-2])
+    return head.transform(_prepared(spark, sf)).select("flight_id", vector_to_array("features").alias("features"))
+
+
+def q_index_label(spark, sf):
+    from pyspark.ml.feature import StringIndexerModel
+    model, *_ = _trained(spark, sf)
+    lab = next(s for s in model.stages if isinstance(s, StringIndexerModel) and s.getInputCol() == "exit")
+    return spark.createDataFrame(list(enumerate(lab.labels)), "label int, exit string")
+
+
+def q_drop_vector_columns(spark, sf):
+    model, train, test = _trained(spark, sf)
+    return M.predict(model, test)
+
+
+def q_sink_describe_csv(spark, sf):
+    from runwise.sources.sinks import write_summary
+    path = f"{_run_root(spark)}/summary-{abs(hash((id(spark), sf))) % 10**8}"
+    write_summary(optimised(spark, sf), path)
+    return spark.read.option("header", True).csv(path)
+
+
+def q_sink_df_csv(spark, sf):
+    from runwise.sources.sinks import write_csv_single
+    path = f"{_run_root(spark)}/sizes-{abs(hash((id(spark), sf))) % 10**8}"
+    write_csv_single(fx.size_classes(spark, sf), path)
+    return spark.read.option("header", True).csv(path)
+
+
+def q_sink_run_info(spark, sf):
+    out, run_id = _analysis(spark, sf)
+    return spark.read.parquet(f"{_run_root(spark)}/runs").where(F.col("run_id") == run_id).drop("run_duration_ms", "date")
+
+
+def q_save_model(spark, sf):
+    from runwise.sources.sinks import load_model
+    out, run_id = _analysis(spark, sf)
+    model = load_model(_run_root(spark), run_id)
+    return M.predict(model, _prepared(spark, sf)).select("flight_id", "exit", "predictedExit")
+
+
+def q_scan_run_artifacts(spark, sf):
+    from runwise.sources.sinks import read_run
+    out, run_id = _analysis(spark, sf)
+    return read_run(spark, _run_root(spark), run_id)["results"]
+
+
+from pyspark.ml import PipelineModel  # noqa: E402
+
+QUERIES.update({
+    "prune_columns": q_prune_columns, "promote_header": q_promote_header, "project_vertices": q_scan_nodes,
+    "project_edges": q_scan_links, "edge_dst_join": q_edge_dst_join, "link_lookup": q_link_lookup,
+    "has_slow_vertex": q_has_slow_vertex, "has_goal_vertex": q_has_goal_vertex, "slow_ne_goal": q_slow_ne_goal,
+    "traffic_band_join": q_traffic, "range_frame": q_traffic, "parse_items": q_parse_items,
+    "parse_epoch_ms": q_parse_epoch_ms, "path_edges": q_path_edges, "concat_paths": q_concat_paths,
+    "min_cost_vertex": q_min_cost_vertex, "trace_path": q_trace_path, "split_counts": q_train_test_split,
+    "best_params": q_best_params, "assemble": q_assemble, "index_label": q_index_label,
+    "drop_vector_columns": q_drop_vector_columns, "sink_describe_csv": q_sink_describe_csv,
+    "sink_df_csv": q_sink_df_csv, "sink_run_info": q_sink_run_info, "save_model": q_save_model,
+    "scan_run_artifacts": q_scan_run_artifacts,
+})

@@ -351,7 +351,30 @@ def oracle_sql() -> dict[str, str]:
         parsed AS (SELECT flight_id, i, CAST(long_t AS DOUBLE) AS long,
                           CAST(trunc(CAST(substr(s, 1, 1) || '.' || substr(s, 2) AS DOUBLE) * pow(10, CAST(length(s) - 1 AS DOUBLE))) AS BIGINT) AS epoch_ms
                    FROM txt)"""
-    return {
+    extra = {
+        "prune_columns": flt + " SELECT flight_id, callsign, runway, depAirport, arrAirport, "
+                               "CASE WHEN flight_id % 7 = 1 THEN 'null' ELSE aircraftType END AS aircraftType, arrGate "
+                               "FROM fl WHERE flight_id % 7 <> 0",
+        "promote_header": flt + " SELECT callsign, runway, depAirport, arrAirport, aircraftType, arrGate FROM fl",
+        "edge_dst_join": net + " SELECT link_id, node_to, dst FROM edges",
+        "link_lookup": flt + " SELECT l.flight_id, l.idx, e.src, e.dst FROM flinks l LEFT JOIN edges e ON e.link_id = l.link_id",
+        "has_slow_vertex": graph + " SELECT flight_id FROM verts WHERE slowV IS NOT NULL",
+        "has_goal_vertex": graph + " SELECT flight_id FROM verts WHERE goalV IS NOT NULL",
+        "slow_ne_goal": graph + " SELECT flight_id FROM verts WHERE goalV <> slowV",
+        "parse_items": flt + " SELECT flight_id, CAST(10 AS BIGINT) AS n_positions, CAST(len(link_ids) AS BIGINT) AS n_links, "
+                             "link_ids[1] AS first_link, link_ids[len(link_ids)] AS last_link FROM fl",
+        "path_edges": opt + " SELECT flight_id, CAST(generate_subscripts(optPath, 1) - 1 AS BIGINT) AS idx, "
+                            "unnest(list_transform(optPath, lambda s: s.link_id)) AS link_id, "
+                            "unnest(list_transform(optPath, lambda s: s.length)) AS length FROM costed",
+        "concat_paths": opt + " SELECT flight_id, array_to_string(list_transform(predPath, lambda s: s.link_id), ',') "
+                              "AS pred_links FROM costed",
+    }
+    solved_sql = with_ctes(NETWORK, FLIGHTS, FEATURES, VERTICES,
+                           search("SELECT slowV AS start, goalV AS goal, avoidV AS avoid FROM nadj"))
+    extra["min_cost_vertex"] = solved_sql + " SELECT start, goal, avoid, path[len(path)].from_node AS goal_pred FROM solved"
+    extra["trace_path"] = solved_sql + (" SELECT start, goal, avoid, CASE WHEN path IS NOT NULL THEN array_to_string("
+                                        "list_append(list_transform(path, lambda x: x.from_node), goal), ',') END AS vertices FROM solved")
+    base = {
         "scan_nodes": net + " SELECT node_id, node_name, round(lat, 7) AS lat, round(long, 7) AS long FROM nodes",
         "scan_links": net + " SELECT link_id, link_name, node_from, node_to, length FROM edges",
         "edge_src_join": net + " SELECT link_id, src, dst, length FROM edges",
@@ -467,3 +490,13 @@ def oracle_sql() -> dict[str, str]:
         "top_sample": opt + " SELECT flight_id, aircraftType, slowV, predictedExit, round(optROT, 6) AS optROT, "
                             "round(savings, 6) AS savings FROM costed ORDER BY flight_id LIMIT 50",
     }
+    base.update(extra)
+    base["project_vertices"] = base["scan_nodes"]
+    base["project_edges"] = base["scan_links"]
+    base["traffic_band_join"] = base["range_frame"] = base["traffic"]
+    base["parse_epoch_ms"] = base["scan_flights"].replace(
+        "SELECT f.flight_id, CAST(10 AS BIGINT) AS n_positions, CAST(len(f.link_ids) AS BIGINT) AS n_links,\n"
+        "              p0.epoch_ms AS first_epoch, p9.epoch_ms AS last_epoch, round(p1.long, 7) AS second_long,\n"
+        "              f.link_ids[1] AS first_link, f.link_ids[len(f.link_ids)] AS last_link",
+        "SELECT f.flight_id, p0.epoch_ms AS first_epoch, p9.epoch_ms AS last_epoch")
+    return base

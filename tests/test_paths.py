@@ -57,3 +57,22 @@ def test_best_paths_match_literal_search(spark, sf):
            for r in P.best_paths(kdf, nodes_df, edges_df).collect()}
     for k in keys:
         assert got[k] == literal_search(nodes, edges, *k), k
+
+
+def test_join_fallback_matches_inline(spark, sf):
+    from pyspark.sql import functions as F
+
+    from runwise.operators.network import NetworkIndex
+    from runwise.sources import fixtures as fx
+    nodes, edges = catalog.network(spark, sf)
+    fl = fx.flights(spark, sf).cache()
+    cols = ["flight_id", "slowV", "goalV", "avoidV"]
+    inline = P.with_vertices(fl, NetworkIndex(nodes, edges)).select(*cols)
+    joined_net = NetworkIndex(nodes, edges, max_links=10)
+    assert not joined_net.inline
+    joined = P.with_vertices(fl, joined_net).select(*cols)
+    assert sorted(inline.collect()) == sorted(joined.collect())
+    pairs = fl.select(F.lit("3").alias("slowV"), F.col("surrogate_exit")).distinct()
+    a = P.exit_ends(pairs, NetworkIndex(nodes, edges), "surrogate_exit").collect()
+    b = P.exit_ends(pairs, joined_net, "surrogate_exit").collect()
+    assert sorted(a) == sorted(b)
