@@ -544,8 +544,11 @@ def q_score_records(spark, sf):
 
 
 def q_tune(spark, sf):
-    model, train, test = _trained(spark, sf)
-    return M.tune(train, list(ALL_FEATURES))
+    key = (id(spark), sf, "tune")
+    if key not in _MEMO:
+        model, train, test = _trained(spark, sf)
+        _MEMO[key] = cut_lineage(M.tune(train, list(ALL_FEATURES)))
+    return _MEMO[key]
 
 
 def q_result_document(spark, sf):
