@@ -90,7 +90,7 @@ def avoid_vertex_expr(slow: Column) -> Column:
 
 
 def with_vertices(df: DataFrame, net: NetworkIndex) -> DataFrame:
-    """slowV, goalV, avoidV per landing (NULL where the reference gives "none")."""
+    """slowV, goalV, avoidV per landing (NULL where the input format uses "none")."""
     d = with_link_info(with_slow_position(df), net)
     d = d.withColumn("slowV", slow_vertex_expr()).withColumn("goalV", goal_vertex_expr())
     d = d.withColumn("avoidV", avoid_vertex_expr(F.col("slowV")))

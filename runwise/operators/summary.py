@@ -12,7 +12,7 @@ MEAN_MEASURES = MEASURES[:19]
 
 
 def summarise(df: DataFrame) -> DataFrame:
-    """A2: the 19 means in one row (the reference ran one job per mean)."""
+    """A2: the 19 means in one row (one pass instead of one job per mean)."""
     return df.agg(*[F.avg(c).alias(c) for c in MEAN_MEASURES])
 
 

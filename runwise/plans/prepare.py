@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from runwise.constants import ALL_FEATURES
@@ -10,13 +11,15 @@ from runwise.operators.network import exit_edges
 
 
 def featurize(typed: DataFrame) -> DataFrame:
-    """E5, E6, E8 (+P9), E3, E7, A1 — the reference's order; traffic counts the
+    """E5, E6, E8 (+P9), E3, E7, A1 in the analysed application's order; traffic counts the
     landings left after the deceleration filter, before labelling."""
     df = L.with_touchdown(typed)
     df = L.with_hour_day(df)
     df = L.decel_filter(L.with_decel(df))
     df = L.with_carrier(df)
     df = L.with_landing_epoch(df)
+    # the traffic count reads the epochs of this frame and joins back to it: compute it once
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     return L.with_traffic(df)
 
 
