@@ -295,6 +295,11 @@ def q_best_paths(spark, sf):
 _MEMO: dict[tuple, DataFrame] = {}
 
 
+def _sid(spark: SparkSession) -> str:
+    """Memo key of a session: its application id (a new context never reuses one)."""
+    return f"{spark.sparkContext.applicationId}-{id(spark)}"
+
+
 def clear_memo() -> None:
     _MEMO.clear()
 
@@ -305,7 +310,7 @@ def optimised(spark, sf, stop="first_touch") -> DataFrame:
     The costed table is written once per session to the checkpoint folder and
     shared by the queries that read it (like a materialised view).
     """
-    key = (id(spark), sf, stop)
+    key = (_sid(spark), sf, stop)
     if key not in _MEMO:
         _MEMO[key] = cut_lineage(_optimised(spark, sf, stop))
     return _MEMO[key]
@@ -461,7 +466,7 @@ from runwise.operators import model as M  # noqa: E402
 
 
 def _prepared(spark, sf) -> DataFrame:
-    key = (id(spark), sf, "prepared")
+    key = (_sid(spark), sf, "prepared")
     if key not in _MEMO:
         _, edges = network(spark, sf)
         _MEMO[key] = cut_lineage(prepare_landings(fx.flights(spark, sf), edges, CODE))
@@ -469,7 +474,7 @@ def _prepared(spark, sf) -> DataFrame:
 
 
 def _trained(spark, sf):
-    key = (id(spark), sf, "model")
+    key = (_sid(spark), sf, "model")
     if key not in _MEMO:
         p = _prepared(spark, sf)
         train, test = M.split(p)
@@ -510,7 +515,7 @@ def q_accuracy(spark, sf):
 def _nodes(spark, sf):
     model, *_ = _trained(spark, sf)
     from runwise.session import ensure_checkpoint_dir
-    return M.forest_nodes(spark, model, f"{ensure_checkpoint_dir(spark)}/forest-{abs(hash((id(spark), sf)))}"), model
+    return M.forest_nodes(spark, model, f"{ensure_checkpoint_dir(spark)}/forest-{abs(hash((_sid(spark), sf)))}"), model
 
 
 def q_forest_nodes(spark, sf):
@@ -544,7 +549,7 @@ def q_score_records(spark, sf):
 
 
 def q_tune(spark, sf):
-    key = (id(spark), sf, "tune")
+    key = (_sid(spark), sf, "tune")
     if key not in _MEMO:
         model, train, test = _trained(spark, sf)
         _MEMO[key] = cut_lineage(M.tune(train, list(ALL_FEATURES)))
@@ -596,7 +601,7 @@ def _run_root(spark) -> str:
 
 
 def _analysis(spark, sf):
-    key = (id(spark), sf, "analysis")
+    key = (_sid(spark), sf, "analysis")
     if key not in _MEMO:
         from runwise.plans.analysis import run_analysis
         nodes, edges = network(spark, sf)
@@ -643,8 +648,8 @@ def q_promote_header(spark, sf):
     """Landing records written as header CSV and read back by name with the explicit schema."""
     from runwise.sources import readers as R
     from runwise.session import ensure_checkpoint_dir
-    path = f"{ensure_checkpoint_dir(spark)}/csv-{abs(hash((id(spark), sf))) % 10**8}"
-    key = (id(spark), sf, "csv")
+    path = f"{ensure_checkpoint_dir(spark)}/csv-{abs(hash((_sid(spark), sf))) % 10**8}"
+    key = (_sid(spark), sf, "csv")
     if key not in _MEMO:
         fx.flights_raw(spark, sf).select(*R.FLIGHT_COLUMNS).write.mode("overwrite").option("header", True).csv(path)
         _MEMO[key] = path
@@ -703,7 +708,7 @@ def _solved_opt(spark, sf):
     v, nodes, edges, net = _vertices(spark, sf)
     keys = P.drop_adjacent(v, edges).select(F.col("slowV").alias("start"), F.col("goalV").alias("goal"),
                                             F.col("avoidV").alias("avoid"))
-    key = (id(spark), sf, "solved")
+    key = (_sid(spark), sf, "solved")
     if key not in _MEMO:
         _MEMO[key] = P.best_paths(keys, nodes, edges)
     return _MEMO[key]
@@ -747,14 +752,14 @@ def q_drop_vector_columns(spark, sf):
 
 def q_sink_describe_csv(spark, sf):
     from runwise.sources.sinks import write_summary
-    path = f"{_run_root(spark)}/summary-{abs(hash((id(spark), sf))) % 10**8}"
+    path = f"{_run_root(spark)}/summary-{abs(hash((_sid(spark), sf))) % 10**8}"
     write_summary(optimised(spark, sf), path)
     return spark.read.option("header", True).csv(path)
 
 
 def q_sink_df_csv(spark, sf):
     from runwise.sources.sinks import write_csv_single
-    path = f"{_run_root(spark)}/sizes-{abs(hash((id(spark), sf))) % 10**8}"
+    path = f"{_run_root(spark)}/sizes-{abs(hash((_sid(spark), sf))) % 10**8}"
     write_csv_single(fx.size_classes(spark, sf), path)
     return spark.read.option("header", True).csv(path)
 
