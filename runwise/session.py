@@ -45,8 +45,37 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``runwise`` importable in the Python workers (Arrow UDFs, mapInPandas).
+
+    The package is zipped once per application and added with ``addPyFile`` (what
+    ``--py-files`` does at submit time); Spark distributes it to every executor.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+
+    import runwise
+    pkg = os.path.dirname(os.path.abspath(runwise.__file__))
+    base = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="runwise-pkg-"), "runwise.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for folder, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, base))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply required settings to a caller's session; keep everything else."""
+    ship_package(spark)
     for k, v in REQUIRED_CONF.items():
         spark.conf.set(k, v)
     for k, v in DEFAULT_CONF.items():
