@@ -62,3 +62,15 @@ def _arrow_type(t: T.DataType) -> pa.DataType:
     if isinstance(t, T.ArrayType):
         return pa.list_(_arrow_type(t.elementType))
     return simple[t.simpleString()]
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of frames that nothing refers to any more.
+
+    The cleaner acts when the driver collects garbage; after a step whose result is written,
+    its shuffles are of no use, and on large inputs they are most of the disk in use.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
