@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runwise.llm import bpe_fst, langid_nb, quality_ledger, suffix_dedup, toxicity_crf, warc_archive
+from runwise.llm import bpe_fst, langid_nb, ngram_join, quality_ledger, suffix_dedup, toxicity_crf, warc_archive
 from runwise.llm.common import shared_folder, table
 
 
@@ -23,6 +23,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,7 +42,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ledger.report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_warc_archive, op4_suffix_dedup, op6_byte_bpe, op8_language_id, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_warc_archive, op4_suffix_dedup, op5_ngram_join, op6_byte_bpe, op8_language_id, op10_quality_rules)}
 
 ORACLES = {
     "op2_warc_archive": """
