@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 from runwise.llm.common import map_texts
 
 # Tables that a worker keeps are cleared beyond these sizes; results don't depend on them.
-MAX_STATES = 300_000
-MAX_PIECES = 300_000
-MAX_DECODE_ENTRIES = 400_000
+MAX_STATES = 100_000
+MAX_PAIRS = 300_000
+MAX_PIECES = 150_000
+MAX_DECODE_ENTRIES = 150_000
 
 ROOT = 0
 
@@ -93,6 +94,8 @@ class Transducer:
         """
         known = self.pairs.get((a, b))
         if known is None:
+            if len(self.pairs) >= MAX_PAIRS:
+                self.pairs.clear()
             known = self.pairs[a, b] = self._touch(a, b)
         return known
 
@@ -226,14 +229,16 @@ class Utf8Stream:
     def __init__(self, spelling: dict[int, bytes]):
         self.spelling = spelling
         self.table: dict[bytes, dict[int, tuple[str, bytes]]] = {b"": {}}
+        self.entries = 0
 
     def move(self, pending: bytes, token: int) -> tuple[str, bytes]:
         machine = codecs.getincrementaldecoder("utf-8")("replace")
         machine.setstate((pending, 0))
         text = machine.decode(self.spelling[token])
         found = (text, machine.getstate()[0])
-        if sum(map(len, self.table.values())) >= MAX_DECODE_ENTRIES:
-            self.table = {b"": {}}
+        self.entries += 1
+        if self.entries > MAX_DECODE_ENTRIES:
+            self.table, self.entries = {b"": {}}, 1
         self.table.setdefault(pending, {})[token] = found
         return found
 
@@ -268,16 +273,31 @@ def shipped_ranks(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+def pack(texts: list[str | None], pieces, packed: _Packed) -> list[bytes]:
+    """Ids of whole texts as little-endian unsigned 32-bit integers."""
+    return [b"".join(map(packed.__getitem__, pieces.findall(t or ""))) for t in texts]
+
+
+def unpack(rows: list[bytes | None], stream: Utf8Stream) -> list[str]:
+    """The texts that packed ids spell."""
+    out = []
+    for raw in rows:
+        ids = array("I", raw or b"")
+        if sys.byteorder == "big":
+            ids.byteswap()
+        out.append("".join(stream.decode(ids)))
+    return out
+
+
 def encode(docs: DataFrame, ranks, pattern: str, keep: list[str] | None = None) -> DataFrame:
     """doc_id (and ``keep``), n_tokens and ids (little-endian unsigned 32-bit integers)."""
     def make():
         import regex
 
-        pieces = regex.compile(pattern)
-        packed = coder(ranks.value)[1]
+        pieces, packed = regex.compile(pattern), coder(ranks.value)[1]
 
         def apply(texts):
-            ids = [b"".join(map(packed.__getitem__, pieces.findall(t or ""))) for t in texts]
+            ids = pack(texts, pieces, packed)
             return [len(x) // 4 for x in ids], ids
         return apply
     return map_texts(docs, make, "n_tokens bigint, ids binary", keep or ["doc_id"])
@@ -287,22 +307,27 @@ def decode(encoded: DataFrame, ranks, keep: list[str]) -> DataFrame:
     """``keep`` and the text that the ids spell, through the streaming machine."""
     def make():
         stream = coder(ranks.value)[2]
+        return lambda rows: [unpack(rows, stream)]
+    return map_texts(encoded, make, "decoded string", keep, text="ids")
+
 
-        def apply(rows):
-            out = []
-            for raw in rows:
-                ids = array("I", raw or b"")
-                if sys.byteorder == "big":
-                    ids.byteswap()
-                out.append("".join(stream.decode(ids)))
-            return [out]
+def round_trip(docs: DataFrame, ranks, pattern: str, keep: list[str] | None = None) -> DataFrame:
+    """Encoded ids and the text decoded from them, in one worker per task."""
+    def make():
+        import regex
+
+        pieces = regex.compile(pattern)
+        _, packed, stream = coder(ranks.value)
+
+        def apply(texts):
+            ids = pack(texts, pieces, packed)
+            return [len(x) // 4 for x in ids], ids, unpack(ids, stream)
         return apply
-    return map_texts(encoded, make, "decoded string", keep, text="ids")
+    return map_texts(docs, make, "n_tokens bigint, ids binary, decoded string", keep or ["doc_id"])
 
 
 def report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encoded and decoded again: token count and the digests of both."""
-    ranks = shipped_ranks(docs.sparkSession, path)
-    coded = encode(docs, ranks, pattern).withColumn("ids_sha256", F.sha2("ids", 256))
-    back = decode(coded, ranks, ["doc_id", "n_tokens", "ids_sha256"])
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    both = round_trip(docs, shipped_ranks(docs.sparkSession, path), pattern)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
