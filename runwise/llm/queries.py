@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runwise.llm import bpe_fst, langid_nb, ngram_join, quality_ledger, suffix_dedup, toxicity_crf, warc_archive
+from runwise.llm import bpe_fst, langid_nb, ngram_join, quality_ledger, suffix_dedup, template_decontam, toxicity_crf, warc_archive
 from runwise.llm.common import shared_folder, table
 
 
@@ -38,13 +38,64 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid_nb.report(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op9_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_decontam.leaks(table(spark, sf_dir, "documents", "doc_id", "text"),
+                                   table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ledger.report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_warc_archive, op4_suffix_dedup, op5_ngram_join, op6_byte_bpe, op8_language_id, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_warc_archive, op4_suffix_dedup, op5_ngram_join, op6_byte_bpe, op8_language_id, op9_template_decontam, op10_quality_rules)}
+
+def _template_sql() -> str:
+    """The canonicalisation, windows, alignments and slot check of op9 in DuckDB."""
+    def steps(expr: str, which) -> str:
+        for pattern, to in which:
+            expr = f"regexp_replace({expr}, '{pattern}', '{to}', 'g')"
+        return expr
+    T = template_decontam
+    raw = "trim(" + steps("lower(" + steps("text", [T.NAMES]) + ")", T.STEPS) + ")"
+    form = "CASE WHEN substr(x, 1, 1) IN ('#', '@', '~') THEN substr(x, 1, 1) ELSE x END"
+    W, S, N = T.WINDOW, T.STRIDE, T.WINDOW + T.STRIDE - 1
+    return f"""
+        WITH d0 AS (SELECT DISTINCT doc_id, text, list_filter(string_split({raw}, ' '), lambda x: x <> '') AS raw
+                    FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        d AS (SELECT *, list_transform(raw, lambda x: {form}) AS form FROM d0),
+        i0 AS (SELECT DISTINCT item_id, text AS item_text, list_filter(string_split({raw}, ' '), lambda x: x <> '') AS item_raw
+               FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+        i AS (SELECT * FROM (SELECT *, list_transform(item_raw, lambda x: {form}) AS item_form FROM i0) WHERE len(item_form) >= {T.LEAST_TOKENS}),
+        sizes AS (SELECT DISTINCT CASE WHEN len(item_form) >= {N} THEN {W} ELSE len(item_form) END AS size,
+                         len(item_form) < {N} AS short FROM i),
+        dw AS (SELECT doc_id, text, size, short, p0, form[p0 + 1:p0 + size] AS w
+               FROM (SELECT doc_id, text, form, size, short,
+                            unnest(range(0, len(form) - size + 1, CASE WHEN short THEN 1 ELSE {S} END)) AS p0 FROM d, sizes)),
+        iw AS (SELECT item_id, item_text, size, short, p0, item_form[p0 + 1:p0 + size] AS w
+               FROM (SELECT item_id, item_text, item_form, size, short, unnest(range(0, len(item_form) - size + 1)) AS p0
+                     FROM i JOIN sizes ON short = (len(item_form) < {N}) AND (NOT short OR size = len(item_form)))
+               WHERE 2 * len(list_filter(item_form[p0 + 1:p0 + size], lambda x: x NOT IN ('#', '@', '~'))) >= size),
+        hit AS (SELECT DISTINCT doc_id, text, item_id, item_text, dw.p0 - iw.p0 AS shift FROM dw JOIN iw USING (size, short, w)),
+        pos AS (SELECT *, unnest(range(0, len(item_form))) AS k FROM hit JOIN d USING (doc_id, text) JOIN i USING (item_id, item_text)),
+        same AS (SELECT doc_id, text, item_id, item_text, shift, k, len(item_form) AS n_tokens, item_form[k + 1] IN ('#', '@', '~') AS slot,
+                        item_raw[k + 1] AS a, raw[k + shift + 1] AS b
+                 FROM pos WHERE k + shift >= 0 AND k + shift < len(form) AND item_form[k + 1] = form[k + shift + 1]),
+        judged AS (SELECT doc_id, text, item_id, item_text, shift,
+                          count(DISTINCT (a, b)) FILTER (slot) = count(DISTINCT a) FILTER (slot)
+                            AND count(DISTINCT (a, b)) FILTER (slot) = count(DISTINCT b) FILTER (slot) AS consistent,
+                          coalesce(bool_or(a <> b) FILTER (slot), false) AS differs
+                   FROM same GROUP BY ALL),
+        item AS (SELECT doc_id, text, item_id, item_text, n_tokens, count(DISTINCT k) FILTER (consistent OR a = b) AS n_found,
+                        bool_or(consistent AND differs) AS changed
+                 FROM same JOIN judged USING (doc_id, text, item_id, item_text, shift) GROUP BY ALL),
+        good AS (SELECT doc_id, item_id, {{'f': n_found::BIGINT, 'n': n_tokens::BIGINT,
+                        'k': CASE WHEN changed THEN 'reparameterised' WHEN n_found = n_tokens THEN 'whole' ELSE 'partial' END}} AS s
+                 FROM item WHERE 100 * n_found >= {T.FOUND} * n_tokens)
+        SELECT doc_id, item_id, max(s).n AS n_tokens, max(s).f AS n_found, max(s).k AS kind FROM good GROUP BY doc_id, item_id"""
+
 
 ORACLES = {
+    "op9_template_decontam": _template_sql(),
     "op2_warc_archive": """
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
         s AS (SELECT page_id, url, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS hexed,
