@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runwise.llm import bpe_fst, langid_nb, ngram_join, quality_ledger, suffix_dedup, template_decontam, toxicity_crf, warc_archive
+from runwise.llm import bpe_fst, html_diff, langid_nb, ngram_join, quality_ledger, suffix_dedup, template_decontam, toxicity_crf, warc_archive, window_lm
 from runwise.llm.common import shared_folder, table
 
 
@@ -19,6 +19,10 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_archive.read_archive(spark, folder, with_bytes=False)
 
 
+def op3_html_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_diff.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -34,6 +38,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_window_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_lm.report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid_nb.report(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
@@ -47,7 +55,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ledger.report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_warc_archive, op4_suffix_dedup, op5_ngram_join, op6_byte_bpe, op8_language_id, op9_template_decontam, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity_crf, op2_warc_archive, op3_html_diff, op4_suffix_dedup, op5_ngram_join, op6_byte_bpe, op7_window_lm,
+    op8_language_id, op9_template_decontam, op10_quality_rules)}
 
 def _template_sql() -> str:
     """The canonicalisation, windows, alignments and slot check of op9 in DuckDB."""
