@@ -15,10 +15,14 @@ from runwise import session
 ARROW_ROWS = "1000"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    """The given table with only the named columns, whatever others it has."""
+def prepare(spark: SparkSession) -> None:
     session.prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+    """The given table with only the named columns, whatever others it has."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
 

@@ -28,7 +28,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return ngram_join.classes(table(spark, sf_dir, "documents", "doc_id", "text")).drop("tag")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
