@@ -2,7 +2,7 @@
 
 Training.  Labels are given per document, so tokens are labelled first: a word or word
 beginning that is frequent in toxic and absent from clean documents marks its tokens.  A
-two-state chain (clean, toxic) with hashed word features is then fitted to those token
+two-state chain (clean, toxic) with word features is then fitted to those token
 sequences by the gradient of the conditional likelihood.  Training reads a bounded sample:
 at most ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` labelled documents, chosen by a hash of their
 id, and ``TRAIN_TOKENS`` of their tokens.
@@ -20,7 +20,6 @@ count once, toxic if any of them is; without labelled rows of both kinds all sco
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,13 +33,17 @@ from pyspark.sql import types as T
 SAMPLE_TOXIC = 2500
 SAMPLE_CLEAN = 2500
 TRAIN_TOKENS = 400_000
-BUCKETS = 1 << 18
+MODEL_FEATURES = 200_000
 FOLDS = 5
 
 # A feature marks toxic tokens if so many toxic documents have it, at this log ratio of shares.
 MARK_DOCS = 10
 MARK_RATIO = 3.5
 
+# Calibration: weight of toxic documents, and log-odds below which no token makes a document toxic.
+TOXIC_SHARE = 0.25
+CLEARLY_CLEAN = -1.0
+
 BLOCK_TOKENS = 3_000_000
 LEAST = -20.0  # log-odds given to texts without words
 
@@ -56,10 +59,6 @@ def features(word: str) -> tuple[str, ...]:
     return tuple(["=" + word] + ["^" + word[:k] for k in (3, 4, 5) if len(word) > k] + ["$" + word[-3:]])
 
 
-def buckets(word: str) -> list[int]:
-    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for f in features(word)]
-
-
 def packed(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Time-major layout of sequences laid end to end.
 
@@ -108,19 +107,41 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 class Emissions(dict):
     """Word -> its emission score; words are scored once while they stay in the table."""
 
-    def __init__(self, weights: np.ndarray):
+    def __init__(self, weights: dict[str, float]):
         super().__init__()
         self.weights = weights
 
     def __missing__(self, word: str) -> float:
         if len(self) > 300_000:
             self.clear()
-        score = self[word] = float(self.weights[buckets(word)].sum())
+        score = self[word] = sum([self.weights.get(f, 0.0) for f in features(word)])
         return score
 
 
 # ---------------------------------------------------------------- training (driver, bounded sample)
 
+def without_copies(docs: list[list[str]]) -> list[list[str]]:
+    """One of each group of near copies, else every word of an often copied document seems to mark it.
+
+    Documents that share one of four least hashes of their 3-word windows count as copies.
+    """
+    ids: dict[str, int] = {}
+    seen: set[tuple[int, int]] = set()
+    kept = []
+    for words in docs:
+        x = np.fromiter((ids.setdefault(w, len(ids) + 1) for w in words), np.uint64, len(words))
+        x = np.concatenate([x, np.zeros(max(0, 3 - len(x)), np.uint64)])
+        h = (x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + x[2:]
+        sketch = set()
+        for k in range(4):
+            y = (h ^ (h >> np.uint64(29 + k))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
+            sketch.add((k, int((y ^ (y >> np.uint64(32))).min())))
+        if not sketch & seen:
+            kept.append(words)
+        seen |= sketch
+    return kept
+
+
 def marking_features(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
     def shares(docs):
         seen: Counter = Counter()
@@ -135,7 +156,8 @@ def marking_features(toxic: list[list[str]], clean: list[list[str]]) -> set[str]
 def fit(rows: list[tuple[str | None, int]], epochs: int = 40, rate: float = 0.5) -> dict | None:
     """Chain weights, transitions and calibration from (text, label) rows; None without both labels."""
     docs = [(words_of(t), int(y)) for t, y in rows]
-    toxic, clean = [w for w, y in docs if y == 1 and w], [w for w, y in docs if y == 0 and w]
+    toxic = without_copies([w for w, y in docs if y == 1 and w])
+    clean = without_copies([w for w, y in docs if y == 0 and w])
     if not toxic or not clean:
         return None
     marks = marking_features(toxic, clean)
@@ -172,17 +194,18 @@ def fit(rows: list[tuple[str | None, int]], epochs: int = 40, rate: float = 0.5)
     gold = np.array([x for _, tags in runs for x in tags], float)
     vocabulary: dict[str, int] = {}
     word = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in flat), np.int64, len(flat))
-    parts = [buckets(w) for w in vocabulary]
+    index: dict[str, int] = {}
+    parts = [[index.setdefault(f, len(index)) for f in features(w)] for w in vocabulary]
     owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    bucket = np.array([b for p in parts for b in p], np.int64)
+    feature = np.array([b for p in parts for b in p], np.int64)
     start = np.zeros(len(flat), bool)
     start[np.cumsum(lengths) - lengths] = True
     inner = ~start
 
-    weights, trans = np.zeros(BUCKETS), np.array([-3.0, -3.0, 0.0, 0.0])
-    grad_w, grad_t = np.full(BUCKETS, 1e-8), np.full(4, 1e-8)
+    weights, trans = np.zeros(len(index)), np.array([-3.0, -3.0, 0.0, 0.0])
+    grad_w, grad_t = np.full(len(index), 1e-8), np.full(4, 1e-8)
     for _ in range(epochs):
-        score = np.bincount(owner, weights[bucket], len(parts))[word]
+        score = np.bincount(owner, weights[feature], len(parts))[word]
         post, a, b, _ = forward_backward(score, lengths, trans)
         p = sigmoid(post)
         # Pair marginals of adjacent tokens, from the forward and backward messages.
@@ -195,13 +218,15 @@ def fit(rows: list[tuple[str | None, int]], epochs: int = 40, rate: float = 0.5)
         seen = [((1 - g0) * g1).sum(), (g0 * (1 - g1)).sum(), (g0 * g1).sum()]
         gt = np.array([(gold - p)[start].sum()] + [s - m for s, m in zip(seen, pairs)])
         by_word = np.bincount(word, gold - p, len(parts))
-        gw = np.bincount(bucket, by_word[owner], BUCKETS) - 0.02 * weights
+        gw = np.bincount(feature, by_word[owner], len(index)) - 0.02 * weights
         grad_w += gw ** 2
         grad_t += gt ** 2
         weights += rate * gw / np.sqrt(grad_w)
         trans += 0.2 * rate * gt / np.sqrt(grad_t)
 
-    model = {"weights": weights.astype(np.float32), "trans": trans, "scale": 1.0, "shift": 0.0}
+    names = list(index)
+    largest = np.argsort(-np.abs(weights), kind="stable")[:MODEL_FEATURES]
+    model = {"weights": {names[k]: float(weights[k]) for k in largest}, "trans": trans, "scale": 1.0, "shift": 0.0}
     every = toxic + clean
     emissions = Emissions(model["weights"])
     tops = top_marginals([np.fromiter(map(emissions.__getitem__, w), float, len(w)) for w in every], trans)
@@ -210,13 +235,16 @@ def fit(rows: list[tuple[str | None, int]], epochs: int = 40, rate: float = 0.5)
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic curve of the largest log-odds, both labels weighing alike; the slope stays positive."""
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    """Logistic curve of the largest log-odds, the labels weighing TOXIC_SHARE to the rest.
+
+    The slope stays positive, and a document whose tokens are all clearly clean stays below 0.5.
+    """
+    weight = np.where(y == 1, TOXIC_SHARE / max(1, y.sum()), (1 - TOXIC_SHARE) / max(1, (1 - y).sum()))
     scale, shift = 0.5, 0.0
     for _ in range(400):
         r = weight * (y - sigmoid(scale * x + shift))
         scale = max(0.05, scale + 0.3 * float((r * x).sum()))
-        shift += 1.0 * float(r.sum())
+        shift = min(shift + float(r.sum()), -CLEARLY_CLEAN * scale)
     return scale, shift
 
 
@@ -281,7 +309,7 @@ def tag(docs: DataFrame, model: dict | None, keep: list[str]) -> DataFrame:
     """``keep``, score, and the offsets of toxic spans of every text."""
     schema = T.StructType([docs.schema[c] for c in keep] + T.StructType.fromDDL(
         "score double, n_toxic_tokens bigint, spans array<struct<start:int,end:int>>").fields)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_FEATURES weights
     types = [pa.float64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
