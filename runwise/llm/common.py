@@ -75,6 +75,9 @@ def release(spark: SparkSession) -> None:
     its shuffles are of no use, and on large inputs they are most of the disk in use.
     """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first collection frees what holds the shuffles, the second the shuffles
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
