@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from runwise.llm.common import map_texts
 
 # Tables that a worker keeps are cleared beyond these sizes; results don't depend on them.
-MAX_STATES = 100_000
-MAX_PAIRS = 300_000
-MAX_PIECES = 150_000
-MAX_DECODE_ENTRIES = 150_000
+MAX_STATES = 250_000
+MAX_PAIRS = 500_000
+MAX_PIECES = 400_000
+MAX_DECODE_ENTRIES = 300_000
 
 ROOT = 0
 
@@ -48,7 +48,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.spelling = {r: t for t, r in ranks.items()}
-        self.children: dict[int, int] = {}
+        self.children: list[dict[int, int]] = [{}]  # by node: byte -> node
         self.token_at: list[int] = [-1]
         self.pairs: dict[tuple[int, int], bool] = {}
         self.made: dict[int, tuple[int, int]] = {}  # the merge that makes each longer token
@@ -60,11 +60,11 @@ class Transducer:
                 self.made[rank] = last
             node = ROOT
             for byte in token:
-                key = node << 8 | byte
-                nxt = self.children.get(key)
+                nxt = self.children[node].get(byte)
                 if nxt is None:
-                    nxt = self.children[key] = len(self.token_at)
+                    nxt = self.children[node][byte] = len(self.token_at)
                     self.token_at.append(-1)
+                    self.children.append({})
                 node = nxt
             self.token_at[node] = rank
         self.clear()
@@ -128,7 +128,7 @@ class Transducer:
         last, hypotheses = self.states[at]
         alive, done = [], None
         for pending, node in hypotheses:  # by start, the earliest first
-            child = self.children.get(node << 8 | byte)
+            child = self.children[node].get(byte)
             if child is None:
                 continue
             alive.append((pending, child))
@@ -155,19 +155,23 @@ class Transducer:
     def finish(self, at: int, rest: bytes) -> tuple[int, ...]:
         """The tokens for the rest of a piece, by the hypotheses alone, without new states."""
         last, alive = self.states[at]
-        children, token_at, joins = self.children, self.token_at, self.joins
+        children, token_at, pairs, joins = self.children, self.token_at, self.pairs, self.joins
         for byte in rest:
             on, done = [], None
             for pending, node in alive:
-                child = children.get(node << 8 | byte)
+                child = children[node].get(byte)
                 if child is not None:
                     on.append((pending, child))
                     if done is None:
                         token = token_at[child]
                         if token >= 0:
                             before = pending[-1] if pending else last
-                            if before < 0 or joins(before, token):
-                                done = pending + (token,)
+                            if before >= 0:
+                                good = pairs.get((before, token))
+                                if good is None:
+                                    good = joins(before, token)
+                            if before < 0 or good:
+                                done = (*pending, token)
             on.append((done, ROOT))
             alive = on
         return alive[-1][0]
