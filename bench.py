@@ -17,8 +17,9 @@ from runwise.operators import summary as S  # noqa: E402
 from runwise.operators.network import NetworkIndex  # noqa: E402
 from runwise.plans import catalog  # noqa: E402
 from runwise.plans.optimise import optimise  # noqa: E402
-from runwise.plans.prepare import prepare_landings  # noqa: E402
-from runwise.session import cut_lineage, local_session  # noqa: E402
+from runwise.operators.landings import typed_filters  # noqa: E402
+from runwise.plans.prepare import featurize, prepare_landings  # noqa: E402
+from runwise.session import local_session, materialise  # noqa: E402
 from runwise.sources import fixtures as fx  # noqa: E402
 
 
@@ -42,16 +43,16 @@ def main() -> None:
         return out
 
     nodes, edges = catalog.network(spark, sf_dir)
-    timed("landings_fixture", lambda: sink(fx.flights(spark, sf_dir)))
-    timed("prepare_landings", lambda: sink(prepare_landings(fx.flights(spark, sf_dir), edges, catalog.CODE)))
-    timed("traffic", lambda: sink(catalog.q_traffic(spark, sf_dir)))
-    prepared = prepare_landings(fx.flights(spark, sf_dir), edges, catalog.CODE, keep=["surrogate_exit"]) \
+    landings = timed("landings_fixture", lambda: fx.flights(spark, sf_dir))
+    timed("prepare_landings", lambda: sink(prepare_landings(landings, edges, catalog.CODE)))
+    timed("traffic", lambda: sink(featurize(typed_filters(landings, catalog.CODE)).select("flight_id", "traffic")))
+    prepared = prepare_landings(landings, edges, catalog.CODE, keep=["surrogate_exit"]) \
         .withColumnRenamed("surrogate_exit", "predictedExit")
-    prepared = timed("prepare_checkpoint", lambda: prepared.checkpoint(eager=True))
+    prepared = timed("prepare_checkpoint", lambda: materialise(prepared))
     net = timed("network_index", lambda: NetworkIndex(nodes, edges))
-    timed("vertices", lambda: sink(P.drop_adjacent(cut_lineage(P.with_vertices(prepared, net)), edges)))
+    timed("vertices", lambda: sink(P.drop_adjacent(materialise(P.with_vertices(prepared, net)), edges)))
     costed = timed("optimise", lambda: optimise(prepared, nodes, edges, fx.size_classes(spark, sf_dir), catalog.CODE,
-                                                net=net).checkpoint(eager=True))
+                                                net=net).transform(materialise))
     timed("describe", lambda: sink(S.describe(costed)))
     timed("means", lambda: sink(S.summarise(costed)))
 

@@ -61,9 +61,8 @@ def first_per_type(sizes: DataFrame) -> DataFrame:
 
 
 def with_size_class(df: DataFrame, sizes: DataFrame) -> DataFrame:
-    """size_class: category of the aircraft type, GA when unknown (broadcast lookup; sizes is a config table)."""
-    s = F.broadcast(first_per_type(sizes).withColumnRenamed("ac_type", "aircraftType")
-                    .withColumnRenamed("category", "size_class"))
+    """size_class: category of the aircraft type, GA when unknown (Spark chooses the join by the size of ``sizes``)."""
+    s = first_per_type(sizes).withColumnRenamed("ac_type", "aircraftType").withColumnRenamed("category", "size_class")
     return df.join(s, "aircraftType", "left").withColumn(
         "size_class", F.coalesce(F.col("size_class"), F.lit(DEFAULT_SIZE_CLASS)))
 

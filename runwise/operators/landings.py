@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from runwise.constants import (BOX_ANGLE_TOLERANCE, BOX_LAT_TOLERANCE, DECEL_CUT, DECEL_POSITIONS, MIN_ITEMS,
                                TRAFFIC_HALF_WINDOW_MS)
-from runwise.functions.geo import flat_angle, ieee_div, pair_distances
+from runwise.functions.geo import flat_angle, ieee_div, let, pair_distances
 from runwise.functions.parse import item_count, parse_link_ids, parse_positions
-from runwise.operators.network import MAX_SMALL_ROWS
 
 RAW_COLUMNS = ["callsign", "runway", "positions", "links", "depAirport", "arrAirport", "aircraftType", "arrGate"]
 
@@ -58,7 +57,7 @@ def den_patch(df: DataFrame, code: str, strict: bool = False) -> DataFrame:
 
 def parse_flights(raw: DataFrame) -> DataFrame:
     """Packed text -> typed landing rows (positions array<struct>, link_ids array<string>)."""
-    fid = F.col("flight_id") if "flight_id" in raw.columns else F.xxhash64("callsign", "positions", "links")
+    fid = F.col("flight_id") if "flight_id" in raw.columns else F.xxhash64("callsign", "positions", "links")  # repeated records share it
     return raw.select(fid.alias("flight_id"), "callsign", "runway", "depAirport", "arrAirport", "aircraftType",
                       "arrGate", parse_positions(F.col("positions")).alias("positions"),
                       parse_link_ids(F.col("links")).alias("link_ids"),
@@ -98,29 +97,35 @@ def with_hour_day(df: DataFrame) -> DataFrame:
     return df.withColumn("hour", F.date_format(ts, "HH")).withColumn("day", F.date_format(ts, "E"))
 
 
-def decel(positions: Column, distances: Column) -> Column:
-    """Deceleration over the first <= 20 positions, 2 decimals HALF_UP; NULL if not finite.
+def decel_points(positions: Column) -> Column:
+    """The four positions that deceleration needs: the first two and the last two of the first <= 20."""
+    m = F.least(F.size(positions), F.lit(DECEL_POSITIONS))
+    return F.array(F.get(positions, 0), F.get(positions, 1), F.get(positions, m - 2), F.get(positions, m - 1))
+
+
+def decel(points: Column, distances: Column) -> Column:
+    """Deceleration from ``decel_points`` and their pair distances, 2 decimals HALF_UP; NULL if not finite.
 
     (speed of the last pair - speed of the first pair) / whole seconds between
     the 2nd and the last position (integer division of the millisecond gap).
     """
-    m = F.least(F.size(positions), F.lit(DECEL_POSITIONS))
-    p0, p1 = F.get(positions, 0), F.get(positions, 1)
-    pa, pb = F.get(positions, m - 2), F.get(positions, m - 1)
+    p0, p1, pa, pb = (F.get(points, k) for k in range(4))
 
     def secs(a: Column, b: Column) -> Column:
         return F.abs(a["epoch_ms"].cast("double") - b["epoch_ms"].cast("double")) / 1000
 
-    diff = ieee_div(F.get(distances, m - 2), secs(pa, pb)) - ieee_div(F.get(distances, 0), secs(p0, p1))
+    diff = ieee_div(F.get(distances, 2), secs(pa, pb)) - ieee_div(F.get(distances, 0), secs(p0, p1))
     whole_secs = F.floor(F.abs(pb["epoch_ms"] - p1["epoch_ms"]) / 1000).cast("double")
-    ratio = ieee_div(diff, whole_secs)
-    finite = ~F.isnan(ratio) & (F.abs(ratio) != F.lit(float("inf")))
-    return F.when(finite & (m >= 2), F.round(ratio, 2))
+    finite = lambda r: ~F.isnan(r) & (F.abs(r) != F.lit(float("inf")))
+    # ``let``: each step is computed once, instead of being repeated inside the next.
+    return let(diff, lambda x: let(ieee_div(x, whole_secs), lambda r: F.when(finite(r), F.round(r, 2))))
 
 
 def with_decel(df: DataFrame) -> DataFrame:
-    d = df.withColumn("_pd", pair_distances(F.col("positions")))
-    return d.withColumn("decel", decel(F.col("positions"), F.col("_pd"))).drop("_pd")
+    """``decel`` of every landing with two positions or more; only four points reach the geodesic."""
+    d = df.withColumn("_pts", F.when(F.size("positions") >= 2, decel_points(F.col("positions"))))
+    d = d.withColumn("_pd", pair_distances(F.col("_pts")))
+    return d.withColumn("decel", decel(F.col("_pts"), F.col("_pd"))).drop("_pd", "_pts")
 
 
 def decel_filter(df: DataFrame, cut: float = DECEL_CUT) -> DataFrame:
@@ -136,24 +141,36 @@ def with_landing_epoch(df: DataFrame) -> DataFrame:
 
 
 # --- A1 traffic -----------------------------------------------------------
+# Time slices of the running count; any length gives the same result.
+TRAFFIC_SLICE_MS = 6 * 3600 * 1000
+
+
 def traffic_by_epoch(epochs: DataFrame, epoch_col: str = "landingEpoch",
                      half_ms: int = TRAFFIC_HALF_WINDOW_MS) -> DataFrame:
     """(epoch, traffic): landings with epoch strictly within +-half_ms, itself included.
 
-    Landings are first counted per distinct epoch (map-side combine, so one hot
-    epoch collapses to one row).  Each distinct epoch is copied into its own and
-    both neighbouring half-window buckets; a range frame inside a bucket then
-    sees every epoch it needs.  A bucket holds at most 3 * half_ms distinct
-    integer epochs, whatever the skew of the data.
+    Landings are counted per distinct epoch first (one hot epoch collapses to one row).  With C(t)
+    the landings up to t, the result is C(epoch + half - 1) - C(epoch - half).  Each epoch gives
+    its count and two questions on the time line; one running sum in each time slice, plus the
+    totals of earlier slices, answers all of them, so the work is linear in the epochs.
     """
-    counts = epochs.groupBy(epoch_col).agg(F.count(F.lit(1)).alias("_n"))
-    home = F.floor(F.col(epoch_col) / half_ms)
-    copies = counts.withColumn("_home", home).withColumn(
-        "_bucket", F.explode(F.array(home - 1, home, home + 1)))
-    w = Window.partitionBy("_bucket").orderBy(epoch_col).rangeBetween(-(half_ms - 1), half_ms - 1)
-    return (copies.withColumn("traffic", F.sum("_n").over(w))
-            .where(F.col("_bucket") == F.col("_home"))
-            .select(epoch_col, F.col("traffic").cast("long").alias("traffic")))
+    counts = epochs.where(F.col(epoch_col).isNotNull()).groupBy(epoch_col).agg(F.count(F.lit(1)).alias("_n"))
+    e = F.col(epoch_col)
+    marks = F.explode(F.array(
+        F.struct(e.alias("t"), F.lit(0).alias("ask"), F.col("_n").alias("n")),
+        F.struct((e + half_ms - 1).alias("t"), F.lit(1).alias("ask"), F.lit(0).cast("long").alias("n")),
+        F.struct((e - half_ms).alias("t"), F.lit(-1).alias("ask"), F.lit(0).cast("long").alias("n"))))
+    line = counts.select(e, marks.alias("m")).select(
+        epoch_col, "m.t", "m.ask", "m.n", F.floor(F.col("m.t") / TRAFFIC_SLICE_MS).alias("_slice"))
+    within = Window.partitionBy("_slice").orderBy("t", F.when(F.col("ask") == 0, 0).otherwise(1)) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # One row per slice of time: as many as the time range has slices, whatever the number of landings.
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = line.groupBy("_slice").agg(F.sum("n").alias("_total"))
+    totals = totals.select("_slice", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    upto = line.withColumn("_upto", F.sum("n").over(within)).where("ask <> 0").join(totals, "_slice")
+    value = F.col("ask") * (F.col("_upto") + F.col("_before"))
+    return upto.groupBy(epoch_col).agg(F.sum(value).cast("long").alias("traffic"))
 
 
 def with_traffic(df: DataFrame, epoch_col: str = "landingEpoch", half_ms: int = TRAFFIC_HALF_WINDOW_MS) -> DataFrame:
@@ -163,70 +180,59 @@ def with_traffic(df: DataFrame, epoch_col: str = "landingEpoch", half_ms: int =
 
 
 # --- J4 / J5 labels ---------------------------------------------------------
-def label_exit(df: DataFrame, exit_ids: DataFrame | list[str], max_inline: int = MAX_SMALL_ROWS) -> DataFrame:
+def label_exit(df: DataFrame, exit_ids: DataFrame) -> DataFrame:
     """exit = first link id after item 0 that is an exit link; NULL when none.
 
-    A bounded exit set (an airport's exit links) is inlined and probed per row;
-    a larger one goes through an exploded semi join.
+    Each distinct link list is labelled once and joined back by the list itself, so repeated
+    records stay as they are.
     """
-    if isinstance(exit_ids, DataFrame):
-        rows = exit_ids.select("link_id").distinct().limit(max_inline + 1).collect()
-        if len(rows) > max_inline:
-            return _label_exit_join(df, exit_ids)
-        ids = sorted(r[0] for r in rows)
-    else:
-        ids = sorted(set(exit_ids))
-    if not ids:
-        return df.withColumn("exit", F.lit(None).cast("string"))
-    exit_arr = F.array(*[F.lit(i) for i in ids])
-    tail = F.slice(F.col("link_ids"), 2, F.greatest(F.size("link_ids") - 1, F.lit(0)))
-    return df.withColumn("exit", F.get(F.filter(tail, lambda x: F.array_contains(exit_arr, x)), 0))
-
-
-def _label_exit_join(df: DataFrame, exit_ids: DataFrame) -> DataFrame:
     ex = exit_ids.select(F.col("link_id").alias("_lid")).distinct()
-    hits = (df.select("flight_id", F.posexplode("link_ids").alias("_pos", "_lid"))
-            .where(F.col("_pos") >= 1)
-            .join(ex, "_lid", "left_semi")
-            .groupBy("flight_id").agg(F.min_by("_lid", "_pos").alias("exit")))
-    return df.join(hits, "flight_id", "left")
+    hits = (df.select("link_ids").distinct().select("link_ids", F.posexplode("link_ids").alias("_pos", "_lid"))
+            .where(F.col("_pos") >= 1).join(ex, "_lid", "left_semi")
+            .groupBy("link_ids").agg(F.min_by("_lid", "_pos").alias("exit")))
+    return df.join(hits, "link_ids", "left").select(*df.columns, "exit")
 
 
 def labelled_only(df: DataFrame) -> DataFrame:
     return df.where(F.col("exit").isNotNull())
 
 
-def label_exit_by_box(df: DataFrame, boxes: DataFrame, max_inline: int = MAX_SMALL_ROWS) -> DataFrame:
-    """exit = first position after item 0 inside an exit box (first box in config order wins).
+def check_boxes(boxes: DataFrame) -> DataFrame:
+    """Boxes with ``usable``: no position can lie in a box whose |lower| is not below its |upper|."""
+    return boxes.withColumn("usable", F.coalesce(F.abs("long_lower") < F.abs("long_upper"), F.lit(False)))
+
+
+def label_exit_by_box(df: DataFrame, boxes: DataFrame) -> DataFrame:
+    """exit = first position after item 0 inside an exit box (first box in config order wins), else NULL.
 
     Box test on absolute coordinates: |lat - box.lat| < 0.00016, |box.lower| < long < |box.upper|,
     and the angle from touchdown within 4 degrees of the runway angle (touchdown to position 3).
+    Positions meet boxes by an equi-join on latitude cells as wide as a box, so any number of
+    boxes is joined in one way.  ``labelled_only`` drops the landings outside every box.
     """
-    rows = boxes.orderBy("box_order").limit(max_inline + 1).collect()
-    if len(rows) > max_inline:
-        raise ValueError("exit box table too large to inline")
-    box_arr = F.array(*[F.struct(F.lit(r["exit_id"]).alias("exit_id"), F.lit(abs(float(r["lat"]))).alias("lat"),
-                                 F.lit(abs(float(r["long_upper"]))).alias("up"),
-                                 F.lit(abs(float(r["long_lower"]))).alias("lo")) for r in rows])
+    cell = 2 * BOX_LAT_TOLERANCE
+    cell_of = lambda c: F.floor(c / cell)
     pos = F.col("positions")
     n = F.size(pos)
     td_lat, td_long = F.abs(F.get(pos, 0)["lat"]), F.abs(F.get(pos, 0)["long"])
     nxt = F.get(pos, F.when(n > 3, F.lit(3)).otherwise(n - 1))
     rwy_angle = flat_angle(td_long, td_lat, F.abs(nxt["long"]), F.abs(nxt["lat"]))
-
-    def box_of(p: Column) -> Column:
-        lat_in, long_in = F.abs(p["lat"]), F.abs(p["long"])
-        ang = flat_angle(td_long, td_lat, long_in, lat_in)
-        hit = F.filter(box_arr, lambda b: (F.abs(lat_in - b["lat"]) < BOX_LAT_TOLERANCE)
-                       & (long_in < b["up"]) & (long_in > b["lo"])
-                       & (F.abs(F.col("_rwy") - ang) < BOX_ANGLE_TOLERANCE))
-        return F.get(hit, 0)["exit_id"]
-
-    tail = F.slice(pos, 2, F.greatest(n - 1, F.lit(0)))
-    found = F.get(F.filter(F.transform(tail, box_of), lambda x: x.isNotNull()), 0)
-    if not rows:
-        return df.withColumn("exit", F.lit(None).cast("string"))
-    return df.withColumn("_rwy", rwy_angle).withColumn("exit", found).drop("_rwy")
+    lat = F.abs(F.col("lat"))
+    b = check_boxes(boxes).where("usable").select(
+        "exit_id", "box_order", lat.alias("_lat"), F.abs("long_upper").alias("_up"), F.abs("long_lower").alias("_lo"),
+        F.explode(F.sequence(cell_of(lat - BOX_LAT_TOLERANCE), cell_of(lat + BOX_LAT_TOLERANCE))).alias("_cell"))
+    # Each distinct trajectory is labelled once and joined back by its fingerprint and touchdown.
+    keyed = df.withColumn("_key", F.struct(F.xxhash64("positions").alias("h"), F.size("positions").alias("n"), F.get(pos, 0).alias("p")))
+    points = keyed.dropDuplicates(["_key"]).select(
+        "_key", rwy_angle.alias("_rwy"), td_lat.alias("_tlat"), td_long.alias("_tlong"), F.posexplode("positions").alias("_pos", "_p"))
+    points = points.where("_pos >= 1").select("_key", "_rwy", "_tlat", "_tlong", "_pos", F.abs("_p.lat").alias("_plat"),
+                                              F.abs("_p.long").alias("_plong"), cell_of(F.abs("_p.lat")).alias("_cell"))
+    angle = flat_angle(F.col("_tlong"), F.col("_tlat"), F.col("_plong"), F.col("_plat"))
+    inside = points.join(b, "_cell").where(
+        (F.abs(F.col("_plat") - F.col("_lat")) < BOX_LAT_TOLERANCE) & (F.col("_plong") < F.col("_up"))
+        & (F.col("_plong") > F.col("_lo")) & (F.abs(F.col("_rwy") - angle) < BOX_ANGLE_TOLERANCE))
+    found = inside.groupBy("_key").agg(F.min_by("exit_id", F.struct("_pos", "box_order")).alias("exit"))
+    return keyed.join(found, "_key", "left").select(*df.columns, "exit")
 
 
 def select_features(df: DataFrame, features: list[str], keep: list[str] | None = None) -> DataFrame:

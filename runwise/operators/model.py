@@ -7,14 +7,12 @@ importances, tree count).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,11 +24,12 @@ VECTOR_COLS = ["features", "rawPrediction", "label", "probability"]
 
 
 def split(df: DataFrame, seed: int = SPLIT_SEED, mode: str = "hash", key: str = "flight_id") -> tuple[DataFrame, DataFrame]:
-    """M1: 70/30 split.  'hash' is stable under any partitioning (hash of key and seed); 'random' is randomSplit."""
+    """M1: 70/30 split.  'hash' is stable under any partitioning (MD5 of key and seed); 'random' is randomSplit."""
     if mode == "random":
         a, b = df.randomSplit(list(SPLIT_WEIGHTS), seed)
         return a, b
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1000))
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 1000
     cut = int(SPLIT_WEIGHTS[0] * 1000)
     return df.where(bucket < cut), df.where(bucket >= cut)
 
@@ -80,11 +79,14 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
                                     *[c for c in model.transform(df.limit(0)).columns if c.endswith("_idx")])
 
 
-def accuracy(model: PipelineModel, df: DataFrame) -> DataFrame:
+def accuracy_of(scored: DataFrame, label: str = "exit", predicted: str = "predictedExit") -> DataFrame:
     """Share of rows whose predicted label equals the true label, in percent (one aggregation)."""
-    scored = model.transform(df)
-    return scored.agg((F.avg((F.col("label") == F.col("prediction")).cast("double")) * 100).alias("accuracy"),
-                      F.count(F.lit(1)).alias("scored"))
+    same = (F.col(label) == F.col(predicted)).cast("double")
+    return scored.agg((F.avg(same) * 100).alias("accuracy"), F.count(F.lit(1)).alias("scored"))
+
+
+def accuracy(model: PipelineModel, df: DataFrame) -> DataFrame:
+    return accuracy_of(model.transform(df))
 
 
 def forest(model: PipelineModel) -> RandomForestClassificationModel:
@@ -187,29 +189,20 @@ def tune(train: DataFrame, features: list[str], trees=TUNE_TREES, depth: int = T
     ev = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName="accuracy")
     cv = CrossValidator(estimator=Pipeline(stages=[rf]), estimatorParamMaps=grid, evaluator=ev, numFolds=folds,
                         seed=FOREST_SEED).fit(prepared)
-    spark = train.sparkSession
-    rows = [(int(pm[rf.numTrees]), depth, float(m)) for pm, m in zip(grid, cv.avgMetrics)]
-    df = spark.createDataFrame(rows, "num_trees int, max_depth int, mean_accuracy double")
-    best = df.agg(F.max_by(F.struct("num_trees", "max_depth"), "mean_accuracy").alias("b"))
-    return df.join(best.select(F.col("b.num_trees").alias("_bt")), F.lit(True), "left") \
-        .withColumn("best", F.col("num_trees") == F.col("_bt")).drop("_bt")
+    metrics = [float(m) for m in cv.avgMetrics]
+    best = metrics.index(max(metrics))
+    rows = [(int(pm[rf.numTrees]), depth, m, k == best) for k, (pm, m) in enumerate(zip(grid, metrics))]
+    return train.sparkSession.createDataFrame(rows, "num_trees int, max_depth int, mean_accuracy double, best boolean")
 
 
 def split_counts(train: DataFrame, test: DataFrame) -> DataFrame:
     """A4: training / test / total row counts in one job."""
     both = train.select(F.lit("train").alias("part")).unionByName(test.select(F.lit("test").alias("part")))
-    return both.groupBy("part").count()
+    return both.rollup("part").count().select(F.coalesce("part", F.lit("total")).alias("part"), "count")
 
 
-def index_categories(data: DataFrame, features: list[str]) -> DataFrame:
-    """M3 as a table: every categorical feature value with its index (frequency desc, then value)."""
-    kinds = feature_kinds(data, features)
-    frames = []
-    for name, kind in kinds:
-        if kind != "categorical":
-            continue
-        counts = data.where(F.col(name).isNotNull()).groupBy(name).count()
-        w = Window.orderBy(F.desc("count"), F.asc(name))
-        frames.append(counts.select(F.lit(name).alias("feature"), F.col(name).alias("value"), "count",
-                                    (F.row_number().over(w) - 1).alias("index")))
-    return reduce(DataFrame.unionByName, frames)
+def index_categories(spark: SparkSession, model: PipelineModel) -> DataFrame:
+    """M3 as a table: every value of the fitted indexers with its index (frequency descending, then value)."""
+    rows = [(s.getInputCol(), v, k) for s in model.stages if isinstance(s, StringIndexerModel) and s.getInputCol() != "exit"
+            for k, v in enumerate(s.labels)]
+    return spark.createDataFrame(rows, "feature string, value string, index long")

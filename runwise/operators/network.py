@@ -1,8 +1,8 @@
 """Taxiway network: vertices, edges, exit flags, lookups.
 
-The network of one airport is a dimension table (hundreds to a few thousand
-links).  Joins against it are broadcast behind an explicit size check
-(``small``); beyond the bound they fall back to shuffle joins.
+The network of one airport is a dimension table (hundreds to a few thousand links).  It is
+written once, so Spark knows its size in bytes and itself chooses how to join it; there is one
+way for networks of every size.
 """
 
 from __future__ import annotations
@@ -11,15 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runwise.constants import EXIT_LINK_PATTERN, RUNWAY_LINK_PATTERN
-
-# Largest dimension table broadcast or inlined into expressions.
-MAX_SMALL_ROWS = 200_000
-
-
-def small(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame:
-    """``F.broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` (shuffle join)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+from runwise.session import materialise
 
 
 def is_exit(name: Column) -> Column:
@@ -35,9 +27,10 @@ def project_vertices(raw_nodes: DataFrame) -> DataFrame:
         F.col("latitude").cast("double").alias("lat"), F.col("longitude").cast("double").alias("long"))
 
 
-def project_edges(raw_links: DataFrame) -> DataFrame:
+def project_edges(raw_links: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """LinkID, LinkName, NodeNameFrom, NodeNameTo, Length -> typed link table (length in feet)."""
     return raw_links.select(
+        *(keep or []),
         F.col("LinkID").cast("string").alias("link_id"), F.col("LinkName").cast("string").alias("link_name"),
         F.col("NodeNameFrom").cast("string").alias("node_from"), F.col("NodeNameTo").cast("string").alias("node_to"),
         F.col("Length").cast("double").alias("length"))
@@ -46,13 +39,15 @@ def project_edges(raw_links: DataFrame) -> DataFrame:
 def clean_network(raw_nodes: DataFrame, raw_links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vertices and edges with src / dst node ids (inner joins on node names) and exit flags."""
     nodes = project_vertices(raw_nodes)
-    links = project_edges(raw_links)
-    by_name = small(nodes.select("node_name", "node_id"))
+    # The order of the link table decides between rows with the same link id.
+    order = F.col("row_order") if "row_order" in raw_links.columns else F.monotonically_increasing_id()
+    links = project_edges(raw_links.withColumn("_order", order), ["_order"]).withColumnRenamed("_order", "link_order")
+    by_name = nodes.select("node_name", "node_id")
     src = by_name.select(F.col("node_name").alias("node_from"), F.col("node_id").alias("src"))
     dst = by_name.select(F.col("node_name").alias("node_to"), F.col("node_id").alias("dst"))
     edges = links.join(src, "node_from", "inner").join(dst, "node_to", "inner")
     edges = edges.select("link_id", "link_name", "node_from", "node_to", "length", "src", "dst",
-                         is_exit(F.col("link_name")).alias("is_exit"))
+                         is_exit(F.col("link_name")).alias("is_exit"), "link_order")
     return nodes, edges
 
 
@@ -62,11 +57,12 @@ def exit_edges(edges: DataFrame) -> DataFrame:
 
 def link_coords(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Each link with the coordinates of both end vertices."""
-    n = small(nodes)
+    n = nodes
     a = n.select(F.col("node_id").alias("src"), F.col("lat").alias("src_lat"), F.col("long").alias("src_long"))
     b = n.select(F.col("node_id").alias("dst"), F.col("lat").alias("dst_lat"), F.col("long").alias("dst_long"))
     return edges.join(a, "src", "inner").join(b, "dst", "inner").select(
-        "link_id", "link_name", "src", "dst", "length", "is_exit", "src_lat", "src_long", "dst_lat", "dst_long")
+        "link_id", "link_name", "src", "dst", "length", "is_exit", "src_lat", "src_long", "dst_lat", "dst_long",
+        *([c for c in ("link_order",) if c in edges.columns]))
 
 
 def link_by_id(nodes: DataFrame, edges: DataFrame, link_id: str) -> DataFrame:
@@ -81,41 +77,16 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 class NetworkIndex:
-    """Link and node lookups for per-landing expressions.
+    """The tables that per-landing steps join with, each written once."""
 
-    Up to ``max_links`` links (an airport's network) the lookups are literal maps
-    probed inside each row's expression, so the landing table is never shuffled to
-    meet the network.  Beyond the bound ``inline`` is False and callers use the
-    join-based path (``coords`` / ``nodes`` DataFrames).
-    """
-
-    def __init__(self, nodes: DataFrame, edges: DataFrame, max_links: int = MAX_SMALL_ROWS):
+    def __init__(self, nodes: DataFrame, edges: DataFrame):
         self.nodes = nodes
         self.coords = link_coords(nodes, edges)
-        self.exit_node_df = exit_edges(edges).select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        rows = self.coords.limit(max_links + 1).collect()
-        self.inline = len(rows) <= max_links
-        self.link_map = None
-        if not self.inline:
-            return
-        # First row per link id wins (input order of the link table).
-        seen: dict[str, tuple] = {}
-        for r in rows:
-            seen.setdefault(r["link_id"], r)
-        entries = []
-        for lid, r in sorted(seen.items()):
-            entries += [F.lit(lid), F.struct(
-                F.lit(r["src"]).alias("src"), F.lit(r["dst"]).alias("dst"),
-                F.lit(float(r["length"])).alias("length"), F.lit(int(r["is_exit"])).alias("is_exit"),
-                F.lit(float(r["src_lat"])).alias("src_lat"), F.lit(float(r["src_long"])).alias("src_long"),
-                F.lit(float(r["dst_lat"])).alias("dst_lat"), F.lit(float(r["dst_long"])).alias("dst_long"))]
-        self.link_map = F.create_map(*entries) if entries else None
-
-    def link(self, link_id: Column) -> Column:
-        """Struct (src, dst, length, is_exit, coords) of a link id, NULL if unknown (inline only)."""
-        return F.try_element_at(self.link_map, link_id)
+        self.exit_node_df = materialise(exit_edges(edges).select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+        info = F.struct("src", "dst", "length", "is_exit", "src_lat", "src_long", "dst_lat", "dst_long")
+        order = "link_order" if "link_order" in self.coords.columns else "link_id"
+        self._links = materialise(self.coords.groupBy("link_id").agg(F.min_by(info, F.struct(order, info)).alias("info")))
 
     def link_info(self) -> DataFrame:
-        """(link_id, info struct) with one row per link id, for the join-based path."""
-        info = F.struct("src", "dst", "length", "is_exit", "src_lat", "src_long", "dst_lat", "dst_long")
-        return self.coords.groupBy("link_id").agg(F.min(info).alias("info"))
+        """(link_id, info struct): the first row of the link table for each link id."""
+        return self._links

@@ -1,52 +1,29 @@
 """Row numbering within a key that stays balanced when one key is huge.
 
-``Window.partitionBy(key).orderBy(...)`` sends every row of a key to one task;
-with a key holding a third of all rows that task holds a third of the data.
-Here the rows are range-partitioned on (key, order...) instead, so a hot key is
-spread over many partitions; each partition numbers its rows locally (rows
-arrive sorted), and the few keys that cross a partition boundary get an offset
-from a table with at most two rows per partition (broadcast, size bound =
-partition count).
+``Window.partitionBy(key).orderBy(...)`` sends every row of a key to one task; with a key
+holding a third of all rows that task holds a third of the data.  Here the order is cut into
+slices first (``slice`` must grow with the order), rows are numbered within (key, slice), and the counts of a
+key's earlier slices are added.  Only those counts, one row per (key, slice), meet per key.
+Built-in functions only, and the numbers depend on the rows alone, not on the partitioning.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-def number_within(df: DataFrame, key: str, order: list[str], name: str, num_partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = 1-based row number of each row within ``key`` ordered by ``order``."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
-    out_schema = T.StructType(list(df.schema.fields) + [
-        T.StructField("_pid", T.IntegerType()), T.StructField("_local", T.LongType())])
+def number_within(df: DataFrame, key: str, order: list[str], name: str, slice: Column) -> DataFrame:
+    """Add ``name`` = 1-based row number of each row within ``key`` ordered by ``order``.
 
-    def local_numbers(batches):
-        pid = TaskContext.get().partitionId()
-        carry_key, carry_n = None, 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            k = pdf[key]
-            local = k.groupby((k != k.shift()).cumsum()).cumcount().astype("int64") + 1
-            if carry_key is not None:
-                first_run = (k == carry_key) & ((k != k.shift()).cumsum() == 1)
-                local = local + first_run.astype("int64") * carry_n
-            last = k.iloc[-1]
-            carry_n = int(local.iloc[-1])
-            carry_key = last
-            yield pdf.assign(_pid=pd.Series(pid, index=pdf.index, dtype="int32"), _local=local)
-
-    local = ranged.mapInPandas(local_numbers, out_schema)
-    counts = local.groupBy("_pid", key).agg(F.max("_local").alias("_n"))
-    w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (counts.withColumn("_off", F.sum("_n").over(w))
-               .where(F.col("_off") > 0).select("_pid", key, "_off"))
-    # At most (partitions - 1) keys span a boundary: a proven small bound.
-    joined = local.join(F.broadcast(offsets), ["_pid", key], "left")
-    return joined.select(*df.columns, (F.col("_local") + F.coalesce(F.col("_off"), F.lit(0))).alias(name))
+    ``order`` should identify a row; ``slice`` never decreases along it.  Null keys form a key of their own.
+    """
+    cut = df.withColumn("_slice", slice)
+    local = Window.partitionBy(key, "_slice").orderBy(*order)
+    earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy(key, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(F.col(key).alias("_key"), F.col("_slice").alias("_at"),
+                            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    same = cut[key].eqNullSafe(F.col("_key")) & F.col("_slice").eqNullSafe(F.col("_at"))
+    numbered = cut.withColumn("_local", F.row_number().over(local)).join(offsets, same)
+    return numbered.select(*df.columns, (F.col("_local") + F.col("_before")).alias(name))

@@ -1,24 +1,21 @@
 """Slow point, goal, avoided vertex and best taxi paths on the taxiway graph.
 
-Per-landing vertex finding (G1, G2, G4, J10) is row-local: the landing's own
-link list is looked up in the size-checked ``NetworkIndex`` maps, so the
-landing table is not shuffled.  The path search (G3) runs once per distinct
-(start, goal, avoid) key - a set bounded by the network, not by the number of
-landings - as an iterative frontier relaxation: each round joins the changed
-frontier with the broadcast edge list and keeps the least distance per
-(key, vertex).  Results are joined back to the landings.
+Vertices of a landing (G1, G2, G4, J10) come from its own link list, of which each distinct one is
+joined with the network once.  The path search (G3) runs once per distinct
+(start, goal, avoid) key - a set bounded by the network, not by the number of landings - as
+an iterative frontier relaxation: each round joins the changed frontier with the edge
+walks and keeps the least distance per (key, vertex).  Results are joined back to the landings.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runwise.constants import M_TO_FEET, SLOW_SPEED_MS
 from runwise.functions.geo import let, pair_distances, pair_speeds, planar, vincenty
-from runwise.operators.network import NetworkIndex, small, undirected
-from runwise.session import cut_lineage
+from runwise.operators.network import NetworkIndex, link_coords, undirected
+from runwise.session import cut_lineage, materialise
 
 STEP = "struct<link_id:string,from_node:string,is_exit:int,length:double>"
 
@@ -34,18 +31,17 @@ def with_slow_position(df: DataFrame) -> DataFrame:
         .withColumn("slow_long", F.col("_slowpos")["long"]).drop("_speeds", "_slowpos")
 
 
-def with_link_info(df: DataFrame, net: NetworkIndex, key: str = "flight_id") -> DataFrame:
+def with_link_info(df: DataFrame, net: NetworkIndex) -> DataFrame:
     """_links: the landing's link list resolved against the network (NULL items for unknown links).
 
-    Inline networks are probed per row.  Larger ones go through an exploded join and
-    are regrouped per landing (a landing's own list, so each group is one row's array).
+    Each distinct link list is resolved once and joined back by the list itself, so repeated
+    records and flight ids that collide don't mix.
     """
-    if net.inline:
-        return df.withColumn("_links", F.transform("link_ids", lambda l: net.link(l)))
-    ex = df.select(key, F.posexplode("link_ids").alias("_pos", "link_id"))
-    j = ex.join(net.link_info(), "link_id", "left")
-    per = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_pos", "info"))).alias("_l"))
-    return df.join(per, key, "left").withColumn("_links", F.transform("_l", lambda x: x["info"])).drop("_l")
+    each = df.select("link_ids").distinct().select("link_ids", F.posexplode("link_ids").alias("_pos", "link_id"))
+    resolved = (each.join(net.link_info(), "link_id", "left").groupBy("link_ids")
+                .agg(F.sort_array(F.collect_list(F.struct("_pos", "info"))).alias("_l"))
+                .select("link_ids", F.transform("_l", lambda x: x["info"]).alias("_links")))
+    return df.join(resolved, "link_ids", "left").select(*df.columns, "_links")
 
 
 def link_distance(e: Column, lat: Column, long: Column) -> Column:
@@ -97,10 +93,22 @@ def with_vertices(df: DataFrame, net: NetworkIndex) -> DataFrame:
     return d.drop("_links")
 
 
+def has_slow(df: DataFrame) -> DataFrame:
+    return df.where(F.col("slowV").isNotNull())
+
+
+def has_goal(df: DataFrame) -> DataFrame:
+    return df.where(F.col("goalV").isNotNull())
+
+
+def slow_ne_goal(df: DataFrame) -> DataFrame:
+    return df.where(F.col("slowV") != F.col("goalV"))
+
+
 def drop_adjacent(df: DataFrame, edges: DataFrame) -> DataFrame:
     """Keep rows with both vertices, slowV != goalV and no edge between them."""
-    u = small(undirected(edges).select(F.col("a").alias("slowV"), F.col("b").alias("goalV")).distinct())
-    d = df.where(F.col("slowV").isNotNull() & F.col("goalV").isNotNull() & (F.col("slowV") != F.col("goalV")))
+    u = undirected(edges).select(F.col("a").alias("slowV"), F.col("b").alias("goalV")).distinct()
+    d = slow_ne_goal(has_goal(has_slow(df)))
     return d.join(u, ["slowV", "goalV"], "left_anti")
 
 
@@ -138,8 +146,7 @@ def with_exit_ends(df: DataFrame, net: NetworkIndex, exit_col: str = "predictedE
 # --- G3 ---------------------------------------------------------------------
 def effective_avoid(keys: DataFrame, edges: DataFrame) -> DataFrame:
     """avoid_eff: the avoided vertex unless start == avoid or start and goal are adjacent."""
-    adj = small(undirected(edges).select(F.col("a").alias("start"), F.col("b").alias("goal")).distinct()
-                .withColumn("_adj", F.lit(True)))
+    adj = undirected(edges).select(F.col("a").alias("start"), F.col("b").alias("goal")).distinct().withColumn("_adj", F.lit(True))
     k = keys.join(adj, ["start", "goal"], "left")
     return k.withColumn("avoid_eff", F.when(F.col("_adj").isNull() & (F.col("start") != F.coalesce(F.col("avoid"), F.lit(""))),
                                              F.col("avoid"))).drop("_adj")
@@ -171,8 +178,18 @@ def path_length(path: Column) -> Column:
     return F.aggregate(path, F.lit(0.0), lambda acc, s: acc + s["length"])
 
 
-def best_paths(keys: DataFrame, nodes: DataFrame, edges: DataFrame, stop: str = "first_touch",
-               max_rounds: int | None = None, hops: int = 4) -> DataFrame:
+def check_heuristic(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges shorter than the geodesic between their ends (0.5 % is left for rounding).
+
+    Only without such edges is the heuristic consistent and the first-touch answer that of the
+    early-stopping search.
+    """
+    c = link_coords(nodes, edges)
+    d = c.withColumn("geodesic_ft", vincenty(F.col("src_lat"), F.col("src_long"), F.col("dst_lat"), F.col("dst_long")) * M_TO_FEET)
+    return d.where(F.col("length") < F.col("geodesic_ft") * 0.995).select("link_id", "length", "geodesic_ft")
+
+
+def best_paths(keys: DataFrame, nodes: DataFrame, edges: DataFrame, stop: str = "first_touch", hops: int = 4) -> DataFrame:
     """Paths for distinct (start, goal, avoid) keys.
 
     stop='first_touch': the answer of an A* search that stops as soon as the
@@ -183,21 +200,23 @@ def best_paths(keys: DataFrame, nodes: DataFrame, edges: DataFrame, stop: str =
     Equal lengths are broken by the smaller path (link ids in order).
 
     Returns (start, goal, avoid, path array<struct<link_id, from_node, is_exit, length>>);
-    path is NULL when the goal cannot be reached (or start == goal).
+    path is NULL when the goal cannot be reached, is the avoided vertex, or start == goal.
     """
     k = effective_avoid(keys.select("start", "goal", "avoid").distinct(), edges)
-    k = cut_lineage(k.withColumn("kid", F.xxhash64("start", "goal", F.coalesce("avoid", F.lit("")))))
-    und = small(undirected(edges).select("a", "b", "link_id", "length", "is_exit"))
-    wk = small(cut_lineage(walks(edges, hops)))
-    rounds_cap = max_rounds or (nodes.count() + 1)
+    k = materialise(k.withColumn("kid", F.xxhash64("start", "goal", F.coalesce("avoid", F.lit("")))))
+    edges = materialise(edges)
+    und = materialise(undirected(edges).select("a", "b", "link_id", "length", "is_exit"))
+    wk = materialise(walks(edges, hops))
+    # A goal that is the avoided vertex has no path.
+    open_k = k.where((F.col("start") != F.col("goal")) & ~F.col("goal").eqNullSafe(F.col("avoid")))
 
     # state: least (g, path) per (key, vertex); `changed` marks the frontier.
-    state = cut_lineage(k.where(F.col("start") != F.col("goal")).select(
+    state = materialise(open_k.select(
         "kid", F.col("start").alias("node"), F.lit(0.0).alias("g"),
         F.array().cast(f"array<{STEP}>").alias("path"), F.lit(True).alias("changed")))
-    ctx = small(k.select("kid", "goal", "avoid_eff"))
+    ctx = open_k.select("kid", "goal", "avoid_eff")
     exact = F.lit(stop == "exact")
-    for _ in range(rounds_cap):
+    while True:  # a path is simple, so at most as many rounds change something as there are vertices
         frontier = state.where("changed")
         if frontier.isEmpty():
             break
@@ -214,14 +233,14 @@ def best_paths(keys: DataFrame, nodes: DataFrame, edges: DataFrame, stop: str =
         old = state.select("kid", "node", "g", "path", F.lit(0).alias("rank"))
         # least (g, path) wins; an equal known entry (rank 0) stays, so the loop ends
         best = old.unionByName(cand).groupBy("kid", "node").agg(F.min(F.struct("g", "path", "rank")).alias("_b"))
-        state = cut_lineage(best.select("kid", "node", F.col("_b")["g"].alias("g"), F.col("_b")["path"].alias("path"),
+        state = materialise(best.select("kid", "node", F.col("_b")["g"].alias("g"), F.col("_b")["path"].alias("path"),
                                         (F.col("_b")["rank"] == 1).alias("changed")))
     if stop == "exact":
         done = state.join(k.select("kid", "goal"), "kid").where(F.col("node") == F.col("goal")).select("kid", "path")
     else:
         # neighbours u of the goal with g(u) + h(u); h = geodesic to the goal in feet
         nb = state.join(ctx, "kid").join(und, (F.col("node") == F.col("a")) & (F.col("b") == F.col("goal")))
-        node_xy = small(nodes.select("node_id", "lat", "long"))
+        node_xy = nodes.select("node_id", "lat", "long")
         u_xy = node_xy.select(F.col("node_id").alias("node"), F.col("lat").alias("u_lat"), F.col("long").alias("u_long"))
         g_xy = node_xy.select(F.col("node_id").alias("goal"), F.col("lat").alias("g_lat"), F.col("long").alias("g_long"))
         nb = nb.join(u_xy, "node").join(g_xy, "goal")
@@ -232,7 +251,7 @@ def best_paths(keys: DataFrame, nodes: DataFrame, edges: DataFrame, stop: str =
         done = nb.groupBy("kid").agg(F.min(F.struct("f", "node", "length", "link_id", "path")).alias("_b")) \
             .select("kid", F.col("_b")["path"].alias("path"))
     out = k.join(done, "kid", "left").select("start", "goal", "avoid", "path")
-    return cut_lineage(out)
+    return materialise(out)
 
 
 # --- G5 / G6 ----------------------------------------------------------------
@@ -245,18 +264,19 @@ def flag_path(path: Column, slow: Column, slow_on_exit: Column) -> Column:
 
 
 def with_paths(df: DataFrame, nodes: DataFrame, edges: DataFrame, net: NetworkIndex,
-               exit_col: str = "predictedExit", stop: str = "first_touch") -> DataFrame:
-    """optPath (slowV -> goalV) and predPath (slowV -> near ++ exit ++ far -> goalV); rows without a path drop."""
-    # read once for the key set and three times for the joins back: keep it (lineage stays, so a
-    # lost executor recomputes its blocks)
-    d = with_exit_ends(df, net, exit_col).persist(StorageLevel.MEMORY_AND_DISK)
+               exit_col: str = "predictedExit", stop: str = "first_touch", drop: bool = True) -> DataFrame:
+    """optPath (slowV -> goalV) and predPath (slowV -> near ++ exit ++ far -> goalV).
+
+    Rows without either path drop, or are kept with ``has_paths`` false."""
+    # read once for the key set and three times for the joins back
+    d = materialise(with_exit_ends(df, net, exit_col))
     opt_k = d.select(F.col("slowV").alias("start"), F.col("goalV").alias("goal"), F.col("avoidV").alias("avoid"))
     leg1_k = d.where(F.col("slowV") != F.col("near")).select(
         F.col("slowV").alias("start"), F.col("near").alias("goal"), F.col("avoidV").alias("avoid"))
     leg2_k = d.where(F.col("far").isNotNull()).select(
         F.col("far").alias("start"), F.col("goalV").alias("goal"), F.col("avoidV").alias("avoid"))
     keys = opt_k.unionByName(leg1_k).unionByName(leg2_k).distinct()
-    solved = small(best_paths(keys, nodes, edges, stop=stop))
+    solved = best_paths(keys, nodes, edges, stop=stop)
 
     def attach(frame: DataFrame, start: str, goal: str, name: str) -> DataFrame:
         s = solved.select(F.col("start").alias("_s"), F.col("goal").alias("_g"), F.col("avoid").alias("_a"),
@@ -267,8 +287,7 @@ def with_paths(df: DataFrame, nodes: DataFrame, edges: DataFrame, net: NetworkIn
     d = attach(d, "slowV", "goalV", "_opt")
     d = attach(d, "slowV", "near", "_leg1")
     d = attach(d, "far", "goalV", "_leg2")
-    d = d.join(small(net.exit_node_df.select(F.col("node").alias("slowV"), F.lit(True).alias("_slow_on_exit"))),
-               "slowV", "left")
+    d = d.join(net.exit_node_df.select(F.col("node").alias("slowV"), F.lit(True).alias("_slow_on_exit")), "slowV", "left")
     slow_on_exit = F.coalesce(F.col("_slow_on_exit"), F.lit(False))
     leg1_ok = (F.col("slowV") == F.col("near")) | F.col("_leg1").isNotNull()
     exit_step = F.array(F.struct(F.col(exit_col).alias("link_id"), F.lit(1).alias("is_exit"),
@@ -276,7 +295,10 @@ def with_paths(df: DataFrame, nodes: DataFrame, edges: DataFrame, net: NetworkIn
     leg1 = F.when(F.col("slowV") == F.col("near"), F.array().cast(f"array<{PATH_T}>")) \
         .otherwise(flag_path(F.col("_leg1"), F.col("slowV"), slow_on_exit))
     pred = F.concat(leg1, exit_step, flag_path(F.col("_leg2"), F.col("slowV"), slow_on_exit))
-    d = d.where(F.col("_opt").isNotNull() & leg1_ok & F.col("_leg2").isNotNull() & F.col("near").isNotNull())
+    d = d.withColumn("has_paths", F.coalesce(F.col("_opt").isNotNull() & leg1_ok & F.col("_leg2").isNotNull() & F.col("near").isNotNull(),
+                                             F.lit(False)))
+    if drop:
+        d = d.where("has_paths").drop("has_paths")
     return d.withColumn("optPath", flag_path(F.col("_opt"), F.col("slowV"), slow_on_exit)) \
         .withColumn("predPath", pred).drop("_opt", "_leg1", "_leg2", "_slow_on_exit")
 

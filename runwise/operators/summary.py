@@ -61,5 +61,5 @@ def time_reduction(df: DataFrame) -> DataFrame:
 
 
 def top_sample(df: DataFrame, n: int = SAMPLE_CAP, key: str = "flight_id") -> DataFrame:
-    """L1: a deterministic sample of at most ``n`` rows (smallest hash of the key); top-k, no global sort."""
-    return df.withColumn("_h", F.xxhash64(F.col(key))).orderBy("_h", key).limit(n).drop("_h")
+    """L1: a deterministic sample of at most ``n`` rows (smallest MD5 of the key); top-k, no global sort."""
+    return df.withColumn("_h", F.md5(F.col(key).cast("string"))).orderBy("_h", key).limit(n).drop("_h")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 import time
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +12,10 @@ from runwise.constants import ALL_FEATURES, FOREST_DEPTHS, FOREST_TREES, SAMPLE_
 from runwise.operators import model as M
 from runwise.operators import summary as S
 from runwise.operators.network import NetworkIndex
+from runwise.operators.overlay import node_overlay, path_overlay
 from runwise.plans.optimise import optimise
 from runwise.plans.prepare import prepare_landings
+from runwise.session import materialise
 from runwise.sources import sinks
 
 
@@ -25,17 +26,16 @@ def run_analysis(spark: SparkSession, flights: DataFrame, nodes: DataFrame, edge
     """F1 -> M1-M7 -> F2 (test split) -> S7-S11.  Returns the result DataFrames."""
     started = time.time()
     features = list(features or ALL_FEATURES)
-    prepared = prepare_landings(flights, edges, code, features).persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = materialise(prepare_landings(flights, edges, code, features))
     train, test = M.split(prepared, mode=split_mode)
     model = M.fit_pipeline(prepared, train, features, trees, depth)
     acc = M.accuracy(model, test).first()
     predictions = M.predict(model, test)
-    costed = optimise(predictions, nodes, edges, sizes, code, stop=stop, net=NetworkIndex(nodes, edges))
-    costed = costed.persist(StorageLevel.MEMORY_AND_DISK)
+    costed = materialise(optimise(predictions, nodes, edges, sizes, code, stop=stop, net=NetworkIndex(nodes, edges)))
     summary = sinks.write_summary(costed, f"{root}/summaries/{run_id}")
     sample = S.top_sample(costed, SAMPLE_CAP)
     doc = sinks.result_document(costed, sample)
-    sinks.write_results(doc, root, run_id)
+    sinks.write_results(costed, sample, root, run_id)
     meta = M.feature_metadata(spark, model)
     sinks.write_features(meta, root, run_id)
     sinks.save_model(model, root, run_id)
@@ -47,17 +47,26 @@ def run_analysis(spark: SparkSession, flights: DataFrame, nodes: DataFrame, edge
           dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S"))],
         "run_id string, airport_code string, accuracy double, num_runways long, num_exits long, train_count long, "
         "test_count long, run_duration_ms long, date string")
-    sinks.write_run(run, root)
+    sinks.write_run(run, root, run_id)
     return {"prepared": prepared, "predictions": predictions, "costed": costed, "summary": summary,
             "result": doc, "features": meta, "run": run}
 
 
-def inspect_run(spark: SparkSession, root: str, run_id: str) -> dict[str, DataFrame]:
-    """run artifacts, forest nodes with readable conditions, importances and the impact tables."""
+def inspect_run(spark: SparkSession, root: str, run_id: str, nodes: DataFrame | None = None,
+                edges: DataFrame | None = None) -> dict[str, DataFrame]:
+    """run artifacts, forest nodes with readable conditions, importances, the impact tables and,
+    given the network, the path and node overlay of the samples."""
     arts = sinks.read_run(spark, root, run_id)
     model = sinks.load_model(root, run_id)
-    nodes = M.forest_nodes(spark, model, f"{root}/forests/{run_id}")
-    arts["nodes"] = M.node_condition(spark, nodes, model)
-    arts["max_depth"] = M.forest_depth(nodes)
+    tree = M.forest_nodes(spark, model, f"{root}/forests/{run_id}")
+    arts["nodes"] = M.node_condition(spark, tree, model)
+    arts["max_depth"] = M.forest_depth(tree)
     arts["importances"] = M.importances(spark, model)
+    costed = arts["costed"]
+    arts["impact_societal"] = S.impact_societal(costed)
+    arts["impact_airline"] = S.impact_airline(costed)
+    arts["time_reduction"] = S.time_reduction(costed)
+    if nodes is not None and edges is not None:
+        arts["path_overlay"] = path_overlay(costed, nodes, edges)
+        arts["node_overlay"] = node_overlay(costed, nodes)
     return arts

@@ -8,21 +8,25 @@ them.  Computed columns carry fixed names so the DuckDB oracles in
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runwise.constants import AIRPORT_NAMES, M_TO_FEET
+from runwise.constants import M_TO_FEET
 from runwise.functions.geo import flat_angle, pair_distances, pair_speeds, vincenty
-from runwise.functions.parse import parse_link_ids, parse_positions
 from runwise.operators import costs as C
 from runwise.operators import landings as L
 from runwise.operators import paths as P
 from runwise.operators import summary as S
-from runwise.operators.network import NetworkIndex, clean_network, exit_edges, link_coords, undirected
+from runwise.operators.network import (NetworkIndex, clean_network, exit_edges, link_coords, project_edges, project_vertices,
+                                       undirected)
+from runwise.operators.overlay import node_overlay, path_overlay
 from runwise.plans.prepare import featurize, prepare_landings
-from runwise.session import cut_lineage, prepare
+from runwise.session import cut_lineage, ensure_checkpoint_dir, materialise, prepare
+from runwise.sources import readers as R
 from runwise.sources import fixtures as fx
 
 CODE = "KPHX"
@@ -48,14 +52,32 @@ def r3(c):
 
 
 # --- sources / network --------------------------------------------------------
+def as_file(df: DataFrame, spark: SparkSession, first: str) -> str:
+    """``df`` as a CSV file with a header whose columns are in another order and among others.
+
+    Returns its path; the readers must find their columns by name.
+    """
+    path = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    rest = [c for c in reversed(df.columns) if c != first]
+    df.select(F.lit("x").alias("extra_first"), *rest, F.lit(1).alias("Extra"), first).coalesce(1) \
+        .write.option("header", True).csv(path)
+    return path
+
+
+def read_network(spark, sf):
+    nodes = R.read_nodes(spark, as_file(fx.raw_nodes(spark, sf).withColumnsRenamed(
+        {"nodeID": "NodeID", "nodeName": "NodeName", "latitude": "Latitude", "longitude": "Longitude"}), spark, "Latitude"))
+    links = R.read_links(spark, as_file(fx.raw_links(spark, sf), spark, "Length"))
+    return nodes, links
+
+
 def q_scan_nodes(spark, sf):
-    nodes, _ = network(spark, sf)
+    nodes = project_vertices(read_network(spark, sf)[0])
     return nodes.select("node_id", "node_name", r7(F.col("lat")).alias("lat"), r7(F.col("long")).alias("long"))
 
 
 def q_scan_links(spark, sf):
-    _, edges = network(spark, sf)
-    return edges.select("link_id", "link_name", "node_from", "node_to", "length")
+    return project_edges(read_network(spark, sf)[1]).select("link_id", "link_name", "node_from", "node_to", "length")
 
 
 def q_edge_src_join(spark, sf):
@@ -86,34 +108,41 @@ def q_link_by_id(spark, sf):
 
 
 def q_scan_size_classes(spark, sf):
-    return fx.size_classes(spark, sf)
+    """The size table written as a config file with a repeated type, the first row of which wins."""
+    sizes = fx.size_classes(spark, sf).withColumnsRenamed({"ac_type": "ACTypes", "category": "Category"})
+    again = sizes.select("ACTypes", F.lit("Super").alias("Category"))
+    ordered = sizes.withColumn("n", F.lit(0)).unionByName(again.withColumn("n", F.lit(1))).orderBy("n", "ACTypes").drop("n")
+    return C.first_per_type(R.read_size_classes(spark, as_file(ordered, spark, "ACTypes")))
 
 
 def q_scan_exit_boxes(spark, sf):
-    b = fx.exit_boxes(spark, sf)
+    """Boxes written as a config file; their order in it is the box order."""
+    b = fx.exit_boxes(spark, sf).orderBy("box_order").withColumnsRenamed(
+        {"exit_id": "exitID", "long_upper": "longUpper", "long_lower": "longLower"}).drop("box_order")
+    b = R.read_exit_boxes(spark, as_file(b, spark, "lat"))
     return b.select("exit_id", "box_order", *[r7(F.col(c)).alias(c) for c in ("lat", "long_upper", "long_lower")])
 
 
-def airport_code(name):
-    m = F.create_map(*[x for k, v in AIRPORT_NAMES.items() for x in (F.lit(k), F.lit(v))])
-    return F.try_element_at(m, F.upper(name))
-
-
 def q_airport_code(spark, sf):
     n = fx.table(spark, sf, "nation")
     spelled = F.get(F.array(*[F.lit(x) for x in AIRPORT_SPELLINGS]), (F.col("n_nationkey") % len(AIRPORT_SPELLINGS)).cast("int"))
     return n.select("n_nationkey", spelled.alias("airport")).select("n_nationkey", "airport",
-                                                                   airport_code(F.col("airport")).alias("code"))
+                                                                   R.airport_code(F.col("airport")).alias("code"))
 
 
 # --- landings: parsing and filters -------------------------------------------
+def read_back(spark, sf, noise: bool = False):
+    """The packed landing records, read from a file by the names in its header."""
+    return R.read_flights(spark, as_file(fx.flights_raw(spark, sf, noise), spark, "positions"), keep=["flight_id"])
+
+
 def q_scan_flights(spark, sf):
-    raw = fx.flights_raw(spark, sf)
-    t = raw.select("flight_id", parse_positions(F.col("positions")).alias("p"), parse_link_ids(F.col("links")).alias("l"))
-    return t.select("flight_id", F.size("p").alias("n_positions"), F.size("l").alias("n_links"),
-                    F.get("p", 0)["epoch_ms"].alias("first_epoch"), F.get("p", F.size("p") - 1)["epoch_ms"].alias("last_epoch"),
-                    r7(F.get("p", 1)["long"]).alias("second_long"),
-                    F.get("l", 0).alias("first_link"), F.get("l", F.size("l") - 1).alias("last_link"))
+    t = L.parse_flights(read_back(spark, sf))
+    p, link = F.col("positions"), F.col("link_ids")
+    return t.select(F.col("flight_id").cast("long").alias("flight_id"), F.size(p).alias("n_positions"), F.size(link).alias("n_links"),
+                    F.get(p, 0)["epoch_ms"].alias("first_epoch"), F.get(p, F.size(p) - 1)["epoch_ms"].alias("last_epoch"),
+                    r7(F.get(p, 1)["long"]).alias("second_long"),
+                    F.get(link, 0).alias("first_link"), F.get(link, F.size(link) - 1).alias("last_link"))
 
 
 def q_arrivals_only(spark, sf):
@@ -159,17 +188,17 @@ def q_decel_filter(spark, sf):
 
 
 def q_traffic(spark, sf):
-    return featurize(fx.flights(spark, sf)).select("flight_id", "landingEpoch", "traffic")
+    return featurize(L.typed_filters(fx.flights(spark, sf), CODE)).select("flight_id", "landingEpoch", "traffic")
 
 
 def q_label_real_exit(spark, sf):
     _, edges = network(spark, sf)
-    return L.label_exit(featurize(fx.flights(spark, sf)), exit_edges(edges)).select("flight_id", "exit")
+    return L.label_exit(featurize(L.typed_filters(fx.flights(spark, sf), CODE)), exit_edges(edges)).select("flight_id", "exit")
 
 
 def q_labelled_only(spark, sf):
     _, edges = network(spark, sf)
-    return L.labelled_only(L.label_exit(featurize(fx.flights(spark, sf)), exit_edges(edges))).select("flight_id", "exit")
+    return L.labelled_only(L.label_exit(featurize(L.typed_filters(fx.flights(spark, sf), CODE)), exit_edges(edges))).select("flight_id", "exit")
 
 
 def q_label_exit_geofence(spark, sf):
@@ -234,7 +263,7 @@ def q_flat_angle(spark, sf):
 def _vertices(spark, sf):
     nodes, edges = network(spark, sf)
     net = NetworkIndex(nodes, edges)
-    return cut_lineage(P.with_vertices(fx.flights(spark, sf), net)), nodes, edges, net
+    return materialise(P.with_vertices(fx.flights(spark, sf), net).drop("positions", "link_ids")), nodes, edges, net
 
 
 def q_slow_vertex(spark, sf):
@@ -295,9 +324,12 @@ def q_best_paths(spark, sf):
 _MEMO: dict[tuple, DataFrame] = {}
 
 
-def _sid(spark: SparkSession) -> str:
-    """Memo key of a session: its application id (a new context never reuses one)."""
-    return f"{spark.sparkContext.applicationId}-{id(spark)}"
+def _sid(spark: SparkSession, sf: str) -> str:
+    """Memo key: the application and the input files with their sizes and times, so changed tables count as new."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    stamp = "|".join(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files)
+    return f"{spark.sparkContext.applicationId}-{id(spark)}-{zlib.crc32(stamp.encode()):08x}"
 
 
 def clear_memo() -> None:
@@ -310,9 +342,9 @@ def optimised(spark, sf, stop="first_touch") -> DataFrame:
     The costed table is written once per session to the checkpoint folder and
     shared by the queries that read it (like a materialised view).
     """
-    key = (_sid(spark), sf, stop)
+    key = (_sid(spark, sf), sf, stop)
     if key not in _MEMO:
-        _MEMO[key] = cut_lineage(_optimised(spark, sf, stop))
+        _MEMO[key] = materialise(_optimised(spark, sf, stop))
     return _MEMO[key]
 
 
@@ -409,9 +441,9 @@ def q_path_length_sums(spark, sf):
 
 
 def q_top_sample(spark, sf):
-    o = optimised(spark, sf)
+    o = S.top_sample(optimised(spark, sf))
     return o.select("flight_id", "aircraftType", "slowV", "predictedExit", r6(F.col("optROT")).alias("optROT"),
-                    r6(F.col("savings")).alias("savings")).orderBy("flight_id").limit(50)
+                    r6(F.col("savings")).alias("savings"))
 
 
 def q_valid_times(spark, sf):
@@ -466,15 +498,15 @@ from runwise.operators import model as M  # noqa: E402
 
 
 def _prepared(spark, sf) -> DataFrame:
-    key = (_sid(spark), sf, "prepared")
+    key = (_sid(spark, sf), sf, "prepared")
     if key not in _MEMO:
         _, edges = network(spark, sf)
-        _MEMO[key] = cut_lineage(prepare_landings(fx.flights(spark, sf), edges, CODE))
+        _MEMO[key] = materialise(prepare_landings(fx.flights(spark, sf), edges, CODE))
     return _MEMO[key]
 
 
 def _trained(spark, sf):
-    key = (_sid(spark), sf, "model")
+    key = (_sid(spark, sf), sf, "model")
     if key not in _MEMO:
         p = _prepared(spark, sf)
         train, test = M.split(p)
@@ -482,17 +514,27 @@ def _trained(spark, sf):
     return _MEMO[key]
 
 
+def q_split_counts(spark, sf):
+    return M.split_counts(*M.split(_prepared(spark, sf)))
+
+
 def q_train_test_split(spark, sf):
+    """M1: the part of every landing."""
     train, test = M.split(_prepared(spark, sf))
-    return M.split_counts(train, test)
+    return train.select("flight_id", F.lit("train").alias("part")).unionByName(test.select("flight_id", F.lit("test").alias("part")))
 
 
 def q_feature_kinds(spark, sf):
-    return spark.createDataFrame(M.feature_kinds(_prepared(spark, sf), list(ALL_FEATURES)), "feature string, kind string")
+    """M2: kind of each feature, and how many values it has in the landings."""
+    p = _prepared(spark, sf)
+    kinds = M.feature_kinds(p, list(ALL_FEATURES))
+    one = p.agg(*[F.countDistinct(c).alias(c) for c, _ in kinds])
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(k).alias("kind"), F.col(c).alias("n_values")) for c, k in kinds])
+    return one.select(F.inline(rows))
 
 
 def q_index_categories(spark, sf):
-    return M.index_categories(_prepared(spark, sf), list(ALL_FEATURES))
+    return M.index_categories(spark, _trained(spark, sf)[0])
 
 
 def q_train_forest(spark, sf):
@@ -508,14 +550,15 @@ def q_predict(spark, sf):
 
 
 def q_accuracy(spark, sf):
-    model, train, test = _trained(spark, sf)
-    return M.accuracy(model, test)
+    """A6 on the surrogate predictions, which both engines have."""
+    _, edges = network(spark, sf)
+    p = prepare_landings(fx.flights(spark, sf), edges, CODE, keep=["surrogate_exit"])
+    return M.accuracy_of(p, "exit", "surrogate_exit")
 
 
 def _nodes(spark, sf):
     model, *_ = _trained(spark, sf)
-    from runwise.session import ensure_checkpoint_dir
-    return M.forest_nodes(spark, model, f"{ensure_checkpoint_dir(spark)}/forest-{abs(hash((_sid(spark), sf)))}"), model
+    return M.forest_nodes(spark, model, f"{ensure_checkpoint_dir(spark)}/forest-{uuid.uuid4().hex}"), model
 
 
 def q_forest_nodes(spark, sf):
@@ -549,7 +592,7 @@ def q_score_records(spark, sf):
 
 
 def q_tune(spark, sf):
-    key = (_sid(spark), sf, "tune")
+    key = (_sid(spark, sf), sf, "tune")
     if key not in _MEMO:
         model, train, test = _trained(spark, sf)
         _MEMO[key] = cut_lineage(M.tune(train, list(ALL_FEATURES)))
@@ -557,9 +600,14 @@ def q_tune(spark, sf):
 
 
 def q_result_document(spark, sf):
-    from runwise.sources.sinks import result_document
+    """The result file written and read again: means and number of samples."""
+    from runwise.sources import sinks
     o = optimised(spark, sf)
-    return result_document(o, S.top_sample(o))
+    samples = S.top_sample(o)
+    path = f"{ensure_checkpoint_dir(spark)}/result-{uuid.uuid4().hex}"
+    sinks.write_result(sinks.result_document(o, samples), path)
+    back = sinks.read_result(spark, path, samples)
+    return back.select(*[r6(F.col(c)).alias(c) for c in S.MEAN_MEASURES], F.size("samples").alias("n_samples"))
 
 
 QUERIES.update({
@@ -572,22 +620,8 @@ QUERIES.update({
 
 
 # --- J14 path overlay, F3 / F4 and the run registry ---------------------------------
-def path_overlay(costed: DataFrame, nodes: DataFrame, edges: DataFrame, n: int = 50) -> DataFrame:
-    """Links on the optimal / predicted path of each sampled landing, with exit flag,
-    end coordinates and whether the link touches the slow vertex."""
-    sample = costed.select("flight_id", "slowV", "optPath", "predPath").orderBy("flight_id").limit(n)
-    on = sample.select("flight_id", "slowV", F.explode(F.array_union(
-        F.transform("optPath", lambda s: F.struct(s["link_id"].alias("link_id"), F.lit(1).alias("o"), F.lit(0).alias("p"))),
-        F.transform("predPath", lambda s: F.struct(s["link_id"].alias("link_id"), F.lit(0).alias("o"), F.lit(1).alias("p")))))
-        .alias("x")).select("flight_id", "slowV", "x.*")
-    flags = on.groupBy("flight_id", "slowV", "link_id").agg(F.max("o").alias("on_opt"), F.max("p").alias("on_pred"))
-    lc = F.broadcast(link_coords(nodes, edges))
-    j = flags.join(lc, "link_id", "left")
-    return j.select("flight_id", "link_id", F.col("on_opt").cast("bigint").alias("on_opt"),
-                    F.col("on_pred").cast("bigint").alias("on_pred"), F.col("is_exit").cast("bigint").alias("is_exit"),
-                    ((F.col("src") == F.col("slowV")) | (F.col("dst") == F.col("slowV"))).alias("touches_slow"),
-                    r7(F.col("src_lat")).alias("src_lat"), r7(F.col("src_long")).alias("src_long"),
-                    r7(F.col("dst_lat")).alias("dst_lat"), r7(F.col("dst_long")).alias("dst_long"))
+def q_node_overlay(spark, sf):
+    return node_overlay(optimised(spark, sf), network(spark, sf)[0])
 
 
 def q_path_overlay(spark, sf):
@@ -595,19 +629,21 @@ def q_path_overlay(spark, sf):
     return path_overlay(optimised(spark, sf), nodes, edges)
 
 
-def _run_root(spark) -> str:
-    from runwise.session import ensure_checkpoint_dir
-    return f"{ensure_checkpoint_dir(spark)}/run-registry"
+RUN_ID = f"{CODE}-run"
+
+
+def _run_root(spark, sf) -> str:
+    """The registry of the runs over one folder of tables."""
+    return f"{ensure_checkpoint_dir(spark)}/run-registry-{_sid(spark, sf)}"
 
 
 def _analysis(spark, sf):
-    key = (_sid(spark), sf, "analysis")
+    key = (_sid(spark, sf), sf, "analysis")
     if key not in _MEMO:
         from runwise.plans.analysis import run_analysis
         nodes, edges = network(spark, sf)
-        run_id = f"{CODE}-{abs(hash(sf)) % 10**8}"
         _MEMO[key] = (run_analysis(spark, fx.flights(spark, sf), nodes, edges, fx.size_classes(spark, sf), CODE,
-                                   _run_root(spark), run_id), run_id)
+                                   _run_root(spark, sf), RUN_ID), RUN_ID)
     return _MEMO[key]
 
 
@@ -619,22 +655,22 @@ def q_run_analysis(spark, sf):
 def q_inspect_run(spark, sf):
     from runwise.plans.analysis import inspect_run
     out, run_id = _analysis(spark, sf)
-    return inspect_run(spark, _run_root(spark), run_id)["nodes"]
+    return inspect_run(spark, _run_root(spark, sf), run_id, *network(spark, sf))["nodes"]
 
 
 def q_complete_runs(spark, sf):
     from runwise.sources.sinks import complete_runs
     _analysis(spark, sf)
-    return complete_runs(spark, _run_root(spark)).select("run_id", "airport_code").distinct()
+    return complete_runs(spark, _run_root(spark, sf)).select("run_id", "airport_code").distinct()
 
 
 def q_list_models(spark, sf):
     from runwise.sources.sinks import list_models
     _analysis(spark, sf)
-    return list_models(spark, _run_root(spark))
+    return list_models(spark, _run_root(spark, sf))
 
 
-QUERIES.update({"path_overlay": q_path_overlay, "run_analysis": q_run_analysis, "inspect_run": q_inspect_run,
+QUERIES.update({"path_overlay": q_path_overlay, "node_overlay": q_node_overlay, "run_analysis": q_run_analysis, "inspect_run": q_inspect_run,
                 "complete_runs": q_complete_runs, "list_models": q_list_models})
 
 
@@ -645,16 +681,8 @@ def q_prune_columns(spark, sf):
 
 
 def q_promote_header(spark, sf):
-    """Landing records written as header CSV and read back by name with the explicit schema."""
-    from runwise.sources import readers as R
-    from runwise.session import ensure_checkpoint_dir
-    path = f"{ensure_checkpoint_dir(spark)}/csv-{abs(hash((_sid(spark), sf))) % 10**8}"
-    key = (_sid(spark), sf, "csv")
-    if key not in _MEMO:
-        fx.flights_raw(spark, sf).select(*R.FLIGHT_COLUMNS).write.mode("overwrite").option("header", True).csv(path)
-        _MEMO[key] = path
-    back = R.read_flights(spark, f"{_MEMO[key]}/*.csv")
-    return back.select("callsign", "runway", "depAirport", "arrAirport", "aircraftType", "arrGate")
+    """The header names the columns, in whatever order they are."""
+    return read_back(spark, sf).select("callsign", "runway", "depAirport", "arrAirport", "aircraftType", "arrGate")
 
 
 def q_edge_dst_join(spark, sf):
@@ -671,17 +699,17 @@ def q_link_lookup(spark, sf):
 
 def q_has_slow_vertex(spark, sf):
     v, *_ = _vertices(spark, sf)
-    return v.where(F.col("slowV").isNotNull()).select("flight_id")
+    return P.has_slow(v).select("flight_id")
 
 
 def q_has_goal_vertex(spark, sf):
     v, *_ = _vertices(spark, sf)
-    return v.where(F.col("goalV").isNotNull()).select("flight_id")
+    return P.has_goal(v).select("flight_id")
 
 
 def q_slow_ne_goal(spark, sf):
     v, *_ = _vertices(spark, sf)
-    return v.where(F.col("goalV") != F.col("slowV")).select("flight_id")
+    return P.slow_ne_goal(v).select("flight_id")
 
 
 def q_parse_items(spark, sf):
@@ -708,7 +736,7 @@ def _solved_opt(spark, sf):
     v, nodes, edges, net = _vertices(spark, sf)
     keys = P.drop_adjacent(v, edges).select(F.col("slowV").alias("start"), F.col("goalV").alias("goal"),
                                             F.col("avoidV").alias("avoid"))
-    key = (_sid(spark), sf, "solved")
+    key = (_sid(spark, sf), sf, "solved")
     if key not in _MEMO:
         _MEMO[key] = P.best_paths(keys, nodes, edges)
     return _MEMO[key]
@@ -732,10 +760,14 @@ def q_best_params(spark, sf):
 
 
 def q_assemble(spark, sf):
-    model, train, test = _trained(spark, sf)
+    """M4: feature vectors of all landings, six decimals."""
     from pyspark.ml.functions import vector_to_array
-    head = PipelineModel(stages=model.stages[:-2])
-    return head.transform(_prepared(spark, sf)).select("flight_id", vector_to_array("features").alias("features"))
+    from pyspark.ml.feature import StringIndexerModel, VectorAssembler
+    model, *_ = _trained(spark, sf)
+    head = PipelineModel(stages=[s for s in model.stages if isinstance(s, VectorAssembler)
+                                 or isinstance(s, StringIndexerModel) and s.getInputCol() != "exit"])
+    features = F.transform(vector_to_array("features"), r6)
+    return head.transform(_prepared(spark, sf)).select("flight_id", F.posexplode(features).alias("place", "value"))
 
 
 def q_index_label(spark, sf):
@@ -752,34 +784,56 @@ def q_drop_vector_columns(spark, sf):
 
 def q_sink_describe_csv(spark, sf):
     from runwise.sources.sinks import write_summary
-    path = f"{_run_root(spark)}/summary-{abs(hash((_sid(spark), sf))) % 10**8}"
+    path = f"{ensure_checkpoint_dir(spark)}/summary-{uuid.uuid4().hex}"
     write_summary(optimised(spark, sf), path)
-    return spark.read.option("header", True).csv(path)
+    back = spark.read.option("header", True).csv(path)
+    return back.select("summary", *[r6(F.col(c).cast("double")).alias(c) for c in C.MEASURES])
 
 
 def q_sink_df_csv(spark, sf):
-    from runwise.sources.sinks import write_csv_single
-    path = f"{_run_root(spark)}/sizes-{abs(hash((_sid(spark), sf))) % 10**8}"
-    write_csv_single(fx.size_classes(spark, sf), path)
+    from runwise.sources.sinks import write_csv
+    path = f"{ensure_checkpoint_dir(spark)}/sizes-{uuid.uuid4().hex}"
+    write_csv(fx.size_classes(spark, sf), path)
     return spark.read.option("header", True).csv(path)
 
 
+def q_dropped_rows(spark, sf):
+    """How many landings each step leaves out, from records to costed landings."""
+    nodes, edges = network(spark, sf)
+    every = fx.flights(spark, sf)
+    typed = L.typed_filters(every, CODE)
+    p = materialise(prepare_landings(every, edges, CODE, keep=["surrogate_exit"]).withColumnRenamed("surrogate_exit", "predictedExit"))
+    net = NetworkIndex(nodes, edges)
+    v = materialise(P.with_vertices(p, net).drop("positions", "link_ids"))
+    near = P.drop_adjacent(v, edges)
+    paths = P.with_paths(near, nodes, edges, net, drop=False)
+    slowed = L.decel_filter(L.with_decel(typed))
+    steps = [("records", every), ("filters", typed), ("deceleration", slowed), ("exit_label", p), ("adjacent_or_no_vertex", near),
+             ("no_path", paths.where("has_paths")), ("no_time", optimised(spark, sf))]
+    counts = None
+    for k, (name, df) in enumerate(steps):
+        one = df.agg(F.count(F.lit(1)).alias("n_left")).select(F.lit(k).alias("step"), F.lit(name).alias("name"), "n_left")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts
+
+
 def q_sink_run_info(spark, sf):
     out, run_id = _analysis(spark, sf)
-    return spark.read.parquet(f"{_run_root(spark)}/runs").where(F.col("run_id") == run_id).drop("run_duration_ms", "date")
+    return spark.read.parquet(f"{_run_root(spark, sf)}/runs").where(F.col("run_id") == run_id).drop("run_duration_ms", "date")
 
 
 def q_save_model(spark, sf):
     from runwise.sources.sinks import load_model
     out, run_id = _analysis(spark, sf)
-    model = load_model(_run_root(spark), run_id)
+    model = load_model(_run_root(spark, sf), run_id)
     return M.predict(model, _prepared(spark, sf)).select("flight_id", "exit", "predictedExit")
 
 
 def q_scan_run_artifacts(spark, sf):
     from runwise.sources.sinks import read_run
     out, run_id = _analysis(spark, sf)
-    return read_run(spark, _run_root(spark), run_id)["results"]
+    f = read_run(spark, _run_root(spark, sf), run_id)["features"]
+    return f.select("run_id", "featureName", "featureType", F.size("categories").alias("n_categories"))
 
 
 from pyspark.ml import PipelineModel  # noqa: E402
@@ -790,9 +844,9 @@ QUERIES.update({
     "has_slow_vertex": q_has_slow_vertex, "has_goal_vertex": q_has_goal_vertex, "slow_ne_goal": q_slow_ne_goal,
     "traffic_band_join": q_traffic, "range_frame": q_traffic, "parse_items": q_parse_items,
     "parse_epoch_ms": q_parse_epoch_ms, "path_edges": q_path_edges, "concat_paths": q_concat_paths,
-    "min_cost_vertex": q_min_cost_vertex, "trace_path": q_trace_path, "split_counts": q_train_test_split,
+    "min_cost_vertex": q_min_cost_vertex, "trace_path": q_trace_path, "split_counts": q_split_counts,
     "best_params": q_best_params, "assemble": q_assemble, "index_label": q_index_label,
     "drop_vector_columns": q_drop_vector_columns, "sink_describe_csv": q_sink_describe_csv,
     "sink_df_csv": q_sink_df_csv, "sink_run_info": q_sink_run_info, "save_model": q_save_model,
-    "scan_run_artifacts": q_scan_run_artifacts,
+    "scan_run_artifacts": q_scan_run_artifacts, "dropped_rows": q_dropped_rows,
 })

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from runwise.operators import costs as C
 from runwise.operators import paths as P
 from runwise.operators.network import NetworkIndex
-from runwise.session import cut_lineage
+from runwise.session import materialise
 
 
 def optimise(predictions: DataFrame, nodes: DataFrame, edges: DataFrame, sizes: DataFrame, code: str = "KPHX",
@@ -22,7 +21,7 @@ def optimise(predictions: DataFrame, nodes: DataFrame, edges: DataFrame, sizes:
     # instead of re-running the per-landing array expressions and the geodesic UDF).
     # The position / link arrays (the bulk of a landing row) are not needed past this point.
     v = P.with_vertices(predictions, net).drop("positions", "link_ids", "slow_lat", "slow_long")
-    d = P.drop_adjacent(cut_lineage(v), edges).persist(StorageLevel.MEMORY_AND_DISK)
+    d = P.drop_adjacent(materialise(v), edges)
     d = P.with_paths(d, nodes, edges, net, exit_col=exit_col, stop=stop)
     d = C.with_times(d)
     d = C.with_size_class(d, sizes)

@@ -3,11 +3,29 @@ independently as ANSI-ish SQL over the driver's pre-registered tables."""
 
 from __future__ import annotations
 
-from runwise.constants import (CREW_RATE, ENV_RATE, EXIT_LINK_PATTERN, FEET_TO_M, FUEL_RATE, MAINT_RATE, M_TO_FEET,
-                               OTHER_RATE, OWNERSHIP_RATE, PASSENGER_RATE, ROT_BENEFIT, RUNWAY_LINK_PATTERN,
-                               SLOW_SPEED_MS, TAXI_SPEED_MS, WGS84_A, WGS84_B, WGS84_F)
 from runwise.sources import fixtures as fx
 
+# The values of the analysed model are stated here once more, so that a wrong constant in the
+# operators shows: speeds (m/s), rates ($/s), factors, ellipsoid and link-name patterns.
+SLOW_SPEED_MS = 50.0
+TAXI_SPEED_MS = 11.83
+ROT_BENEFIT = 1.11
+FEET_TO_M = 0.3048
+M_TO_FEET = 3.28084
+PASSENGER_RATE = {"GA": 0.26, "Small": 0.66, "Medium": 2.03, "Large": 3.75, "Super": 6.83}
+FUEL_RATE = 0.1796667
+CREW_RATE = 0.271
+MAINT_RATE = 0.2003333
+OWNERSHIP_RATE = 0.132
+ENV_RATE = 0.6
+OTHER_RATE = 0.0451667
+WGS84_A = 6378137.0
+WGS84_B = 6356752.314245
+WGS84_F = 1 / 298.257223563
+RUNWAY_LINK_PATTERN = r"[0-9]+\D?\/[0-9]+\D(\D|\.)?\D?\D?[0-9]+?\D?\_[0-9]+\D?\/[0-9]+\D(\D|\.)?\D?\D?[0-9]+?\D?"
+EXIT_LINK_PATTERN = r"[0-9]+\D?\/[0-9]+\D?(\.|\D)\D?\D?[0-9]+"
+
+
 
 def d(x: float) -> str:
     return f"{float(x)!r}::DOUBLE"
@@ -54,25 +72,33 @@ boxes AS (SELECT e.link_id AS exit_id, CAST(e.link_id AS INTEGER) AS box_order,
 
 FLIGHTS = f"""
 ev AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
-ch AS (SELECT user_id AS u, (rn - 1) // 10 AS chunk, min(ts) AS t_first FROM ev GROUP BY 1, 2 HAVING count(*) = 10),
-fl0 AS (SELECT u * 1000 + chunk AS flight_id, u, chunk, epoch_us(t_first) // 1000 AS t0,
+ch AS (SELECT user_id AS u, (rn - 1) // 10 AS chunk, min(ts) AS t_first, count(*) AS n FROM ev GROUP BY 1, 2),
+fl0 AS (SELECT u * 10000000 + chunk AS flight_id, u, chunk, epoch_us(t_first) // 1000 AS t0,
+               CASE WHEN n = 10 AND u % 9 = 4 THEN {fx.LONG_LANDING} ELSE n END AS n_pos,
+               [{', '.join(d(x) for x in fx.LAT_DRIFT)}][u % {len(fx.LAT_DRIFT)} + 1] AS drift,
                10 + 3 * (u % 3) AS e, 10 + 3 * (u % 3) + 3 + u % 4 AS g, 55 + u % 15 AS v0,
-               CASE WHEN u % 10 = 0 THEN {d(0.2)} ELSE {d(1.0)} + {d(0.5)} * (chunk % 3) END AS acc
+               CASE WHEN u % 10 = 0 THEN {d(0.2)} ELSE {d(1.0)} + {d(0.5)} * (chunk % 3) END AS acc,
+               '10' || lpad(CAST(u % 1000 AS VARCHAR), 3, '0') AS unknown
         FROM ch),
-fl AS (SELECT f.flight_id, f.u, f.t0, f.e, f.g, f.v0, f.acc,
+fl1 AS (SELECT *, list_concat(list_transform(range(1000, 1000 + e), lambda x: CAST(x AS VARCHAR)),
+                              [CAST(2000 + e AS VARCHAR)],
+                              list_transform(range(1025 + e, 1025 + g), lambda x: CAST(x AS VARCHAR)),
+                              [CAST(2025 + g AS VARCHAR)]) AS route FROM fl0),
+fl AS (SELECT f.flight_id, f.u, f.t0, f.e, f.g, f.v0, f.acc, f.n_pos, f.drift,
               ['AAL', 'SWA', 'UAL'][f.u % 3 + 1] || CAST(f.u AS VARCHAR) AS callsign,
               CASE WHEN f.u % 2 = 0 THEN '07L' ELSE '25R' END AS runway,
               n.n_name AS depAirport, 'KPHX' AS arrAirport, 'Brand#' || CAST(f.u % 30 AS VARCHAR) AS aircraftType,
               'T' || CAST(f.u % 4 AS VARCHAR) AS arrGate, CAST(2000 + f.e + 3 AS VARCHAR) AS surrogate_exit,
-              list_concat(list_transform(range(1000, 1000 + f.e), lambda x: CAST(x AS VARCHAR)),
-                          [CAST(2000 + f.e AS VARCHAR)],
-                          list_transform(range(1025 + f.e, 1025 + f.g), lambda x: CAST(x AS VARCHAR)),
-                          [CAST(2025 + f.g AS VARCHAR)]) AS link_ids
-       FROM fl0 f LEFT JOIN nation n ON n.n_nationkey = f.u % 25),
-pos AS (SELECT f.flight_id, s.i AS i, {d(fx.BASE_LAT)} AS lat,
+              CASE (f.u + f.chunk) % {fx.VARIANTS}
+                   WHEN 3 THEN list_prepend(unknown, route) WHEN 5 THEN list_append(route, unknown)
+                   WHEN 7 THEN route[1:e + 2]
+                   WHEN 8 THEN list_transform(range(2025 + f.u % 20, 2031 + f.u % 20), lambda x: CAST(x AS VARCHAR))
+                   WHEN 9 THEN route[1:4] ELSE route END AS link_ids
+       FROM fl1 f LEFT JOIN nation n ON n.n_nationkey = f.u % 25),
+pos AS (SELECT f.flight_id, s.i AS i, {d(fx.BASE_LAT)} + f.drift * s.i AS lat,
                {d(fx.BASE_LONG)} + ((f.v0 * (2 * s.i)) - (f.acc / {d(2.0)}) * ((2 * s.i) * (2 * s.i))) / {d(fx.METRES_PER_DEG_LONG)} AS long,
                f.t0 + 2000 * s.i AS epoch_ms
-        FROM fl f, range({fx.EVENTS_PER_LANDING}) s(i)),
+        FROM fl f JOIN range({fx.LONG_LANDING}) s(i) ON s.i < f.n_pos),
 flinks AS (SELECT flight_id, generate_subscripts(link_ids, 1) - 1 AS idx, unnest(link_ids) AS link_id FROM fl),
 pairs AS (SELECT a.flight_id, a.i, a.lat AS lat1, a.long AS lon1, b.lat AS lat2, b.long AS lon2,
                  a.epoch_ms AS t1, b.epoch_ms AS t2
@@ -123,27 +149,26 @@ def vincenty_ctes(name: str, src: str, keys: list[str], rounds: int = 10) -> str
 FEATURES = f"""
 {vincenty_ctes('pd', 'pairs', ['flight_id', 'i'])},
 pdist AS (SELECT p.*, v.dist FROM pairs p JOIN pd v USING (flight_id, i)),
-dec AS (SELECT flight_id,
-               CASE WHEN isfinite(r) THEN round(r, 2) END AS decel
-        FROM (SELECT a.flight_id,
+dec AS (SELECT flight_id, CASE WHEN isfinite(r) THEN round(r, 2) END AS decel
+        FROM (SELECT f.flight_id,
                      ((z.dist / (abs(CAST(z.t1 AS DOUBLE) - CAST(z.t2 AS DOUBLE)) / 1000))
                       - (a.dist / (abs(CAST(a.t1 AS DOUBLE) - CAST(a.t2 AS DOUBLE)) / 1000)))
                      / CAST(abs(z.t2 - a.t2) // 1000 AS DOUBLE) AS r
-              FROM pdist a JOIN pdist z ON a.flight_id = z.flight_id AND a.i = 0
-                   AND z.i = (SELECT least(count(*), {20}) FROM pos q WHERE q.flight_id = a.flight_id) - 2)),
+              FROM fl f LEFT JOIN pdist a ON f.flight_id = a.flight_id AND a.i = 0
+                   LEFT JOIN pdist z ON f.flight_id = z.flight_id AND z.i = least(f.n_pos, 20) - 2)),
 feat AS (SELECT f.flight_id, f.runway, f.depAirport, f.aircraftType, f.arrGate, f.callsign, f.surrogate_exit,
                 p0.lat AS touchdownLat, p0.long AS touchdownLong,
                 strftime(make_timestamp(p0.epoch_ms * 1000), '%H') AS hour,
                 strftime(make_timestamp(p0.epoch_ms * 1000), '%a') AS day,
                 dec.decel, regexp_replace(f.callsign, '\\d', '', 'g') AS carrier, p0.epoch_ms AS landingEpoch
          FROM fl f JOIN pos p0 ON p0.flight_id = f.flight_id AND p0.i = 0 JOIN dec ON dec.flight_id = f.flight_id
-         WHERE f.arrAirport = 'KPHX'),
+         WHERE f.arrAirport = 'KPHX' AND len(f.link_ids) > 5 AND f.n_pos > 5),
 kept AS (SELECT * FROM feat WHERE decel <= -0.5),
 traf AS (SELECT flight_id, count(*) OVER (ORDER BY landingEpoch
                 RANGE BETWEEN 899999 PRECEDING AND 899999 FOLLOWING) AS traffic FROM kept),
-lab AS (SELECT flight_id, (SELECT fl2.link_id FROM flinks fl2 JOIN edges e ON e.link_id = fl2.link_id AND e.is_exit = 1
-                           WHERE fl2.flight_id = k.flight_id AND fl2.idx >= 1 ORDER BY fl2.idx LIMIT 1) AS exit
-        FROM kept k),
+lab AS (SELECT k.flight_id, arg_min(fl2.link_id, fl2.idx) FILTER (e.is_exit = 1) AS exit
+        FROM kept k LEFT JOIN flinks fl2 ON fl2.flight_id = k.flight_id AND fl2.idx >= 1
+             LEFT JOIN edges e ON e.link_id = fl2.link_id GROUP BY k.flight_id),
 prepared AS (SELECT k.*, t.traffic, l.exit FROM kept k JOIN traf t USING (flight_id) JOIN lab l USING (flight_id)
              WHERE l.exit IS NOT NULL)"""
 
@@ -174,10 +199,10 @@ STEP_T = "STRUCT(link_id VARCHAR, from_node VARCHAR, is_exit INTEGER, length DOU
 
 # Slow / goal / avoided vertices of every landing.
 VERTICES = f"""
-slowpos AS (SELECT f.flight_id,
-                   coalesce((SELECT min(q.i) FROM pdist q WHERE q.flight_id = f.flight_id
-                             AND q.dist / (abs(CAST(q.t1 AS DOUBLE) - CAST(q.t2 AS DOUBLE)) / 1000) < {d(SLOW_SPEED_MS)}) + 1,
-                            {fx.EVENTS_PER_LANDING - 1}) AS si FROM fl f),
+slowpos AS (SELECT f.flight_id, coalesce(min(q.i) + 1, any_value(f.n_pos) - 1) AS si
+            FROM fl f LEFT JOIN pdist q ON q.flight_id = f.flight_id
+                 AND q.dist / (abs(CAST(q.t1 AS DOUBLE) - CAST(q.t2 AS DOUBLE)) / 1000) < {d(SLOW_SPEED_MS)}
+            GROUP BY f.flight_id),
 slow AS (SELECT s.flight_id, p.lat AS slow_lat, p.long AS slow_long FROM slowpos s JOIN pos p ON p.flight_id = s.flight_id AND p.i = s.si),
 lk AS (SELECT l.flight_id, l.idx, l.link_id, e.src, e.dst,
               CASE WHEN e.link_id IS NULL THEN {d(0)} ELSE
@@ -197,9 +222,8 @@ goalv AS (SELECT f.flight_id, CASE WHEN a.src IS NULL OR b.src IS NULL THEN NULL
                                    WHEN a.dst = b.src OR a.dst = b.dst THEN a.src END AS goalV
           FROM fl f JOIN lk a ON a.flight_id = f.flight_id AND a.idx = len(f.link_ids) - 1
                JOIN lk b ON b.flight_id = f.flight_id AND b.idx = len(f.link_ids) - 2),
-avoidv AS (SELECT v.flight_id, (SELECT CASE WHEN l.src = v.slowV THEN l.dst ELSE l.src END FROM lk l
-                                WHERE l.flight_id = v.flight_id AND (l.src = v.slowV OR l.dst = v.slowV)
-                                ORDER BY l.idx LIMIT 1) AS avoidV FROM slowv v),
+avoidv AS (SELECT v.flight_id, arg_min(CASE WHEN l.src = v.slowV THEN l.dst ELSE l.src END, l.idx) AS avoidV
+           FROM slowv v LEFT JOIN lk l ON l.flight_id = v.flight_id AND (l.src = v.slowV OR l.dst = v.slowV) GROUP BY v.flight_id),
 verts AS (SELECT s.flight_id, s.slow_lat, s.slow_long, v.slowV, g.goalV, a.avoidV
           FROM slow s JOIN slowv v ON v.flight_id = s.flight_id JOIN goalv g ON g.flight_id = s.flight_id
                JOIN avoidv a ON a.flight_id = s.flight_id),
@@ -233,7 +257,7 @@ kk AS (SELECT DISTINCT k.start || '|' || k.goal || '|' || coalesce(k.avoid, '')
               CASE WHEN adj.a IS NULL AND k.start <> coalesce(k.avoid, '') THEN k.avoid END AS avoid_eff
        FROM keys0 k LEFT JOIN (SELECT DISTINCT a, b FROM und) adj ON adj.a = k.start AND adj.b = k.goal),
 sp AS (WITH RECURSIVE r(kid, node, g, path) USING KEY (kid, node) AS (
-         SELECT kid, start, {d(0)}, []::{STEP_T}[] FROM kk WHERE start <> goal
+         SELECT kid, start, {d(0)}, []::{STEP_T}[] FROM kk WHERE start <> goal AND goal <> coalesce(avoid, '')
          UNION
          SELECT c.kid, c.node, c.g, c.path FROM (
            SELECT w.kid, u.b AS node, w.g + u.length AS g,
@@ -331,6 +355,60 @@ def _impact(items):
         f"round(avg({a}) - avg({o}), 6) AS difference FROM costed" for lab, o, a in items)
 
 
+CATEGORICAL = ["runway", "depAirport", "aircraftType", "arrGate", "hour", "day", "carrier"]
+CONTINUOUS = ["touchdownLat", "touchdownLong", "decel", "traffic"]
+PART = "CASE WHEN ('0x' || substr(md5(flight_id || ':4873'), 1, 8))::BIGINT % 1000 < 700 THEN 'train' ELSE 'test' END"
+
+
+def _indexed(col: str, src: str) -> str:
+    return (f"SELECT '{col}' AS feature, CAST({col} AS VARCHAR) AS value, row_number() OVER (ORDER BY count(*) DESC, {col}) - 1 AS index "
+            f"FROM {src} GROUP BY {col}")
+
+
+def _model_sql(feat: str, opt: str, net: str, describe: str) -> dict[str, str]:
+    """Split, indexers, vectors and sinks: what of the model both engines can compute."""
+    split = f"{feat}, parts AS (SELECT *, {PART} AS part FROM prepared), train AS (SELECT * FROM parts WHERE part = 'train')"
+    cats = " UNION ALL ".join(_indexed(c, "prepared") for c in CATEGORICAL)
+    index = f"{split}, ix AS ({cats})"
+    order = ["runway", "depAirport", "aircraftType", "arrGate", "touchdownLat", "touchdownLong", "hour", "day", "decel", "carrier", "traffic"]
+    kinds = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, '{'categorical' if c in CATEGORICAL else 'continuous'}' AS kind, count(DISTINCT {c}) AS n_values FROM prepared"
+        for c in order)
+    vector = " UNION ALL ".join(
+        [f"SELECT p.flight_id, CAST({k} AS BIGINT) AS place, CAST(i.index AS DOUBLE) AS value FROM prepared p "
+         f"JOIN ix i ON i.feature = '{c}' AND i.value = p.{c}" for k, c in enumerate(CATEGORICAL)]
+        + [f"SELECT flight_id, CAST({len(CATEGORICAL) + k} AS BIGINT) AS place, round(CAST({c} AS DOUBLE), 6) AS value FROM prepared"
+           for k, c in enumerate(CONTINUOUS)])
+    meta = " UNION ALL ".join(
+        f"SELECT '{c}' AS featureName, 'categorical' AS featureType, (SELECT list(value ORDER BY index) FROM ix WHERE feature = '{c}') AS categories"
+        if c in CATEGORICAL else f"SELECT '{c}' AS featureName, 'continuous' AS featureType, NULL AS categories" for c in CATEGORICAL + CONTINUOUS)
+    meta += " UNION ALL SELECT 'exit', 'categorical', (SELECT list(value ORDER BY index) FROM lx)"
+    label = f"{index}, lx AS ({_indexed('exit', 'train')})"
+    means = ", ".join(f"round(avg({c}), 6) AS {c}" for c in MEASURES[:19])
+    return {
+        "train_test_split": split + " SELECT flight_id, part FROM parts",
+        "split_counts": split + " SELECT coalesce(part, 'total') AS part, count(*) AS count FROM parts GROUP BY ROLLUP (part)",
+        "feature_kinds": feat + " " + kinds,
+        "index_categories": index + " SELECT feature, value, index FROM ix",
+        "index_label": label + " SELECT index AS label, value AS exit FROM lx",
+        "assemble": index + " " + vector,
+        "accuracy": feat + " SELECT avg(CAST(exit = surrogate_exit AS DOUBLE)) * 100 AS accuracy, count(*) AS scored FROM prepared",
+        "sink_feature_json": label + " " + meta,
+        "scan_run_artifacts": label + f" SELECT 'KPHX-run' AS run_id, featureName, featureType, CAST(len(categories) AS BIGINT) AS n_categories FROM ({meta})",
+        "complete_runs": "SELECT 'KPHX-run' AS run_id, 'KPHX' AS airport_code",
+        "list_models": "SELECT 'KPHX-run' AS run_id, 'KPHX' AS airport_code",
+        "sink_df_csv": net + " SELECT ac_type, category FROM sizes",
+        "sink_describe_csv": opt + " " + describe,
+        "sink_result_json": opt + f" SELECT {means}, CAST(least(50, count(*)) AS BIGINT) AS n_samples FROM costed",
+        "dropped_rows": opt + """, typed AS (SELECT * FROM fl WHERE len(link_ids) > 5 AND n_pos > 5),
+            near AS (SELECT p.flight_id FROM prepared p JOIN nadj v ON v.flight_id = p.flight_id)
+            SELECT CAST(0 AS BIGINT) AS step, 'records' AS name, (SELECT count(*) FROM fl) AS n_left
+            UNION ALL SELECT 1, 'filters', (SELECT count(*) FROM typed) UNION ALL SELECT 2, 'deceleration', (SELECT count(*) FROM kept)
+            UNION ALL SELECT 3, 'exit_label', (SELECT count(*) FROM prepared) UNION ALL SELECT 4, 'adjacent_or_no_vertex', (SELECT count(*) FROM near)
+            UNION ALL SELECT 5, 'no_path', (SELECT count(*) FROM paths) UNION ALL SELECT 6, 'no_time', (SELECT count(*) FROM costed)""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     from runwise.plans.catalog import AIRPORT_SPELLINGS, FEATURE_SUBSET
     net = with_ctes(NETWORK)
@@ -361,7 +439,7 @@ def oracle_sql() -> dict[str, str]:
         "has_slow_vertex": graph + " SELECT flight_id FROM verts WHERE slowV IS NOT NULL",
         "has_goal_vertex": graph + " SELECT flight_id FROM verts WHERE goalV IS NOT NULL",
         "slow_ne_goal": graph + " SELECT flight_id FROM verts WHERE goalV <> slowV",
-        "parse_items": flt + " SELECT flight_id, CAST(10 AS BIGINT) AS n_positions, CAST(len(link_ids) AS BIGINT) AS n_links, "
+        "parse_items": flt + " SELECT flight_id, CAST(n_pos AS BIGINT) AS n_positions, CAST(len(link_ids) AS BIGINT) AS n_links, "
                              "link_ids[1] AS first_link, link_ids[len(link_ids)] AS last_link FROM fl",
         "path_edges": opt + " SELECT flight_id, CAST(generate_subscripts(optPath, 1) - 1 AS BIGINT) AS idx, "
                             "unnest(list_transform(optPath, lambda s: s.link_id)) AS link_id, "
@@ -385,19 +463,19 @@ def oracle_sql() -> dict[str, str]:
         "link_by_id": net + " SELECT link_id, link_name, src, dst, round(src_lat, 7) AS src_lat, round(dst_lat, 7) AS dst_lat "
                             "FROM ecoord WHERE link_id = '2001'",
         "scan_size_classes": net + " SELECT ac_type, category FROM sizes",
-        "scan_exit_boxes": net + " SELECT exit_id, CAST(box_order AS BIGINT) AS box_order, round(lat, 7) AS lat, "
+        "scan_exit_boxes": net + " SELECT exit_id, row_number() OVER (ORDER BY box_order) AS box_order, round(lat, 7) AS lat, "
                                  "round(long_upper, 7) AS long_upper, round(long_lower, 7) AS long_lower FROM boxes",
         "airport_code": f"SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, airport, {code_case} AS code FROM "
                         f"(SELECT n_nationkey, {spell}[n_nationkey % {len(AIRPORT_SPELLINGS)} + 1] AS airport FROM nation)",
-        "scan_flights": txt + """ SELECT f.flight_id, CAST(10 AS BIGINT) AS n_positions, CAST(len(f.link_ids) AS BIGINT) AS n_links,
+        "scan_flights": txt + """ SELECT f.flight_id, CAST(f.n_pos AS BIGINT) AS n_positions, CAST(len(f.link_ids) AS BIGINT) AS n_links,
               p0.epoch_ms AS first_epoch, p9.epoch_ms AS last_epoch, round(p1.long, 7) AS second_long,
               f.link_ids[1] AS first_link, f.link_ids[len(f.link_ids)] AS last_link
             FROM fl f JOIN parsed p0 ON p0.flight_id = f.flight_id AND p0.i = 0
-                 JOIN parsed p1 ON p1.flight_id = f.flight_id AND p1.i = 1 JOIN parsed p9 ON p9.flight_id = f.flight_id AND p9.i = 9""",
+                 LEFT JOIN parsed p1 ON p1.flight_id = f.flight_id AND p1.i = 1
+                 JOIN parsed p9 ON p9.flight_id = f.flight_id AND p9.i = f.n_pos - 1""",
         "arrivals_only": flt + " SELECT flight_id FROM fl WHERE flight_id % 7 <> 0",
         "drop_null_literals": flt + " SELECT flight_id FROM fl WHERE flight_id % 7 NOT IN (0, 1)",
-        "min_items": flt + " SELECT flight_id FROM fl WHERE flight_id % 7 NOT IN (0, 1) AND len(link_ids) > 5 "
-                           f"AND {fx.EVENTS_PER_LANDING} > 5",
+        "min_items": flt + " SELECT flight_id FROM fl WHERE flight_id % 7 NOT IN (0, 1) AND len(link_ids) > 5 AND n_pos > 5",
         "den_link_patch": flt + " SELECT flight_id FROM fl WHERE len(list_filter(link_ids, lambda x: regexp_full_match(x, '10[0-9]{3}'))) > 0",
         "touchdown": flt + " SELECT flight_id, round(lat, 7) AS touchdownLat, round(long, 7) AS touchdownLong FROM pos WHERE i = 0",
         "hour_day": flt + " SELECT flight_id, strftime(make_timestamp(epoch_ms * 1000), '%H') AS hour, "
@@ -411,13 +489,14 @@ def oracle_sql() -> dict[str, str]:
         "labelled_only": feat + " SELECT flight_id, exit FROM lab WHERE exit IS NOT NULL",
         "label_exit_geofence": flt + f""", gf AS (SELECT p.flight_id, p.i, b.exit_id, b.box_order
               FROM pos p JOIN pos p0 ON p0.flight_id = p.flight_id AND p0.i = 0
-                   JOIN pos p3 ON p3.flight_id = p.flight_id AND p3.i = 3, boxes b
+                   JOIN fl g ON g.flight_id = p.flight_id
+                   JOIN pos p3 ON p3.flight_id = p.flight_id AND p3.i = CASE WHEN g.n_pos > 3 THEN 3 ELSE g.n_pos - 1 END, boxes b
               WHERE p.i >= 1 AND abs(abs(p.lat) - abs(b.lat)) < {d(0.00016)} AND abs(p.long) < abs(b.long_upper)
                 AND abs(p.long) > abs(b.long_lower)
                 AND abs({_angle('p0.long', 'abs(p0.lat)', 'p3.long', 'abs(p3.lat)')}
                         - {_angle('p0.long', 'abs(p0.lat)', 'p.long', 'abs(p.lat)')}) < {d(4.0)})
-            SELECT f.flight_id, (SELECT exit_id FROM gf WHERE gf.flight_id = f.flight_id ORDER BY i, box_order LIMIT 1) AS exit
-            FROM fl f""",
+            SELECT f.flight_id, arg_min(gf.exit_id, (gf.i, gf.box_order)) AS exit
+            FROM fl f LEFT JOIN gf ON gf.flight_id = f.flight_id GROUP BY f.flight_id""",
         "prepare_landings": feat + " SELECT flight_id, exit, runway, depAirport, aircraftType, arrGate, "
                                    "round(touchdownLat, 7) AS touchdownLat, round(touchdownLong, 7) AS touchdownLong, "
                                    "hour, day, decel, carrier, traffic FROM prepared",
@@ -429,7 +508,7 @@ def oracle_sql() -> dict[str, str]:
         "first_last_of_array": flt + " SELECT flight_id, link_ids[1] AS first_link, link_ids[2] AS second_link, "
                                      "link_ids[len(link_ids) - 1] AS second_last_link, link_ids[len(link_ids)] AS last_link FROM fl",
         "flat_angle": flt + f" SELECT p0.flight_id, round({_angle('p0.long', 'abs(p0.lat)', 'p3.long', 'abs(p3.lat)')}, 6) AS angle "
-                            "FROM pos p0 JOIN pos p3 ON p3.flight_id = p0.flight_id AND p3.i = 3 WHERE p0.i = 0",
+                            "FROM pos p0 LEFT JOIN pos p3 ON p3.flight_id = p0.flight_id AND p3.i = 3 WHERE p0.i = 0",
         "slow_vertex": graph + " SELECT flight_id, round(slow_lat, 7) AS slow_lat, round(slow_long, 7) AS slow_long, slowV FROM verts",
         "goal_vertex": graph + " SELECT flight_id, goalV FROM verts",
         "avoid_vertex": graph + " SELECT flight_id, avoidV FROM verts",
@@ -478,24 +557,27 @@ def oracle_sql() -> dict[str, str]:
               round({_fold("optPath[1:coalesce(list_position(list_transform(optPath, lambda s: s.is_exit = 1), true), 0)]")}, 3) AS rot_ft,
               round({_fold('optPath')} - {_fold("optPath[1:coalesce(list_position(list_transform(optPath, lambda s: s.is_exit = 1), true), 0)]")}, 3)
                 AS taxi_ft FROM costed""",
-        "path_overlay": opt + """, smp AS (SELECT flight_id, slowV, optPath, predPath FROM costed ORDER BY flight_id LIMIT 50),
-            onp AS (SELECT flight_id, slowV, unnest(list_transform(optPath, lambda s: s.link_id)) AS link_id, 1 AS o, 0 AS p FROM smp
-                    UNION ALL SELECT flight_id, slowV, unnest(list_transform(predPath, lambda s: s.link_id)), 0, 1 FROM smp),
-            fl2 AS (SELECT flight_id, slowV, link_id, max(o) AS on_opt, max(p) AS on_pred FROM onp GROUP BY ALL)
-            SELECT f.flight_id, f.link_id, CAST(f.on_opt AS BIGINT) AS on_opt, CAST(f.on_pred AS BIGINT) AS on_pred,
-                   CAST(e.is_exit AS BIGINT) AS is_exit, (e.src = f.slowV OR e.dst = f.slowV) AS touches_slow,
+        "path_overlay": opt + """, smp AS (SELECT * FROM costed ORDER BY md5(CAST(flight_id AS VARCHAR)), flight_id LIMIT 50)
+            SELECT s.flight_id, e.link_id,
+                   CAST(list_contains(list_transform(s.optPath, lambda x: x.link_id), e.link_id) AS BIGINT) AS on_opt,
+                   CAST(list_contains(list_transform(s.predPath, lambda x: x.link_id), e.link_id) AS BIGINT) AS on_pred,
+                   CAST(e.is_exit AS BIGINT) AS is_exit, (e.src = s.slowV OR e.dst = s.slowV) AS touches_slow,
                    round(e.src_lat, 7) AS src_lat, round(e.src_long, 7) AS src_long,
                    round(e.dst_lat, 7) AS dst_lat, round(e.dst_long, 7) AS dst_long
-            FROM fl2 f LEFT JOIN ecoord e ON e.link_id = f.link_id""",
+            FROM smp s, ecoord e""",
+        "node_overlay": opt + """, smp AS (SELECT * FROM costed ORDER BY md5(CAST(flight_id AS VARCHAR)), flight_id LIMIT 50)
+            SELECT s.flight_id, n.node_id, n.node_name, round(n.lat, 7) AS lat, round(n.long, 7) AS long, n.node_id = s.slowV AS is_slow
+            FROM smp s, nodes n""",
         "top_sample": opt + " SELECT flight_id, aircraftType, slowV, predictedExit, round(optROT, 6) AS optROT, "
-                            "round(savings, 6) AS savings FROM costed ORDER BY flight_id LIMIT 50",
+                            "round(savings, 6) AS savings FROM costed ORDER BY md5(CAST(flight_id AS VARCHAR)), flight_id LIMIT 50",
     }
     base.update(extra)
+    base.update(_model_sql(feat, opt, net, describe))
     base["project_vertices"] = base["scan_nodes"]
     base["project_edges"] = base["scan_links"]
     base["traffic_band_join"] = base["range_frame"] = base["traffic"]
     base["parse_epoch_ms"] = base["scan_flights"].replace(
-        "SELECT f.flight_id, CAST(10 AS BIGINT) AS n_positions, CAST(len(f.link_ids) AS BIGINT) AS n_links,\n"
+        "SELECT f.flight_id, CAST(f.n_pos AS BIGINT) AS n_positions, CAST(len(f.link_ids) AS BIGINT) AS n_links,\n"
         "              p0.epoch_ms AS first_epoch, p9.epoch_ms AS last_epoch, round(p1.long, 7) AS second_long,\n"
         "              f.link_ids[1] AS first_link, f.link_ids[len(f.link_ids)] AS last_link",
         "SELECT f.flight_id, p0.epoch_ms AS first_epoch, p9.epoch_ms AS last_epoch")

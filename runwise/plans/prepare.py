@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from runwise.constants import ALL_FEATURES
@@ -18,8 +17,6 @@ def featurize(typed: DataFrame) -> DataFrame:
     df = L.decel_filter(L.with_decel(df))
     df = L.with_carrier(df)
     df = L.with_landing_epoch(df)
-    # the traffic count reads the epochs of this frame and joins back to it: compute it once
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     return L.with_traffic(df)
 
 

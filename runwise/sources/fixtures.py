@@ -1,7 +1,8 @@
 """Domain inputs derived from the driver's tables (deterministic, SQL-expressible).
 
 * taxiway network: a 25 x 5 grid from ``nation`` (column c) and ``region`` (row r)
-* landings: chunks of 10 consecutive ``events`` of one user become one landing
+* landings: chunks of up to 10 consecutive ``events`` of one user become one landing, with
+  short, long, off-axis, mislabelled and cut records among them, so that every filter has rows to drop
 * aircraft size classes: from the distinct ``part`` brands
 * exit boxes: one box around the runway end of every exit link
 
@@ -14,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runwise.constants import AIRPORT_NAMES  # noqa: F401  (kept for callers)
 from runwise.operators.numbering import number_within
+from runwise.session import materialise
 
 # FIXED VALUES of the fixture layout (grid geometry and synthetic motion).
 GRID_COLS = 25                 # nation keys 0..24
@@ -27,6 +28,9 @@ STEP_LONG = 0.0012
 H_BASE_FT = 306000 * 0.0012    # horizontal link base length, feet
 V_BASE_FT = 365000 * 0.0015    # vertical link base length, feet
 EVENTS_PER_LANDING = 10
+LONG_LANDING = 24              # positions of landings of every ninth user: more than deceleration reads
+LAT_DRIFT = [0.0, 0.00002, -0.00004, 0.0, 0.0]   # degrees per position, by user
+VARIANTS = 11                  # kinds of link lists, by user and chunk
 METRES_PER_DEG_LONG = 92900.0
 CALLSIGN_PREFIXES = ["AAL", "SWA", "UAL"]
 SIZE_CATEGORIES = ["GA", "Small", "Medium", "Large", "Super"]
@@ -47,7 +51,7 @@ def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c"))
     region = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("rk"))
     rows = nation.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(GRID_ROWS - 1))))
-    return rows.join(F.broadcast(region), rows.r == region.rk, "inner").select("r", "c")
+    return rows.join(region, rows.r == region.rk, "inner").select("r", "c")
 
 
 def raw_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,43 +99,56 @@ def size_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _landing_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per complete chunk of 10 events of a user: (u, chunk, t0 epoch ms)."""
+    """One row per chunk of up to 10 events of a user: (u, chunk, n events, t0 epoch ms)."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
-    numbered = number_within(ev, "user_id", ["ts", "event_id"], "rn")
+    numbered = number_within(ev, "user_id", ["ts", "event_id"], "rn", F.to_date("ts"))
     return (numbered.withColumn("chunk", F.floor((F.col("rn") - 1) / EVENTS_PER_LANDING))
             .groupBy("user_id", "chunk")
             .agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("t_first"))
-            .where(F.col("n") == EVENTS_PER_LANDING)
-            .select(F.col("user_id").alias("u"), F.col("chunk").cast("bigint").alias("chunk"),
+            .select(F.col("user_id").alias("u"), F.col("chunk").cast("bigint").alias("chunk"), "n",
                     F.floor(F.unix_micros(F.col("t_first").cast("timestamp")) / 1000).cast("bigint").alias("t0")))
 
 
 def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed landing records.
+    """Typed landing records, written once like an input table.
 
     Columns: flight_id, callsign, runway, depAirport, arrAirport, aircraftType, arrGate,
     positions array<struct<lat,long,epoch_ms>>, link_ids array<string>, surrogate_exit.
     """
+    return materialise(_flights(spark, sf_dir))
+
+
+def _flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     ch = _landing_chunks(spark, sf_dir)
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nk"), F.col("n_name").alias("depAirport"))
     u, chunk = F.col("u"), F.col("chunk")
     v0 = F.lit(55) + u % 15
     acc = F.when(u % 10 == 0, F.lit(0.2)).otherwise(F.lit(1.0) + F.lit(0.5) * (chunk % 3))
+    n_pos = F.when((F.col("n") == EVENTS_PER_LANDING) & (u % 9 == 4), F.lit(LONG_LANDING)).otherwise(F.col("n")).cast("int")
+    drift = F.get(F.array(*[F.lit(x) for x in LAT_DRIFT]), (u % len(LAT_DRIFT)).cast("int"))
     positions = F.transform(
-        F.sequence(F.lit(0), F.lit(EVENTS_PER_LANDING - 1)),
+        F.sequence(F.lit(0), n_pos - 1),
         lambda s: F.struct(
-            F.lit(BASE_LAT).alias("lat"),
+            (F.lit(BASE_LAT) + drift * s).alias("lat"),
             (F.lit(BASE_LONG) + ((v0 * (2 * s)) - (acc / 2.0) * ((2 * s) * (2 * s))) / METRES_PER_DEG_LONG).alias("long"),
             (F.col("t0") + F.lit(2000) * s).cast("bigint").alias("epoch_ms")))
     e = F.lit(10) + F.lit(3) * (u % 3)
     g = e + 3 + u % 4
-    link_ids = F.concat(
+    route = F.concat(
         F.transform(F.sequence(F.lit(1000), F.lit(1000) + e - 1), lambda x: x.cast("string")),
         F.array((F.lit(2000) + e).cast("string")),
         F.transform(F.sequence(F.lit(1025) + e, F.lit(1025) + g - 1), lambda x: x.cast("string")),
         F.array((F.lit(2025) + g).cast("string")))
+    kind = (u + chunk) % VARIANTS
+    unknown = F.array(F.concat(F.lit("10"), F.lpad((u % 1000).cast("string"), 3, "0")))
+    link_ids = (F.when(kind == 3, F.concat(unknown, route))           # unknown first link
+                .when(kind == 5, F.concat(route, unknown))            # unknown last link: no goal
+                .when(kind == 7, F.slice(route, 1, e + 2))            # cut short: start and goal meet
+                .when(kind == 8, F.transform(F.sequence(F.lit(2025) + u % 20, F.lit(2030) + u % 20),
+                                             lambda x: x.cast("string")))   # links that don't touch each other
+                .when(kind == 9, F.slice(route, 1, 4)).otherwise(route))    # too few items
     out = ch.select(
-        (u * 1000 + chunk).alias("flight_id"), u, chunk,
+        (u * 10000000 + chunk).alias("flight_id"), u, chunk,
         F.concat(F.get(F.array(*[F.lit(p) for p in CALLSIGN_PREFIXES]), (u % 3).cast("int")), u.cast("string")).alias("callsign"),
         F.when(u % 2 == 0, F.lit("07L")).otherwise(F.lit("25R")).alias("runway"),
         F.lit("KPHX").alias("arrAirport"),
@@ -140,7 +157,7 @@ def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
         positions.alias("positions"), link_ids.alias("link_ids"),
         (F.lit(2000) + e + 3).cast("string").alias("surrogate_exit"),
         (u % 25).cast("int").alias("nk"))
-    out = out.join(F.broadcast(nation), "nk", "left")
+    out = out.join(nation, "nk", "left")
     return out.select("flight_id", "callsign", "runway", "depAirport", "arrAirport", "aircraftType",
                       "arrGate", "positions", "link_ids", "surrogate_exit")
 

@@ -1,55 +1,47 @@
-"""Readers for the input files (S1-S5): explicit schemas, no inference.
+"""Readers for the input files (S1-S6): columns are found by the names in the header.
 
-Every input column of the original files is text; the readers keep the file's
-column names, so the typed projections in ``operators.network`` and
-``operators.landings`` apply unchanged.  Parquet copies read the same way.
+Files may hold more columns, in any order; every column used is text, and the typed projections in
+``operators.network`` and ``operators.landings`` convert it.  A missing name is an error, and so
+is a set of files whose headers differ.  Parquet copies read the same way.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from runwise.constants import AIRPORT_NAMES
 
 FLIGHT_COLUMNS = ["callsign", "runway", "positions", "links", "depAirport", "arrAirport", "aircraftType", "arrGate"]
-NODE_COLUMNS = ["NodeID", "AirportCode", "NodeName", "Latitude", "Longitude", "Diameter", "NodeTypeID",
-                "RunwayAssociation", "SpotFlag"]
-LINK_COLUMNS = ["LinkID", "LinkName", "AirportCode", "NodeNameFrom", "NodeNameTo", "Length", "MaxSpeed",
-                "MinimumAircraftSeparationDistance", "LinkTypeID", "RunwayAssociation"]
 
 
-def _text_schema(cols: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType()) for c in cols])
-
-
-def _read(spark: SparkSession, path: str, cols: list[str], fmt: str) -> DataFrame:
+def _read(spark: SparkSession, path: str, cols: list[str], fmt: str, keep: list[str] | None = None) -> DataFrame:
     if fmt == "parquet":
-        return spark.read.parquet(path)
-    return spark.read.schema(_text_schema(cols)).option("header", True).option("mode", "PERMISSIVE").csv(path)
+        df = spark.read.parquet(path)
+    else:
+        df = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(path)
+    missing = [c for c in [*cols, *(keep or [])] if c.lower() not in {x.lower() for x in df.columns}]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; its header is {', '.join(df.columns)}")
+    return df
 
 
-def read_flights(spark: SparkSession, path: str, fmt: str = "csv", columns: list[str] | None = None) -> DataFrame:
-    """Landing records (glob allowed); only the used columns are kept, all as text.
-
-    ``columns`` is the full header of the files when they carry more columns than the
-    used ones (duplicate names must be made unique by the caller's header list).
-    """
-    df = _read(spark, path, columns or FLIGHT_COLUMNS, fmt)
-    return df.select(*FLIGHT_COLUMNS)
+def read_flights(spark: SparkSession, path: str, fmt: str = "csv", keep: list[str] | None = None) -> DataFrame:
+    """Landing records (glob allowed); the used columns and ``keep``, all as text."""
+    cols = [*(keep or []), *FLIGHT_COLUMNS]
+    return _read(spark, path, FLIGHT_COLUMNS, fmt, keep).select(*[F.col(c).cast("string").alias(c) for c in cols])
 
 
 def read_nodes(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """S3: vertices; the typed projection keeps nodeID, nodeName, latitude, longitude."""
-    df = _read(spark, path, NODE_COLUMNS, fmt)
-    return df.select(F.col("NodeID").alias("nodeID"), F.col("NodeName").alias("nodeName"),
-                     F.col("Latitude").alias("latitude"), F.col("Longitude").alias("longitude"))
+    cols = ["nodeID", "nodeName", "latitude", "longitude"]
+    return _read(spark, path, cols, fmt).select(*[F.col(c).alias(c) for c in cols])
 
 
 def read_links(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """S3: links with LinkID, LinkName, NodeNameFrom, NodeNameTo, Length (feet)."""
-    return _read(spark, path, LINK_COLUMNS, fmt).select("LinkID", "LinkName", "NodeNameFrom", "NodeNameTo", "Length")
+    """S3: LinkID, LinkName, NodeNameFrom, NodeNameTo, Length (feet), and the row's place in the file."""
+    cols = ["LinkID", "LinkName", "NodeNameFrom", "NodeNameTo", "Length"]
+    return _read(spark, path, cols, fmt).select(*[F.col(c).alias(c) for c in cols], F.monotonically_increasing_id().alias("row_order"))
 
 
 def read_size_classes(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -60,20 +52,17 @@ def read_size_classes(spark: SparkSession, path: str, fmt: str = "csv") -> DataF
 
 
 def read_exit_boxes(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """exitID, lat, longUpper, longLower -> typed boxes with their file order."""
+    """exitID, lat, longUpper, longLower -> typed boxes with their file order.
+
+    Boxes are a config of a few dozen rows of one file, so one ordered window numbers them.
+    """
     df = _read(spark, path, ["exitID", "lat", "longUpper", "longLower"], fmt)
     return df.select(F.col("exitID").alias("exit_id"),
-                     F.row_number().over(_file_order()).cast("int").alias("box_order"),
+                     F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("int").alias("box_order"),
                      F.col("lat").cast("double").alias("lat"), F.col("longUpper").cast("double").alias("long_upper"),
                      F.col("longLower").cast("double").alias("long_lower"))
 
 
-def _file_order():
-    from pyspark.sql import Window
-    # an exit-box config is a few dozen rows: a single ordered window is fine here
-    return Window.orderBy(F.monotonically_increasing_id())
-
-
 def airport_code(name) -> F.Column:
     """Airport name or code (any case) -> ICAO code; unknown -> NULL."""
     m = F.create_map(*[x for k, v in AIRPORT_NAMES.items() for x in (F.lit(k), F.lit(v))])

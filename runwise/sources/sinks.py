@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runwise.operators.summary import MEAN_MEASURES, describe
 
@@ -17,15 +18,15 @@ SAMPLE_COLS = ["flight_id", "aircraftType", "size_class", "optROT", "optTT", "ac
                "predPath", "slowV", "totalOptCost", "totalActualCost", "savings", "predictedExit"]
 
 
-def write_csv_single(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One CSV file with header (only for small results)."""
-    df.coalesce(1).write.mode(mode).option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """CSV with header, one file per partition of the frame."""
+    df.write.mode(mode).option("header", True).csv(path)
 
 
 def write_summary(costed: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
     """Count / mean / stddev / min / max of the 21 measures as one CSV file."""
     d = describe(costed)
-    write_csv_single(d, path, mode)
+    write_csv(d.coalesce(1), path, mode)  # five rows
     return d
 
 
@@ -43,18 +44,36 @@ def write_result(doc: DataFrame, path: str, mode: str = "overwrite") -> None:
     doc.coalesce(1).write.mode(mode).text(path)
 
 
-def write_run(run_row: DataFrame, root: str) -> None:
-    """Append the run record to the `runs` table, partitioned by run_id."""
-    run_row.write.mode("append").partitionBy("run_id").parquet(f"{root}/runs")
+def read_result(spark: SparkSession, path: str, samples: DataFrame) -> DataFrame:
+    """A result file as typed columns: the means, and the samples with the types of ``samples``."""
+    cols = [c for c in SAMPLE_COLS if c in samples.columns]
+    fields = [T.StructField(c, T.DoubleType()) for c in MEAN_MEASURES]
+    fields.append(T.StructField("samples", T.ArrayType(T.StructType([samples.schema[c] for c in cols]))))
+    return spark.read.text(path).select(F.from_json("value", T.StructType(fields)).alias("r")).select("r.*")
+
+
+def _write_part(df: DataFrame, root: str, name: str, run_id: str) -> None:
+    """The run's partition of a table; a rerun replaces it and leaves other runs alone."""
+    df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy("run_id").parquet(f"{root}/{name}")
+
+
+def write_run(run_row: DataFrame, root: str, run_id: str) -> None:
+    """The run record."""
+    _write_part(run_row.drop("run_id"), root, "runs", run_id)
 
 
 def write_features(meta: DataFrame, root: str, run_id: str) -> None:
     """Feature metadata of a run."""
-    meta.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{root}/features")
+    _write_part(meta, root, "features", run_id)
 
 
-def write_results(doc: DataFrame, root: str, run_id: str) -> None:
-    doc.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{root}/results")
+def write_results(costed: DataFrame, samples: DataFrame, root: str, run_id: str) -> None:
+    """The result document, and its typed parts: means, samples and the costed landings."""
+    _write_part(result_document(costed, samples), root, "documents", run_id)
+    _write_part(costed.agg(*[F.avg(c).alias(c) for c in MEAN_MEASURES]), root, "results", run_id)
+    _write_part(samples, root, "samples", run_id)
+    _write_part(costed, root, "costed", run_id)
 
 
 def save_model(model: PipelineModel, root: str, run_id: str) -> str:
@@ -68,20 +87,29 @@ def load_model(root: str, run_id: str) -> PipelineModel:
     return PipelineModel.load(f"{root}/models/{run_id}")
 
 
+RUN_TABLES = ("runs", "features", "results", "samples", "costed")
+
+
 def read_run(spark: SparkSession, root: str, run_id: str) -> dict[str, DataFrame]:
-    """The artifacts of one run (partition pruning on run_id)."""
-    return {name: spark.read.parquet(f"{root}/{name}").where(F.col("run_id") == run_id)
-            for name in ("runs", "features", "results")}
+    """The artifacts of one run as typed tables (partition pruning on run_id)."""
+    return {name: spark.read.parquet(f"{root}/{name}").where(F.col("run_id") == run_id) for name in RUN_TABLES}
+
+
+def saved_models(spark: SparkSession, root: str) -> DataFrame:
+    """Run ids with a saved model, from the model folders' metadata files (contents aren't read)."""
+    files = spark.read.format("binaryFile").load(f"{root}/models/*/metadata/part-*").select("path")
+    return files.select(F.regexp_extract("path", r"/models/([^/]+)/metadata/", 1).alias("run_id")).distinct()
 
 
 def list_models(spark: SparkSession, root: str) -> DataFrame:
-    """Run ids that have a saved model record."""
-    return spark.read.parquet(f"{root}/runs").select("run_id", "airport_code").distinct()
+    """Run ids that have a saved model."""
+    return spark.read.parquet(f"{root}/runs").join(saved_models(spark, root), "run_id", "left_semi") \
+        .select("run_id", "airport_code").distinct()
 
 
 def complete_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Runs for which run info, feature metadata and results all exist."""
-    runs = spark.read.parquet(f"{root}/runs")
+    """Runs for which run info, feature metadata, results and the forest all exist."""
+    runs = spark.read.parquet(f"{root}/runs").join(saved_models(spark, root), "run_id", "left_semi")
     for name in ("features", "results"):
         runs = runs.join(spark.read.parquet(f"{root}/{name}").select("run_id").distinct(), "run_id", "left_semi")
     return runs

@@ -17,7 +17,7 @@ def _entry():
 def test_entry_and_registry(spark):
     mod = _entry()
     df = mod.entry(spark)
-    assert df.count() == 81 and "exit" in df.columns
+    assert df.count() == 71 and "exit" in df.columns
     q, o = mod.queries(), mod.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 70
 
@@ -33,7 +33,8 @@ def test_oracles_agree_on_cheap_queries(spark, sf):
     for t in TABLES.split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     q, o = mod.queries(), mod.oracle_sql()
-    for name in ["scan_links", "is_exit_link", "scan_flights", "decel", "traffic", "label_exit_geofence",
+    for name in ["scan_links", "is_exit_link", "scan_flights", "decel", "traffic", "label_exit_geofence", "min_items", "den_link_patch",
+                 "labelled_only", "train_test_split", "index_categories", "sink_df_csv",
                  "vincenty_m", "airport_code", "size_class_join"]:
         sdf = q[name](spark, sf)
         rel = con.sql(o[name])
@@ -44,7 +45,7 @@ def test_oracles_agree_on_cheap_queries(spark, sf):
 def test_run_analysis_and_registry(spark, sf):
     from runwise.plans import catalog
     run = catalog.q_run_analysis(spark, sf).first()
-    assert run.airport_code == "KPHX" and run.train_count + run.test_count == 81 and 0 <= run.accuracy <= 100
+    assert run.airport_code == "KPHX" and run.train_count + run.test_count == 71 and 0 <= run.accuracy <= 100
     nodes = catalog.q_inspect_run(spark, sf)
     assert nodes.where("condition LIKE 'Predict Exit %'").count() > 0
     assert catalog.q_complete_runs(spark, sf).count() >= 1

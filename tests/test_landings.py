@@ -31,10 +31,58 @@ def test_items_rounding_time(spark):
     assert spark.createDataFrame([("AAL123",)], "c string").select(L.carrier(F.col("c"))).first()[0] == "AAL"
 
 
-def test_fixture_stage_counts(spark, sf):
+def test_traffic_against_all_pairs(spark):
+    import random
+    rng = random.Random(3)
+    at = [rng.randrange(10**12, 10**12 + 30_000_000) for _ in range(300)] + [10**12] * 5
+    got = {r[0]: r[1] for r in L.traffic_by_epoch(spark.createDataFrame([(x,) for x in at], "landingEpoch long")).collect()}
+    assert got == {x: sum(abs(x - y) < 900000 for y in at) for x in at}
+
+
+def test_fixture_rows_reach_every_filter(spark, sf):
     fl = fx.flights(spark, sf)
-    assert fl.count() == 94
-    assert L.decel_filter(L.with_decel(fl)).count() == 81
+    assert fl.count() == 108 and L.typed_filters(fl, "KPHX").count() < 108
+    assert L.decel_filter(L.with_decel(fl)).count() == 89
+    sizes = {r[0] for r in fl.select(F.size("positions")).distinct().collect()}
+    assert min(sizes) < 6 and max(sizes) > 20
+
+
+def test_decel_reads_twenty_positions(spark):
+    def landing(n, late=0.0):
+        return [(33.43, -112.0 + 1e-4 * (k * 5 - k * k / 20) + (late if k > 19 else 0), 10**12 + 2000 * k) for k in range(n)]
+    rows = [(1, landing(20)), (2, landing(24, 0.5)), (3, landing(1)), (4, landing(2)), (5, [])]
+    df = spark.createDataFrame(rows, "flight_id long, positions array<struct<lat:double,long:double,epoch_ms:bigint>>")
+    got = {r["flight_id"]: r["decel"] for r in L.with_decel(df).collect()}
+    assert got[1] == got[2] is not None and got[3] is None and got[4] is None and got[5] is None
+
+
+def test_repeated_records_keep_their_own_links(spark, sf):
+    from runwise.operators import paths as P
+    from runwise.operators.network import NetworkIndex
+    nodes, edges = catalog.network(spark, sf)
+    df = spark.createDataFrame([(1, ["1000", "1001"]), (1, ["1000", "1001"]), (1, ["1002", "x", None]), (2, [])], "flight_id long, link_ids array<string>")
+    got = sorted((r["flight_id"], [None if x is None else x["src"] for x in r["_links"] or []])
+                 for r in P.with_link_info(df, NetworkIndex(nodes, edges)).collect())
+    assert got == [(1, ["0", "1"]), (1, ["0", "1"]), (1, ["2", None, None]), (2, [])]
+
+
+def test_label_exit(spark):
+    exits = spark.createDataFrame([("7",), ("9",), ("7",)], "link_id string")
+    df = spark.createDataFrame([(1, ["7", "1", "9", "7"]), (1, ["1", "2"]), (1, ["1", "2"]), (2, ["1", "7"])], "flight_id long, link_ids array<string>")
+    assert sorted((r["flight_id"], r["exit"] or "") for r in L.label_exit(df, exits).collect()) == [(1, ""), (1, ""), (1, "9"), (2, "7")]
+
+
+def test_boxes(spark):
+    def run(lat, longs):
+        return [(lat, x, 1000 * k) for k, x in enumerate(longs)]
+    rows = [(1, run(33.4, [-112.00, -112.01, -112.02, -112.03])), (1, run(33.4, [-112.00, -112.001, -112.002, -112.003])), (2, run(33.5, [-112.0, -112.02])),
+            (3, [(33.4, -112.0, 0)])]
+    df = spark.createDataFrame(rows, "flight_id long, positions array<struct<lat:double,long:double,epoch_ms:bigint>>")
+    boxes = spark.createDataFrame([("late", 1, 33.4, -112.031, -112.029), ("early", 2, 33.4, -112.021, -112.019), ("turned", 3, 33.4, -112.0, -112.1)],
+                                  "exit_id string, box_order int, lat double, long_upper double, long_lower double")
+    got = sorted((r["flight_id"], r["exit"] or "") for r in L.label_exit_by_box(df, boxes).collect())
+    assert got == [(1, ""), (1, "early"), (2, ""), (3, "")]
+    assert [r["exit_id"] for r in L.check_boxes(boxes).where("NOT usable").collect()] == ["turned"]
 
 
 def test_preprocessor_intentions(spark, sf):

@@ -1,46 +1,25 @@
 from pyspark.sql import functions as F
 
-from runwise.operators.network import is_exit
-
-# FIXED VALUES: 67 hand-listed exit link names of an airport sample; the name patterns
-# flag 45 of them (the other 22 also contain the runway pattern).
-EXIT_SAMPLE = """B.n1_08/26.1 B.n12_08/26.12 B.n13_08/26.13 B.n2_08/26.2 B.n3_08/26.3 B.n4_08/26.4 07L/25R.3_E.n3
-07L/25R.4_E.n4 07L/25R.5_E.n5 07L/25R.6_E.n6 F.n10_07L/25R.10 F.n11_07L/25R.11 F.n12_07L/25R.12 F.n13_07L/25R.13
-F.n3_07L/25R.3 F.n4_07L/25R.4 F.n8_07L/25R.8 F.n3_07R/25L.n1 F.nG4_07R/25L.n4 F.n5_07R/25L.n5 F.nG6_07R/25L.nG6
-F.nG8_07R/25L.n8 H.n1_07R/25L.n1 H.n2_07R/25L.nH2 H.n4_07R/25L.n4 H.n6_07R/25L.nH6 H.n7_07R/25L.n7 B.n15_08/26.13
-|Taxiway Intersection (11)_08/26.13|Taxiway Intersection (10)_08/26.12|Taxiway Intersection (9)_08/26.11
-|08/26.8_Taxiway Intersection (7)|Taxiway Intersection (6)_08/26.7|08/26.6_Taxiway Intersection (5)
-|Taxiway Intersection (4)_08/26.4|Taxiway Intersection (3)_08/26.3|08/26.2_Taxiway Intersection (2)
-|08/26.1_Taxiway Intersection (1)|
-B.n1108/26.11_08/26.11 08/26.1008/26.11_B.n1108/26.11 B.n808/26.8_08/26.8 08/26.708/26.8_B.n808/26.8
-B.n708/26.7_08/26.7 B.n608/26.6_08/26.6 08/26.608/26.7_B.n608/26.6 B.n508/26.5_08/26.5 B.n908/26.9_08/26.9
-B.n1008/26.10_08/26.10 |08/26.1008/26.1008/26.11_Taxiway Intersection (8)| 08/26.1008/26.1008/26.11_B.n1008/26.10
-07L/25R.13_07L/25R.13E.n13 07L/25R.12_07L/25R.12E.n12 07L/25R.11_07L/25R.11E.n11 07L/25R.1007L/25R.11_07L/25R.11E.n11
-07L/25R.10_07L/25R.10E.n10 07L/25R.9_07L/25R.9E.n9 F.n907L/25R.9_07L/25R.9 F.n9F.nG7_F.n907L/25R.9
-07R/25L.nH6_07R/25L.nH6F.nG7 07R/25L.n7_07R/25L.nH6F.nG7 H.n507R/25L.n5_07R/25L.n5 07R/25L.n507R/25L.nG6_H.n507R/25L.n5
-F.n607L/25R.6_07L/25R.6 F.nG307R/25L.n3_07R/25L.n3 H.n307R/25L.n3_07R/25L.n3 07L/25R.7_07L/25R.7E.n7
-07L/25R.8_07L/25R.8E.n8"""
-
-
-def _names():
-    out = []
-    for chunk in EXIT_SAMPLE.replace("\n", " ").split("|"):
-        chunk = chunk.strip()
-        if not chunk:
-            continue
-        if chunk.startswith("Taxiway") or "Taxiway" in chunk:
-            out.append(chunk)
-        else:
-            out.extend(chunk.split())
-    return out
-
-
-def test_exit_pattern_golden(spark):
-    names = _names()
-    assert len(names) == 67
-    df = spark.createDataFrame([(n,) for n in names], "name string")
-    flags = [r[0] for r in df.select(is_exit(F.col("name"))).collect()]
-    assert sum(flags) == 45 and flags.count(0) == 22
+from runwise.operators.network import NetworkIndex, clean_network, is_exit
+
+# Names made up so that each branch of the two name patterns is met.
+EXITS = ["A.n1_08/26.1", "08L/26R.3_A.n3", "T1.4_07L/25R.4", "C.n2_07R/25L.n2", "Gate way (4)_08/26.12"]
+NOT_EXITS = ["07L/25R.3_07L/25R.4", "08/26.1_08/26.2", "A.n1_A.n2", "T1.4_T2.4", "", "07R/25L.n1_07R/25L.n2"]
+
+
+def test_exit_patterns(spark):
+    df = spark.createDataFrame([(n,) for n in EXITS + NOT_EXITS], "name string")
+    flags = {r["name"]: r["x"] for r in df.select("name", is_exit(F.col("name")).alias("x")).collect()}
+    assert [flags[n] for n in EXITS] == [1] * len(EXITS) and [flags[n] for n in NOT_EXITS] == [0] * len(NOT_EXITS)
+
+
+def test_first_row_of_a_link_id_wins(spark):
+    nodes = spark.createDataFrame([(str(k), f"n{k}", float(k), 0.0) for k in range(5)], "nodeID string, nodeName string, latitude double, longitude double")
+    links = spark.createDataFrame([("7", "a", "n3", "n4", 1.0, 0), ("7", "b", "n0", "n1", 2.0, 1), ("8", "c", "n1", "n2", 3.0, 2)],
+                                  "LinkID string, LinkName string, NodeNameFrom string, NodeNameTo string, Length double, row_order int")
+    net = NetworkIndex(*clean_network(nodes, links))
+    got = {r["link_id"]: (r["info"]["src"], r["info"]["dst"]) for r in net.link_info().collect()}
+    assert got == {"7": ("3", "4"), "8": ("1", "2")}
 
 
 def test_fixture_network(spark, sf):

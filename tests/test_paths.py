@@ -52,6 +52,8 @@ def test_best_paths_match_literal_search(spark, sf):
         s, g, a = rnd.sample(ids, 3)
         keys.append((s, g, a))
     keys.append(("0", "110", "1"))          # avoided vertex cuts the only way out
+    keys.append(("0", "110", "110"))        # the goal itself is avoided
+    keys.append(("3", "4", "4"))            # avoided, but next to the start
     kdf = spark.createDataFrame(keys, "start string, goal string, avoid string")
     got = {(r.start, r.goal, r.avoid): (None if r.path is None else [s.link_id for s in r.path])
            for r in P.best_paths(kdf, nodes_df, edges_df).collect()}
@@ -59,20 +61,9 @@ def test_best_paths_match_literal_search(spark, sf):
         assert got[k] == literal_search(nodes, edges, *k), k
 
 
-def test_join_fallback_matches_inline(spark, sf):
-    from pyspark.sql import functions as F
-
-    from runwise.operators.network import NetworkIndex
-    from runwise.sources import fixtures as fx
+def test_heuristic_condition(spark, sf):
     nodes, edges = catalog.network(spark, sf)
-    fl = fx.flights(spark, sf).cache()
-    cols = ["flight_id", "slowV", "goalV", "avoidV"]
-    inline = P.with_vertices(fl, NetworkIndex(nodes, edges)).select(*cols)
-    joined_net = NetworkIndex(nodes, edges, max_links=10)
-    assert not joined_net.inline
-    joined = P.with_vertices(fl, joined_net).select(*cols)
-    assert sorted(inline.collect()) == sorted(joined.collect())
-    pairs = fl.select(F.lit("3").alias("slowV"), F.col("surrogate_exit")).distinct()
-    a = P.exit_ends(pairs, NetworkIndex(nodes, edges), "surrogate_exit").collect()
-    b = P.exit_ends(pairs, joined_net, "surrogate_exit").collect()
-    assert sorted(a) == sorted(b)
+    assert P.check_heuristic(nodes, edges).count() == 0
+    from pyspark.sql import functions as F
+    short = edges.withColumn("length", F.when(F.col("link_id") == "1003", F.lit(1.0)).otherwise(F.col("length")))
+    assert [r["link_id"] for r in P.check_heuristic(nodes, short).collect()] == ["1003"]
