@@ -35,7 +35,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lineage ends here."""
     path = shared_folder(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that ``written`` made, once what was computed from them is written itself."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def map_texts(df: DataFrame, make: Callable, out: str, keep: list[str], text: str = "text") -> DataFrame:
