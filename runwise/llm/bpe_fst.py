@@ -26,7 +26,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runwise.llm.common import map_texts
+from runwise.llm.common import kept_by_worker, map_texts
 
 # Tables that a worker keeps are cleared beyond these sizes; results don't depend on them.
 MAX_STATES = 250_000
@@ -257,18 +257,14 @@ class Utf8Stream:
             yield "�"
 
 
-_CODERS: dict[bytes, tuple[Transducer, _Packed, Utf8Stream]] = {}
-
-
 def coder(content: bytes) -> tuple[Transducer, _Packed, Utf8Stream]:
     """The coder of a rank file, made once per worker process."""
     import hashlib
 
-    key = hashlib.sha256(content).digest()
-    if key not in _CODERS:
+    def make():
         fst = Transducer(parse_ranks(content))
-        _CODERS[key] = (fst, _Packed(fst), Utf8Stream(fst.spelling))
-    return _CODERS[key]
+        return fst, _Packed(fst), Utf8Stream(fst.spelling)
+    return kept_by_worker(__name__, hashlib.sha256(content).digest(), make)
 
 
 def shipped_ranks(spark: SparkSession, path: str):

@@ -48,6 +48,28 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+# Tables that a Python worker keeps between tasks, of one operator at a time.
+_KEPT: dict = {}
+
+
+def kept_by_worker(operator: str, key, make: Callable):
+    """What ``make`` returns, made once per worker process and dropped when another operator's task comes."""
+    make_room(operator)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def make_room(operator: str) -> None:
+    """Drop what tasks of other operators left in this worker: workers are used again, memory is bounded."""
+    if _KEPT.get("operator") != operator:
+        import gc
+
+        _KEPT.clear()
+        gc.collect()
+        _KEPT["operator"] = operator
+
+
 def map_texts(df: DataFrame, make: Callable, out: str, keep: list[str], text: str = "text") -> DataFrame:
     """Row-wise operator over whole texts in Arrow batches.
 
@@ -60,7 +82,10 @@ def map_texts(df: DataFrame, make: Callable, out: str, keep: list[str], text: st
     arrow = [_arrow_type(f.dataType) for f in added.fields]
     names = schema.names
 
+    operator = make.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(operator)
         apply = make()
         for batch in batches:
             cols = apply(batch.column(text).to_pylist())

@@ -29,9 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runwise.llm.common import make_room
+
 # Bounds of the training sample and of the model.
-SAMPLE_TOXIC = 2500
-SAMPLE_CLEAN = 2500
+SAMPLE_TOXIC = 2000
+SAMPLE_CLEAN = 2000
 TRAIN_TOKENS = 400_000
 MODEL_FEATURES = 200_000
 FOLDS = 5
@@ -44,7 +46,7 @@ MARK_RATIO = 3.5
 TOXIC_SHARE = 0.25
 CLEARLY_CLEAN = -1.0
 
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_000_000
 LEAST = -20.0  # log-odds given to texts without words
 
 _WORD = re.compile(r"\w+")
@@ -155,7 +157,8 @@ def marking_features(toxic: list[list[str]], clean: list[list[str]]) -> set[str]
 
 def fit(rows: list[tuple[str | None, int]], epochs: int = 40, rate: float = 0.5) -> dict | None:
     """Chain weights, transitions and calibration from (text, label) rows; None without both labels."""
-    docs = [(words_of(t), int(y)) for t, y in rows]
+    same: dict[str, str] = {}  # equal words are one object
+    docs = [([same.setdefault(w, w) for w in words_of(t)], int(y)) for t, y in rows]
     toxic = without_copies([w for w, y in docs if y == 1 and w])
     clean = without_copies([w for w, y in docs if y == 0 and w])
     if not toxic or not clean:
@@ -313,6 +316,7 @@ def tag(docs: DataFrame, model: dict | None, keep: list[str]) -> DataFrame:
     types = [pa.float64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(__name__)
         m = shipped.value
         emissions = Emissions(m["weights"]) if m else None
         waiting: list[tuple[pa.RecordBatch, list, list]] = []
