@@ -131,7 +131,7 @@ ORACLES = {
                      length(regexp_replace(t, '[^a-z]', '', 'g')) AS low, length(regexp_replace(t, '[^!]', '', 'g')) AS marks
               FROM w LEFT JOIN cov USING (doc_id)),
         f AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
-                     + CASE WHEN 100 * n_symbols > 20 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
+                     + CASE WHEN 100 * n_symbols > 20 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END
                      + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END
                      + CASE WHEN 2 * up > up + low THEN 64 ELSE 0 END + CASE WHEN 100 * marks > 20 * n_words THEN 128 ELSE 0 END
                      + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 256 ELSE 0 END)::BIGINT AS failed FROM m)
