@@ -1,4 +1,4 @@
-"""Fixed values and typed schemas.
+"""Fixed values.
 
 FIXED VALUES — these must equal the analysed model's values for results to
 match.  They are stated plainly, in natural order, in one place.
@@ -6,8 +6,6 @@ match.  They are stated plainly, in natural order, in one place.
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # --- FIXED VALUES: speeds, rates, factors -----------------------------------
 SLOW_SPEED_MS = 50.0          # runway-occupancy / slow-point speed threshold, m/s
 TAXI_SPEED_MS = 11.83         # taxi speed, m/s
@@ -71,55 +69,3 @@ AIRPORT_NAMES = {
 ALL_FEATURES = ("runway", "depAirport", "aircraftType", "arrGate", "touchdownLat", "touchdownLong",
                 "hour", "day", "decel", "carrier", "traffic")
 MIN_FEATURES = 5
-
-# --- Typed schemas ----------------------------------------------------------
-FLIGHTS_RAW = T.StructType([
-    T.StructField("callsign", T.StringType()),
-    T.StructField("runway", T.StringType()),
-    T.StructField("positions", T.StringType()),
-    T.StructField("links", T.StringType()),
-    T.StructField("depAirport", T.StringType()),
-    T.StructField("arrAirport", T.StringType()),
-    T.StructField("aircraftType", T.StringType()),
-    T.StructField("arrGate", T.StringType()),
-])
-
-POSITION = T.StructType([
-    T.StructField("lat", T.DoubleType()),
-    T.StructField("long", T.DoubleType()),
-    T.StructField("epoch_ms", T.LongType()),
-])
-
-NODES = T.StructType([
-    T.StructField("node_id", T.StringType()),
-    T.StructField("node_name", T.StringType()),
-    T.StructField("lat", T.DoubleType()),
-    T.StructField("long", T.DoubleType()),
-])
-
-LINKS = T.StructType([
-    T.StructField("link_id", T.StringType()),
-    T.StructField("link_name", T.StringType()),
-    T.StructField("node_from", T.StringType()),
-    T.StructField("node_to", T.StringType()),
-    T.StructField("length", T.DoubleType()),
-])
-
-BOXES = T.StructType([
-    T.StructField("exit_id", T.StringType()),
-    T.StructField("box_order", T.IntegerType()),
-    T.StructField("lat", T.DoubleType()),
-    T.StructField("long_upper", T.DoubleType()),
-    T.StructField("long_lower", T.DoubleType()),
-])
-
-SIZES = T.StructType([
-    T.StructField("ac_type", T.StringType()),
-    T.StructField("category", T.StringType()),
-])
-
-PATH_STEP = T.StructType([
-    T.StructField("link_id", T.StringType()),
-    T.StructField("is_exit", T.IntegerType()),
-    T.StructField("length", T.DoubleType()),
-])
