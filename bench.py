@@ -9,7 +9,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
 
 from runwise.operators import model as M  # noqa: E402
 from runwise.operators import paths as P  # noqa: E402

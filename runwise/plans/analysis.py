@@ -6,7 +6,6 @@ import datetime as dt
 import time
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from runwise.constants import ALL_FEATURES, FOREST_DEPTHS, FOREST_TREES, SAMPLE_CAP
 from runwise.operators import model as M
