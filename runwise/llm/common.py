@@ -67,6 +67,7 @@ def make_room(operator: str) -> None:
 
         _KEPT.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
         _KEPT["operator"] = operator
 
 
