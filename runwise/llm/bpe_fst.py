@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from runwise.llm.common import kept_by_worker, map_texts
 
 # Tables that a worker keeps are cleared beyond these sizes; results don't depend on them.
-MAX_STATES = 250_000
-MAX_PAIRS = 500_000
-MAX_PIECES = 400_000
-MAX_DECODE_ENTRIES = 300_000
+MAX_STATES = 180_000
+MAX_PAIRS = 400_000
+MAX_PIECES = 300_000
+MAX_DECODE_ENTRIES = 200_000
 
 ROOT = 0
 
