@@ -6,9 +6,9 @@ each hit gives an alignment of an item with a place in a document.  There the to
 one by one, and the values in the placeholders ("slots") must map one to one: a question whose
 numbers or names were changed throughout is caught, while slots with inconsistent values don't count.
 
-Document windows are taken every ``STRIDE`` tokens and benchmark windows at every token, so a run
-of WINDOW + STRIDE - 1 aligned tokens always holds a joined window.  Shorter items are joined by
-windows of their own length at every token.
+Document and benchmark windows are taken at every token, so a run of WINDOW aligned tokens always
+holds a joined window, wherever it starts.  Items of fewer than WINDOW + STRIDE - 1 tokens are also
+joined by windows of their own length.
 
 Defined results: null and empty texts match nothing; items of fewer than ``LEAST_TOKENS`` tokens are not
 looked for, nor are windows with more slots than literal tokens joined; repeated rows of a document or
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from runwise.llm.common import written
 
 WINDOW = 6
+# Only the SQL's document windows are this far apart; ``leaks`` takes them at every token.
 STRIDE = 4
 LEAST_TOKENS = 5
 # Share of an item's tokens that must be found, in percent.
@@ -45,7 +46,6 @@ STEPS = [
     (r"(^| )(\p{N})", r"\1#\2"),
 ]
 # Typed placeholders: number, name, unit.
-FORMS = [(r"#[^ ]+", "#"), (r"(^| )@[^ ]+", r"\1@"), (r"~[^ ]+", "~")]
 SLOTS = ("#", "@", "~")
 
 
@@ -61,12 +61,6 @@ def raw_text(text: Column) -> Column:
     return F.trim(t)
 
 
-def form_text(raw: Column) -> Column:
-    for step in FORMS:
-        raw = _replace(raw, *step)
-    return raw
-
-
 def tokens(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda x: x != "")
 
@@ -76,11 +70,25 @@ def keyed(rows: DataFrame, key: str) -> DataFrame:
     return rows.filter(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, F.xxhash64("text").alias("row"), "text")
 
 
-def windows(rows: DataFrame, keep: list[str], size: int, stride: int) -> DataFrame:
-    """``keep``, at, hash, n_slots of the windows of the template tokens in ``form``."""
-    starts = F.when(F.size("form") >= size, F.sequence(F.lit(0), F.size("form") - size, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    each = F.transform(starts, lambda k: F.struct(k.alias("at"), F.xxhash64(F.slice("form", k + 1, size)).alias("hash")))
-    return rows.select(*keep, F.explode(each).alias("w")).select(*keep, "w.at", "w.hash")
+def codes(raw: Column) -> Column:
+    """Tokens as numbers: a hash of the token, with the type of its slot (0: a literal) in the last two bits."""
+    def code(x: Column) -> Column:
+        sign, kind = F.substring(x, 1, 1), F.lit(0)
+        for k, s in enumerate(SLOTS):
+            kind = F.when(sign == s, k + 1).otherwise(kind)
+        return F.shiftleft(F.xxhash64(x), 2).bitwiseOR(kind.cast("long"))
+    return F.transform(raw, code)
+
+
+def windows(rows: DataFrame, keep: list[str], size: int) -> DataFrame:
+    """``keep``, at, hash, literal (count of literals) of the windows of the template at every token of ``codes``."""
+    # Shifted copies side by side, so that all but the zip is done in generated code.
+    parts = [F.slice("codes", k + 1, F.greatest(F.size("codes") - (size - 1), F.lit(0))).alias(f"c{k}") for k in range(size)]
+    each = rows.select(*keep, F.posexplode(F.arrays_zip(*parts)).alias("at", "w"))
+    kinds = [F.col(f"w.c{k}").bitwiseAND(F.lit(3)) for k in range(size)]
+    form = [F.when(t == 0, F.col(f"w.c{k}")).otherwise(t) for k, t in enumerate(kinds)]
+    literal = sum((F.when(t == 0, 1).otherwise(0) for t in kinds), F.lit(0))
+    return each.select(*keep, "at", F.xxhash64(*form).alias("hash"), literal.alias("literal"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -93,19 +101,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs, items = keyed(docs, "doc_id"), keyed(benchmark, "item_id").withColumnRenamed("row", "item_row").distinct()
     items = items.withColumn("item_raw", tokens(raw_text(F.col("text")))).drop("text")
     items = items.withColumn("item_form", F.transform("item_raw", _form_of_token)).filter(F.size("item_form") >= LEAST_TOKENS)
-    items = written(items.withColumnRenamed("item_form", "form"), "items")
-    sizes = [r[0] for r in items.select(F.least(F.size("form"), F.lit(WINDOW + STRIDE - 1))).distinct().collect()]
+    items = items.withColumnRenamed("item_form", "form").withColumn("codes", codes(F.col("item_raw")))
+    items = written(items, "items")
+    lengths = [r[0] for r in items.select(F.least(F.size("form"), F.lit(WINDOW + STRIDE - 1))).distinct().collect()]
+    short = {n for n in lengths if n < WINDOW + STRIDE - 1}
 
-    doc_forms = docs.select("doc_id", "row", tokens(form_text(raw_text(F.col("text")))).alias("form"))
+    doc_codes = docs.select("doc_id", "row", codes(tokens(raw_text(F.col("text")))).alias("codes"))
     found = None
-    for n in sorted(sizes):  # one join for all longer items, and one for each smaller length
-        short = n < WINDOW + STRIDE - 1
-        some = items.filter(F.size("form") == n) if short else items.filter(F.size("form") >= n)
-        size, stride = (n, 1) if short else (WINDOW, STRIDE)
-        literal = F.size(F.filter(F.slice("form", F.col("at") + 1, size), lambda x: ~x.isin(*SLOTS)))
-        keys = (windows(some, ["item_id", "item_row", "form"], size, 1).filter(2 * literal >= size)
+    # One join by windows for all items that hold one, and one for each smaller length.
+    for size in sorted(short | ({WINDOW} if max(lengths, default=0) >= WINDOW else set())):
+        some = items.filter((F.size("form") == size) if size != WINDOW else (F.size("form") >= size))
+        keys = (windows(some, ["item_id", "item_row"], size).filter(2 * F.col("literal") >= size)
                 .select("item_id", "item_row", F.col("at").alias("item_at"), "hash"))
-        hits = windows(doc_forms, ["doc_id", "row"], size, stride).join(_small(keys), "hash")
+        hits = windows(doc_codes, ["doc_id", "row"], size).join(_small(keys), "hash")
         hits = hits.select("doc_id", "row", "item_id", "item_row", (F.col("at") - F.col("item_at")).alias("shift"))
         found = hits if found is None else found.unionByName(hits)
     if found is None:  # an empty benchmark
@@ -116,7 +124,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     chosen = docs.join(_small(found.select("doc_id", "row").distinct()), ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
     chosen = chosen.select("doc_id", "row", tokens(raw_text(F.col("text"))).alias("raw"))
     chosen = chosen.withColumn("doc_form", F.transform("raw", _form_of_token))
-    pairs = found.join(chosen, ["doc_id", "row"]).join(items, ["item_id", "item_row"])
+    pairs = found.join(chosen, ["doc_id", "row"]).join(items.drop("codes"), ["item_id", "item_row"])
 
     low = F.greatest(F.lit(0), -F.col("shift"))
     high = F.least(F.size("form"), F.size("doc_form") - F.col("shift"))

@@ -252,6 +252,14 @@ def test_templates_short_items_and_empty_tables(llm):
     assert pairs_of(llm, [], [(1, ITEM)]) == {} and pairs_of(llm, [(1, ITEM, "en")], []) == {}
 
 
+def test_templates_found_wherever_the_passage_starts(llm):
+    words = prose(21, 40).split()
+    cut = [("other" if k % 8 > 5 else w) for k, w in enumerate(words)]  # runs of six, three quarters of the tokens
+    docs = [(k, " ".join(prose(22, 8 + k).split() + cut + prose(23, 9).split()), "en") for k in range(4)]
+    out = pairs_of(llm, docs, [(1, " ".join(words))])
+    assert {k: r["n_found"] for k, r in out.items()} == {(k, 1): 30 for k in range(4)}
+
+
 # ---------------------------------------------------------------- op 10
 
 def test_quality_measures():
