@@ -213,6 +213,17 @@ def test_window_probabilities_by_definition():
             k += 1
 
 
+def test_window_network_trains_on_every_token(llm, monkeypatch):
+    monkeypatch.setattr(window_lm, "descend", lambda context, target, flat, memory: flat.__iadd__(np.bincount(target, minlength=len(flat))))
+    ids = np.arange(1 << window_lm.BUCKET_BITS, dtype=np.int32) % window_lm.VOCABULARY
+    texts = [prose(k, 5 + k) for k in range(30)] + [None, ""]
+    docs = frame(llm, [(k, t, "en") for k, t in enumerate(texts)]).coalesce(1)
+    seen = window_lm.train_round(docs, ids, np.zeros(window_lm.N_PARAMS))
+    table = window_lm.Buckets()
+    want = sum(np.bincount(ids[window_lm.buckets_of(t, table)], minlength=window_lm.VOCABULARY) for t in texts)
+    assert (seen[:window_lm.VOCABULARY] == want).all() and want.sum() == sum(5 + k for k in range(30))
+
+
 # ---------------------------------------------------------------- op 9
 
 ITEM = ("Maria Lopez buys 12 apples and 7 pears at the market near the old river bridge, then walks 3 km home. "
