@@ -224,6 +224,18 @@ def test_window_network_trains_on_every_token(llm, monkeypatch):
     assert (seen[:window_lm.VOCABULARY] == want).all() and want.sum() == sum(5 + k for k in range(30))
 
 
+def test_window_network_tells_words_of_a_class_apart(llm):
+    docs = [(k, prose(k % 7, 400), "en") for k in range(60)] + [(900, prose(1, 20) + " qzxv", "en"), (901, prose(1, 20) + " w1", "en")]
+    counts = window_lm.bucket_counts(frame(llm, docs))
+    ids = window_lm.vocabulary(counts)
+    share = np.exp(window_lm.shares(counts, ids).astype(float)) * (counts > 0)
+    sums = np.bincount(ids, share, window_lm.VOCABULARY)
+    assert counts.sum() == 60 * 400 + 42 and (counts > 0).sum() > 1000
+    assert np.allclose(sums[np.bincount(ids, counts, window_lm.VOCABULARY) > 0], 1, atol=1e-4)  # p(word | class) sums to one
+    rare, common = (window_lm.buckets_of(w, window_lm.Buckets())[0] for w in ("qzxv", prose(1, 1)))
+    assert counts[rare] == 1 < counts[common] and share[rare] < 0.1
+
+
 # ---------------------------------------------------------------- op 9
 
 ITEM = ("Maria Lopez buys 12 apples and 7 pears at the market near the old river bridge, then walks 3 km home. "
