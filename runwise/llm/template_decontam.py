@@ -11,8 +11,8 @@ holds a joined window, wherever it starts.  Items of fewer than WINDOW + STRIDE
 joined by windows of their own length.
 
 Defined results: null and empty texts match nothing; items of fewer than ``LEAST_TOKENS`` tokens are not
-looked for, nor are windows with more slots than literal tokens joined; repeated rows of a document or
-an item give one row for a pair of ids; rows with a null id are left out, as a pair needs both.
+looked for; windows with more slots than literal tokens are joined by their tokens with the values, and items that
+have no others also by their whole template; repeated rows of a document or an item give one row for a pair of ids; rows with a null id are left out, as a pair needs both.
 """
 
 from __future__ import annotations
@@ -81,14 +81,25 @@ def codes(raw: Column) -> Column:
 
 
 def windows(rows: DataFrame, keep: list[str], size: int) -> DataFrame:
-    """``keep``, at, hash, literal (count of literals) of the windows of the template at every token of ``codes``."""
+    """``keep``, at, hash and by_form of the windows at every token of ``codes``: hashed as template if at
+    least half of it are literals, else (a template that says little) with the values in its slots."""
     # Shifted copies side by side, so that all but the zip is done in generated code.
     parts = [F.slice("codes", k + 1, F.greatest(F.size("codes") - (size - 1), F.lit(0))).alias(f"c{k}") for k in range(size)]
     each = rows.select(*keep, F.posexplode(F.arrays_zip(*parts)).alias("at", "w"))
     kinds = [F.col(f"w.c{k}").bitwiseAND(F.lit(3)) for k in range(size)]
     form = [F.when(t == 0, F.col(f"w.c{k}")).otherwise(t) for k, t in enumerate(kinds)]
     literal = sum((F.when(t == 0, 1).otherwise(0) for t in kinds), F.lit(0))
-    return each.select(*keep, "at", F.xxhash64(*form).alias("hash"), literal.alias("literal"))
+    by_form = 2 * literal >= size
+    raw = F.xxhash64(F.lit("raw"), *[F.col(f"w.c{k}") for k in range(size)])
+    return each.select(*keep, "at", F.when(by_form, F.xxhash64(*form)).otherwise(raw).alias("hash"), by_form.alias("by_form"))
+
+
+def whole(rows: DataFrame, keep: list[str], size: int) -> DataFrame:
+    """``keep``, at, hash of the template of ``size`` tokens at every token of ``codes``, however many slots it has."""
+    form = F.transform("codes", lambda t: F.when(t.bitwiseAND(F.lit(3)) == 0, t).otherwise(t.bitwiseAND(F.lit(3))))
+    starts = F.when(F.size("codes") >= size, F.sequence(F.lit(0), F.size("codes") - size)).otherwise(F.array().cast("array<int>"))
+    each = F.transform(starts, lambda k: F.struct(k.alias("at"), F.xxhash64(F.slice("codes", k + 1, size)).alias("hash")))
+    return rows.select(*keep, form.alias("codes")).select(*keep, F.explode(each).alias("w")).select(*keep, "w.at", "w.hash")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -107,15 +118,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     short = {n for n in lengths if n < WINDOW + STRIDE - 1}
 
     doc_codes = docs.select("doc_id", "row", codes(tokens(raw_text(F.col("text")))).alias("codes"))
-    found = None
+    found, sparse = None, items.select("item_id", "item_row", F.size("form").alias("n"))
     # One join by windows for all items that hold one, and one for each smaller length.
     for size in sorted(short | ({WINDOW} if max(lengths, default=0) >= WINDOW else set())):
         some = items.filter((F.size("form") == size) if size != WINDOW else (F.size("form") >= size))
-        keys = (windows(some, ["item_id", "item_row"], size).filter(2 * F.col("literal") >= size)
-                .select("item_id", "item_row", F.col("at").alias("item_at"), "hash"))
+        keys = windows(some, ["item_id", "item_row"], size).withColumnRenamed("at", "item_at")
+        sparse = sparse.join(keys.filter("by_form"), ["item_id", "item_row"], "left_anti")
+        keys = keys.drop("by_form")
         hits = windows(doc_codes, ["doc_id", "row"], size).join(_small(keys), "hash")
         hits = hits.select("doc_id", "row", "item_id", "item_row", (F.col("at") - F.col("item_at")).alias("shift"))
         found = hits if found is None else found.unionByName(hits)
+    # Items none of whose windows is joined as template are joined by their whole template.
+    for n in sorted(r[0] for r in sparse.select("n").distinct().collect()):
+        keys = whole(items.join(sparse.filter(F.col("n") == n), ["item_id", "item_row"]), ["item_id", "item_row"], n).drop("at")
+        hits = whole(doc_codes, ["doc_id", "row"], n).join(_small(keys), "hash")
+        found = found.unionByName(hits.select("doc_id", "row", "item_id", "item_row", F.col("at").alias("shift")))
     if found is None:  # an empty benchmark
         return docs.sparkSession.createDataFrame([], _schema(docs, benchmark))
     found = written(found.distinct(), "alignments")

@@ -283,6 +283,15 @@ def test_templates_found_wherever_the_passage_starts(llm):
     assert {k: r["n_found"] for k, r in out.items()} == {(k, 1): 30 for k in range(4)}
 
 
+def test_templates_of_mostly_slots(llm):
+    names = "Anna Brown, Peter Stone, Mary Jones, John Smith and Paul White ran 3 km, 5 km, 7 km and 9 km"
+    sums = "Compute 12 + 7 * 3 - 45 / 9 + 18 - 6 * 2 + 31"
+    other = "Compute 52 + 8 * 4 - 65 / 1 + 28 - 7 * 3 + 41"
+    docs = [(k, f"{prose(k, 12)}\n{t}\n{prose(k + 9, 9)}", "en") for k, t in enumerate((names, sums, other))]
+    out = pairs_of(llm, docs, [(1, names), (2, sums), (3, ITEM)])
+    assert set(out) == {(0, 1), (1, 2), (2, 2)} and out[(2, 2)]["kind"] == "reparameterised"
+
+
 # ---------------------------------------------------------------- op 10
 
 def test_quality_measures():
