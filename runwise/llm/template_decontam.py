@@ -8,7 +8,7 @@ numbers or names were changed throughout is caught, while slots with inconsisten
 
 Document and benchmark windows are taken at every token, so a run of WINDOW aligned tokens always
 holds a joined window, wherever it starts.  Items of fewer than WINDOW + STRIDE - 1 tokens are also
-joined by windows of their own length.
+joined by windows of their own length, and by what is left of these without tokens that may differ.
 
 Defined results: null and empty texts match nothing; items of fewer than ``LEAST_TOKENS`` tokens are not
 looked for; windows with more slots than literal tokens are joined by their tokens with the values, and items that
@@ -17,6 +17,8 @@ have no others also by their whole template; repeated rows of a document or an i
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,6 +104,28 @@ def whole(rows: DataFrame, keep: list[str], size: int) -> DataFrame:
     return rows.select(*keep, form.alias("codes")).select(*keep, F.explode(each).alias("w")).select(*keep, "w.at", "w.hash")
 
 
+def pieces(rows: DataFrame, keep: list[str], size: int) -> DataFrame:
+    """``keep``, at, hash of the windows at every token of ``codes`` without the first token, whose name mark depends on
+    what precedes it, and without each choice of others that may differ at FOUND percent."""
+    others = range(1, size)
+    choices = [[k for k in others if k not in gone] for gone in itertools.combinations(others, _may_differ(size))]
+    parts = [F.slice("codes", k + 1, F.greatest(F.size("codes") - (size - 1), F.lit(0))).alias(f"c{k}") for k in range(size)]
+    each = rows.select(*keep, F.posexplode(F.arrays_zip(*parts)).alias("at", "w"))
+    raw = [F.col(f"w.c{k}") for k in range(size)]
+    kinds = [t.bitwiseAND(F.lit(3)) for t in raw]
+    form = [F.when(kind == 0, t).otherwise(kind) for kind, t in zip(kinds, raw)]
+
+    def key(n: int, kept: list[int]) -> Column:
+        literal = sum((F.when(kinds[k] == 0, 1).otherwise(0) for k in kept), F.lit(0))
+        return F.when(2 * literal >= len(kept), F.xxhash64(F.lit(n), *[form[k] for k in kept])).otherwise(
+            F.xxhash64(F.lit(-1 - n), *[raw[k] for k in kept]))
+    return each.select(*keep, "at", F.explode(F.array(*[key(n, kept) for n, kept in enumerate(choices)])).alias("hash"))
+
+
+def _may_differ(size: int) -> int:
+    return (100 - FOUND) * size // 100
+
+
 def _small(df: DataFrame) -> DataFrame:
     """Marked for broadcast if it was counted and is small."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -128,6 +152,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         hits = windows(doc_codes, ["doc_id", "row"], size).join(_small(keys), "hash")
         hits = hits.select("doc_id", "row", "item_id", "item_row", (F.col("at") - F.col("item_at")).alias("shift"))
         found = hits if found is None else found.unionByName(hits)
+    # Short items are found at FOUND percent of their tokens too, also where a document begins or ends within them.
+    for n in sorted(short):
+        beyond = F.array_repeat(F.lit(-4).cast("long"), _may_differ(n) + 1)  # no token has this code
+        keys = pieces(items.filter(F.size("form") == n), ["item_id", "item_row"], n).drop("at")
+        padded = doc_codes.withColumn("codes", F.concat(beyond, "codes", beyond))
+        hits = pieces(padded, ["doc_id", "row"], n).join(_small(keys), "hash")
+        found = found.unionByName(hits.select("doc_id", "row", "item_id", "item_row", (F.col("at") - (_may_differ(n) + 1)).alias("shift")))
     # Items none of whose windows is joined as template are joined by their whole template.
     for n in sorted(r[0] for r in sparse.select("n").distinct().collect()):
         keys = whole(items.join(sparse.filter(F.col("n") == n), ["item_id", "item_row"]), ["item_id", "item_row"], n).drop("at")
@@ -147,7 +178,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     high = F.least(F.size("form"), F.size("doc_form") - F.col("shift"))
     value = lambda c, k: F.get(F.col(c), k)
     place = lambda k: k + F.col("shift")
-    same = F.filter(F.sequence(low, high - 1), lambda k: value("form", k) == value("doc_form", place(k)))
+    # An item's first token has no name mark, as nothing precedes it; in a document it may have one.  In short items
+    # the token counts all the same; in longer ones it doesn't, as in the SQL.
+    first = lambda k: (k == 0) & (F.size("form") < WINDOW + STRIDE - 1) & (value("raw", place(k)) == F.concat(F.lit("@"), value("item_raw", k)))
+    same = F.filter(F.sequence(low, high - 1), lambda k: (value("form", k) == value("doc_form", place(k))) | first(k))
     pairs = pairs.withColumn("same", same)
     slots = F.filter("same", lambda k: value("form", k).isin(*SLOTS))
     pairs = pairs.withColumn("slots", slots)
@@ -157,7 +191,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                   & (F.size("mapped") == F.size(F.array_distinct(F.transform("mapped", lambda x: x["to"])))))
     changed = F.exists("mapped", lambda x: x["of"] != x["to"])
     kept = F.when(consistent, F.col("same")).otherwise(
-        F.filter("same", lambda k: value("item_raw", k) == value("raw", place(k))))
+        F.filter("same", lambda k: (value("item_raw", k) == value("raw", place(k))) | first(k)))
     pairs = pairs.select("doc_id", "row", "item_id", "item_row", F.size("form").alias("n_tokens"), kept.alias("kept"),
                          (consistent & changed).alias("changed"))
     # An item can be found in pieces, at several shifts: its tokens count once.

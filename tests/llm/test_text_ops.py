@@ -292,6 +292,15 @@ def test_templates_of_mostly_slots(llm):
     assert set(out) == {(0, 1), (1, 2), (2, 2)} and out[(2, 2)]["kind"] == "reparameterised"
 
 
+def test_templates_short_items_in_any_context(llm):
+    item = "What is the capital of France?"
+    docs = [(1, f"{prose(1, 9)} Question: {item} Answer: Paris", "en"), (2, f"{prose(2, 9)} asked, What is the main capital", "en"),
+            (3, f"they ask What was the capital of France, and {prose(3, 9)}", "en"), (4, "is the capital of France", "en"),
+            (5, f"{prose(4, 9)}\n{item}", "en"), (6, f"{prose(5, 9)} so What was the capital in France", "en")]
+    out = pairs_of(llm, docs, [(1, item)])
+    assert {k[0]: r["n_found"] for k, r in out.items()} == {1: 6, 3: 5, 4: 5, 5: 6} and out[(1, 1)]["kind"] == "whole"
+
+
 # ---------------------------------------------------------------- op 10
 
 def test_quality_measures():
