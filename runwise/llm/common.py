@@ -96,11 +96,34 @@ def map_texts(df: DataFrame, make: Callable, out: str, keep: list[str], text: st
     return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
+def map_batches(df: DataFrame, make: Callable, out: str, keep: list[str], reads: list[str]) -> DataFrame:
+    """Row-wise operator over Arrow batches: the kept columns untouched, then the columns of the DDL ``out``.
+
+    ``make()`` runs once per task and returns a function from a batch to those columns, one value per row.
+    """
+    added = T.StructType.fromDDL(out)
+    schema = T.StructType([df.schema[c] for c in keep] + added.fields)
+    arrow = [_arrow_type(f.dataType) for f in added.fields]
+    names = schema.names
+    operator = make.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(operator)
+        apply = make()
+        for batch in batches:
+            cols = list(apply(batch)) if batch.num_rows else [[] for _ in arrow]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(c, t) for c, t in zip(cols, arrow)], names)
+
+    return df.select(*dict.fromkeys([*keep, *reads])).mapInArrow(run, schema)
+
+
 def _arrow_type(t: T.DataType) -> pa.DataType:
     simple = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(),
               "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
     if isinstance(t, T.ArrayType):
         return pa.list_(_arrow_type(t.elementType))
+    if isinstance(t, T.StructType):
+        return pa.struct([(f.name, _arrow_type(f.dataType)) for f in t.fields])
     return simple[t.simpleString()]
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runwise.llm import bpe_fst, html_diff, langid_nb, ngram_join, quality_ledger, suffix_dedup, template_decontam, toxicity_crf, warc_archive, window_lm
+from runwise.llm import (bpe_fst, fim_frames, html_diff, langid_nb, ngram_join, pii, quality_ledger, suffix_dedup, template_decontam,
+                         toxicity_crf, warc_archive, whitening, window_lm)
 from runwise.llm.common import shared_folder, table
 
 
@@ -55,9 +56,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ledger.report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op12_fim_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_frames.report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity_crf, op2_warc_archive, op3_html_diff, op4_suffix_dedup, op5_ngram_join, op6_byte_bpe, op7_window_lm,
-    op8_language_id, op9_template_decontam, op10_quality_rules)}
+    op8_language_id, op9_template_decontam, op10_quality_rules, op11_pii, op12_fim_frames, op13_whitening)}
 
 def _template_sql() -> str:
     """The canonicalisation, windows, alignments and slot check of op9 in DuckDB."""
@@ -104,7 +117,80 @@ def _template_sql() -> str:
         SELECT doc_id, item_id, max(s).n AS n_tokens, max(s).f AS n_found, max(s).k AS kind FROM good GROUP BY doc_id, item_id"""
 
 
+def _pii_sql() -> str:
+    """Op11 in DuckDB: the contract's own patterns, positions by running sums over exploded matches."""
+    kinds = list(pii.KINDS)
+    patterns = {**pii.PLAIN, **pii.ADDED}
+    found = " UNION ALL ".join(
+        f"SELECT r, {k} AS k, '{kind}' AS kind, regexp_extract_all(t, '{patterns[kind]}') AS ms, string_split_regex(t, '{patterns[kind]}') AS ps "
+        f"FROM d WHERE regexp_matches(t, '{patterns[kind]}')" for k, kind in enumerate(kinds))
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"""list_sum(list_transform(range(1, strlen({digits}) + 1), lambda i: CASE WHEN (strlen({digits}) - i) % 2 = 0
+               THEN substr({digits}, i, 1)::INT ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][substr({digits}, i, 1)::INT + 1] END)) % 10 = 0"""
+    apart = f"NOT regexp_matches(before, '{pii.GOES_ON_BEFORE}') AND NOT regexp_matches(after, '{pii.GOES_ON_AFTER}')"
+
+    def confirmed(text: str) -> str:
+        number = f"replace({text}, ' ', '')"
+        turned = f"(substr({number}, 5) || substr({number}, 1, 4))"
+        codes = (f"list_transform(range(1, strlen({number}) + 1), lambda i: CASE WHEN ascii(substr({turned}, i, 1)) < 58 "
+                 f"THEN ascii(substr({turned}, i, 1)) - 48 ELSE ascii(substr({turned}, i, 1)) - 55 END)")
+        rest = f"list_reduce(list_prepend(0, {codes}), lambda a, x: (a * CASE WHEN x < 10 THEN 10 ELSE 100 END + x) % 97)"
+        return f"(strlen({number}) BETWEEN 15 AND 34 AND {rest} = 1)"
+
+    shorter = r"regexp_replace(m, '\x20[A-Z0-9]+$', '')"
+    starts = "NOT regexp_matches(before, '[A-Za-z0-9]$')"
+    accepted = {
+        "email": "m", "ip": f"CASE WHEN regexp_matches(m, '{pii.OCTET}') THEN m END",
+        "card": f"CASE WHEN strlen({digits}) BETWEEN 13 AND 19 AND {luhn} THEN m END",
+        "phone": f"CASE WHEN strlen({digits}) BETWEEN 9 AND 15 THEN m END",
+        "iban": f"CASE WHEN {starts} AND NOT regexp_matches(after, '^[A-Za-z0-9]') AND {confirmed('m')} THEN m "
+                f"WHEN {starts} AND {confirmed(shorter)} THEN {shorter} END",
+        "ssn": f"CASE WHEN {apart} AND regexp_matches(m, '{pii.SSN}') THEN m END", "local": f"CASE WHEN {apart} THEN m END",
+        "birth": f"CASE WHEN {apart} AND regexp_matches(m, '{pii.DATE}') THEN m END"}
+    helps = " ".join(f"WHEN '{k}' THEN {pii.WEIGHT[k]} + CASE WHEN regexp_matches(near, '{pii.HELPS[k]}') THEN {pii.CONTEXT_BONUS} ELSE 0 END"
+                     for k in kinds)
+    text = " ".join(f"WHEN '{k}' THEN {accepted[k]}" for k in kinds)
+    base = ", ".join(f"'{k}'" for k in pii.BASE)
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.BASE)
+    zeros = ", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in pii.BASE)
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        f AS ({found}),
+        e AS (SELECT r, k, kind, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS piece, unnest(ps[2:len(ms) + 1]) AS next,
+                     unnest(range(len(ms))) AS i FROM f),
+        s AS (SELECT *, right(piece, {pii.REACH}) AS before, left(next, {pii.REACH}) AS after,
+                     sum(length(piece) + length(m)) OVER (PARTITION BY r, k ORDER BY i) - length(m) AS start FROM e),
+        a AS (SELECT *, CASE kind {text} END AS ok, before || ' ' || after AS near FROM s),
+        w AS (SELECT *, round(greatest(0, least(1, CASE kind {helps} END
+                     - CASE WHEN regexp_matches(right(before, {pii.NEAREST}), '{pii.HURTS}') THEN {pii.CONTEXT_MALUS} ELSE 0 END)), 2) AS score FROM a),
+        g AS (SELECT r, k, kind, start, kind || ':' || start::BIGINT || ':' || (start + length(ok))::BIGINT AS span FROM w
+              WHERE ok IS NOT NULL AND (kind IN ({base}) OR score >= {pii.LEAST_SCORE})),
+        c AS (SELECT r, {counts}, string_agg(span, ',' ORDER BY k, start) FILTER (kind IN ({base})) AS base,
+                     string_agg(span, ',' ORDER BY k, start) AS spans, count(*) FILTER (kind NOT IN ({base})) AS n_added FROM g GROUP BY r)
+        SELECT doc_id, {zeros}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_added, 0)::BIGINT AS n_added
+        FROM d LEFT JOIN c USING (r)"""
+
+
+_FIM_SQL = r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+        u AS (SELECT doc_id, t, regexp_extract_all(t, '[ 	-]*[^ 	-]+|[ 	-]+') AS us,
+                     ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+        f AS (SELECT *, len(us)::BIGINT AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS b,
+                     CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                          WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+        p AS (SELECT *, coalesce(array_to_string(us[1:a], ''), '') AS pre, coalesce(array_to_string(us[a + 1:b], ''), '') AS mid,
+                     coalesce(array_to_string(us[b + 1:n], ''), '') AS suf FROM f)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                      ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM p"""
+
+
 ORACLES = {
+    "op11_pii": _pii_sql(),
+    "op12_fim_frames": _FIM_SQL,
     "op9_template_decontam": _template_sql(),
     "op2_warc_archive": """
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
