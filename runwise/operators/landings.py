@@ -16,6 +16,7 @@ from runwise.constants import (BOX_ANGLE_TOLERANCE, BOX_LAT_TOLERANCE, DECEL_CUT
                                TRAFFIC_HALF_WINDOW_MS)
 from runwise.functions.geo import flat_angle, ieee_div, let, pair_distances
 from runwise.functions.parse import item_count, parse_link_ids, parse_positions
+from runwise.operators.routes import with_looked_up
 
 RAW_COLUMNS = ["callsign", "runway", "positions", "links", "depAirport", "arrAirport", "aircraftType", "arrGate"]
 
@@ -181,16 +182,11 @@ def with_traffic(df: DataFrame, epoch_col: str = "landingEpoch", half_ms: int =
 
 # --- J4 / J5 labels ---------------------------------------------------------
 def label_exit(df: DataFrame, exit_ids: DataFrame) -> DataFrame:
-    """exit = first link id after item 0 that is an exit link; NULL when none.
-
-    Each distinct link list is labelled once and joined back by the list itself, so repeated
-    records stay as they are.
-    """
-    ex = exit_ids.select(F.col("link_id").alias("_lid")).distinct()
-    hits = (df.select("link_ids").distinct().select("link_ids", F.posexplode("link_ids").alias("_pos", "_lid"))
-            .where(F.col("_pos") >= 1).join(ex, "_lid", "left_semi")
-            .groupBy("link_ids").agg(F.min_by("_lid", "_pos").alias("exit")))
-    return df.join(hits, "link_ids", "left").select(*df.columns, "exit")
+    """exit = first link id after item 0 that is an exit link; NULL when none.  Each distinct link list is labelled once."""
+    ex = exit_ids.select("link_id").distinct().withColumn("info", F.col("link_id"))
+    d = with_looked_up(df, ex, "_exits")
+    later = F.filter("_exits", lambda x, i: (i > 0) & x.isNotNull())
+    return d.select(*df.columns, F.get(later, 0).alias("exit"))
 
 
 def labelled_only(df: DataFrame) -> DataFrame:
@@ -202,33 +198,47 @@ def check_boxes(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("usable", F.coalesce(F.abs("long_lower") < F.abs("long_upper"), F.lit(False)))
 
 
+# Cells of the box join: as high as a box, and about as wide as one.  Any sizes give the same labels.
+CELL_LAT = 2 * BOX_LAT_TOLERANCE
+CELL_LONG = 0.001
+
+
+def box_cells(boxes: DataFrame) -> DataFrame:
+    """Usable boxes (``_lat``, ``_up``, ``_lo``), one row for each cell of the latitude x longitude grid that they touch."""
+    lat, up, lo = F.abs("lat"), F.abs("long_upper"), F.abs("long_lower")
+    b = check_boxes(boxes).where("usable").select(
+        "exit_id", "box_order", lat.alias("_lat"), up.alias("_up"), lo.alias("_lo"),
+        F.explode(F.sequence(F.floor((lat - BOX_LAT_TOLERANCE) / CELL_LAT), F.floor((lat + BOX_LAT_TOLERANCE) / CELL_LAT))).alias("_row"))
+    return b.select("*", F.explode(F.sequence(F.floor(F.col("_lo") / CELL_LONG), F.floor(F.col("_up") / CELL_LONG))).alias("_col"))
+
+
+def box_candidates(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Positions (``_plat``, ``_plong``) with the boxes that touch their cell: no more than overlap one cell."""
+    cells = points.withColumn("_row", F.floor(F.col("_plat") / CELL_LAT)).withColumn("_col", F.floor(F.col("_plong") / CELL_LONG))
+    return cells.join(box_cells(boxes), ["_row", "_col"]).drop("_row", "_col")
+
+
 def label_exit_by_box(df: DataFrame, boxes: DataFrame) -> DataFrame:
     """exit = first position after item 0 inside an exit box (first box in config order wins), else NULL.
 
     Box test on absolute coordinates: |lat - box.lat| < 0.00016, |box.lower| < long < |box.upper|,
     and the angle from touchdown within 4 degrees of the runway angle (touchdown to position 3).
-    Positions meet boxes by an equi-join on latitude cells as wide as a box, so any number of
-    boxes is joined in one way.  ``labelled_only`` drops the landings outside every box.
+    Positions meet boxes by an equi-join on cells of a latitude x longitude grid, so neither the boxes of one runway nor
+    its positions share one key.  ``labelled_only`` drops the landings outside every box.
     """
-    cell = 2 * BOX_LAT_TOLERANCE
-    cell_of = lambda c: F.floor(c / cell)
     pos = F.col("positions")
     n = F.size(pos)
     td_lat, td_long = F.abs(F.get(pos, 0)["lat"]), F.abs(F.get(pos, 0)["long"])
     nxt = F.get(pos, F.when(n > 3, F.lit(3)).otherwise(n - 1))
     rwy_angle = flat_angle(td_long, td_lat, F.abs(nxt["long"]), F.abs(nxt["lat"]))
-    lat = F.abs(F.col("lat"))
-    b = check_boxes(boxes).where("usable").select(
-        "exit_id", "box_order", lat.alias("_lat"), F.abs("long_upper").alias("_up"), F.abs("long_lower").alias("_lo"),
-        F.explode(F.sequence(cell_of(lat - BOX_LAT_TOLERANCE), cell_of(lat + BOX_LAT_TOLERANCE))).alias("_cell"))
     # Each distinct trajectory is labelled once and joined back by its fingerprint and touchdown.
     keyed = df.withColumn("_key", F.struct(F.xxhash64("positions").alias("h"), F.size("positions").alias("n"), F.get(pos, 0).alias("p")))
     points = keyed.dropDuplicates(["_key"]).select(
         "_key", rwy_angle.alias("_rwy"), td_lat.alias("_tlat"), td_long.alias("_tlong"), F.posexplode("positions").alias("_pos", "_p"))
     points = points.where("_pos >= 1").select("_key", "_rwy", "_tlat", "_tlong", "_pos", F.abs("_p.lat").alias("_plat"),
-                                              F.abs("_p.long").alias("_plong"), cell_of(F.abs("_p.lat")).alias("_cell"))
+                                              F.abs("_p.long").alias("_plong"))
     angle = flat_angle(F.col("_tlong"), F.col("_tlat"), F.col("_plong"), F.col("_plat"))
-    inside = points.join(b, "_cell").where(
+    inside = box_candidates(points, boxes).where(
         (F.abs(F.col("_plat") - F.col("_lat")) < BOX_LAT_TOLERANCE) & (F.col("_plong") < F.col("_up"))
         & (F.col("_plong") > F.col("_lo")) & (F.abs(F.col("_rwy") - angle) < BOX_ANGLE_TOLERANCE))
     found = inside.groupBy("_key").agg(F.min_by("exit_id", F.struct("_pos", "box_order")).alias("exit"))

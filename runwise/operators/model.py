@@ -7,17 +7,16 @@ importances, tree count).
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runwise.constants import (FOREST_IMPURITY, FOREST_MAX_BINS, FOREST_SEED, FOREST_SUBSAMPLING, FOREST_SUBSET,
                                MIN_FEATURES, SPLIT_SEED, SPLIT_WEIGHTS, TUNE_DEPTH, TUNE_FOLDS, TUNE_TREES)
+from runwise.session import materialise
 
 EXCLUDED = {"positions", "link_ids", "links", "exit", "flight_id"}
 VECTOR_COLS = ["features", "rawPrediction", "label", "probability"]
@@ -53,8 +52,8 @@ def check_features(features: list[str]) -> None:
 
 
 def fit_pipeline(data: DataFrame, train: DataFrame, features: list[str], trees: int, depth: int,
-                 fit_on: str = "all") -> PipelineModel:
-    """M3-M7: category indexers (fitted on all rows, invalid rows skipped), assembler, label
+                 fit_on: str = "all", forest_too: bool = True) -> PipelineModel:
+    """M3-M7 (without the forest: M3-M5): category indexers (fitted on all rows, invalid rows skipped), assembler, label
     indexer (fitted on the training rows), random forest, label decoder."""
     check_features(features)
     kinds = feature_kinds(data, features)
@@ -69,6 +68,8 @@ def fit_pipeline(data: DataFrame, train: DataFrame, features: list[str], trees:
                                     maxBins=FOREST_MAX_BINS, numTrees=trees, maxDepth=depth, seed=FOREST_SEED)
     decode = IndexToString(inputCol="prediction", outputCol="predictedExit", labels=label.labels)
     head = PipelineModel(stages=[*indexers, assembler, label])
+    if not forest_too:
+        return head
     rf_model = forest.fit(head.transform(train))
     return PipelineModel(stages=[*indexers, assembler, label, rf_model, decode])
 
@@ -131,7 +132,8 @@ def forest_nodes(spark: SparkSession, model: PipelineModel, path: str) -> DataFr
                    F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
                    F.col("nodeData.split.featureIndex").alias("feature_index"),
                    F.col("nodeData.split.leftCategoriesOrThreshold").alias("split_values"),
-                   F.col("nodeData.split.numCategories").alias("num_categories"))
+                   F.col("nodeData.split.numCategories").alias("num_categories"),
+                   F.col("nodeData.gain").alias("gain"), F.col("nodeData.impurityStats").alias("class_weights"))
     parents = n.where(F.col("left") >= 0).select("treeID", F.explode(F.array(
         F.struct(F.col("left").alias("node"), F.lit("left").alias("side"), F.col("node").alias("parent")),
         F.struct(F.col("right").alias("node"), F.lit("right").alias("side"), F.col("node").alias("parent")))).alias("p")) \
@@ -170,29 +172,127 @@ def forest_depth(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.max("depth").alias("max_depth"))
 
 
-def score(model: PipelineModel, df: DataFrame, key: str = "flight_id") -> DataFrame:
-    """Score any number of feature rows; rows with unseen categories keep a NULL prediction."""
-    scored = predict(model, df).select(key, "predictedExit")
-    return df.join(scored, key, "left")
+def features_of(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and the feature vector as an array; rows that the model skips are left out."""
+    from pyspark.ml.functions import vector_to_array
+    head = PipelineModel(stages=[s for s in model.stages if isinstance(s, VectorAssembler)
+                                 or isinstance(s, StringIndexerModel) and s.getInputCol() != "exit"])
+    return head.transform(df).select(*keep, vector_to_array("features").alias("features"))
 
 
-def tune(train: DataFrame, features: list[str], trees=TUNE_TREES, depth: int = TUNE_DEPTH,
-         folds: int = TUNE_FOLDS) -> DataFrame:
+def score_by_nodes(nodes: DataFrame, rows: DataFrame, labels: list[str]) -> DataFrame:
+    """M7 on the relation of M9: rows (any columns and ``features``) walk the node table level by level.
+
+    A row is at one node of each tree; a level is one join with the node table, which has a row per node of the model
+    and whose size Spark knows.  A tree votes with the class shares of the leaf, in tree order, and the first of
+    the greatest sums wins, as in the fitted model.  Adds ``votes`` and ``predictedExit``.
+    """
+    keys = [c for c in rows.columns if c != "features"]
+    table = nodes.select("treeID", "node", "left", "right", "feature_index", "split_values", "num_categories", "class_weights")
+    depth, n_trees = nodes.agg(F.max("depth"), F.countDistinct("treeID")).first()
+    # Rows get an id that stays, once written: the votes of a row meet again by it.
+    whole = materialise(rows.withColumn("_id", F.monotonically_increasing_id()))
+    at = whole.select("_id", "features", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("treeID"), F.lit(0).alias("node"))
+    for level in range(depth + 1):
+        here = at.join(table, ["treeID", "node"])
+        value = F.get("features", F.col("feature_index"))
+        goes_left = F.when(F.col("num_categories") >= 0, F.array_contains("split_values", value)).otherwise(value <= F.get("split_values", 0))
+        leaf = F.col("left") < 0
+        at = here.select("_id", "features", "treeID", F.when(leaf, F.col("node")).when(goes_left, F.col("left")).otherwise(F.col("right")).alias("node"),
+                         *([F.when(leaf, F.col("class_weights")).alias("at_leaf")] if level == depth else []))
+    total = F.aggregate("at_leaf", F.lit(0.0), lambda a, x: a + x)
+    shares = at.select("_id", "treeID", F.transform("at_leaf", lambda x: F.when(total != 0, x / total).otherwise(0.0)).alias("shares"))
+    votes = shares.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("treeID", "shares"))).alias("v"))
+    zero = F.array_repeat(F.lit(0.0), len(labels))
+    votes = votes.select("_id", F.aggregate("v", zero, lambda a, t: F.zip_with(a, t["shares"], lambda x, y: x + y)).alias("votes"))
+    winner = F.get(F.array(*[F.lit(x) for x in labels]), (F.array_position("votes", F.array_max("votes")) - 1).cast("int"))
+    return whole.join(votes, "_id").select(*keys, "votes", winner.alias("predictedExit"))
+
+
+def importances_by_nodes(nodes: DataFrame, names: list[str]) -> DataFrame:
+    """M10 from the node table: gain x rows of every split, per feature, as shares of the tree; the forest (tree -1) is the
+    mean of the trees that split at all, as shares again.  In percent, also for features that split nothing."""
+    rows = F.aggregate("class_weights", F.lit(0.0), lambda a, x: a + x)
+    split = nodes.where(F.col("left") >= 0).groupBy("treeID", "feature_index").agg(F.sum(F.col("gain") * rows).alias("s"))
+    shares = split.withColumn("share", F.col("s") / F.sum("s").over(Window.partitionBy("treeID")))
+    forest_ = shares.groupBy("feature_index").agg(F.sum("share").alias("s"))
+    forest_ = forest_.select(F.lit(-1).alias("tree"), "feature_index", (F.col("s") / F.sum("s").over(Window.partitionBy())).alias("share"))
+    every = forest_.unionByName(shares.select(F.col("treeID").alias("tree"), "feature_index", "share"))
+    trees = nodes.select(F.col("treeID").alias("tree")).distinct().unionByName(nodes.sparkSession.createDataFrame([(-1,)], "tree int"))
+    listed = F.array(*[F.struct(F.lit(k).alias("feature_index"), F.lit(n).alias("feature")) for k, n in enumerate(names)])
+    full = trees.select("tree", F.inline(listed)).join(every, ["tree", "feature_index"], "left")
+    return full.select("tree", "feature", (F.coalesce("share", F.lit(0.0)) * 100).alias("importance"))
+
+
+def score(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """Any number of feature rows with ``predictedExit``, every row kept as it is.
+
+    A row with a category that the model doesn't know, or without a feature, has a NULL prediction; nothing is joined, so
+    repeated rows stay as many as they are.
+    """
+    stages, known = [], F.lit(True)
+    for s in model.stages:
+        if isinstance(s, StringIndexerModel):
+            if s.getInputCol() == "exit":
+                continue
+            known = known & F.col(s.getInputCol()).isNotNull() & (F.col(s.getOutputCol()) < len(s.labels))
+            s = s.copy({s.handleInvalid: "keep"})
+        elif isinstance(s, VectorAssembler):
+            for c in s.getInputCols():
+                if not c.endswith("_idx"):
+                    known = known & F.col(c).isNotNull()
+            s = s.copy({s.handleInvalid: "keep"})
+        stages.append(s)
+    scored = PipelineModel(stages=stages).transform(df.drop("predictedExit"))
+    keep = [c for c in df.columns if c != "predictedExit"]
+    return scored.select(*keep, F.when(known, F.col("predictedExit")).alias("predictedExit"))
+
+
+def fold_of(key: str, folds: int, seed: int) -> F.Column:
+    """0 to folds-1 by a digest of the row's key, so a row is in the same fold under any partitioning."""
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(f"fold{seed}")))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % folds).cast("int")
+
+
+def tune_folds(train: DataFrame, features: list[str], trees=TUNE_TREES, depth: int = TUNE_DEPTH, folds: int = TUNE_FOLDS,
+               key: str = "flight_id", at_once: int = 4) -> DataFrame:
+    """M8: (num_trees, max_depth, fold, n_held_out, n_correct, accuracy) of every grid point and fold.
+
+    Rows are indexed, assembled and given their fold once, in one cached table; the fits are Spark jobs that
+    run ``at_once`` side by side.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+    base = fit_pipeline(train, train, features, trees[0], depth, forest_too=False)
+    rows = base.transform(train).select("features", "label", fold_of(key, folds, FOREST_SEED).alias("fold")).cache()
+
+    def one(job: tuple[int, int]) -> tuple:
+        n_trees, fold = job
+        rf = RandomForestClassifier(labelCol="label", featuresCol="features", impurity=FOREST_IMPURITY,
+                                    featureSubsetStrategy=FOREST_SUBSET, subsamplingRate=FOREST_SUBSAMPLING,
+                                    maxBins=FOREST_MAX_BINS, numTrees=n_trees, maxDepth=depth, seed=FOREST_SEED)
+        fitted = rf.fit(rows.where(F.col("fold") != fold))
+        n, right = fitted.transform(rows.where(F.col("fold") == fold)) \
+            .agg(F.count(F.lit(1)), F.count_if(F.col("prediction") == F.col("label"))).first()
+        return n_trees, depth, fold, n, right, right / n if n else None
+
+    filled = {r["fold"] for r in rows.select("fold").distinct().collect()}  # at most ``folds`` numbers
+    jobs = [(n, k) for n in trees for k in range(folds) if filled != {k}]  # a fold with all rows leaves none to learn from
+    with ThreadPoolExecutor(at_once) as pool:
+        found = list(pool.map(one, jobs))
+    rows.unpersist()
+    return train.sparkSession.createDataFrame(found, "num_trees int, max_depth int, fold int, n_held_out long, n_correct long, accuracy double")
+
+
+def best_params(by_fold: DataFrame) -> DataFrame:
+    """Mean accuracy of each grid point over its folds; the best is flagged (ties: fewer trees)."""
+    means = by_fold.groupBy("num_trees", "max_depth").agg(F.avg("accuracy").alias("mean_accuracy"))
+    first = Window.orderBy(F.desc("mean_accuracy"), "num_trees", "max_depth")  # a row per grid point
+    return means.withColumn("best", F.row_number().over(first) == 1)
+
+
+def tune(train: DataFrame, features: list[str], trees=TUNE_TREES, depth: int = TUNE_DEPTH, folds: int = TUNE_FOLDS) -> DataFrame:
     """M8 + A9: k-fold cross-validation over numTrees, accuracy metric; best row flagged."""
-    base = fit_pipeline(train, train, features, trees[0], depth)
-    head = PipelineModel(stages=[s for s in base.stages if not isinstance(s, (RandomForestClassificationModel, IndexToString))])
-    prepared = head.transform(train).select("features", "label")
-    rf = RandomForestClassifier(labelCol="label", featuresCol="features", impurity=FOREST_IMPURITY,
-                                featureSubsetStrategy=FOREST_SUBSET, subsamplingRate=FOREST_SUBSAMPLING,
-                                maxBins=FOREST_MAX_BINS, maxDepth=depth, seed=FOREST_SEED)
-    grid = ParamGridBuilder().addGrid(rf.numTrees, list(trees)).build()
-    ev = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName="accuracy")
-    cv = CrossValidator(estimator=Pipeline(stages=[rf]), estimatorParamMaps=grid, evaluator=ev, numFolds=folds,
-                        seed=FOREST_SEED).fit(prepared)
-    metrics = [float(m) for m in cv.avgMetrics]
-    best = metrics.index(max(metrics))
-    rows = [(int(pm[rf.numTrees]), depth, m, k == best) for k, (pm, m) in enumerate(zip(grid, metrics))]
-    return train.sparkSession.createDataFrame(rows, "num_trees int, max_depth int, mean_accuracy double, best boolean")
+    return best_params(tune_folds(train, features, trees, depth, folds))
 
 
 def split_counts(train: DataFrame, test: DataFrame) -> DataFrame:

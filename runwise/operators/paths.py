@@ -1,10 +1,9 @@
 """Slow point, goal, avoided vertex and best taxi paths on the taxiway graph.
 
 Vertices of a landing (G1, G2, G4, J10) come from its own link list, of which each distinct one is
-joined with the network once.  The path search (G3) runs once per distinct
-(start, goal, avoid) key - a set bounded by the network, not by the number of landings - as
-an iterative frontier relaxation: each round joins the changed frontier with the edge
-walks and keeps the least distance per (key, vertex).  Results are joined back to the landings.
+joined with the network once.  The path search (G3, ``search``) runs once per distinct
+(start, goal, avoid) key - a set bounded by the network, not by the number of landings - and only for the keys
+that the store of solved paths (``path_store``) doesn't have.  Results are joined back to the landings.
 """
 
 from __future__ import annotations
@@ -14,10 +13,10 @@ from pyspark.sql import functions as F
 
 from runwise.constants import M_TO_FEET, SLOW_SPEED_MS
 from runwise.functions.geo import let, pair_distances, pair_speeds, planar, vincenty
+from runwise.operators import path_store, search
 from runwise.operators.network import NetworkIndex, link_coords, undirected
-from runwise.session import cut_lineage, materialise
-
-STEP = "struct<link_id:string,from_node:string,is_exit:int,length:double>"
+from runwise.operators.routes import with_looked_up
+from runwise.session import cut_lineage, drop_tables, materialise
 
 
 # --- G1 ---------------------------------------------------------------------
@@ -32,16 +31,8 @@ def with_slow_position(df: DataFrame) -> DataFrame:
 
 
 def with_link_info(df: DataFrame, net: NetworkIndex) -> DataFrame:
-    """_links: the landing's link list resolved against the network (NULL items for unknown links).
-
-    Each distinct link list is resolved once and joined back by the list itself, so repeated
-    records and flight ids that collide don't mix.
-    """
-    each = df.select("link_ids").distinct().select("link_ids", F.posexplode("link_ids").alias("_pos", "link_id"))
-    resolved = (each.join(net.link_info(), "link_id", "left").groupBy("link_ids")
-                .agg(F.sort_array(F.collect_list(F.struct("_pos", "info"))).alias("_l"))
-                .select("link_ids", F.transform("_l", lambda x: x["info"]).alias("_links")))
-    return df.join(resolved, "link_ids", "left").select(*df.columns, "_links")
+    """_links: the landing's link list resolved against the network (NULL items for unknown links), once per distinct list."""
+    return with_looked_up(df, net.link_info(), "_links")
 
 
 def link_distance(e: Column, lat: Column, long: Column) -> Column:
@@ -152,106 +143,71 @@ def effective_avoid(keys: DataFrame, edges: DataFrame) -> DataFrame:
                                              F.col("avoid"))).drop("_adj")
 
 
-def walks(edges: DataFrame, hops: int = 4) -> DataFrame:
-    """Simple walks of 1..hops edges: (a, b, steps, via) with via = vertices after a.
-
-    Relaxing over walks instead of single edges cuts the number of search rounds
-    by ``hops``.  Size is bounded by the network (V x degree^hops), not the data.
-    """
-    und = undirected(edges).select("a", "b", "link_id", "length", "is_exit")
-    step = F.struct(F.col("link_id"), F.col("a").alias("from_node"), F.col("is_exit"), F.col("length"))
-    cur = und.select("a", "b", F.array(step).alias("steps"), F.array("b").alias("via"))
-    out = cur
-    for _ in range(hops - 1):
-        e = und.select(F.col("a").alias("_x"), F.col("b").alias("_y"), "link_id", "length", "is_exit")
-        nxt = cur.join(e, cur.b == e._x).where(~F.array_contains("via", F.col("_y")) & (F.col("_y") != F.col("a")))
-        cur = nxt.select("a", F.col("_y").alias("b"),
-                         F.concat("steps", F.array(F.struct(F.col("link_id"), F.col("_x").alias("from_node"),
-                                                            F.col("is_exit"), F.col("length")))).alias("steps"),
-                         F.concat("via", F.array("_y")).alias("via"))
-        out = out.unionByName(cur)
-    return out
-
-
 def path_length(path: Column) -> Column:
     """Left-to-right sum of step lengths (the order a search accumulates them in)."""
     return F.aggregate(path, F.lit(0.0), lambda acc, s: acc + s["length"])
 
 
 def check_heuristic(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges shorter than the geodesic between their ends (0.5 % is left for rounding).
-
-    Only without such edges is the heuristic consistent and the first-touch answer that of the
-    early-stopping search.
-    """
+    """Edges shorter than the geodesic between their ends: with one of them the heuristic isn't consistent."""
     c = link_coords(nodes, edges)
     d = c.withColumn("geodesic_ft", vincenty(F.col("src_lat"), F.col("src_long"), F.col("dst_lat"), F.col("dst_long")) * M_TO_FEET)
-    return d.where(F.col("length") < F.col("geodesic_ft") * 0.995).select("link_id", "length", "geodesic_ft")
+    return d.where(F.col("length") < F.col("geodesic_ft") * (1 - 1e-12)).select("link_id", "length", "geodesic_ft")
 
 
-def best_paths(keys: DataFrame, nodes: DataFrame, edges: DataFrame, stop: str = "first_touch", hops: int = 4) -> DataFrame:
+def heuristic(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """h: geodesic in feet for the (node, goal) rows."""
+    xy = nodes.select("node_id", "lat", "long")
+    at = xy.select(F.col("node_id").alias("node"), F.col("lat").alias("_a"), F.col("long").alias("_o"))
+    to = xy.select(F.col("node_id").alias("goal"), F.col("lat").alias("_ga"), F.col("long").alias("_go"))
+    d = pairs.join(at, "node").join(to, "goal")
+    return d.select(*pairs.columns, (vincenty(F.col("_a"), F.col("_o"), F.col("_ga"), F.col("_go")) * M_TO_FEET).alias("h"))
+
+
+def best_paths(keys: DataFrame, nodes: DataFrame, edges: DataFrame, stop: str = "first_touch") -> DataFrame:
     """Paths for distinct (start, goal, avoid) keys.
 
-    stop='first_touch': the answer of an A* search that stops as soon as the
-    popped vertex touches the goal (with a consistent heuristic): shortest path
-    start->u in the graph without the avoided vertex and the goal, for the
-    neighbour u of the goal with the least distance + heuristic, then u->goal.
-    stop='exact': shortest path start->goal in the graph without the avoided vertex.
-    Equal lengths are broken by the smaller path (link ids in order).
+    stop='first_touch': the answer of a best-first search that stops as soon as the popped vertex touches the goal.
+    If no link is shorter than its geodesic the heuristic is consistent and this is the shortest way start->u in the
+    graph without the avoided vertex and the goal, for the neighbour u of the goal with the least distance + heuristic
+    (ties: smaller u), then u->goal by its shortest link.  With shorter links the order of the pops decides, and the
+    search is run as such, in bands (``search.ordered_first_touch``).
+    Of ways of equal length it is the one over vertices that the search pops first.
+    stop='exact': shortest path start->goal in the graph without the avoided vertex; equal lengths are broken by the
+    smaller vertex and link before, from the end on.
 
     Returns (start, goal, avoid, path array<struct<link_id, from_node, is_exit, length>>);
     path is NULL when the goal cannot be reached, is the avoided vertex, or start == goal.
     """
     k = effective_avoid(keys.select("start", "goal", "avoid").distinct(), edges)
-    k = materialise(k.withColumn("kid", F.xxhash64("start", "goal", F.coalesce("avoid", F.lit("")))))
-    edges = materialise(edges)
-    und = materialise(undirected(edges).select("a", "b", "link_id", "length", "is_exit"))
-    wk = materialise(walks(edges, hops))
+    k = materialise(k.withColumn("kid", F.monotonically_increasing_id()))  # written once, so the ids stay
+    und = materialise(search.with_cost(undirected(edges).select("a", "b", "link_id", "length", "is_exit")))
     # A goal that is the avoided vertex has no path.
-    open_k = k.where((F.col("start") != F.col("goal")) & ~F.col("goal").eqNullSafe(F.col("avoid")))
-
-    # state: least (g, path) per (key, vertex); `changed` marks the frontier.
-    state = materialise(open_k.select(
-        "kid", F.col("start").alias("node"), F.lit(0.0).alias("g"),
-        F.array().cast(f"array<{STEP}>").alias("path"), F.lit(True).alias("changed")))
-    ctx = open_k.select("kid", "goal", "avoid_eff")
-    exact = F.lit(stop == "exact")
-    while True:  # a path is simple, so at most as many rounds change something as there are vertices
-        frontier = state.where("changed")
-        if frontier.isEmpty():
-            break
-        avoid = F.coalesce(F.col("avoid_eff"), F.lit(""))
-        cand = (frontier.join(ctx, "kid")
-                .where((F.col("node") != F.col("goal")) | exact)
-                .join(wk, F.col("node") == F.col("a"))
-                .where(~F.array_contains("via", avoid))
-                # the goal may only be the last vertex of a walk (exact) or none (first touch)
-                .where(~F.array_contains(F.slice("via", 1, F.size("via") - 1), F.col("goal"))
-                       & (exact | (F.col("b") != F.col("goal"))))
-                .select("kid", F.col("b").alias("node"), F.concat("path", "steps").alias("path"))
-                .withColumn("g", path_length(F.col("path"))).withColumn("rank", F.lit(1)))
-        old = state.select("kid", "node", "g", "path", F.lit(0).alias("rank"))
-        # least (g, path) wins; an equal known entry (rank 0) stays, so the loop ends
-        best = old.unionByName(cand).groupBy("kid", "node").agg(F.min(F.struct("g", "path", "rank")).alias("_b"))
-        state = materialise(best.select("kid", "node", F.col("_b")["g"].alias("g"), F.col("_b")["path"].alias("path"),
-                                        (F.col("_b")["rank"] == 1).alias("changed")))
+    open_k = k.where((F.col("start") != F.col("goal")) & ~F.col("goal").eqNullSafe(F.col("avoid"))).drop("avoid")
     if stop == "exact":
-        done = state.join(k.select("kid", "goal"), "kid").where(F.col("node") == F.col("goal")).select("kid", "path")
+        found = search.shortest(open_k, und, through_goal=True)
+        reach = search.predecessors(found, open_k, und)
+        drop_tables(found)
+        done = search.trace(reach, open_k.select("kid", F.col("goal").alias("node")).join(reach, ["kid", "node"], "left_semi"))
+        done = done.select("kid", "path")
     else:
-        # neighbours u of the goal with g(u) + h(u); h = geodesic to the goal in feet
-        nb = state.join(ctx, "kid").join(und, (F.col("node") == F.col("a")) & (F.col("b") == F.col("goal")))
-        node_xy = nodes.select("node_id", "lat", "long")
-        u_xy = node_xy.select(F.col("node_id").alias("node"), F.col("lat").alias("u_lat"), F.col("long").alias("u_long"))
-        g_xy = node_xy.select(F.col("node_id").alias("goal"), F.col("lat").alias("g_lat"), F.col("long").alias("g_long"))
-        nb = nb.join(u_xy, "node").join(g_xy, "goal")
-        nb = nb.withColumn("h", vincenty(F.col("u_lat"), F.col("u_long"), F.col("g_lat"), F.col("g_long")) * M_TO_FEET)
-        last = F.struct(F.col("link_id"), F.col("node").alias("from_node"), F.col("is_exit"), F.col("length"))
-        nb = nb.select("kid", (F.col("g") + F.col("h")).alias("f"), "node", "length", "link_id",
-                       F.concat("path", F.array(last)).alias("path"))
-        done = nb.groupBy("kid").agg(F.min(F.struct("f", "node", "length", "link_id", "path")).alias("_b")) \
-            .select("kid", F.col("_b")["path"].alias("path"))
-    out = k.join(done, "kid", "left").select("start", "goal", "avoid", "path")
-    return materialise(out)
+        touching = und.select(F.col("a").alias("node"), F.col("b").alias("goal"), "length", "link_id", "is_exit")
+        last = touching.groupBy("node", "goal").agg(F.min(F.struct("length", "link_id", "is_exit")).alias("_e"))
+        if check_heuristic(nodes, edges).isEmpty():
+            found = search.shortest(open_k, und, through_goal=False)
+            reach = search.predecessors(found, open_k, und, lambda rows: heuristic(rows, nodes))
+            drop_tables(found)
+            near = reach.select("kid", "node", "g").join(open_k.select("kid", "goal"), "kid").join(last.select("node", "goal"), ["node", "goal"])
+            near = heuristic(near, nodes).groupBy("kid").agg(F.min(F.struct((F.col("g") + F.col("h")).alias("f"), F.col("node"))).alias("_b"))
+            ends = materialise(near.select("kid", F.col("_b.node").alias("node")))
+        else:
+            reach, ends = search.ordered_first_touch(open_k, und, lambda rows: heuristic(rows, nodes))
+        done = search.trace(reach, ends).join(open_k.select("kid", "goal"), "kid").join(last, ["node", "goal"])
+        step = F.struct(F.col("_e.link_id"), F.col("node").alias("from_node"), F.col("_e.is_exit"), F.col("_e.length"))
+        done = done.select("kid", F.concat("path", F.array(step)).alias("path"))
+    out = materialise(k.join(done, "kid", "left").select("start", "goal", "avoid", "path"))
+    drop_tables(k, und, reach)
+    return out
 
 
 # --- G5 / G6 ----------------------------------------------------------------
@@ -264,7 +220,7 @@ def flag_path(path: Column, slow: Column, slow_on_exit: Column) -> Column:
 
 
 def with_paths(df: DataFrame, nodes: DataFrame, edges: DataFrame, net: NetworkIndex,
-               exit_col: str = "predictedExit", stop: str = "first_touch", drop: bool = True) -> DataFrame:
+               exit_col: str = "predictedExit", stop: str = "first_touch", drop: bool = True, store: str | None = None) -> DataFrame:
     """optPath (slowV -> goalV) and predPath (slowV -> near ++ exit ++ far -> goalV).
 
     Rows without either path drop, or are kept with ``has_paths`` false."""
@@ -276,7 +232,7 @@ def with_paths(df: DataFrame, nodes: DataFrame, edges: DataFrame, net: NetworkIn
     leg2_k = d.where(F.col("far").isNotNull()).select(
         F.col("far").alias("start"), F.col("goalV").alias("goal"), F.col("avoidV").alias("avoid"))
     keys = opt_k.unionByName(leg1_k).unionByName(leg2_k).distinct()
-    solved = best_paths(keys, nodes, edges, stop=stop)
+    solved = path_store.solve(keys, nodes, edges, stop=stop, store=store)
 
     def attach(frame: DataFrame, start: str, goal: str, name: str) -> DataFrame:
         s = solved.select(F.col("start").alias("_s"), F.col("goal").alias("_g"), F.col("avoid").alias("_a"),

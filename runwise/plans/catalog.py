@@ -24,7 +24,7 @@ from runwise.operators import summary as S
 from runwise.operators.network import (NetworkIndex, clean_network, exit_edges, link_coords, project_edges, project_vertices,
                                        undirected)
 from runwise.operators.overlay import node_overlay, path_overlay
-from runwise.plans.prepare import featurize, prepare_landings
+from runwise.plans.prepare import featurize, prepare_from_text, prepare_landings
 from runwise.session import cut_lineage, ensure_checkpoint_dir, materialise, prepare
 from runwise.sources import readers as R
 from runwise.sources import fixtures as fx
@@ -52,15 +52,16 @@ def r3(c):
 
 
 # --- sources / network --------------------------------------------------------
-def as_file(df: DataFrame, spark: SparkSession, first: str) -> str:
-    """``df`` as a CSV file with a header whose columns are in another order and among others.
+def as_file(df: DataFrame, spark: SparkSession, first: str, parts: bool = False) -> str:
+    """``df`` as CSV with a header whose columns are in another order and among others: one ordered file, or a folder of
+    parts that the tasks write side by side, each with its header.
 
     Returns its path; the readers must find their columns by name.
     """
     path = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
     rest = [c for c in reversed(df.columns) if c != first]
-    df.select(F.lit("x").alias("extra_first"), *rest, F.lit(1).alias("Extra"), first).coalesce(1) \
-        .write.option("header", True).csv(path)
+    out = df.select(F.lit("x").alias("extra_first"), *rest, F.lit(1).alias("Extra"), first)
+    (out if parts else out.coalesce(1)).write.option("header", True).csv(path)
     return path
 
 
@@ -133,7 +134,8 @@ def q_airport_code(spark, sf):
 # --- landings: parsing and filters -------------------------------------------
 def read_back(spark, sf, noise: bool = False):
     """The packed landing records, read from a file by the names in its header."""
-    return R.read_flights(spark, as_file(fx.flights_raw(spark, sf, noise), spark, "positions"), keep=["flight_id"])
+    raw = fx.flights_raw(spark, sf, noise)
+    return R.read_flights(spark, as_file(raw, spark, "positions", parts=True), keep=["flight_id"])
 
 
 def q_scan_flights(spark, sf):
@@ -210,8 +212,9 @@ PREPARED_COLS = ["flight_id", "exit", "runway", "depAirport", "aircraftType", "a
 
 
 def q_prepare_landings(spark, sf):
+    """F1 from the packed text of the input files."""
     _, edges = network(spark, sf)
-    p = prepare_landings(fx.flights(spark, sf), edges, CODE)
+    p = prepare_from_text(read_back(spark, sf, noise=True), edges, CODE).withColumn("flight_id", F.col("flight_id").cast("long"))
     return p.select(*[r7(F.col(c)).alias(c) if c.startswith("touchdown") else c for c in PREPARED_COLS])
 
 

@@ -66,7 +66,8 @@ sizes AS (SELECT p_brand AS ac_type,
                    AS category
           FROM (SELECT DISTINCT p_brand FROM part)
           WHERE CAST(regexp_extract(p_brand, '#(\\d+)$', 1) AS INTEGER) % 7 <> 0),
-boxes AS (SELECT e.link_id AS exit_id, CAST(e.link_id AS INTEGER) AS box_order, s.lat,
+boxes AS (SELECT e.link_id AS exit_id, CAST(e.link_id AS INTEGER) AS box_order,
+                 s.lat + coalesce([{', '.join(d(x) for x in fx.BOX_LAT_SHIFT)}][(CAST(e.link_id AS INTEGER) - 2001) // 3 + 1], {d(0)}) AS lat,
                  s.long - {d(fx.BOX_HALF_WIDTH)} AS long_upper, s.long + {d(fx.BOX_HALF_WIDTH)} AS long_lower
           FROM edges e JOIN nodes s ON e.src = s.node_id WHERE e.is_exit = 1)"""
 
@@ -89,14 +90,18 @@ fl AS (SELECT f.flight_id, f.u, f.t0, f.e, f.g, f.v0, f.acc, f.n_pos, f.drift,
               CASE WHEN f.u % 2 = 0 THEN '07L' ELSE '25R' END AS runway,
               n.n_name AS depAirport, 'KPHX' AS arrAirport, 'Brand#' || CAST(f.u % 30 AS VARCHAR) AS aircraftType,
               'T' || CAST(f.u % 4 AS VARCHAR) AS arrGate, CAST(2000 + f.e + 3 AS VARCHAR) AS surrogate_exit,
+              CASE WHEN f.u % 30 = 15 AND f.chunk % 3 = 2 THEN [unknown, '2001', '1026', '1027', '1001', '1000'] ELSE
               CASE (f.u + f.chunk) % {fx.VARIANTS}
+                   WHEN 2 THEN list_concat(['1000', '2001'], list_transform(range(1026, 1025 + g), lambda x: CAST(x AS VARCHAR)),
+                                           [CAST(2025 + g AS VARCHAR), CAST(1050 + g AS VARCHAR), CAST(1051 + g AS VARCHAR)])
                    WHEN 3 THEN list_prepend(unknown, route) WHEN 5 THEN list_append(route, unknown)
                    WHEN 7 THEN route[1:e + 2]
                    WHEN 8 THEN list_transform(range(2025 + f.u % 20, 2031 + f.u % 20), lambda x: CAST(x AS VARCHAR))
-                   WHEN 9 THEN route[1:4] ELSE route END AS link_ids
+                   WHEN 9 THEN route[1:4] ELSE route END END AS link_ids
        FROM fl1 f LEFT JOIN nation n ON n.n_nationkey = f.u % 25),
-pos AS (SELECT f.flight_id, s.i AS i, {d(fx.BASE_LAT)} + f.drift * s.i AS lat,
-               {d(fx.BASE_LONG)} + ((f.v0 * (2 * s.i)) - (f.acc / {d(2.0)}) * ((2 * s.i) * (2 * s.i))) / {d(fx.METRES_PER_DEG_LONG)} AS long,
+pos AS (SELECT f.flight_id, s.i AS i, CAST(CAST({d(fx.BASE_LAT)} + f.drift * s.i AS DECIMAL(12,7)) AS DOUBLE) AS lat,
+               CAST(CAST({d(fx.BASE_LONG)} + ((f.v0 * (2 * s.i)) - (f.acc / {d(2.0)}) * ((2 * s.i) * (2 * s.i))) / {d(fx.METRES_PER_DEG_LONG)}
+                    AS DECIMAL(12,7)) AS DOUBLE) AS long,
                f.t0 + 2000 * s.i AS epoch_ms
         FROM fl f JOIN range({fx.LONG_LANDING}) s(i) ON s.i < f.n_pos),
 flinks AS (SELECT flight_id, generate_subscripts(link_ids, 1) - 1 AS idx, unnest(link_ids) AS link_id FROM fl),
@@ -105,6 +110,14 @@ pairs AS (SELECT a.flight_id, a.i, a.lat AS lat1, a.long AS lon1, b.lat AS lat2,
           FROM pos a JOIN pos b ON a.flight_id = b.flight_id AND b.i = a.i + 1)"""
 
 
+# The same landings read back from packed text with noise: epochs as parsed, other airports and "null" types left out.
+_EPOCH = "f.t0 + 2000 * s.i"
+FLIGHTS_TEXT = FLIGHTS.replace(
+    f"{_EPOCH} AS epoch_ms",
+    f"CAST(trunc(CAST(substr(CAST({_EPOCH} AS VARCHAR), 1, 1) || '.' || substr(CAST({_EPOCH} AS VARCHAR), 2) AS DOUBLE) "
+    f"* pow(10, CAST(length(CAST({_EPOCH} AS VARCHAR)) - 1 AS DOUBLE))) AS BIGINT) AS epoch_ms")
+
+
 def vincenty_ctes(name: str, src: str, keys: list[str], rounds: int = 10) -> str:
     """CTE chain computing `dist` (metres) for rows of `src`(keys, lat1, lon1, lat2, lon2)."""
     f = d(WGS84_F)
@@ -173,6 +186,9 @@ prepared AS (SELECT k.*, t.traffic, l.exit FROM kept k JOIN traf t USING (flight
              WHERE l.exit IS NOT NULL)"""
 
 
+FEATURES_TEXT = FEATURES.replace("WHERE f.arrAirport = 'KPHX'", "WHERE f.flight_id % 7 NOT IN (0, 1)")
+
+
 def with_ctes(*blocks: str) -> str:
     return "WITH " + ",".join(b.strip().rstrip(",") for b in blocks)
 
@@ -256,28 +272,33 @@ keys0 AS ({keys_sql}),
 kk AS (SELECT DISTINCT k.start || '|' || k.goal || '|' || coalesce(k.avoid, '') AS kid, k.start, k.goal, k.avoid,
               CASE WHEN adj.a IS NULL AND k.start <> coalesce(k.avoid, '') THEN k.avoid END AS avoid_eff
        FROM keys0 k LEFT JOIN (SELECT DISTINCT a, b FROM und) adj ON adj.a = k.start AND adj.b = k.goal),
-sp AS (WITH RECURSIVE r(kid, node, g, path) USING KEY (kid, node) AS (
-         SELECT kid, start, {d(0)}, []::{STEP_T}[] FROM kk WHERE start <> goal AND goal <> coalesce(avoid, '')
+sp AS (WITH RECURSIVE r(kid, node, g) USING KEY (kid, node) AS (
+         SELECT kid, start, {d(0)} FROM kk WHERE start <> goal AND goal <> coalesce(avoid, '')
          UNION
-         SELECT c.kid, c.node, c.g, c.path FROM (
-           SELECT w.kid, u.b AS node, w.g + u.length AS g,
-                  list_append(w.path, {{'link_id': u.link_id, 'from_node': u.a, 'is_exit': u.is_exit, 'length': u.length}}) AS path,
-                  row_number() OVER (PARTITION BY w.kid, u.b ORDER BY w.g + u.length,
-                      list_append(w.path, {{'link_id': u.link_id, 'from_node': u.a, 'is_exit': u.is_exit, 'length': u.length}})) AS rn
+         SELECT c.kid, c.node, c.g FROM (
+           SELECT w.kid, u.b AS node, min(w.g + u.length) AS g
            FROM r w JOIN kk ON kk.kid = w.kid JOIN und u ON u.a = w.node
-           WHERE w.node <> kk.goal AND u.b <> coalesce(kk.avoid_eff, '') AND u.b <> kk.goal) c
+           WHERE w.node <> kk.goal AND u.b <> coalesce(kk.avoid_eff, '') AND u.b <> kk.goal GROUP BY w.kid, u.b) c
          LEFT JOIN recurring.r old ON old.kid = c.kid AND old.node = c.node
-         WHERE c.rn = 1 AND (old.g IS NULL OR c.g < old.g OR (c.g = old.g AND c.path < old.path)))
+         WHERE old.g IS NULL OR c.g < old.g)
        SELECT * FROM r),
-nbr AS (SELECT s.kid, s.node, s.g, s.path, u.link_id, u.length, u.is_exit, k.goal,
-               n1.lat AS lat1, n1.long AS lon1, n2.lat AS lat2, n2.long AS lon2
-        FROM sp s JOIN kk k ON k.kid = s.kid JOIN und u ON u.a = s.node AND u.b = k.goal
-             JOIN nodes n1 ON n1.node_id = s.node JOIN nodes n2 ON n2.node_id = k.goal),
-{vincenty_ctes('hv', 'nbr', ['kid', 'node'])},
-pick AS (SELECT kid, list_append(path, {{'link_id': link_id, 'from_node': node, 'is_exit': is_exit, 'length': length}}) AS path
-         FROM (SELECT n.*, row_number() OVER (PARTITION BY n.kid ORDER BY n.g + h.dist * {d(M_TO_FEET)}, n.node, n.length,
-                                               n.link_id, n.path) AS rn
-               FROM nbr n JOIN hv h ON h.kid = n.kid AND h.node = n.node) WHERE rn = 1),
+toward AS (SELECT s.kid, s.node, s.g, k.start, k.goal, n1.lat AS lat1, n1.long AS lon1, n2.lat AS lat2, n2.long AS lon2
+           FROM sp s JOIN kk k ON k.kid = s.kid JOIN nodes n1 ON n1.node_id = s.node JOIN nodes n2 ON n2.node_id = k.goal),
+{vincenty_ctes('hv', 'toward', ['kid', 'node'])},
+popped AS (SELECT t.kid, t.node, t.g, t.start, t.goal, t.g + h.dist * {d(M_TO_FEET)} AS f FROM toward t JOIN hv h ON h.kid = t.kid AND h.node = t.node),
+prior AS (SELECT * FROM (SELECT q.kid, t.node, u.a AS prev, u.link_id, u.is_exit, u.length,
+                                row_number() OVER (PARTITION BY q.kid, t.node ORDER BY q.f, u.a, u.link_id) AS rn
+                         FROM popped q JOIN und u ON u.a = q.node JOIN popped t ON t.kid = q.kid AND t.node = u.b
+                         WHERE q.g + u.length = t.g AND t.node <> t.start) WHERE rn = 1),
+last AS (SELECT * FROM (SELECT q.*, u.link_id, u.is_exit, u.length, row_number() OVER (PARTITION BY q.kid ORDER BY q.f, q.node, u.length, u.link_id) AS rn
+                        FROM popped q JOIN und u ON u.a = q.node AND u.b = q.goal) WHERE rn = 1),
+back AS (WITH RECURSIVE t(kid, node, start, path) AS (
+           SELECT kid, node, start, [{{'link_id': link_id, 'from_node': node, 'is_exit': is_exit, 'length': length}}]::{STEP_T}[] FROM last
+           UNION ALL
+           SELECT t.kid, p.prev, t.start, list_prepend({{'link_id': p.link_id, 'from_node': p.prev, 'is_exit': p.is_exit, 'length': p.length}}, t.path)
+           FROM t JOIN prior p ON p.kid = t.kid AND p.node = t.node WHERE t.node <> t.start)
+         SELECT * FROM t),
+pick AS (SELECT kid, path FROM back WHERE node = start),
 solved AS (SELECT k.kid, k.start, k.goal, k.avoid, p.path FROM kk k LEFT JOIN pick p ON p.kid = k.kid)"""
 
 
@@ -497,7 +518,7 @@ def oracle_sql() -> dict[str, str]:
                         - {_angle('p0.long', 'abs(p0.lat)', 'p.long', 'abs(p.lat)')}) < {d(4.0)})
             SELECT f.flight_id, arg_min(gf.exit_id, (gf.i, gf.box_order)) AS exit
             FROM fl f LEFT JOIN gf ON gf.flight_id = f.flight_id GROUP BY f.flight_id""",
-        "prepare_landings": feat + " SELECT flight_id, exit, runway, depAirport, aircraftType, arrGate, "
+        "prepare_landings": with_ctes(NETWORK, FLIGHTS_TEXT, FEATURES_TEXT) + " SELECT flight_id, exit, runway, depAirport, aircraftType, arrGate, "
                                    "round(touchdownLat, 7) AS touchdownLat, round(touchdownLong, 7) AS touchdownLong, "
                                    "hour, day, decel, carrier, traffic FROM prepared",
         "select_features": feat + f" SELECT flight_id, exit, {', '.join(FEATURE_SUBSET)} FROM prepared",

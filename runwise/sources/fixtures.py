@@ -35,6 +35,7 @@ METRES_PER_DEG_LONG = 92900.0
 CALLSIGN_PREFIXES = ["AAL", "SWA", "UAL"]
 SIZE_CATEGORIES = ["GA", "Small", "Medium", "Large", "Super"]
 BOX_HALF_WIDTH = 0.0006
+BOX_LAT_SHIFT = [0.00017, 0.0, -0.0003]   # degrees off the runway axis of the first boxes, so landings differ in the box they meet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -126,11 +127,12 @@ def _flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     acc = F.when(u % 10 == 0, F.lit(0.2)).otherwise(F.lit(1.0) + F.lit(0.5) * (chunk % 3))
     n_pos = F.when((F.col("n") == EVENTS_PER_LANDING) & (u % 9 == 4), F.lit(LONG_LANDING)).otherwise(F.col("n")).cast("int")
     drift = F.get(F.array(*[F.lit(x) for x in LAT_DRIFT]), (u % len(LAT_DRIFT)).cast("int"))
+    degrees = lambda x: x.cast("decimal(12,7)").cast("double")  # noqa: E731  (what the packed text holds)
     positions = F.transform(
         F.sequence(F.lit(0), n_pos - 1),
         lambda s: F.struct(
-            (F.lit(BASE_LAT) + drift * s).alias("lat"),
-            (F.lit(BASE_LONG) + ((v0 * (2 * s)) - (acc / 2.0) * ((2 * s) * (2 * s))) / METRES_PER_DEG_LONG).alias("long"),
+            degrees(F.lit(BASE_LAT) + drift * s).alias("lat"),
+            degrees(F.lit(BASE_LONG) + ((v0 * (2 * s)) - (acc / 2.0) * ((2 * s) * (2 * s))) / METRES_PER_DEG_LONG).alias("long"),
             (F.col("t0") + F.lit(2000) * s).cast("bigint").alias("epoch_ms")))
     e = F.lit(10) + F.lit(3) * (u % 3)
     g = e + 3 + u % 4
@@ -141,7 +143,13 @@ def _flights(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array((F.lit(2025) + g).cast("string")))
     kind = (u + chunk) % VARIANTS
     unknown = F.array(F.concat(F.lit("10"), F.lpad((u % 1000).cast("string"), 3, "0")))
-    link_ids = (F.when(kind == 3, F.concat(unknown, route))           # unknown first link
+    text = lambda xs: F.transform(xs, lambda x: x.cast("string"))
+    early = F.concat(F.array(F.lit("1000"), F.lit("2001")), text(F.sequence(F.lit(1026), F.lit(1025) + g - 1)),
+                     text(F.array(F.lit(2025) + g, F.lit(1050) + g, F.lit(1051) + g)))
+    cut_off = F.concat(unknown, F.array(*[F.lit(x) for x in ("2001", "1026", "1027", "1001", "1000")]))
+    link_ids = (F.when((u % 30 == 15) & (chunk % 3 == 2), cut_off)    # the goal can't be reached without the avoided vertex
+                .when(kind == 2, early)                               # off the runway before it is slow: no exit on the way
+                .when(kind == 3, F.concat(unknown, route))            # unknown first link
                 .when(kind == 5, F.concat(route, unknown))            # unknown last link: no goal
                 .when(kind == 7, F.slice(route, 1, e + 2))            # cut short: start and goal meet
                 .when(kind == 8, F.transform(F.sequence(F.lit(2025) + u % 20, F.lit(2030) + u % 20),
@@ -199,9 +207,10 @@ def exit_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = clean_network(raw_nodes(spark, sf_dir), raw_links(spark, sf_dir))
     ex = edges.where(F.col("is_exit") == 1).join(
         nodes.select(F.col("node_id").alias("src"), "lat", "long"), "src")
+    place = ((F.col("link_id").cast("int") - 2001) / 3).cast("int")
     return ex.select(
         F.col("link_id").alias("exit_id"),
         F.col("link_id").cast("int").alias("box_order"),
-        F.col("lat"),
+        (F.col("lat") + F.coalesce(F.get(F.array(*[F.lit(x) for x in BOX_LAT_SHIFT]), place), F.lit(0.0))).alias("lat"),
         (F.col("long") - BOX_HALF_WIDTH).alias("long_upper"),
         (F.col("long") + BOX_HALF_WIDTH).alias("long_lower"))
