@@ -18,6 +18,7 @@ from runwise.constants import (FOREST_IMPURITY, FOREST_MAX_BINS, FOREST_SEED, FO
                                MIN_FEATURES, SPLIT_SEED, SPLIT_WEIGHTS, TUNE_DEPTH, TUNE_FOLDS, TUNE_TREES)
 from runwise.session import materialise
 
+TUNE_MEMORY_MB = 1024  # statistics of the nodes split in one pass: fewer passes a fit
 EXCLUDED = {"positions", "link_ids", "links", "exit", "flight_id"}
 VECTOR_COLS = ["features", "rawPrediction", "label", "probability"]
 
@@ -94,6 +95,10 @@ def forest(model: PipelineModel) -> RandomForestClassificationModel:
     return next(s for s in model.stages if isinstance(s, RandomForestClassificationModel))
 
 
+def exit_labels(model: PipelineModel) -> list[str]:
+    return next(s.labels for s in model.stages if isinstance(s, StringIndexerModel) and s.getInputCol() == "exit")
+
+
 def feature_names(model: PipelineModel) -> list[str]:
     va = next(s for s in model.stages if isinstance(s, VectorAssembler))
     return [c[:-4] if c.endswith("_idx") else c for c in va.getInputCols()]
@@ -269,7 +274,8 @@ def tune_folds(train: DataFrame, features: list[str], trees=TUNE_TREES, depth: i
         n_trees, fold = job
         rf = RandomForestClassifier(labelCol="label", featuresCol="features", impurity=FOREST_IMPURITY,
                                     featureSubsetStrategy=FOREST_SUBSET, subsamplingRate=FOREST_SUBSAMPLING,
-                                    maxBins=FOREST_MAX_BINS, numTrees=n_trees, maxDepth=depth, seed=FOREST_SEED)
+                                    maxBins=FOREST_MAX_BINS, numTrees=n_trees, maxDepth=depth, seed=FOREST_SEED,
+                                    maxMemoryInMB=TUNE_MEMORY_MB)
         fitted = rf.fit(rows.where(F.col("fold") != fold))
         n, right = fitted.transform(rows.where(F.col("fold") == fold)) \
             .agg(F.count(F.lit(1)), F.count_if(F.col("prediction") == F.col("label"))).first()

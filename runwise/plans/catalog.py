@@ -584,6 +584,22 @@ def q_feature_importances(spark, sf):
     return M.importances(spark, model)
 
 
+def q_predict_by_nodes(spark, sf):
+    """M7 from the node table of M9, beside the model's own prediction."""
+    nodes, model = _nodes(spark, sf)
+    data = _prepared(spark, sf)
+    by_nodes = M.score_by_nodes(materialise(nodes), M.features_of(model, data, ["flight_id"]), M.exit_labels(model))
+    own = M.predict(model, data).select("flight_id", "predictedExit")
+    both = by_nodes.select("flight_id", F.col("predictedExit").alias("by_nodes")).join(own, "flight_id")
+    return both.withColumn("equal", F.col("by_nodes") == F.col("predictedExit"))
+
+
+def q_importances_by_nodes(spark, sf):
+    """M10 from the gains of the node table."""
+    nodes, model = _nodes(spark, sf)
+    return M.importances_by_nodes(materialise(nodes), M.feature_names(model))
+
+
 def q_feature_metadata(spark, sf):
     model, *_ = _trained(spark, sf)
     return M.feature_metadata(spark, model)
@@ -594,14 +610,18 @@ def q_score_records(spark, sf):
     return M.score(model, _prepared(spark, sf)).select("flight_id", "exit", "predictedExit")
 
 
-def q_tune(spark, sf):
+def q_tune_folds(spark, sf):
     key = (_sid(spark, sf), sf, "tune")
     if key not in _MEMO:
         model, train, test = _trained(spark, sf)
-        _MEMO[key] = cut_lineage(M.tune(train, list(ALL_FEATURES)))
+        _MEMO[key] = cut_lineage(M.tune_folds(train, list(ALL_FEATURES)))
     return _MEMO[key]
 
 
+def q_tune(spark, sf):
+    return M.best_params(q_tune_folds(spark, sf))
+
+
 def q_result_document(spark, sf):
     """The result file written and read again: means and number of samples."""
     from runwise.sources import sinks
@@ -618,7 +638,8 @@ QUERIES.update({
     "train_forest": q_train_forest, "predict": q_predict, "accuracy": q_accuracy, "forest_nodes": q_forest_nodes,
     "forest_max_depth": q_forest_max_depth, "node_condition": q_node_condition,
     "feature_importances": q_feature_importances, "sink_feature_json": q_feature_metadata,
-    "score_records": q_score_records, "tune": q_tune, "sink_result_json": q_result_document,
+    "score_records": q_score_records, "tune": q_tune, "tune_folds": q_tune_folds,
+    "predict_by_nodes": q_predict_by_nodes, "importances_by_nodes": q_importances_by_nodes, "sink_result_json": q_result_document,
 })
 
 
