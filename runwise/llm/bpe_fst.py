@@ -32,6 +32,8 @@ from runwise.llm.common import kept_by_worker, map_texts
 MAX_STATES = 180_000
 MAX_PAIRS = 400_000
 MAX_PIECES = 300_000
+# Tokens that may wait for agreement at the end of a piece before what is agreed is given out.
+HELD_BACK = 16
 MAX_DECODE_ENTRIES = 200_000
 
 ROOT = 0
@@ -152,10 +154,15 @@ class Transducer:
         move = self.moves[at << 8 | byte] = (to, out)
         return move
 
-    def finish(self, at: int, rest: bytes) -> tuple[int, ...]:
-        """The tokens for the rest of a piece, by the hypotheses alone, without new states."""
+    def finish(self, at: int, rest: bytes) -> list[int]:
+        """The tokens for the rest of a piece, by the hypotheses alone, without new states.
+
+        What all hypotheses agree on is given out whenever ``HELD_BACK`` tokens have gathered, so each byte costs the
+        same however long the piece is.
+        """
         last, alive = self.states[at]
         children, token_at, pairs, joins = self.children, self.token_at, self.pairs, self.joins
+        out: list[int] = []
         for byte in rest:
             on, done = [], None
             for pending, node in alive:
@@ -174,7 +181,16 @@ class Transducer:
                                 done = (*pending, token)
             on.append((done, ROOT))
             alive = on
-        return alive[-1][0]
+            if len(done) >= HELD_BACK:
+                agreed, shortest = 0, min([len(p) for p, _ in alive])
+                while agreed < shortest and all([p[agreed] == done[agreed] for p, _ in alive]):
+                    agreed += 1
+                if agreed:
+                    out += done[:agreed]
+                    last = done[agreed - 1]
+                    alive = [(p[agreed:], n) for p, n in alive]
+        out += alive[-1][0]
+        return out
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runwise.llm.common import map_texts
+from runwise.llm.common import map_texts, written
 
 # Fixed values of the contract: white space that separates words, and symbol characters.
 SPACES = " \t\n\x0b\x0c\r"
@@ -122,7 +122,19 @@ def ablation(entries: DataFrame, policy: str) -> DataFrame:
 
 
 def report(docs: DataFrame, policy: str = "v2") -> DataFrame:
-    """The contract's columns, then the ledger bits."""
-    return apply_policy(ledger(docs), policy).select(
+    """The contract's columns, the ledger bits, and for documents that fail one rule of the policy only: that rule, and how
+    many documents the policy without it keeps in addition.
+
+    The ledger is written once; the policy and the ablation read its bits, never a text.
+    """
+    entries = written(ledger(docs), "ledger")
+    m = POLICIES[policy]
+    bits = F.col("failed").bitwiseAND(F.lit(m).cast("long"))
+    sole = None
+    for name, bit in BIT.items():
+        if bit & m:
+            sole = F.when(bits == bit, name) if sole is None else sole.when(bits == bit, name)
+    saved = ablation(entries, policy).select(F.col("rule").alias("sole_rule"), F.col("n_saved_without").alias("saved_without"))
+    return apply_policy(entries, policy).withColumn("sole_rule", sole).join(F.broadcast(saved), "sole_rule", "left").select(  # a row per rule
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words").alias("base_failed"), "kept", "failed")
+        F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words").alias("base_failed"), "kept", "failed", "sole_rule", "saved_without")

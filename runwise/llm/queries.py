@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from runwise.llm import (bpe_fst, fim_frames, html_diff, langid_nb, ngram_join, pii, quality_ledger, suffix_dedup, template_decontam,
                          toxicity_crf, warc_archive, whitening, window_lm)
-from runwise.llm.common import shared_folder, table
+from runwise.llm.common import release, shared_folder, table
 
 
 def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +18,10 @@ def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
     folder = warc_archive.write_archive(pages, shared_folder(spark, "warc"))
-    return warc_archive.read_archive(spark, folder, with_bytes=False)
+    release(spark)
+    rebuilt = warc_archive.read_archive(spark, folder).drop("payload")
+    digests = [F.octet_length("record").cast("long").alias("record_bytes"), F.sha2("record", 256).alias("record_sha256")]
+    return rebuilt.select(*[c for c in rebuilt.columns if c != "record"], *digests)
 
 
 def op3_html_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +177,10 @@ def _pii_sql() -> str:
 
 _FIM_SQL = r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
-        u AS (SELECT doc_id, t, regexp_extract_all(t, '[ 	-]*[^ 	-]+|[ 	-]+') AS us,
+        u AS (SELECT doc_id, t, regexp_extract_all(t, '[ 	-
+]*[^ 	-
+]+|[ 	-
+]+') AS us,
                      ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
         f AS (SELECT *, len(us)::BIGINT AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS b,
                      CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
@@ -195,13 +202,25 @@ ORACLES = {
     "op2_warc_archive": """
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
         s AS (SELECT page_id, url, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS hexed,
-                     min(page_id) OVER (PARTITION BY body) AS first_id FROM p)
-        SELECT page_id, payload_bytes,
+                     min(page_id) OVER (PARTITION BY body) AS first_id FROM p),
+        r AS (SELECT page_id, payload_bytes,
                array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                    ((('0x' || substr(hexed, (k // 8) * 10 + 1, 10))::BIGINT >> (35 - 5 * (k % 8))::INTEGER) & 31)::INTEGER + 1, 1)), '') AS payload_digest,
                CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to, url
-        FROM s""",
+        FROM s),
+        l AS (SELECT *, chr(13) || chr(10) AS nl, payload_bytes || '' AS n, record_type = 'revisit' AS again FROM r JOIN p USING (page_id, url)),
+        h AS (SELECT *, 'HTTP/1.1 200 OK' || nl || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' || n || nl || nl AS http FROM l),
+        w AS (SELECT *, 'WARC/1.1' || nl || 'WARC-Type: ' || record_type || nl || 'WARC-Record-ID: <urn:page:' || page_id || '>' || nl
+                  || coalesce('WARC-Target-URI: ' || replace(replace(url, chr(13), '%0D'), chr(10), '%0A') || nl, '')
+                  || 'WARC-Date: 1970-01-01T00:00:00Z' || nl || 'WARC-Payload-Digest: sha1:' || payload_digest || nl
+                  || CASE WHEN again THEN 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' || nl
+                          || 'WARC-Refers-To: <urn:page:' || refers_to || '>' || nl ELSE '' END
+                  || 'Content-Type: application/http; msgtype=response' || nl
+                  || 'Content-Length: ' || (strlen(http) + CASE WHEN again THEN 0 ELSE payload_bytes END) || nl || nl || http
+                  || CASE WHEN again THEN '' ELSE body END || nl || nl AS record FROM h)
+        SELECT page_id, payload_bytes, payload_digest, record_type, refers_to, url, strlen(record)::BIGINT AS record_bytes,
+               sha256(record) AS record_sha256 FROM w""",
     "op10_quality_rules": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -222,5 +241,9 @@ ORACLES = {
                      + CASE WHEN 2 * up > up + low THEN 64 ELSE 0 END + CASE WHEN 100 * marks > 20 * n_words THEN 128 ELSE 0 END
                      + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 256 ELSE 0 END)::BIGINT AS failed FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-               n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, failed & 255 = 0 AS kept, failed FROM f""",
+               n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, failed & 255 = 0 AS kept, failed,
+               CASE failed & 255 WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'symbols' WHEN 8 THEN 'duplicate_lines'
+                    WHEN 16 THEN 'short_words' WHEN 32 THEN 'long_words' WHEN 64 THEN 'capitals' WHEN 128 THEN 'exclamations' END AS sole_rule,
+               CASE WHEN (failed & 255) IN (1, 2, 4, 8, 16, 32, 64, 128) THEN count(*) OVER (PARTITION BY failed & 255) END AS saved_without
+        FROM f""",
 }

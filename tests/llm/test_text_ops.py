@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+import tiktoken
 from conftest_llm import frame, prose
 
 from runwise.llm import bpe_fst, langid_nb, quality_ledger, template_decontam, toxicity_crf, window_lm
@@ -247,6 +248,26 @@ def pairs_of(llm, docs, items):
     return {(r["doc_id"], r["item_id"]): r for r in template_decontam.leaks(frame(llm, docs), bench).collect()}
 
 
+@pytest.mark.parametrize("kind", ["random", "same", "dna", "words"])
+def test_bpe_of_one_very_long_piece(ranks_file, kind):
+    """A million letters without a break: linear, and the same ids as the reference library."""
+    import random
+    import time
+
+    rng = random.Random(8)
+    n = 1_000_000
+    piece = {"random": lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=n)), "same": lambda: "a" * n,
+             "dna": lambda: "".join(rng.choices("ACGT", k=n)), "words": lambda: "internationalisation" * (n // 20)}[kind]()
+    with open(ranks_file[0], "rb") as f:
+        ranks = bpe_fst.parse_ranks(f.read())
+    fst = bpe_fst.Transducer(ranks)
+    t = time.time()
+    got = fst.encode(piece.encode())
+    assert time.time() - t < 60
+    want = tiktoken.Encoding("t", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary(piece)
+    assert got == want
+
+
 def test_templates_catch_new_parameters(llm):
     item = "the question: " + ITEM
     changed = item.replace("Maria", "Peter").replace("12", "15").replace(" 7 ", " 9 ").replace("3", "8").replace(" 2 ", " 4 ")
