@@ -77,7 +77,7 @@ QUERIES = {f.__name__: f for f in (
     op8_language_id, op9_template_decontam, op10_quality_rules, op11_pii, op12_fim_frames, op13_whitening)}
 
 def _template_sql() -> str:
-    """The canonicalisation, windows, alignments and slot check of op9 in DuckDB."""
+    """Op9 in DuckDB by its definition: canonical tokens, windows, all alignments that share enough tokens, slot check."""
     def steps(expr: str, which) -> str:
         for pattern, to in which:
             expr = f"regexp_replace({expr}, '{pattern}', '{to}', 'g')"
@@ -85,39 +85,58 @@ def _template_sql() -> str:
     T = template_decontam
     raw = "trim(" + steps("lower(" + steps("text", [T.NAMES]) + ")", T.STEPS) + ")"
     form = "CASE WHEN substr(x, 1, 1) IN ('#', '@', '~') THEN substr(x, 1, 1) ELSE x END"
-    W, S, N = T.WINDOW, T.STRIDE, T.WINDOW + T.STRIDE - 1
+    W = T.WINDOW
+
+    def key(f: str, r: str) -> str:
+        cut = f"{f}[p0 + 1:p0 + {W}]"
+        return (f"CASE WHEN 2 * len(list_filter({cut}, lambda x: x NOT IN ('#', '@', '~'))) >= {W} THEN 'form ' || array_to_string({cut}, ' ') "
+                f"ELSE 'raw ' || array_to_string({r}[p0 + 1:p0 + {W}], ' ') END")
+
+    enough = lambda c: f"(CASE WHEN n < {T.LEAST_TOKENS} THEN {c} = n ELSE 100 * {c} >= {T.FOUND} * n END)"
     return f"""
         WITH d0 AS (SELECT DISTINCT doc_id, text, list_filter(string_split({raw}, ' '), lambda x: x <> '') AS raw
                     FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-        d AS (SELECT *, list_transform(raw, lambda x: {form}) AS form FROM d0),
-        i0 AS (SELECT DISTINCT item_id, text AS item_text, list_filter(string_split({raw}, ' '), lambda x: x <> '') AS item_raw
+        d AS (SELECT row_number() OVER () AS r, doc_id, raw, list_transform(raw, lambda x: {form}) AS form FROM d0),
+        i0 AS (SELECT DISTINCT item_id, text, list_filter(string_split({raw}, ' '), lambda x: x <> '') AS item_raw
                FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
-        i AS (SELECT * FROM (SELECT *, list_transform(item_raw, lambda x: {form}) AS item_form FROM i0) WHERE len(item_form) >= {T.LEAST_TOKENS}),
-        sizes AS (SELECT DISTINCT CASE WHEN len(item_form) >= {N} THEN {W} ELSE len(item_form) END AS size,
-                         len(item_form) < {N} AS short FROM i),
-        dw AS (SELECT doc_id, text, size, short, p0, form[p0 + 1:p0 + size] AS w
-               FROM (SELECT doc_id, text, form, size, short,
-                            unnest(range(0, len(form) - size + 1, CASE WHEN short THEN 1 ELSE {S} END)) AS p0 FROM d, sizes)),
-        iw AS (SELECT item_id, item_text, size, short, p0, item_form[p0 + 1:p0 + size] AS w
-               FROM (SELECT item_id, item_text, item_form, size, short, unnest(range(0, len(item_form) - size + 1)) AS p0
-                     FROM i JOIN sizes ON short = (len(item_form) < {N}) AND (NOT short OR size = len(item_form)))
-               WHERE 2 * len(list_filter(item_form[p0 + 1:p0 + size], lambda x: x NOT IN ('#', '@', '~'))) >= size),
-        hit AS (SELECT DISTINCT doc_id, text, item_id, item_text, dw.p0 - iw.p0 AS shift FROM dw JOIN iw USING (size, short, w)),
-        pos AS (SELECT *, unnest(range(0, len(item_form))) AS k FROM hit JOIN d USING (doc_id, text) JOIN i USING (item_id, item_text)),
-        same AS (SELECT doc_id, text, item_id, item_text, shift, k, len(item_form) AS n_tokens, item_form[k + 1] IN ('#', '@', '~') AS slot,
-                        item_raw[k + 1] AS a, raw[k + shift + 1] AS b
-                 FROM pos WHERE k + shift >= 0 AND k + shift < len(form) AND item_form[k + 1] = form[k + shift + 1]),
-        judged AS (SELECT doc_id, text, item_id, item_text, shift,
+        i1 AS (SELECT row_number() OVER () AS i, item_id, item_raw, list_transform(item_raw, lambda x: {form}) AS item_form, len(item_raw) AS n FROM i0
+               WHERE len(item_raw) > 0),
+        i2 AS (SELECT *, CASE WHEN n < {T.LEAST_TOKENS} THEN 0 ELSE (100 - {T.FOUND}) * n // 100 END AS m,
+                      len(list_filter(item_form[2:], lambda x: x NOT IN ('#', '@', '~'))) AS literals FROM i1),
+        it AS (SELECT *, literals <= m AS sparse FROM i2),
+        dt AS (SELECT r, generate_subscripts(raw, 1) - 1 AS p, unnest(raw) AS raw, unnest(form) AS form FROM d),
+        tt AS (SELECT i, n, m, literals, sparse, generate_subscripts(item_raw, 1) - 1 AS k, unnest(item_raw) AS raw, unnest(item_form) AS form FROM it),
+        hits AS (
+            SELECT dw.r, iw.i, dw.p0 - iw.p0 AS shift, false AS by_seeds
+            FROM (SELECT r, p0, {key('form', 'raw')} AS w FROM (SELECT r, raw, form, unnest(range(0, len(form) - {W} + 1)) AS p0 FROM d)) dw
+            JOIN (SELECT i, p0, {key('item_form', 'item_raw')} AS w FROM (SELECT i, item_raw, item_form, unnest(range(0, n - {W} + 1)) AS p0 FROM it)) iw
+                 USING (w)
+            UNION ALL
+            SELECT r, i, p - k AS shift, true FROM dt JOIN tt ON dt.raw = tt.raw AND tt.form = tt.raw AND tt.k > 0 AND NOT tt.sparse
+            GROUP BY r, i, shift, literals, m HAVING count(*) >= literals - m
+            UNION ALL
+            SELECT r, i, p - k, true FROM dt JOIN tt ON dt.raw = tt.raw WHERE (tt.k > 0 OR tt.n = 1) AND tt.sparse
+            UNION ALL
+            SELECT r, i, p - k, true FROM dt JOIN tt ON dt.raw = '@' || tt.raw WHERE tt.n = 1 AND tt.sparse
+            UNION ALL
+            SELECT r, i, p0, false FROM (SELECT r, form, i, item_form, n, unnest(range(0, len(form) - n + 1)) AS p0 FROM d, it WHERE sparse AND n >= {T.LEAST_TOKENS})
+            WHERE form[p0 + 1:p0 + n] = item_form),
+        hit AS (SELECT r, i, shift, bool_and(by_seeds) AS by_seeds FROM hits GROUP BY ALL),
+        same AS (SELECT h.r, h.i, h.shift, h.by_seeds, tt.n, tt.sparse, tt.k, tt.form IN ('#', '@', '~') AS slot, tt.raw AS a, dt.raw AS b,
+                        tt.raw = dt.raw OR tt.k = 0 AND dt.raw = '@' || tt.raw AS equal
+                 FROM hit h JOIN tt ON tt.i = h.i JOIN dt ON dt.r = h.r AND dt.p = tt.k + h.shift
+                 WHERE tt.form = dt.form OR tt.k = 0 AND dt.raw = '@' || tt.raw),
+        judged AS (SELECT r, i, shift, by_seeds, n, sparse, count(*) AS n_same, count(*) FILTER (equal) AS n_equal,
                           count(DISTINCT (a, b)) FILTER (slot) = count(DISTINCT a) FILTER (slot)
                             AND count(DISTINCT (a, b)) FILTER (slot) = count(DISTINCT b) FILTER (slot) AS consistent,
                           coalesce(bool_or(a <> b) FILTER (slot), false) AS differs
                    FROM same GROUP BY ALL),
-        item AS (SELECT doc_id, text, item_id, item_text, n_tokens, count(DISTINCT k) FILTER (consistent OR a = b) AS n_found,
-                        bool_or(consistent AND differs) AS changed
-                 FROM same JOIN judged USING (doc_id, text, item_id, item_text, shift) GROUP BY ALL),
-        good AS (SELECT doc_id, item_id, {{'f': n_found::BIGINT, 'n': n_tokens::BIGINT,
-                        'k': CASE WHEN changed THEN 'reparameterised' WHEN n_found = n_tokens THEN 'whole' ELSE 'partial' END}} AS s
-                 FROM item WHERE 100 * n_found >= {T.FOUND} * n_tokens)
+        counted AS (SELECT * FROM judged WHERE NOT by_seeds OR {enough("CASE WHEN sparse THEN n_equal ELSE n_same END")}),
+        item AS (SELECT s.r, s.i, s.n, count(DISTINCT s.k) FILTER (c.consistent OR s.equal) AS n_found, bool_or(c.consistent AND c.differs) AS changed
+                 FROM same s JOIN counted c ON c.r = s.r AND c.i = s.i AND c.shift = s.shift GROUP BY ALL),
+        good AS (SELECT d.doc_id, it.item_id, {{'f': n_found::BIGINT, 'n': item.n::BIGINT,
+                        'k': CASE WHEN changed THEN 'reparameterised' WHEN n_found = item.n THEN 'whole' ELSE 'partial' END}} AS s
+                 FROM item JOIN d ON d.r = item.r JOIN it ON it.i = item.i WHERE {enough('n_found').replace('n <', 'item.n <').replace('= n ', '= item.n ').replace('* n ', '* item.n ')})
         SELECT doc_id, item_id, max(s).n AS n_tokens, max(s).f AS n_found, max(s).k AS kind FROM good GROUP BY doc_id, item_id"""
 
 

@@ -1,38 +1,44 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Texts become token lists in which numbers, names and units are typed placeholders.  Windows of
-``WINDOW`` template tokens of the benchmark are hash-joined with windows of the documents;
-each hit gives an alignment of an item with a place in a document.  There the tokens are compared
-one by one, and the values in the placeholders ("slots") must map one to one: a question whose
-numbers or names were changed throughout is caught, while slots with inconsistent values don't count.
-
-Document and benchmark windows are taken at every token, so a run of WINDOW aligned tokens always
-holds a joined window, wherever it starts.  Items of fewer than WINDOW + STRIDE - 1 tokens are also
-joined by windows of their own length, and by what is left of these without tokens that may differ.
-
-Defined results: null and empty texts match nothing; items of fewer than ``LEAST_TOKENS`` tokens are not
-looked for; windows with more slots than literal tokens are joined by their tokens with the values, and items that
-have no others also by their whole template; repeated rows of a document or an item give one row for a pair of ids; rows with a null id are left out, as a pair needs both.
+Texts become token lists in which numbers, names and units are typed placeholders, written once as 64-bit codes.
+Candidate places of an item in a document, alignments, come from three hash joins with these codes:
+
+* windows of ``WINDOW`` template tokens, taken at every token; a window of mostly slots with the values in them;
+* seeds: an item of n tokens that is found at ``FOUND`` percent has at most m = (100 - FOUND) % of n tokens wrong, so of
+  m + 2 of its tokens at least two are right.  Its rarest m + 2 literals in the corpus are the seeds, and an
+  alignment is a place where all but m of them agree.  An item with no more than m literals has all its tokens, with the
+  values in its slots, as choice instead;
+* for such items also their whole template, whatever is in the slots.
+
+At each alignment the tokens are compared one by one, and the values in the slots must map one to one: a question whose
+numbers or names were changed throughout is caught, while slots with inconsistent values only count where they are
+equal.  What alignments count and when an item is found:
+
+* an alignment from windows or whole templates counts, one from seeds if FOUND percent of the item's tokens agree there
+  (for items of at most m literals: with their values);
+* an item is found if the tokens that agree at its alignments together are FOUND percent of it; of items under
+  ``LEAST_TOKENS`` tokens every token must agree.
+
+So every item at FOUND percent of its tokens in one place is found, whatever its length and wherever the others are.  The name mark
+of an item's first token depends on what precedes it in a document, so it agrees with and without; it is no seed.
+
+Defined results: null and empty texts match nothing; very long texts are read whole; repeated rows of a document or an item give
+one row for a pair of ids; rows with a null id are left out, as a pair needs both; ties (equal shares under one id)
+go to the greater kind in the alphabet; empty tables give an empty table; other columns aren't read.
 """
 
 from __future__ import annotations
 
-import itertools
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runwise.llm.common import written
+from runwise.llm.common import discard, written
 
 WINDOW = 6
-# Only the SQL's document windows are this far apart; ``leaks`` takes them at every token.
-STRIDE = 4
+# Items under this many tokens must be found whole.
 LEAST_TOKENS = 5
 # Share of an item's tokens that must be found, in percent.
 FOUND = 70
-# Up to this many rows (windows of the benchmark, keys of hit documents; under 40 bytes each) are
-# broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 500_000
 
 # Fixed list: units that make a slot after a number, longer ones before their beginnings.
 UNITS = ("kilometers kilometres meters metres minutes minute seconds second dollars dollar percent months month weeks week "
@@ -83,132 +89,130 @@ def codes(raw: Column) -> Column:
 
 
 def windows(rows: DataFrame, keep: list[str], size: int) -> DataFrame:
-    """``keep``, at, hash and by_form of the windows at every token of ``codes``: hashed as template if at
-    least half of it are literals, else (a template that says little) with the values in its slots."""
+    """``keep``, at and hash of the windows at every token of ``codes``: hashed as template if at least half of it are
+    literals, else (a template that says little) with the values in its slots."""
     # Shifted copies side by side, so that all but the zip is done in generated code.
     parts = [F.slice("codes", k + 1, F.greatest(F.size("codes") - (size - 1), F.lit(0))).alias(f"c{k}") for k in range(size)]
     each = rows.select(*keep, F.posexplode(F.arrays_zip(*parts)).alias("at", "w"))
     kinds = [F.col(f"w.c{k}").bitwiseAND(F.lit(3)) for k in range(size)]
     form = [F.when(t == 0, F.col(f"w.c{k}")).otherwise(t) for k, t in enumerate(kinds)]
     literal = sum((F.when(t == 0, 1).otherwise(0) for t in kinds), F.lit(0))
-    by_form = 2 * literal >= size
     raw = F.xxhash64(F.lit("raw"), *[F.col(f"w.c{k}") for k in range(size)])
-    return each.select(*keep, "at", F.when(by_form, F.xxhash64(*form)).otherwise(raw).alias("hash"), by_form.alias("by_form"))
-
-
-def whole(rows: DataFrame, keep: list[str], size: int) -> DataFrame:
-    """``keep``, at, hash of the template of ``size`` tokens at every token of ``codes``, however many slots it has."""
-    form = F.transform("codes", lambda t: F.when(t.bitwiseAND(F.lit(3)) == 0, t).otherwise(t.bitwiseAND(F.lit(3))))
-    starts = F.when(F.size("codes") >= size, F.sequence(F.lit(0), F.size("codes") - size)).otherwise(F.array().cast("array<int>"))
-    each = F.transform(starts, lambda k: F.struct(k.alias("at"), F.xxhash64(F.slice("codes", k + 1, size)).alias("hash")))
-    return rows.select(*keep, form.alias("codes")).select(*keep, F.explode(each).alias("w")).select(*keep, "w.at", "w.hash")
-
-
-def pieces(rows: DataFrame, keep: list[str], size: int) -> DataFrame:
-    """``keep``, at, hash of the windows at every token of ``codes`` without the first token, whose name mark depends on
-    what precedes it, and without each choice of others that may differ at FOUND percent."""
-    others = range(1, size)
-    choices = [[k for k in others if k not in gone] for gone in itertools.combinations(others, _may_differ(size))]
-    parts = [F.slice("codes", k + 1, F.greatest(F.size("codes") - (size - 1), F.lit(0))).alias(f"c{k}") for k in range(size)]
-    each = rows.select(*keep, F.posexplode(F.arrays_zip(*parts)).alias("at", "w"))
-    raw = [F.col(f"w.c{k}") for k in range(size)]
-    kinds = [t.bitwiseAND(F.lit(3)) for t in raw]
-    form = [F.when(kind == 0, t).otherwise(kind) for kind, t in zip(kinds, raw)]
-
-    def key(n: int, kept: list[int]) -> Column:
-        literal = sum((F.when(kinds[k] == 0, 1).otherwise(0) for k in kept), F.lit(0))
-        return F.when(2 * literal >= len(kept), F.xxhash64(F.lit(n), *[form[k] for k in kept])).otherwise(
-            F.xxhash64(F.lit(-1 - n), *[raw[k] for k in kept]))
-    return each.select(*keep, "at", F.explode(F.array(*[key(n, kept) for n, kept in enumerate(choices)])).alias("hash"))
-
-
-def _may_differ(size: int) -> int:
-    return (100 - FOUND) * size // 100
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it was counted and is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return each.select(*keep, "at", F.when(2 * literal >= size, F.xxhash64(*form)).otherwise(raw).alias("hash"))
+
+
+def whole(rows: DataFrame, keep: list[str], sizes: list[int]) -> DataFrame:
+    """``keep``, at, hash of the templates of each size at every token of ``codes``, however many slots they have."""
+    def of(size: int) -> Column:
+        starts = F.when(F.size("form") >= size, F.sequence(F.lit(0), F.size("form") - size)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: F.struct(k.alias("at"), F.xxhash64(F.slice("form", k + 1, size)).alias("hash")))
+
+    form = rows.select(*keep, F.transform("codes", _form).alias("form"))
+    return form.select(*keep, F.explode(F.concat(*[of(n) for n in sizes])).alias("w")).select(*keep, "w.at", "w.hash")
+
+
+def _form(code: Column) -> Column:
+    """The code of the template token: a literal's own, a slot's type."""
+    kind = code.bitwiseAND(F.lit(3))
+    return F.when(kind == 0, code).otherwise(kind)
+
+
+def may_differ(n: Column) -> Column:
+    """Tokens of an item of n tokens that may be wrong."""
+    return F.when(n < LEAST_TOKENS, 0).otherwise(F.floor((100 - FOUND) * n / 100)).cast("int")
+
+
+def enough(count: Column, n: Column) -> Column:
+    return F.when(n < LEAST_TOKENS, count == n).otherwise(100 * count >= FOUND * n)
+
+
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """item_id, item_row, n, codes, named (the first token's code with a name mark), m, and sparse: has at most m literals
+    after the first token."""
+    items = keyed(benchmark, "item_id").withColumnRenamed("row", "item_row").distinct()
+    items = items.withColumn("raw", tokens(raw_text(F.col("text")))).where("size(raw) > 0")
+    items = items.select("item_id", "item_row", F.size("raw").alias("n"), codes(F.col("raw")).alias("codes"),
+                         F.get(codes(F.array(F.concat(F.lit("@"), F.get("raw", 0)))), 0).alias("named"))
+    literals = F.size(F.filter("codes", lambda c, k: (k > 0) & (c.bitwiseAND(F.lit(3)) == 0)))
+    items = items.withColumn("m", may_differ(F.col("n")))
+    return items.withColumn("sparse", literals <= F.col("m"))
+
+
+def seeds(items: DataFrame, doc_codes: DataFrame) -> DataFrame:
+    """code, item_id, item_row, item_at, need: the tokens that choose an item's alignments, and how many must agree.
+
+    Of the tokens that may be chosen those that are rarest in the documents, counted for the benchmark's tokens only.
+    """
+    each = items.select("item_id", "item_row", "n", "m", "sparse", "named", F.posexplode("codes").alias("item_at", "code"))
+    each = each.where((F.col("item_at") > 0) | (F.col("n") == 1)).where(F.col("sparse") | (F.col("code").bitwiseAND(F.lit(3)) == 0))
+    each = written(each, "item-tokens")
+    words = written(each.select("code").distinct(), "item-words")
+    counts = written(doc_codes.select(F.explode("codes").alias("code")).join(words, "code", "left_semi").groupBy("code")
+                     .agg(F.count("*").alias("n_docs")), "word-counts")
+    per_item = Window.partitionBy("item_id", "item_row")
+    ranked = each.join(counts, "code", "left").withColumn(
+        "rank", F.row_number().over(per_item.orderBy(F.coalesce("n_docs", F.lit(0)), "item_at"))).where(F.col("rank") <= F.col("m") + 2)
+    ranked = ranked.withColumn("need", F.greatest(F.lit(1), F.count("*").over(per_item) - F.col("m")))
+    alone = ranked.where("n = 1").select("named", "item_id", "item_row", "item_at", "need").withColumnRenamed("named", "code")
+    out = written(ranked.select("code", "item_id", "item_row", "item_at", "need").unionByName(alone), "seeds")
+    discard(each, words, counts)
+    return out
+
+
+def alignments(items: DataFrame, doc_codes: DataFrame) -> DataFrame:
+    """doc_id, row, item_id, item_row, shift, by_seeds: the candidate places of items in documents."""
+    pair, doc = ["item_id", "item_row"], ["doc_id", "row"]
+    keys = windows(items.where(F.col("n") >= WINDOW), pair, WINDOW).select(*pair, F.col("at").alias("item_at"), "hash")
+    at_windows = windows(doc_codes, doc, WINDOW).join(written(keys, "windows"), "hash") \
+        .select(*doc, *pair, (F.col("at") - F.col("item_at")).alias("shift"), F.lit(False).alias("by_seeds"))
+    tokens_ = doc_codes.select(*doc, F.posexplode("codes").alias("at", "code"))
+    at_seeds = tokens_.join(seeds(items, doc_codes), "code").groupBy(*doc, *pair, (F.col("at") - F.col("item_at")).alias("shift")) \
+        .agg(F.count("*").alias("agree"), F.first("need").alias("need")).where("agree >= need") \
+        .select(*doc, *pair, "shift", F.lit(True).alias("by_seeds"))
+    found = at_windows.unionByName(at_seeds)
+    templated = items.where(F.col("sparse") & (F.col("n") >= LEAST_TOKENS))
+    sizes = sorted(r[0] for r in templated.select("n").distinct().collect())  # lengths, not items
+    if sizes:
+        form = F.transform("codes", _form)
+        keys = written(templated.select(*pair, F.xxhash64(form).alias("hash")), "templates")
+        at_whole = whole(doc_codes, doc, sizes).join(keys, "hash").select(*doc, *pair, F.col("at").alias("shift"), F.lit(False).alias("by_seeds"))
+        found = found.unionByName(at_whole)
+    return written(found.groupBy(*doc, *pair, "shift").agg(F.min("by_seeds").alias("by_seeds")), "alignments")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_tokens, n_found and kind of each item found in a document."""
-    docs, items = keyed(docs, "doc_id"), keyed(benchmark, "item_id").withColumnRenamed("row", "item_row").distinct()
-    items = items.withColumn("item_raw", tokens(raw_text(F.col("text")))).drop("text")
-    items = items.withColumn("item_form", F.transform("item_raw", _form_of_token)).filter(F.size("item_form") >= LEAST_TOKENS)
-    items = items.withColumnRenamed("item_form", "form").withColumn("codes", codes(F.col("item_raw")))
-    items = written(items, "items")
-    lengths = [r[0] for r in items.select(F.least(F.size("form"), F.lit(WINDOW + STRIDE - 1))).distinct().collect()]
-    short = {n for n in lengths if n < WINDOW + STRIDE - 1}
-
-    doc_codes = docs.select("doc_id", "row", codes(tokens(raw_text(F.col("text")))).alias("codes"))
-    found, sparse = None, items.select("item_id", "item_row", F.size("form").alias("n"))
-    # One join by windows for all items that hold one, and one for each smaller length.
-    for size in sorted(short | ({WINDOW} if max(lengths, default=0) >= WINDOW else set())):
-        some = items.filter((F.size("form") == size) if size != WINDOW else (F.size("form") >= size))
-        keys = windows(some, ["item_id", "item_row"], size).withColumnRenamed("at", "item_at")
-        sparse = sparse.join(keys.filter("by_form"), ["item_id", "item_row"], "left_anti")
-        keys = keys.drop("by_form")
-        hits = windows(doc_codes, ["doc_id", "row"], size).join(_small(keys), "hash")
-        hits = hits.select("doc_id", "row", "item_id", "item_row", (F.col("at") - F.col("item_at")).alias("shift"))
-        found = hits if found is None else found.unionByName(hits)
-    # Short items are found at FOUND percent of their tokens too, also where a document begins or ends within them.
-    for n in sorted(short):
-        beyond = F.array_repeat(F.lit(-4).cast("long"), _may_differ(n) + 1)  # no token has this code
-        keys = pieces(items.filter(F.size("form") == n), ["item_id", "item_row"], n).drop("at")
-        padded = doc_codes.withColumn("codes", F.concat(beyond, "codes", beyond))
-        hits = pieces(padded, ["doc_id", "row"], n).join(_small(keys), "hash")
-        found = found.unionByName(hits.select("doc_id", "row", "item_id", "item_row", (F.col("at") - (_may_differ(n) + 1)).alias("shift")))
-    # Items none of whose windows is joined as template are joined by their whole template.
-    for n in sorted(r[0] for r in sparse.select("n").distinct().collect()):
-        keys = whole(items.join(sparse.filter(F.col("n") == n), ["item_id", "item_row"]), ["item_id", "item_row"], n).drop("at")
-        hits = whole(doc_codes, ["doc_id", "row"], n).join(_small(keys), "hash")
-        found = found.unionByName(hits.select("doc_id", "row", "item_id", "item_row", F.col("at").alias("shift")))
-    if found is None:  # an empty benchmark
-        return docs.sparkSession.createDataFrame([], _schema(docs, benchmark))
-    found = written(found.distinct(), "alignments")
-
-    # Only documents with a hit are read again, for the values of their slots.
-    chosen = docs.join(_small(found.select("doc_id", "row").distinct()), ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
-    chosen = chosen.select("doc_id", "row", tokens(raw_text(F.col("text"))).alias("raw"))
-    chosen = chosen.withColumn("doc_form", F.transform("raw", _form_of_token))
-    pairs = found.join(chosen, ["doc_id", "row"]).join(items.drop("codes"), ["item_id", "item_row"])
+    items = written(benchmark_items(benchmark), "items")
+    doc_codes = keyed(docs, "doc_id").select("doc_id", "row", codes(tokens(raw_text(F.col("text")))).alias("codes"))
+    doc_codes = written(doc_codes, "document-codes")
+    found = alignments(items, doc_codes)
 
-    low = F.greatest(F.lit(0), -F.col("shift"))
-    high = F.least(F.size("form"), F.size("doc_form") - F.col("shift"))
+    chosen = doc_codes.withColumnRenamed("codes", "doc").join(found, ["doc_id", "row"])
+    pairs = chosen.join(items, ["item_id", "item_row"])
     value = lambda c, k: F.get(F.col(c), k)
     place = lambda k: k + F.col("shift")
-    # An item's first token has no name mark, as nothing precedes it; in a document it may have one.  In short items
-    # the token counts all the same; in longer ones it doesn't, as in the SQL.
-    first = lambda k: (k == 0) & (F.size("form") < WINDOW + STRIDE - 1) & (value("raw", place(k)) == F.concat(F.lit("@"), value("item_raw", k)))
-    same = F.filter(F.sequence(low, high - 1), lambda k: (value("form", k) == value("doc_form", place(k))) | first(k))
-    pairs = pairs.withColumn("same", same)
-    slots = F.filter("same", lambda k: value("form", k).isin(*SLOTS))
-    pairs = pairs.withColumn("slots", slots)
-    mapped = F.transform("slots", lambda k: F.struct(value("item_raw", k).alias("of"), value("raw", place(k)).alias("to")))
+    low = F.greatest(F.lit(0), -F.col("shift"))
+    high = F.least(F.col("n"), F.size("doc") - F.col("shift"))
+    first = lambda k: (k == 0) & (value("doc", place(k)) == F.col("named"))
+    equal = lambda k: (value("codes", k) == value("doc", place(k))) | first(k)
+    pairs = pairs.withColumn("same", F.filter(F.sequence(low, high - 1), lambda k: (_form(value("codes", k)) == _form(value("doc", place(k)))) | first(k)))
+    pairs = pairs.withColumn("with_values", F.filter("same", equal))
+    pairs = pairs.where(~F.col("by_seeds") | enough(F.size(F.when(F.col("sparse"), F.col("with_values")).otherwise(F.col("same"))), F.col("n")))
+    slots = F.filter("same", lambda k: value("codes", k).bitwiseAND(F.lit(3)) != 0)
+    mapped = F.transform(slots, lambda k: F.struct(value("codes", k).alias("of"), value("doc", place(k)).alias("to")))
     pairs = pairs.withColumn("mapped", F.array_distinct(mapped))
     consistent = ((F.size("mapped") == F.size(F.array_distinct(F.transform("mapped", lambda x: x["of"]))))
                   & (F.size("mapped") == F.size(F.array_distinct(F.transform("mapped", lambda x: x["to"])))))
     changed = F.exists("mapped", lambda x: x["of"] != x["to"])
-    kept = F.when(consistent, F.col("same")).otherwise(
-        F.filter("same", lambda k: (value("item_raw", k) == value("raw", place(k))) | first(k)))
-    pairs = pairs.select("doc_id", "row", "item_id", "item_row", F.size("form").alias("n_tokens"), kept.alias("kept"),
-                         (consistent & changed).alias("changed"))
+    pairs = pairs.select("doc_id", "row", "item_id", "item_row", F.col("n").alias("n_tokens"),
+                         F.when(consistent, F.col("same")).otherwise(F.col("with_values")).alias("kept"), (consistent & changed).alias("changed"))
     # An item can be found in pieces, at several shifts: its tokens count once.
     by_item = pairs.groupBy("doc_id", "row", "item_id", "item_row", "n_tokens").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("kept")))).alias("n_found"), F.max("changed").alias("changed"))
-    by_item = by_item.filter(100 * F.col("n_found") >= FOUND * F.col("n_tokens"))
+    by_item = by_item.filter(enough(F.col("n_found"), F.col("n_tokens")))
     kind = F.when(F.col("changed"), "reparameterised").when(F.col("n_found") == F.col("n_tokens"), "whole").otherwise("partial")
     best = by_item.groupBy("doc_id", "item_id").agg(F.max(F.struct(
         F.col("n_found").cast("long").alias("n_found"), F.col("n_tokens").cast("long").alias("n_tokens"), kind.alias("kind"))).alias("best"))
-    return best.select("doc_id", "item_id", "best.n_tokens", "best.n_found", "best.kind")
-
-
-def _form_of_token(x: Column) -> Column:
-    sign = F.substring(x, 1, 1)
-    return F.when(sign.isin(*SLOTS), sign).otherwise(x)
-
-
-def _schema(docs: DataFrame, benchmark: DataFrame) -> str:
-    return (f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, "
-            "n_tokens bigint, n_found bigint, kind string")
+    out = written(best.select("doc_id", "item_id", "best.n_tokens", "best.n_found", "best.kind"), "leaks")
+    discard(doc_codes, items, found)
+    return out

@@ -276,7 +276,7 @@ def test_templates_catch_new_parameters(llm):
             (3, prose(5, 200), "en"), (4, None, "en"), (5, "", "en"), (None, item, "en"), (6, item, None), (6, item, None),
             (7, mixed, "en"), (8, item[:60], "en"), (9, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15", "en")]
     out = pairs_of(llm, docs, [(70, item), (71, None), (72, ""), (None, item), (73, "7 8 9"), (74, "# # #")])
-    assert {k for k in out} == {(1, 70), (2, 70), (6, 70), (7, 70)}
+    assert {k for k in out} == {(1, 70), (2, 70), (6, 70), (7, 70), (9, 73)}
     assert out[(2, 70)]["kind"] == "reparameterised" and out[(6, 70)]["kind"] == "whole" and out[(7, 70)]["kind"] == "partial"
     assert out[(6, 70)]["n_found"] == out[(6, 70)]["n_tokens"]
 
@@ -292,7 +292,7 @@ def test_templates_need_consistent_slots(llm):
 
 def test_templates_short_items_and_empty_tables(llm):
     out = pairs_of(llm, [(1, f"{prose(1, 11)} one two three four five six {prose(2, 9)}", "en")], [(5, "One two three four five six"), (6, "one two")])
-    assert set(out) == {(1, 5)}
+    assert set(out) == {(1, 5), (1, 6)}
     assert pairs_of(llm, [], [(1, ITEM)]) == {} and pairs_of(llm, [(1, ITEM, "en")], []) == {}
 
 
@@ -322,6 +322,66 @@ def test_templates_short_items_in_any_context(llm):
     assert {k[0]: r["n_found"] for k, r in out.items()} == {1: 6, 3: 5, 4: 5, 5: 6} and out[(1, 1)]["kind"] == "whole"
 
 
+def test_templates_at_seventy_percent_whatever_the_length(llm):
+    """Items of 1 to 40 tokens with as many tokens replaced as may be, anywhere; and with too many."""
+    import random
+
+    rng = random.Random(31)
+    items, docs, want = [], [], set()
+    for n in range(1, 41):
+        words = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('klmnp')}{n}x{j}" if rng.random() < 0.5 else rng.choice(["the", "of", "and", "to", "is"])
+                 for j in range(n - 1)] + [f"end{n}word"]
+        items.append((n, " ".join(words)))
+        m = 0 if n < 5 else 30 * n // 100
+        for k in range(3):
+            gone = set(rng.sample(range(n), m))
+            some = [f"zz{rng.randrange(10 ** 6)}" if j in gone else w for j, w in enumerate(words)]
+            docs.append((100 * n + k, " ".join(prose(k, rng.randint(0, 9)).split() + some + prose(k + 3, 5).split()), "en"))
+            want.add((100 * n + k, n))
+        if n >= 5:
+            gone = set(rng.sample(range(n), n // 2 + 1))
+            docs.append((100 * n + 9, " ".join(f"zz{rng.randrange(10 ** 6)}" if j in gone else w for j, w in enumerate(words)), "en"))
+    out = pairs_of(llm, docs, items)
+    assert want <= set(out)
+    assert all(out[k]["n_found"] >= out[k]["n_tokens"] - (0 if k[1] < 5 else 30 * k[1] // 100) for k in out)
+    assert not {(100 * n + 9, n) for n in range(5, 41)} & set(out)
+
+
+def test_templates_probed_items(llm):
+    nine, fourteen = "alpha beta gamma delta epsilon zeta eta theta iota", "a1x b1x c1x d1x e1x f1x g1x h1x i1x j1x k1x l1x m1x n1x"
+    docs = [(1, f"{prose(1, 20)} {nine.replace('epsilon', 'other')} {prose(2, 9)}", "en"),
+            (2, f"{prose(3, 20)} {fourteen.replace('e1x', 'q').replace('j1x', 'q')} {prose(4, 9)}", "en"),
+            (3, f"{prose(5, 20)} Define entropy in physics. {prose(6, 9)}", "en")]
+    out = pairs_of(llm, docs, [(1, nine), (2, fourteen), (3, "Define entropy in physics")])
+    assert {k: r["n_found"] for k, r in out.items()} == {(1, 1): 8, (2, 2): 12, (3, 3): 4}
+
+
+def test_templates_sql_gives_the_same_rows(llm, odd_rows, tmp_path):
+    import random
+
+    import duckdb
+
+    from runwise.llm.queries import ORACLES
+    rng = random.Random(17)
+    vocabulary = ["the", "of", "Anna", "Bob", "12", "7", "3 km", "5 kg", "is", "sum", "and", "river", "tree", "What", "how", "x9", ",", "."]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.randint(1, 16)))) for k in range(60)]
+    docs = [(i, t) for i, t, _ in odd_rows if len(t or "") < 10_000]
+    for k in range(150):
+        words = rng.choice(items)[1].split() if k % 3 else rng.choices(vocabulary, k=20)
+        words = [rng.choice(vocabulary) if rng.random() < 0.15 else w for w in words]
+        docs.append((k + 50, " ".join(rng.choices(vocabulary, k=rng.randint(0, 9)) + words + rng.choices(vocabulary, k=rng.randint(0, 9)))))
+    ddf, bdf = llm.createDataFrame(docs, "doc_id long, text string"), llm.createDataFrame(items + items[:3] + [(None, "x y z")], "item_id long, text string")
+    ddf.coalesce(1).write.parquet(str(tmp_path / "documents"))
+    bdf.coalesce(1).write.parquet(str(tmp_path / "benchmark"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}/*.parquet'")
+    rel = con.sql(ORACLES["op9_template_decontam"])
+    want = sorted(rel.select("doc_id, item_id, n_tokens, n_found, kind").fetchall())
+    got = sorted(tuple(r) for r in template_decontam.leaks(ddf, bdf).select("doc_id", "item_id", "n_tokens", "n_found", "kind").collect())
+    assert got == want and len(got) > 100
+
+
 # ---------------------------------------------------------------- op 10
 
 def test_quality_measures():
