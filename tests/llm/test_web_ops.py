@@ -68,6 +68,29 @@ def test_main_text():
     assert html_diff.main_text("<article><p>open " + "w " * 50_000, None) == "open " + ("w " * 50_000).strip()
 
 
+def test_main_text_of_marked_and_broken_pages():
+    text = lambda x: html_diff.main_text(x, None)
+    assert text('<nav><script>var a="</nav>"</script>MENU</nav><p>Body</p>') == "Body"
+    assert text("<article><p>own</p></article><article class='comment'><p>first!</p></article><article class='related teaser'>more</article>") == "own"
+    assert text("<article><p class='alert'>said</p><p>a <span class='share'>b</span></p><section class='related-work'><p>c</p></section>"
+                "<div class='post-share buttons'>tweet</div><div class='cookie-notice'>ok?</div><div id='comments-list'>me</div></article>") == "said\n\na b\n\nc"
+    assert text("<article><p>a</p><form><p>b</p><p>c</p></article><footer>d</footer>") == "a\n\nb\n\nc"
+    assert text("<article><form><form>x</form><p>b</p></article>") == "b"
+    assert text("<article>" + "<form><p>w</p>" * 2000 + "</article>") == "\n\n".join(["w"] * 2000)  # read twice, not once per form
+    assert text("<div class='header-image'><p>kept</p></div><div class='download'>kept too</div>") == "kept\n\nkept too"
+
+
+def test_long_boilerplate_over_short_texts(llm):
+    """Shared lines far longer than the page's own: a line that both neighbours have goes, whatever its share."""
+    shell = "".join(f"<p>{'long line of the shell ' * 9} {j}</p>" for j in range(8))
+    rows = [(k, f"http://s.example/a/{k:02d}", f"<body>{shell}<p>short {k}</p></body>") for k in range(12)]
+    rows += [(20, "http://t.example/1", f"<body>{shell}<p>same</p></body>"), (21, "http://t.example/2", f"<body>{shell}<p>same</p></body>"),
+             (22, "http://t.example/3", f"<body>{shell}<p>other</p></body>")]
+    out = {r["page_id"]: r["text"] for r in html_diff.extract(pages(llm, rows)).collect()}
+    assert [out[k] for k in range(1, 11)] == [f"short {k}" for k in range(1, 11)]
+    assert out[22].endswith("other")
+
+
 def test_longest_common_subsequence():
     import itertools
     import random
