@@ -22,15 +22,19 @@ def run_analysis(spark: SparkSession, flights: DataFrame, nodes: DataFrame, edge
                  code: str, root: str, run_id: str, features: list[str] | None = None,
                  trees: int = FOREST_TREES[0], depth: int = FOREST_DEPTHS[0], split_mode: str = "hash",
                  stop: str = "first_touch") -> dict[str, DataFrame]:
-    """F1 -> M1-M7 -> F2 (test split) -> S7-S11.  Returns the result DataFrames."""
+    """F1 -> M1-M7 -> F2 (test split) -> S7-S11, the manifest last.  Returns the result DataFrames.
+
+    Paths that earlier runs of the same root solved on the same network aren't solved again."""
     started = time.time()
+    sinks.open_run(spark, root, run_id)
     features = list(features or ALL_FEATURES)
     prepared = materialise(prepare_landings(flights, edges, code, features))
     train, test = M.split(prepared, mode=split_mode)
     model = M.fit_pipeline(prepared, train, features, trees, depth)
     acc = M.accuracy(model, test).first()
     predictions = M.predict(model, test)
-    costed = materialise(optimise(predictions, nodes, edges, sizes, code, stop=stop, net=NetworkIndex(nodes, edges)))
+    costed = materialise(optimise(predictions, nodes, edges, sizes, code, stop=stop, net=NetworkIndex(nodes, edges),
+                                  store=f"{root}/paths"))
     summary = sinks.write_summary(costed, f"{root}/summaries/{run_id}")
     sample = S.top_sample(costed, SAMPLE_CAP)
     doc = sinks.result_document(costed, sample)
@@ -47,6 +51,7 @@ def run_analysis(spark: SparkSession, flights: DataFrame, nodes: DataFrame, edge
         "run_id string, airport_code string, accuracy double, num_runways long, num_exits long, train_count long, "
         "test_count long, run_duration_ms long, date string")
     sinks.write_run(run, root, run_id)
+    sinks.write_manifest(spark, root, run_id)
     return {"prepared": prepared, "predictions": predictions, "costed": costed, "summary": summary,
             "result": doc, "features": meta, "run": run}
 

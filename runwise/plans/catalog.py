@@ -677,9 +677,15 @@ def q_run_analysis(spark, sf):
 
 
 def q_inspect_run(spark, sf):
+    """the rows and columns of every result of an inspection."""
     from runwise.plans.analysis import inspect_run
     out, run_id = _analysis(spark, sf)
-    return inspect_run(spark, _run_root(spark, sf), run_id, *network(spark, sf))["nodes"]
+    every = inspect_run(spark, _run_root(spark, sf), run_id, *network(spark, sf))
+    rows = None
+    for name, df in every.items():
+        one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("result"), "n_rows", F.lit(",".join(df.columns)).alias("columns"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
 
 
 def q_complete_runs(spark, sf):
@@ -843,7 +849,9 @@ def q_dropped_rows(spark, sf):
 
 def q_sink_run_info(spark, sf):
     out, run_id = _analysis(spark, sf)
-    return spark.read.parquet(f"{_run_root(spark, sf)}/runs").where(F.col("run_id") == run_id).drop("run_duration_ms", "date")
+    run = spark.read.parquet(f"{_run_root(spark, sf)}/runs").where(F.col("run_id") == run_id)
+    return run.select("run_id", "airport_code", "num_runways", "num_exits", "train_count", "test_count",
+                      F.col("accuracy").between(0, 100).alias("accuracy_is_percent"))
 
 
 def q_save_model(spark, sf):
@@ -856,8 +864,15 @@ def q_save_model(spark, sf):
 def q_scan_run_artifacts(spark, sf):
     from runwise.sources.sinks import read_run
     out, run_id = _analysis(spark, sf)
-    f = read_run(spark, _run_root(spark, sf), run_id)["features"]
-    return f.select("run_id", "featureName", "featureType", F.size("categories").alias("n_categories"))
+    every = read_run(spark, _run_root(spark, sf), run_id)
+    f = every.pop("features").select("run_id", "featureName", "featureType", F.size("categories").alias("n_categories"))
+    # Beside the feature rows: that each other table has rows of the run, as many as its manifest lists.
+    said = spark.read.parquet(f"{_run_root(spark, sf)}/manifest").where(F.col("run_id") == run_id)
+    for name, df in every.items():
+        n = df.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).join(said.where(F.col("name") == name).select("run_id", "n_rows"), "run_id")
+        f = f.unionByName(n.select("run_id", F.lit(name).alias("featureName"), F.lit("table").alias("featureType"),
+                                   F.when(F.col("n") == F.col("n_rows"), F.lit(None).cast("int")).otherwise(-1).alias("n_categories")))
+    return f
 
 
 from pyspark.ml import PipelineModel  # noqa: E402

@@ -415,7 +415,11 @@ def _model_sql(feat: str, opt: str, net: str, describe: str) -> dict[str, str]:
         "assemble": index + " " + vector,
         "accuracy": feat + " SELECT avg(CAST(exit = surrogate_exit AS DOUBLE)) * 100 AS accuracy, count(*) AS scored FROM prepared",
         "sink_feature_json": label + " " + meta,
-        "scan_run_artifacts": label + f" SELECT 'KPHX-run' AS run_id, featureName, featureType, CAST(len(categories) AS BIGINT) AS n_categories FROM ({meta})",
+        "scan_run_artifacts": label + f" SELECT 'KPHX-run' AS run_id, featureName, featureType, CAST(len(categories) AS BIGINT) AS n_categories FROM ({meta})"
+                              " UNION ALL SELECT 'KPHX-run', unnest(['runs', 'results', 'samples', 'costed', 'documents']), 'table', NULL",
+        "sink_run_info": split + """ SELECT 'KPHX-run' AS run_id, 'KPHX' AS airport_code, count(DISTINCT runway) AS num_runways,
+            count(DISTINCT exit) AS num_exits, count(*) FILTER (part = 'train') AS train_count, count(*) FILTER (part = 'test') AS test_count,
+            true AS accuracy_is_percent FROM parts""",
         "complete_runs": "SELECT 'KPHX-run' AS run_id, 'KPHX' AS airport_code",
         "list_models": "SELECT 'KPHX-run' AS run_id, 'KPHX' AS airport_code",
         "sink_df_csv": net + " SELECT ac_type, category FROM sizes",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runwise.operators.summary import MEAN_MEASURES, describe
+from runwise.session import delete_folder, folder_exists
 
 SAMPLE_COLS = ["flight_id", "aircraftType", "size_class", "optROT", "optTT", "actualROT", "actualTT", "optPath",
                "predPath", "slowV", "totalOptCost", "totalActualCost", "savings", "predictedExit"]
@@ -87,7 +88,7 @@ def load_model(root: str, run_id: str) -> PipelineModel:
     return PipelineModel.load(f"{root}/models/{run_id}")
 
 
-RUN_TABLES = ("runs", "features", "results", "samples", "costed")
+RUN_TABLES = ("runs", "features", "results", "samples", "costed", "documents")
 
 
 def read_run(spark: SparkSession, root: str, run_id: str) -> dict[str, DataFrame]:
@@ -95,6 +96,33 @@ def read_run(spark: SparkSession, root: str, run_id: str) -> dict[str, DataFrame
     return {name: spark.read.parquet(f"{root}/{name}").where(F.col("run_id") == run_id) for name in RUN_TABLES}
 
 
+def open_run(spark: SparkSession, root: str, run_id: str) -> None:
+    """A run that is about to be written (again) is no complete one until ``write_manifest``."""
+    delete_folder(spark, f"{root}/manifest/run_id={run_id}")
+
+
+def contents(spark: SparkSession, root: str, run_id: str) -> DataFrame:
+    """name, n_rows, digest of every table of a run as it is now; the digest doesn't depend on the order of rows."""
+    every = None
+    for name, df in read_run(spark, root, run_id).items():
+        digest = F.sum(F.xxhash64(*[c for c in df.columns if c != "run_id"]).cast("decimal(38,0)")).cast("string")
+        one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(digest, F.lit("0")).alias("digest")) \
+            .select(F.lit(name).alias("name"), "n_rows", "digest")
+        every = one if every is None else every.unionByName(one)
+    return every
+
+
+def write_manifest(spark: SparkSession, root: str, run_id: str) -> None:
+    """Row counts and digests of the run's tables, written last: what a complete run holds."""
+    _write_part(contents(spark, root, run_id).coalesce(1), root, "manifest", run_id)  # a row per table
+
+
+def damaged_tables(spark: SparkSession, root: str, run_id: str) -> DataFrame:
+    """Tables of a run whose rows aren't those that its manifest lists."""
+    said = spark.read.parquet(f"{root}/manifest").where(F.col("run_id") == run_id).drop("run_id")
+    return said.join(contents(spark, root, run_id), ["name", "n_rows", "digest"], "left_anti")
+
+
 def saved_models(spark: SparkSession, root: str) -> DataFrame:
     """Run ids with a saved model, from the model folders' metadata files (contents aren't read)."""
     files = spark.read.format("binaryFile").load(f"{root}/models/*/metadata/part-*").select("path")
@@ -108,8 +136,18 @@ def list_models(spark: SparkSession, root: str) -> DataFrame:
 
 
 def complete_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Runs for which run info, feature metadata, results and the forest all exist."""
-    runs = spark.read.parquet(f"{root}/runs").join(saved_models(spark, root), "run_id", "left_semi")
-    for name in ("features", "results"):
-        runs = runs.join(spark.read.parquet(f"{root}/{name}").select("run_id").distinct(), "run_id", "left_semi")
-    return runs
+    """Runs with a manifest whose tables all hold as many rows as it lists, and with a saved model.
+
+    A run that was stopped half-way has no manifest, as that is written last.
+    """
+    if not folder_exists(spark, f"{root}/manifest"):
+        return spark.read.parquet(f"{root}/runs").where("false")
+    now = None
+    for name in RUN_TABLES:
+        one = spark.read.parquet(f"{root}/{name}").groupBy("run_id").agg(F.count(F.lit(1)).alias("n_now")).withColumn("name", F.lit(name))
+        now = one if now is None else now.unionByName(one)
+    said = spark.read.parquet(f"{root}/manifest").join(now, ["run_id", "name"], "left")
+    whole = said.groupBy("run_id").agg(F.bool_and(F.col("n_rows") == F.coalesce("n_now", F.lit(0))).alias("whole"),
+                                       F.countDistinct("name").alias("n")).where((F.col("n") == len(RUN_TABLES)) & F.col("whole"))
+    runs = spark.read.parquet(f"{root}/runs").join(whole, "run_id", "left_semi")
+    return runs.join(saved_models(spark, root), "run_id", "left_semi")
