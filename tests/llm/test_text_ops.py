@@ -203,17 +203,36 @@ def test_window_probabilities_by_definition():
     docs = [rng.integers(0, window_lm.VOCABULARY, n) for n in (1, 4, 0, 7)]
     context, target, owner = window_lm.windows(docs)
     got = window_lm.log_probabilities(context, target, flat)
-    embed, bias, out, prior = window_lm.views(flat)
+    embed, bias, groups, of_group, out, of_class = window_lm.views(flat)
+    softmax = lambda x: np.exp(x) / np.exp(x).sum()
     k = 0
     for d, doc in enumerate(docs):
         for i in range(len(doc)):
             near = [doc[i + s] if 0 <= i + s < len(doc) else window_lm.EDGE for s in (-2, -1, 1, 2)]
-            logits = out @ np.tanh(sum(embed[p][x] for p, x in enumerate(near)) + bias) + prior
-            want = logits[doc[i]] - np.log(np.exp(logits).sum())
+            h = np.tanh(sum(embed[p][x] for p, x in enumerate(near)) + bias)
+            g, m = divmod(int(doc[i]), window_lm.MEMBERS)
+            own = slice(g * window_lm.MEMBERS, (g + 1) * window_lm.MEMBERS)
+            want = np.log(softmax(groups @ h + of_group)[g] * softmax(out[own] @ h + of_class[own])[m])
             assert owner[k] == d and abs(got[k] - want) < 1e-4
             k += 1
 
 
+def test_window_gradient_by_differences():
+    """One step of descent moves every parameter against the numerical gradient of the mean log-probability."""
+    rng = np.random.default_rng(5)
+    flat = rng.normal(0, 0.3, window_lm.N_PARAMS)
+    context, target, _ = window_lm.windows([rng.integers(0, window_lm.VOCABULARY, n) for n in (30, 25)])
+    memory = np.zeros(window_lm.N_PARAMS)
+    window_lm.descend(context, target, flat.copy(), memory)
+    loss = lambda x: -window_lm.log_probabilities(context, target, x).astype(np.float64).mean()
+    live = np.flatnonzero(memory > 1e-8)
+    for k in [*rng.choice(live, 60, replace=False), *range(window_lm.N_PARAMS - 3, window_lm.N_PARAMS)]:
+        step = np.zeros(window_lm.N_PARAMS)
+        step[k] = 1e-2
+        slope = (loss(flat + step) - loss(flat - step)) / 2e-2
+        assert abs(slope ** 2 - memory[k]) < 2e-5 + 0.05 * memory[k]
+
+
 def test_window_network_trains_on_every_token(llm, monkeypatch):
     monkeypatch.setattr(window_lm, "descend", lambda context, target, flat, memory: flat.__iadd__(np.bincount(target, minlength=len(flat))))
     ids = np.arange(1 << window_lm.BUCKET_BITS, dtype=np.int32) % window_lm.VOCABULARY
