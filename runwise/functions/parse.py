@@ -16,11 +16,11 @@ def item_count(text: Column) -> Column:
 
 
 def epoch_ms(text: Column) -> Column:
-    """`m.mmmEk` text -> epoch millis: (m * 10^k) truncated to long; NULL when malformed."""
+    """`m.mmmEk` text -> epoch millis: (m * 10^k) truncated to long; NULL when malformed or when no long holds it."""
     parts = F.split(text, "E")
     m = F.get(parts, 0).try_cast("double")
     k = F.get(parts, 1).try_cast("double")
-    return F.when(F.size(parts) >= 2, (m * F.pow(F.lit(10.0), k)).cast("long"))
+    return F.when(F.size(parts) >= 2, (m * F.pow(F.lit(10.0), k)).try_cast("long"))
 
 
 def parse_positions(text: Column) -> Column:

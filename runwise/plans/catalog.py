@@ -20,6 +20,7 @@ from runwise.functions.geo import flat_angle, pair_distances, pair_speeds, vince
 from runwise.operators import costs as C
 from runwise.operators import landings as L
 from runwise.operators import paths as P
+from runwise.operators import rejects as J
 from runwise.operators import summary as S
 from runwise.operators.network import (NetworkIndex, clean_network, exit_edges, link_coords, project_edges, project_vertices,
                                        undirected)
@@ -828,23 +829,26 @@ def q_sink_df_csv(spark, sf):
 
 
 def q_dropped_rows(spark, sf):
-    """How many landings each step leaves out, from records to costed landings."""
+    """How many landings are left after each step, from records to costed landings: the reject ledger, counted once."""
     nodes, edges = network(spark, sf)
-    every = fx.flights(spark, sf)
-    typed = L.typed_filters(every, CODE)
-    p = materialise(prepare_landings(every, edges, CODE, keep=["surrogate_exit"]).withColumnRenamed("surrogate_exit", "predictedExit"))
-    net = NetworkIndex(nodes, edges)
-    v = materialise(P.with_vertices(p, net).drop("positions", "link_ids"))
-    near = P.drop_adjacent(v, edges)
-    paths = P.with_paths(near, nodes, edges, net, drop=False)
-    slowed = L.decel_filter(L.with_decel(typed))
-    steps = [("records", every), ("filters", typed), ("deceleration", slowed), ("exit_label", p), ("adjacent_or_no_vertex", near),
-             ("no_path", paths.where("has_paths")), ("no_time", optimised(spark, sf))]
-    counts = None
-    for k, (name, df) in enumerate(steps):
-        one = df.agg(F.count(F.lit(1)).alias("n_left")).select(F.lit(k).alias("step"), F.lit(name).alias("name"), "n_left")
-        counts = one if counts is None else counts.unionByName(one)
-    return counts
+    typed = fx.flights(spark, sf).withColumnRenamed("surrogate_exit", "predictedExit")
+    return J.left_after(J.by_mask(J.reject_ledger(typed, nodes, edges, CODE)))
+
+
+def _rejects(spark, sf):
+    """The ledger of the packed-text records, noise and malformed numbers included; types are known if they have a size class."""
+    nodes, edges = network(spark, sf)
+    raw = fx.flights_raw(spark, sf, noise=True, malformed=True, keep=["surrogate_exit"])
+    typed = L.parse_flights(raw).withColumnRenamed("surrogate_exit", "predictedExit")
+    return J.reject_ledger(typed, nodes, edges, CODE, known={"aircraftType": fx.size_classes(spark, sf).select("ac_type")})
+
+
+def q_reject_ledger(spark, sf):
+    return _rejects(spark, sf).select("flight_id", "reject_mask")
+
+
+def q_reject_counts(spark, sf):
+    return J.by_mask(_rejects(spark, sf))
 
 
 def q_sink_run_info(spark, sf):
@@ -888,4 +892,5 @@ QUERIES.update({
     "drop_vector_columns": q_drop_vector_columns, "sink_describe_csv": q_sink_describe_csv,
     "sink_df_csv": q_sink_df_csv, "sink_run_info": q_sink_run_info, "save_model": q_save_model,
     "scan_run_artifacts": q_scan_run_artifacts, "dropped_rows": q_dropped_rows,
+    "reject_ledger": q_reject_ledger, "reject_counts": q_reject_counts,
 })

@@ -189,6 +189,13 @@ prepared AS (SELECT k.*, t.traffic, l.exit FROM kept k JOIN traf t USING (flight
 FEATURES_TEXT = FEATURES.replace("WHERE f.arrAirport = 'KPHX'", "WHERE f.flight_id % 7 NOT IN (0, 1)")
 
 
+# ... and with malformed numbers, which leave no deceleration.
+FEATURES_BROKEN = FEATURES_TEXT.replace("% 7 NOT IN (0, 1)", "% 7 NOT IN (0, 1) AND f.flight_id % 11 <> 3")
+# FIXED VALUES: the bits of the reject ledger, in order.
+REASONS = ["other_airport", "null_text", "few_items", "no_den_link", "deceleration", "no_exit", "no_vertex", "start_is_goal",
+           "adjacent", "no_path", "no_time", "malformed_number", "unknown_link", "unseen_category"]
+
+
 def with_ctes(*blocks: str) -> str:
     return "WITH " + ",".join(b.strip().rstrip(",") for b in blocks)
 
@@ -474,6 +481,27 @@ def oracle_sql() -> dict[str, str]:
     }
     solved_sql = with_ctes(NETWORK, FLIGHTS, FEATURES, VERTICES,
                            search("SELECT slowV AS start, goalV AS goal, avoidV AS avoid FROM nadj"))
+    reasons = {
+        "other_airport": "f.flight_id % 7 = 0", "null_text": "f.flight_id % 7 = 1", "few_items": "len(f.link_ids) <= 5 OR f.n_pos <= 5",
+        "malformed_number": "f.flight_id % 11 = 3", "unseen_category": "f.flight_id % 7 = 1 OR f.aircraftType NOT IN (SELECT ac_type FROM sizes)",
+        "unknown_link": "EXISTS (SELECT 1 FROM flinks l WHERE l.flight_id = f.flight_id AND l.link_id NOT IN (SELECT link_id FROM edges))",
+        "deceleration": "p.flight_id IS NOT NULL AND f.flight_id NOT IN (SELECT flight_id FROM kept)",
+        "no_exit": "p.flight_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM flinks l JOIN edges e ON e.link_id = l.link_id "
+                   "WHERE l.flight_id = f.flight_id AND l.idx > 0 AND e.is_exit = 1)",
+        "no_vertex": "q.flight_id IS NOT NULL AND (v.slowV IS NULL OR v.goalV IS NULL)", "start_is_goal": "q.flight_id IS NOT NULL AND v.slowV = v.goalV",
+        "adjacent": "q.flight_id IS NOT NULL AND v.slowV <> v.goalV AND EXISTS (SELECT 1 FROM und u WHERE u.a = v.slowV AND u.b = v.goalV)",
+        "no_path": "f.flight_id IN (SELECT flight_id FROM base) AND f.flight_id NOT IN (SELECT flight_id FROM paths)",
+        "no_time": "f.flight_id IN (SELECT flight_id FROM paths) AND f.flight_id NOT IN (SELECT flight_id FROM timed)",
+    }
+    mask = " + ".join(f"CASE WHEN {cond} THEN {1 << REASONS.index(name)} ELSE 0 END" for name, cond in reasons.items())
+    ledger = with_ctes(NETWORK, FLIGHTS_TEXT, FEATURES_BROKEN, VERTICES, OPTIMISE) + f""", ledger AS (
+        SELECT f.flight_id, {mask} AS reject_mask FROM fl f LEFT JOIN verts v ON v.flight_id = f.flight_id
+        LEFT JOIN prepared q ON q.flight_id = f.flight_id
+        LEFT JOIN (SELECT flight_id FROM fl WHERE flight_id % 7 NOT IN (0, 1) AND len(link_ids) > 5 AND n_pos > 5) p ON p.flight_id = f.flight_id)"""
+    names = "[" + ", ".join(f"CASE WHEN reject_mask & {1 << k} <> 0 THEN '{name}' END" for k, name in enumerate(REASONS)) + "]"
+    extra["reject_ledger"] = ledger + " SELECT flight_id, reject_mask FROM ledger"
+    extra["reject_counts"] = ledger + (f" SELECT reject_mask, array_to_string(list_filter({names}, lambda x: x IS NOT NULL), ',') AS reasons, "
+                                       "count(*) AS n_records FROM ledger GROUP BY reject_mask")
     extra["min_cost_vertex"] = solved_sql + " SELECT start, goal, avoid, path[len(path)].from_node AS goal_pred FROM solved"
     extra["trace_path"] = solved_sql + (" SELECT start, goal, avoid, CASE WHEN path IS NOT NULL THEN array_to_string("
                                         "list_append(list_transform(path, lambda x: x.from_node), goal), ',') END AS vertices FROM solved")

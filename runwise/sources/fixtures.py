@@ -181,11 +181,13 @@ def _epoch_text(ms: F.Column) -> F.Column:
                     F.lit("E"), (F.length(s) - 1).cast("string"))
 
 
-def flights_raw(spark: SparkSession, sf_dir: str, noise: bool = False) -> DataFrame:
+def flights_raw(spark: SparkSession, sf_dir: str, noise: bool = False, malformed: bool = False,
+                keep: list[str] | None = None) -> DataFrame:
     """Landing records as packed text, the layout of the input files.
 
     ``noise=True`` turns every 7th landing into a departure elsewhere and gives
     every 7th+1 landing a literal "null" aircraft type, to exercise the filters.
+    ``malformed=True`` makes the first epoch of every 11th+3 landing no number, or one that no long holds.
     """
     f = flights(spark, sf_dir)
     pos_txt = F.concat_ws("|", F.transform(
@@ -197,8 +199,12 @@ def flights_raw(spark: SparkSession, sf_dir: str, noise: bool = False) -> DataFr
     if noise:
         arr = F.when(F.col("flight_id") % 7 == 0, F.lit("KLAX")).otherwise(arr)
         ac = F.when(F.col("flight_id") % 7 == 1, F.lit("null")).otherwise(ac)
+    if malformed:
+        broken = F.when(F.col("flight_id") % 2 == 0, F.lit("n/a")).otherwise(F.lit("9.9E99"))
+        pos_txt = F.when(F.col("flight_id") % 11 == 3, F.concat(F.regexp_extract(pos_txt, r"^[^;]*;[^;]*;", 0), broken,
+                                                                F.regexp_replace(pos_txt, r"^[^|]*", ""))).otherwise(pos_txt)
     return f.select("flight_id", "callsign", "runway", pos_txt.alias("positions"), link_txt.alias("links"),
-                    "depAirport", arr.alias("arrAirport"), ac.alias("aircraftType"), "arrGate")
+                    "depAirport", arr.alias("arrAirport"), ac.alias("aircraftType"), "arrGate", *(keep or []))
 
 
 def exit_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
