@@ -244,6 +244,21 @@ def test_window_network_trains_on_every_token(llm, monkeypatch):
     assert (seen[:window_lm.VOCABULARY] == want).all() and want.sum() == sum(5 + k for k in range(30))
 
 
+def test_window_network_has_one_result_under_any_partitioning(llm, monkeypatch):
+    monkeypatch.setattr(window_lm, "SHARD_TOKENS", 3000)
+    docs = frame(llm, [(k, prose(k % 40, 50 + k % 90), "en") for k in range(150)] + [(None, prose(3, 60), None), (901, None, None), (3, prose(3, 53), "en")]
+                 + [(950, prose(5, 20_000), "en")])  # longer than a block
+    got = [{(r["doc_id"], r["n_tokens"]): r["log_prob"] for r in window_lm.report(docs.repartition(n)).collect()} for n in (1, 5)]
+    before = llm.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    llm.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got.append({(r["doc_id"], r["n_tokens"]): r["log_prob"] for r in window_lm.report(docs.repartition(3, "doc_id")).collect()})
+    finally:
+        llm.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for other in got[1:]:
+        assert got[0].keys() == other.keys() and all(abs(v - other[k]) <= 1e-6 * max(1, k[1]) for k, v in got[0].items())
+
+
 def test_window_network_tells_words_of_a_class_apart(llm):
     docs = [(k, prose(k % 7, 400), "en") for k in range(60)] + [(900, prose(1, 20) + " qzxv", "en"), (901, prose(1, 20) + " w1", "en")]
     counts = window_lm.bucket_counts(frame(llm, docs))
