@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from runwise.constants import ALL_FEATURES
 from runwise.operators import landings as L
 from runwise.operators.network import exit_edges
+from runwise.session import materialise
 
 
 def featurize(typed: DataFrame) -> DataFrame:
@@ -37,6 +38,10 @@ def prepare_landings(typed: DataFrame, edges: DataFrame, code: str = "KPHX",
 
 def prepare_from_text(raw: DataFrame, edges: DataFrame, code: str = "KPHX",
                       features: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
-    """Packed-text landings -> P1-P5 -> parse -> ``prepare_landings``."""
-    typed = L.parse_flights(L.filter_flights(raw, code))
+    """Packed-text landings -> P1-P5 -> parse -> ``prepare_landings``.
+
+    The parsed landings are written once: else the optimiser puts the whole parse in place of each use of a position
+    or link, and the plan takes minutes while every landing is parsed many times over.
+    """
+    typed = materialise(L.parse_flights(L.filter_flights(raw, code)))
     return prepare_landings(typed, edges, code, features, keep, typed_filters=False)

@@ -101,3 +101,17 @@ def test_den_patch_strict_drops_everything(spark, sf):
     raw = fx.flights_raw(spark, sf)
     assert L.den_patch(raw, "KDEN", strict=True).count() == 0
     assert L.den_patch(raw, "KPHX").count() == raw.count()
+
+
+def test_packed_text_is_parsed_once(spark):
+    """The features of landings read the parsed table: no use of a position or link parses the text again."""
+    from runwise.plans.prepare import prepare_from_text
+    positions = "|".join(f"33.43;{-112.03 + 0.0012 * k - 0.00006 * k * k:.7f};1.{700000000000 + 2000 * k}E12" for k in range(8))
+    links = "|".join(f"seg;{k};0;{x}" for k, x in enumerate(["1000", "1001", "1002", "2010", "1035", "1036", "2038"]))
+    raw = spark.createDataFrame([(1, "AAL1", "07L", positions, links, "X", "KPHX", "B", "T1")],
+                                "flight_id long, callsign string, runway string, positions string, links string, depAirport string, "
+                                "arrAirport string, aircraftType string, arrGate string")
+    edges = spark.createDataFrame([("2010", 1), ("1000", 0)], "link_id string, is_exit int")
+    out = prepare_from_text(raw, edges)
+    assert "regexp_replace(" not in out._jdf.queryExecution().optimizedPlan().toString().replace("regexp_replace(callsign", "")
+    assert [(r["flight_id"], r["exit"], r["touchdownLat"], len(r["positions"])) for r in out.collect()] == [(1, "2010", 33.43, 8)]
