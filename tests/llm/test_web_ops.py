@@ -140,3 +140,13 @@ def test_extract_on_table(llm, sf):
         article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))).split()) for x in re.split(r"</?(?:h1|p)>", article)]
         assert rows[r["page_id"]]["text"] == "\n\n".join(x for x in blocks if x) and rows[r["page_id"]]["url"] == r["url"]
+
+
+def test_marked_pages_are_differenced_too(llm):
+    """Differencing judges pages that mark their article; lines of the article that it finds shared are taken back."""
+    rows = [(k, f"http://h.example/news/{k:02d}", f"<body><p>Shared by all pages</p><article><p>passage of several pages</p>"
+             f"<p>{'own words ' * 9}{k}</p></article><p>drawn for {k}</p></body>") for k in range(6)]
+    found = {r["key"]: r["deleted"] for r in html_diff.decisions(pages(llm, rows)).collect()}
+    assert len(found) == 6 and all(d == [0] for d in found.values())
+    out = {r["page_id"]: r for r in html_diff.extract(pages(llm, rows)).collect()}
+    assert all(out[k]["text"] == f"passage of several pages\n\n{'own words ' * 9}{k}" and out[k]["n_deleted"] == 1 for k in range(6))
