@@ -3,7 +3,9 @@
 Every token is predicted from ``SIDE`` tokens on either side of it; the sum of the log
 probabilities scores a document.  The vocabulary is the 2 ** BUCKET_BITS hash buckets of words,
 counted over the whole corpus, and the softmax is factored by classes: p(class | context) is the
-network's, p(word | class) the word's share of the class in the corpus.  The most frequent words are
+network's, p(word | class) the word's share of the class in the corpus: its bucket's share of the class times the word's
+exact share of its bucket.  Words are counted one by one, by 64 bits of hash; the KNOWN_WORDS most frequent ones have their share in every
+task, all others get theirs by a join.  The most frequent words are
 classes of their own, the others share classes of words about as frequent.  The network's softmax has two exact levels, groups of
 classes and the classes of the target's group, so a token costs GROUPS + MEMBERS exponentials instead of their product.
 
@@ -11,7 +13,8 @@ Training is data-parallel.  In each round every shard of documents (by a hash of
 descent in numpy over its windows (every token of every document, in every round), and Spark averages the
 parameters of the shards, weighted by their windows.  Scores don't depend on how the rows are partitioned; rows equal in
 doc_id and text share a shard.
-What reaches the driver is the bucket counts and the parameters, both of fixed size.
+What reaches the driver is the bucket counts, the known words and the parameters, all of fixed size, and how many words there are of
+each count.
 
 Defined results: null, empty and wordless texts have 0 tokens, log-probability 0 and a null
 mean; repeated rows each get a row; an empty table gives no rows.
@@ -33,6 +36,7 @@ GROUPS, MEMBERS = 16, 16
 VOCABULARY = GROUPS * MEMBERS
 SHARED_IDS = 64
 BUCKET_BITS = 20
+KNOWN_WORDS = 1 << 20  # the others' shares come by a join, so any number gives the same scores
 WIDTH = 16
 ROUNDS = 2
 RATE = 2.0
@@ -61,22 +65,81 @@ def buckets_of(text: str | None, table: Buckets) -> np.ndarray:
     return np.fromiter(map(table.__getitem__, words), np.int64, len(words))
 
 
-def bucket_counts(docs: DataFrame) -> np.ndarray:
-    """Words of the whole corpus by bucket."""
+class Hashes(dict):
+    """Word -> 64 bits of hash as a signed long; its first BUCKET_BITS are the bucket."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > 300_000:
+            self.clear()
+        x = xxhash.xxh3_64_intdigest(word)
+        found = self[word] = x - (1 << 64) if x >> 63 else x
+        return found
+
+
+def bucket_in(words: np.ndarray) -> np.ndarray:
+    return (words.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Words and counts of all parts, each word once."""
+    words, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(words)
+    words = words[order]
+    starts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.zeros(0, np.int64)
+    return words[starts], np.add.reduceat(n[order], starts) if len(words) else n
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): every word of the corpus, by its hash, and how often it occurs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total = Buckets(), np.zeros(1 << BUCKET_BITS, np.int64)
+        def rows(words, n):
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(n, pa.int64())], ["word", "n"])
+        table, parts, held = Hashes(), [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
         for batch in batches:
             found = [buckets_of(t, table) for t in batch.column("text").to_pylist()]
-            at, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), 0)
-            total[at] += n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["bucket", "n"])
-    rows = docs.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+            if found:
+                parts.append(np.unique(np.concatenate(found), return_counts=True))
+                held += len(parts[-1][0])
+            if held > 2_000_000:
+                parts = [merged(parts)]
+                held = len(parts[0][0])
+                if held > 1_000_000:
+                    yield rows(*parts[0])
+                    parts, held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+        yield rows(*merged(parts))
+    return docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def by_bucket(words: DataFrame) -> DataFrame:
+    return words.groupBy(F.shiftrightunsigned("word", 64 - BUCKET_BITS).alias("bucket")).agg(F.sum("n").alias("total"))
+
+
+def counts_of(words: DataFrame) -> np.ndarray:
+    """Words of the whole corpus by bucket."""
+    rows = by_bucket(words).toArrow()
     out = np.zeros(1 << BUCKET_BITS, np.int64)
-    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    out[rows["bucket"].to_numpy()] = rows["total"].to_numpy()
     return out
 
 
+def bucket_counts(docs: DataFrame) -> np.ndarray:
+    return counts_of(word_counts(docs))
+
+
+def in_buckets(words: DataFrame, counts: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame]:
+    """log p(word | bucket): of the most frequent words as sorted hashes and values, of all others as a table (word, own)."""
+    much = words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).toArrow().sort_by([("n", "descending")])  # a row per count
+    fits = np.cumsum(much["words"].to_numpy()) <= KNOWN_WORDS
+    cut = int(much["n"].to_numpy()[fits].min()) if fits.any() else 1 << 62
+    top = words.where(F.col("n") >= cut).toArrow().sort_by("word")
+    known = top["word"].to_numpy()
+    values = np.log(top["n"].to_numpy() / counts[bucket_in(known)]) if len(known) else np.zeros(0)
+    rest = words.where(F.col("n") < cut).withColumn("bucket", F.shiftrightunsigned("word", 64 - BUCKET_BITS)).join(by_bucket(words), "bucket")
+    return (known, values), written(rest.select("word", F.log(F.col("n") / F.col("total")).alias("own")), "words")
+
+
 def vocabulary(counts: np.ndarray) -> np.ndarray:
     """Bucket -> class: own classes for the most frequent buckets, then bands of frequency that hold as many words each."""
     order = np.lexsort((np.arange(len(counts)), -counts))
@@ -206,19 +269,29 @@ def descend(context: np.ndarray, target: np.ndarray, flat: np.ndarray, memory: n
         flat -= 0.1 * RATE * grad / (np.sqrt(memory) + 1e-6)
 
 
-def encoded(docs: DataFrame, ids: np.ndarray, share: np.ndarray, keep: list[str]) -> DataFrame:
-    """``keep`` and, of every document, a hash of doc_id and text, its class ids (a byte each) and the sum of log p(word | class)."""
-    shipped = docs.sparkSession.sparkContext.broadcast((ids.astype(np.uint8), share))  # fixed size
+def encoded(docs: DataFrame, ids: np.ndarray, share: np.ndarray, keep: list[str], known: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """``keep`` and, of every document, a hash of doc_id and text, its class ids (a byte each), the sum of log p(word | class) as far as
+    ``known`` has the words' shares of their buckets, and the words that it doesn't have."""
+    nothing = (np.zeros(0, np.int64), np.zeros(0))
+    shipped = docs.sparkSession.sparkContext.broadcast((ids.astype(np.uint8), share, *(known or nothing)))  # fixed size
     h = F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns])
 
     def make():
-        (small, within), table = shipped.value, Buckets()
+        (small, within, listed, own), table = shipped.value, Hashes()
 
         def apply(texts):
-            words = [buckets_of(t, table) for t in texts]
-            return [small[w].tobytes() for w in words], [float(within[w].sum(dtype=np.float64)) for w in words]
+            code, total, rest = [], [], []
+            for t in texts:
+                words = buckets_of(t, table)
+                buckets = bucket_in(words)
+                code.append(small[buckets].tobytes())
+                at = np.searchsorted(listed, words)
+                hit = np.zeros(len(words), bool) if not len(listed) else listed[np.minimum(at, len(listed) - 1)] == words
+                total.append(float(within[buckets].sum(dtype=np.float64)) + float(own[at[hit]].sum()))
+                rest.append(words[~hit] if known else None)
+            return code, total, rest
         return apply
-    return map_texts(docs.withColumn("_h", h), make, "_code binary, _within double", [*keep, "_h"])
+    return map_texts(docs.withColumn("_h", h), make, "_code binary, _within double, _rest array<bigint>", [*keep, "_h"])
 
 
 def train_round(docs: DataFrame, ids: np.ndarray, flat: np.ndarray, n_shards: int = 1) -> np.ndarray:
@@ -260,13 +333,21 @@ def train_round(docs: DataFrame, ids: np.ndarray, flat: np.ndarray, n_shards: in
 
 def learn(docs: DataFrame, keep: list[str]) -> tuple[dict, DataFrame]:
     """The model, and the table of encoded documents (a byte a token, written once) that every round read."""
-    counts = bucket_counts(docs)
+    words = written(word_counts(docs), "counts")
+    counts = counts_of(words)
     ids = vocabulary(counts)
     flat, share = parameters(counts, ids), shares(counts, ids)
-    codes = written(encoded(docs, ids, share, keep), "codes")
+    known, rest = in_buckets(words, counts)
+    discard(words)
+    codes = written(encoded(numbered(docs), ids, share, [*keep, "_row"], known), "codes")
     for _ in range(ROUNDS):
         flat = train_round(codes, ids, flat, max(1, round(int(counts.sum()) / SHARD_TOKENS)))
-    return {"ids": ids, "flat": flat, "share": share}, codes
+    return {"ids": ids, "flat": flat, "share": share, "known": known, "rest": rest}, codes
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """Rows with an id that stays once they are written."""
+    return docs.withColumn("_row", F.monotonically_increasing_id())
 
 
 def train(docs: DataFrame) -> dict:
@@ -276,12 +357,21 @@ def train(docs: DataFrame) -> dict:
 
 
 def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """``keep``, n_tokens, log_prob (sum over all tokens) and mean_log_prob of every text."""
-    return score_codes(encoded(docs, model["ids"], model["share"], keep), model["flat"], keep)
+    """``keep``, n_tokens, log_prob (sum over all tokens) and mean_log_prob of every text; a word that was never counted stands for its bucket."""
+    return whole_score(written(encoded(numbered(docs), model["ids"], model["share"], [*keep, "_row"], model["known"]), "codes"), model, keep)
+
+
+def whole_score(codes: DataFrame, model: dict, keep: list[str]) -> DataFrame:
+    """``score`` of written ``encoded`` documents: the shares of words that tasks don't hold come by a join."""
+    part = score_codes(codes, model["flat"], [*keep, "_row"])
+    more = codes.select("_row", F.explode("_rest").alias("word")).join(model["rest"], "word").groupBy("_row").agg(F.sum("own").alias("_more"))
+    total = F.col("log_prob") + F.coalesce("_more", F.lit(0.0))
+    return part.join(more, "_row", "left").select(*keep, "n_tokens", total.alias("log_prob"),
+                                                  F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob"))
 
 
 def score_codes(codes: DataFrame, flat: np.ndarray, keep: list[str]) -> DataFrame:
-    """``score`` of ``encoded`` documents."""
+    """n_tokens, log_prob and mean_log_prob of ``encoded`` documents, by the shares that they were encoded with."""
     shipped = codes.sparkSession.sparkContext.broadcast(flat)  # fixed size
 
     def make():
@@ -307,4 +397,4 @@ def score_codes(codes: DataFrame, flat: np.ndarray, keep: list[str]) -> DataFram
 
 def report(docs: DataFrame) -> DataFrame:
     model, codes = learn(docs, ["doc_id"])
-    return score_codes(codes, model["flat"], ["doc_id"])
+    return whole_score(codes, model, ["doc_id"])

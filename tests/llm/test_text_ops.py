@@ -271,6 +271,23 @@ def test_window_network_tells_words_of_a_class_apart(llm):
     assert counts[rare] == 1 < counts[common] and share[rare] < 0.1
 
 
+def test_window_network_tells_words_of_a_bucket_apart(llm, monkeypatch):
+    """Two words in one bucket: each by its own count, whether tasks know it or the join brings it."""
+    from math import log
+    table, met = window_lm.Buckets(), {}
+    for k in range(20_000):
+        first = met.setdefault(int(window_lm.buckets_of(f"q{k}", table)[0]), f"q{k}")
+        if first != f"q{k}":
+            break
+    rows = [(j, prose(j % 7, 100) + f" {first}" * 9 + f" q{k}", "en") for j in range(10)]
+    rows += [(900, first, "en"), (901, f"q{k}", "en"), (901, f"q{k}", "en")]
+    for n in (window_lm.KNOWN_WORDS, 20, 0):
+        monkeypatch.setattr(window_lm, "KNOWN_WORDS", n)
+        out = window_lm.report(frame(llm, rows)).collect()
+        by_id = {r["doc_id"]: r["log_prob"] for r in out}
+        assert len(out) == 13 and abs(by_id[900] - by_id[901] - log(91 / 12)) < 1e-5, n
+
+
 # ---------------------------------------------------------------- op 9
 
 ITEM = ("Maria Lopez buys 12 apples and 7 pears at the market near the old river bridge, then walks 3 km home. "
