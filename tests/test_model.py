@@ -96,6 +96,17 @@ def test_folds(spark, fitted):
     assert [r["num_trees"] for r in best if r["best"]] == [max(sorted(mean), key=lambda n: (mean[n], -n))]
 
 
+def test_folds_keep_the_node_of_each_row(spark, fitted, monkeypatch):
+    _, train, *_ = fitted
+    seen, forest = [], M.RandomForestClassifier
+    found = []
+    for keep in (None, False):
+        monkeypatch.setattr(M, "RandomForestClassifier", lambda **kw: seen.append(kw) or forest(**kw | ({} if keep is None else {"cacheNodeIds": keep})))
+        found.append(sorted(map(tuple, M.tune_folds(train, list(catalog.ALL_FEATURES), trees=(4,), depth=3, folds=2).collect())))
+    assert sum(kw.get("cacheNodeIds", False) for kw in seen) == 4
+    assert found[0] == found[1]
+
+
 def test_loaded_model_predicts_the_same(spark, fitted, tmp_path):
     model, _, _, data, _ = fitted
     sinks.save_model(model, f"file://{tmp_path}", "r1")
