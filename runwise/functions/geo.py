@@ -38,7 +38,20 @@ def ieee_div(a: Column, b: Column) -> Column:
         .otherwise(_lit(float("nan")))
 
 
+PAIRS_AT_ONCE = 1 << 15  # any number gives the same distances; the solver holds some 30 arrays of as many doubles
+
+
 def geodesic_np(lat1, long1, lat2, long2) -> np.ndarray:
+    """``geodesic_block`` over any number of pairs, in blocks: what a worker holds doesn't grow with the batch."""
+    lat1, long1, lat2, long2 = (np.asarray(x, dtype="float64") for x in (lat1, long1, lat2, long2))
+    out = np.empty(len(lat1))
+    for lo in range(0, len(out), PAIRS_AT_ONCE):
+        part = slice(lo, lo + PAIRS_AT_ONCE)
+        out[part] = geodesic_block(lat1[part], long1[part], lat2[part], long2[part])
+    return out
+
+
+def geodesic_block(lat1, long1, lat2, long2) -> np.ndarray:
     """Vectorised inverse ellipsoid problem (WGS-84), metres, IEEE / Java float semantics.
 
     Per element the iteration stops when sin(sigma) is 0 or lambda moved by at
@@ -46,7 +59,6 @@ def geodesic_np(lat1, long1, lat2, long2) -> np.ndarray:
     within GEO_MAX_ROUNDS, NaN when both points lie on the equator.
     """
     a, b, f = WGS84_A, WGS84_B, WGS84_F
-    lat1, long1, lat2, long2 = (np.asarray(x, dtype="float64") for x in (lat1, long1, lat2, long2))
     with np.errstate(all="ignore"):
         big_l = np.radians(long2 - long1)
         u1 = np.arctan((1 - f) * np.tan(np.radians(lat1)))

@@ -26,6 +26,21 @@ def test_vincenty_column_and_pairs(spark):
     assert rows[0] == [1447.377650722827, 0.0] and rows[1] == [] and rows[2] is None
 
 
+def test_blocks_hold_little_and_change_nothing():
+    import tracemalloc
+
+    from runwise.functions import geo
+    lat, long = 33.0 + np.arange(1_000_001) % 977 * 1e-4, -112.0 + np.arange(1_000_001) % 1013 * 1e-4
+    tracemalloc.start()
+    d = geodesic_np(lat[:-1], long[:-1], lat[1:], long[1:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    some = slice(geo.PAIRS_AT_ONCE - 50, geo.PAIRS_AT_ONCE + 50)
+    assert (d[some] == geodesic_np(lat[:-1][some], long[:-1][some], lat[1:][some], long[1:][some])).all()
+    assert len(geodesic_np([], [], [], [])) == 0
+
+
 def test_numpy_matches_iteration_limit():
     # vectorised rows converge independently
     lat = np.full(1000, 33.43)
