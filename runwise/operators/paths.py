@@ -16,7 +16,7 @@ from runwise.functions.geo import let, pair_distances, pair_speeds, planar, vinc
 from runwise.operators import path_store, search
 from runwise.operators.network import NetworkIndex, link_coords, undirected
 from runwise.operators.routes import with_looked_up
-from runwise.session import cut_lineage, drop_tables, materialise
+from runwise.session import drop_tables, materialise
 
 
 # --- G1 ---------------------------------------------------------------------
@@ -127,11 +127,10 @@ def with_exit_ends(df: DataFrame, net: NetworkIndex, exit_col: str = "predictedE
     """near / far: ends of the predicted exit link nearer to / farther from slowV (tie: dst is near).
 
     The geodesic runs once per distinct (slowV, exit) pair, not per landing; the
-    small result is joined back (AQE broadcasts it after measuring its size).
+    small result is written, so Spark knows its size and landings aren't shuffled by these few pairs.
     """
     pairs = df.select("slowV", exit_col).where(F.col("slowV").isNotNull() & F.col(exit_col).isNotNull()).distinct()
-    # bounded table: checkpointed so later filters read it instead of re-running the geodesic
-    return df.join(cut_lineage(exit_ends(pairs, net, exit_col)), ["slowV", exit_col], "left")
+    return df.join(materialise(exit_ends(pairs, net, exit_col)), ["slowV", exit_col], "left")
 
 
 # --- G3 ---------------------------------------------------------------------

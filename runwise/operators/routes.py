@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runwise.session import materialise
+
 
 def route_id(links: str = "link_ids") -> Column:
     return F.xxhash64(links)
@@ -33,6 +35,8 @@ def with_looked_up(df: DataFrame, table: DataFrame, name: str, links: str = "lin
         .agg(F.sort_array(F.collect_list(F.struct("at", "link_id", "info"))).alias("items"))
     variants = found.groupBy("route_id").agg(F.collect_list(F.struct(
         F.transform("items", lambda x: x["link_id"]).alias("list"), F.transform("items", lambda x: x["info"]).alias("infos"))).alias("_variants"))
+    # Written, so that Spark knows how small it is: else landings are shuffled and sorted by the id, where a hot list is one task.
+    variants = materialise(variants)
     met = df.withColumn("_route", id_of(links)).join(variants, F.col("_route") == F.col("route_id"), "left")
     mine = F.get(F.filter("_variants", lambda v: v["list"] == F.col(links)), 0)
     return met.select(*df.columns, mine["infos"].alias(name))

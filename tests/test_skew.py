@@ -27,3 +27,19 @@ def test_traffic_hot_epoch_collapses(spark):
     t = {r[0]: r[1] for r in traffic_by_epoch(hot.unionByName(tail)).collect()}
     assert t[10**12] == 20000 + 9          # itself, the hot copies and tail epochs within +-899999 ms
     assert t[10**12 + 99 * 100000] == 9
+
+
+def test_hot_link_list_is_no_shuffle_key(spark):
+    # a few lists, so most shuffle partitions are empty and adaptive execution keeps to the join that was planned
+    from runwise.operators.routes import with_looked_up
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    lists = F.when(F.col("id") < 4000, F.array(F.lit("a"), F.lit("x"))).otherwise(F.array(F.lit("b"), (F.col("id") % 2).cast("string")))
+    rows = spark.range(4100).select("id", lists.alias("link_ids")).where("id <> 7")
+    table = spark.createDataFrame([("a", 1), ("b", 2)], "link_id string, info int")
+    out = with_looked_up(rows, table, "found")
+    got = {r["id"]: r["found"] for r in out.collect()}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert len(got) == 4099 and got[5] == [1, None] and got[4050] == [2, None]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan.split("Initial Plan")[0]
+    assert "Exchange hashpartitioning(_route" not in plan.split("Initial Plan")[0]
