@@ -24,7 +24,8 @@ def optimise(predictions: DataFrame, nodes: DataFrame, edges: DataFrame, sizes:
     # The position / link arrays (the bulk of a landing row) are not needed past this point.
     v = P.with_vertices(predictions, net).drop("positions", "link_ids", "slow_lat", "slow_long")
     d = P.drop_adjacent(materialise(v), edges)
-    d = P.with_paths(d, nodes, edges, net, exit_col=exit_col, stop=stop, store=store)
+    # Paths are written before their times are taken: else the filter on valid times puts each path together again.
+    d = materialise(P.with_paths(d, nodes, edges, net, exit_col=exit_col, stop=stop, store=store))
     d = C.with_times(d)
     d = C.with_size_class(d, sizes)
     return C.with_costs(d, code)
