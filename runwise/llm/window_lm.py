@@ -60,23 +60,51 @@ class Buckets(dict):
         return found
 
 
-def buckets_of(text: str | None, table: Buckets) -> np.ndarray:
+def buckets_of(text: str | None, table: dict) -> np.ndarray:
     words = text.lower().encode("utf-8", "surrogatepass").split() if text else []
     return np.fromiter(map(table.__getitem__, words), np.int64, len(words))
 
 
-class Hashes(dict):
-    """Word -> 64 bits of hash as a signed long; its first BUCKET_BITS are the bucket."""
+class Words(dict):
+    """Word -> its place in ``hashes``: 64 bits of hash as a signed long, whose first BUCKET_BITS are the bucket.
+
+    What a task looks up of a word it keeps by place, so it is looked up once and not for every token.
+    """
+
+    def __init__(self):
+        self.hashes = []
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 300_000:
-            self.clear()
         x = xxhash.xxh3_64_intdigest(word)
-        found = self[word] = x - (1 << 64) if x >> 63 else x
+        self.hashes.append(x - (1 << 64) if x >> 63 else x)
+        found = self[word] = len(self.hashes) - 1
         return found
 
+    def new(self, known: int) -> np.ndarray:
+        """Hashes from place ``known`` on."""
+        return np.array(self.hashes[known:], np.int64)
+
+    def clear(self) -> None:
+        super().clear()
+        self.hashes = []
+
+
+WORDS_HELD = 300_000  # places are given anew after a block of texts that leaves more
+BLOCK_TOKENS = 500_000
+
+
+def blocks(texts: list[str | None], table: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the words of a block of texts, and where each text ends among them."""
+    found, size = [], 0
+    for k, t in enumerate(texts, 1):
+        found.append(buckets_of(t, table))
+        size += len(found[-1])
+        if size >= BLOCK_TOKENS or k == len(texts):
+            yield np.concatenate(found), np.cumsum([len(x) for x in found])
+            found, size = [], 0
+
 
 def bucket_in(words: np.ndarray) -> np.ndarray:
     return (words.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
@@ -96,19 +124,26 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(words, n):
             return pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(n, pa.int64())], ["word", "n"])
-        table, parts, held = Hashes(), [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+        table, parts, held = Words(), [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+        counts = np.zeros(0, np.int64)  # by place
         for batch in batches:
-            found = [buckets_of(t, table) for t in batch.column("text").to_pylist()]
-            if found:
-                parts.append(np.unique(np.concatenate(found), return_counts=True))
-                held += len(parts[-1][0])
-            if held > 2_000_000:
-                parts = [merged(parts)]
-                held = len(parts[0][0])
-                if held > 1_000_000:
-                    yield rows(*parts[0])
-                    parts, held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
-        yield rows(*merged(parts))
+            for places, _ in blocks(batch.column("text").to_pylist(), table):
+                now = np.bincount(places, minlength=len(table))
+                now[:len(counts)] += counts
+                counts = now
+                if len(table) <= WORDS_HELD:
+                    continue
+                parts.append((table.new(0), counts))
+                held += len(counts)
+                table.clear()
+                counts = np.zeros(0, np.int64)
+                if held > 2_000_000:
+                    parts = [merged(parts)]
+                    held = len(parts[0][0])
+                    if held > 1_000_000:
+                        yield rows(*parts[0])
+                        parts, held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+        yield rows(*merged([*parts, (table.new(0), counts)]))
     return docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -277,18 +312,37 @@ def encoded(docs: DataFrame, ids: np.ndarray, share: np.ndarray, keep: list[str]
     h = F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns])
 
     def make():
-        (small, within, listed, own), table = shipped.value, Hashes()
+        (small, within, listed, own), table = shipped.value, Words()
+        nothing_kept = (np.zeros(0, np.int64), small[:0], within[:0], np.zeros(0, bool), own[:0])
+        kept = nothing_kept  # by place: hash, class, share of the bucket in the class, whether the word is known, its share of the bucket
+
+        def looked_up(words):
+            buckets, at = bucket_in(words), np.searchsorted(listed, words)
+            hit = np.zeros(len(words), bool)
+            share = np.zeros(len(words))
+            if len(listed):
+                hit = listed[np.minimum(at, len(listed) - 1)] == words
+                share[hit] = own[at[hit]]
+            return words, small[buckets], within[buckets], hit, share
 
         def apply(texts):
+            nonlocal kept
             code, total, rest = [], [], []
-            for t in texts:
-                words = buckets_of(t, table)
-                buckets = bucket_in(words)
-                code.append(small[buckets].tobytes())
-                at = np.searchsorted(listed, words)
-                hit = np.zeros(len(words), bool) if not len(listed) else listed[np.minimum(at, len(listed) - 1)] == words
-                total.append(float(within[buckets].sum(dtype=np.float64)) + float(own[at[hit]].sum()))
-                rest.append(words[~hit] if known else None)
+            for places, ends in blocks(texts, table):
+                if len(table) > len(kept[0]):
+                    kept = tuple(np.concatenate(x) for x in zip(kept, looked_up(table.new(len(kept[0])))))
+                words, classes, shares_, hits, owns = (x[places] for x in kept)
+                lo = 0
+                for hi in ends.tolist():
+                    hit = hits[lo:hi]
+                    whole = hit.all()
+                    code.append(classes[lo:hi].tobytes())
+                    total.append(float(shares_[lo:hi].sum(dtype=np.float64)) + float((owns[lo:hi] if whole else owns[lo:hi][hit]).sum()))
+                    rest.append(None if not known else words[:0] if whole else words[lo:hi][~hit])
+                    lo = hi
+                if len(table) > WORDS_HELD:
+                    table.clear()
+                    kept = nothing_kept
             return code, total, rest
         return apply
     return map_texts(docs.withColumn("_h", h), make, "_code binary, _within double, _rest array<bigint>", [*keep, "_h"])

@@ -288,6 +288,48 @@ def test_window_network_tells_words_of_a_bucket_apart(llm, monkeypatch):
         assert len(out) == 13 and abs(by_id[900] - by_id[901] - log(91 / 12)) < 1e-5, n
 
 
+def test_words_are_looked_up_once_each(llm, monkeypatch):
+    """Lookups by place give what lookups by token give, also when a task forgets its words between blocks of texts."""
+    import pyarrow as pa
+    import xxhash
+    texts = ["b a c a b", None, "", "a a d", "e", "c f g a h i", "  ", "a b"] * 3
+    signed = lambda w: np.array([xxhash.xxh3_64_intdigest(w)], np.uint64).view(np.int64)[0]
+    every = [np.array([signed(w) for w in (t or "").split()], np.int64) for t in texts]
+    rng = np.random.default_rng(5)
+    ids, share = rng.integers(0, 256, 1 << window_lm.BUCKET_BITS), rng.normal(size=1 << window_lm.BUCKET_BITS).astype(np.float32)
+    listed = np.sort([signed(w) for w in "acef"])
+    own, looked, made = rng.normal(size=4), [], []
+    monkeypatch.setattr(window_lm, "map_texts", lambda df, make, *rest: made.append(make))
+    monkeypatch.setattr(window_lm, "bucket_in", lambda words, f=window_lm.bucket_in: looked.append(len(words)) or f(words))
+
+    class Taken:
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+        select = groupBy = agg = lambda self, *a: self
+
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    for held, block in ((window_lm.WORDS_HELD, window_lm.BLOCK_TOKENS), (2, 4)):
+        monkeypatch.setattr(window_lm, "WORDS_HELD", held)
+        monkeypatch.setattr(window_lm, "BLOCK_TOKENS", block)
+        for known in ((listed, own), (listed[:0], own[:0]), None):
+            window_lm.encoded(frame(llm, [(1, "a", "en")]), ids, share, [], known)
+            looked.clear()
+            code, total, rest = made[-1]()(texts)
+            if held > 2:
+                assert looked == [9]
+            for w, c, t, r in zip(every, code, total, rest, strict=True):
+                at = [k for k in range(len(w)) if known and w[k] in known[0]]
+                buckets = (w.view(np.uint64) >> np.uint64(64 - window_lm.BUCKET_BITS)).astype(np.int64)
+                assert list(np.frombuffer(c, np.uint8)) == list(ids[buckets])
+                assert t == pytest.approx(share[buckets].sum(dtype=float) + sum(known[1][list(known[0]).index(w[k])] for k in at))
+                assert r is None if known is None else list(r) == [x for k, x in enumerate(w) if k not in at]
+        window_lm.word_counts(taken := Taken())
+        out = pa.Table.from_batches(list(taken.run(iter([batch, batch.slice(0, 0), batch])))).to_pydict()
+        words, n = np.unique(np.concatenate(every * 2), return_counts=True)
+        assert dict(zip(out["word"], out["n"])) == dict(zip(words.tolist(), n.tolist()))
+
+
 # ---------------------------------------------------------------- op 9
 
 ITEM = ("Maria Lopez buys 12 apples and 7 pears at the market near the old river bridge, then walks 3 km home. "
