@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from runwise.constants import (FOREST_IMPURITY, FOREST_MAX_BINS, FOREST_SEED, FOREST_SUBSAMPLING, FOREST_SUBSET,
                                MIN_FEATURES, SPLIT_SEED, SPLIT_WEIGHTS, TUNE_DEPTH, TUNE_FOLDS, TUNE_TREES)
+from runwise.operators import forest_fit
 from runwise.session import materialise
 
 TUNE_MEMORY_MB = 1024  # statistics of the nodes split in one pass: fewer passes a fit
@@ -263,29 +264,36 @@ def tune_folds(train: DataFrame, features: list[str], trees=TUNE_TREES, depth: i
                key: str = "flight_id", at_once: int = 4) -> DataFrame:
     """M8: (num_trees, max_depth, fold, n_held_out, n_correct, accuracy) of every grid point and fold.
 
-    Rows are indexed, assembled and given their fold once, in one cached table; the fits are Spark jobs that
-    run ``at_once`` side by side.  A fit keeps the node that each row is at in each tree, instead of walking every tree from its
-    root at every level; the forest is the same.
+    Rows are indexed, assembled and given their fold once, in one cached table.  The forests of all fits are grown side by side
+    (``forest_fit``); they are those that the estimators would fit.  What that leaves to Spark ML (no rows, one class, more categories
+    than bins) is fitted by it, ``at_once`` side by side.
     """
     from concurrent.futures import ThreadPoolExecutor
     base = fit_pipeline(train, train, features, trees[0], depth, forest_too=False)
     rows = base.transform(train).select("features", "label", fold_of(key, folds, FOREST_SEED).alias("fold")).cache()
 
-    def one(job: tuple[int, int]) -> tuple:
-        n_trees, fold = job
-        rf = RandomForestClassifier(labelCol="label", featuresCol="features", impurity=FOREST_IMPURITY,
-                                    featureSubsetStrategy=FOREST_SUBSET, subsamplingRate=FOREST_SUBSAMPLING,
-                                    maxBins=FOREST_MAX_BINS, numTrees=n_trees, maxDepth=depth, seed=FOREST_SEED,
-                                    maxMemoryInMB=TUNE_MEMORY_MB, cacheNodeIds=True)
+    def estimator(n_trees: int) -> RandomForestClassifier:
+        return RandomForestClassifier(labelCol="label", featuresCol="features", impurity=FOREST_IMPURITY,
+                                      featureSubsetStrategy=FOREST_SUBSET, subsamplingRate=FOREST_SUBSAMPLING,
+                                      maxBins=FOREST_MAX_BINS, numTrees=n_trees, maxDepth=depth, seed=FOREST_SEED,
+                                      maxMemoryInMB=TUNE_MEMORY_MB, cacheNodeIds=True)
+
+    def alone(fit: tuple[RandomForestClassifier, int]) -> tuple:
+        rf, fold = fit
         fitted = rf.fit(rows.where(F.col("fold") != fold))
         n, right = fitted.transform(rows.where(F.col("fold") == fold)) \
             .agg(F.count(F.lit(1)), F.count_if(F.col("prediction") == F.col("label"))).first()
-        return n_trees, depth, fold, n, right, right / n if n else None
+        return rf.getNumTrees(), fold, n, right
 
     filled = {r["fold"] for r in rows.select("fold").distinct().collect()}  # at most ``folds`` numbers
-    jobs = [(n, k) for n in trees for k in range(folds) if filled != {k}]  # a fold with all rows leaves none to learn from
-    with ThreadPoolExecutor(at_once) as pool:
-        found = list(pool.map(one, jobs))
+    fits = [(estimator(n), k) for n in trees for k in range(folds) if filled != {k}]  # a fold with all rows leaves none to learn from
+    forests = forest_fit.grow(rows, fits)
+    if forests is not None:
+        counted = forest_fit.held_out(rows, forests)
+    else:
+        with ThreadPoolExecutor(at_once) as pool:
+            counted = list(pool.map(alone, fits))
+    found = [(n_trees, depth, fold, n, right, right / n if n else None) for n_trees, fold, n, right in counted]
     rows.unpersist()
     return train.sparkSession.createDataFrame(found, "num_trees int, max_depth int, fold int, n_held_out long, n_correct long, accuracy double")
 
