@@ -77,12 +77,8 @@ class XorShift:
         self.state = _murmur3(data, low) << 32 | low
 
     def _bits(self, n: int) -> int:
-        x = self.state
-        x ^= x << 21 & M64
-        x ^= x >> 35
-        x ^= x << 4 & M64
-        self.state = x
-        return x & ((1 << n) - 1)
+        self.state = _shifted(self.state)
+        return self.state & ((1 << n) - 1)
 
     def next_int(self) -> int:
         return _signed(self._bits(32), 32)
@@ -92,14 +88,26 @@ class XorShift:
         return (high + self._bits(27)) * 2.0 ** -53
 
 
-def reservoir(n: int, k: int, seed: int) -> list[int]:
-    """k of the numbers below n (SamplingUtils.reservoirSampleAndCount)."""
-    kept, rng = list(range(k)), XorShift(seed)
+def _shifted(x):
+    """The state after ``x``: a number, or an array of unsigned 64 bits."""
+    x ^= x << 21 & M64
+    x ^= x >> 35
+    x ^= x << 4 & M64
+    return x
+
+
+def reservoirs(n: int, k: int, seeds: list[int]) -> list[list[int]]:
+    """For each seed k of the numbers below n (SamplingUtils.reservoirSampleAndCount)."""
+    state = np.array([XorShift(seed).state for seed in seeds], dtype=np.uint64)
+    kept = np.tile(np.arange(k), (len(seeds), 1))
     for item in range(k, n):
-        at = int(rng.next_double() * (item + 1))
-        if at < k:
-            kept[at] = item
-    return kept
+        state = _shifted(state)
+        high = (state & ((1 << 26) - 1)) << 27
+        state = _shifted(state)
+        at = ((high + (state & ((1 << 27) - 1))).astype(float) * 2.0 ** -53 * (item + 1)).astype(np.int64)
+        taken = np.flatnonzero(at < k)
+        kept[taken, at[taken]] = item
+    return kept.tolist()
 
 
 @cache
@@ -489,15 +497,19 @@ class Forest:
 
     def select(self) -> dict[int, list[tuple[int, list[int]]]]:
         """tree -> [(node, features)] of the next pass."""
-        self.group, used = {}, 0
-        while self.stack:
-            t, node = self.stack[-1]
-            features = list(range(self.n_features)) if self.a_node == self.n_features else \
-                reservoir(self.n_features, self.a_node, self.rng.next_long())
+        self.group, used, n = {}, 0, self.n_features
+        states, seeds = [self.rng.state], []
+        if self.a_node < n:
+            for _ in self.stack:
+                seeds.append(self.rng.next_long())
+                states.append(self.rng.state)
+        drawn = reservoirs(n, self.a_node, seeds) if seeds else [list(range(n))] * len(self.stack)
+        for k, features in enumerate(drawn, 1):
             need = self.shape.classes * sum(self.shape.bins[f] for f in features) * 8
             if used and used + need > self.memory:
+                self.rng.state = states[k] if seeds else states[0]   # the features of a node that has to wait are drawn again
                 break
-            self.stack.pop()
+            t, node = self.stack.pop()
             self.group.setdefault(t, []).append((node, features))
             used += need
         return self.group
@@ -512,7 +524,7 @@ class Forest:
                 self.splits[t][node] = (feature, split)
                 for child, counts in ((2 * node, left), (2 * node + 1, whole - left)):
                     self.counts[t][child] = counts
-                    if child.bit_length() <= self.depth and abs(float(entropy(counts))) >= EPSILON:
+                    if child.bit_length() <= self.depth and np.count_nonzero(counts) > 1:
                         self.stack.append((t, child))
 
     def trees(self) -> list[tuple[dict[int, tuple], dict[int, np.ndarray]]]:
